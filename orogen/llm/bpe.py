@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 
@@ -114,25 +115,65 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def _chunks(frames: Iterable[pd.DataFrame], chars: int) -> Iterator[tuple[int, list, list]]:
-    """(number, ids, texts) of runs of a task's rows that hold about ``chars`` characters."""
+def _texts_by_chunk(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tuple[int, bool, int | None, str]]:
+    """(chunk, last of the chunk, doc_id, text) of a task's rows; a chunk is a run of rows with about ``chars`` characters.
+
+    Chunks are numbered by task and order, and depend on nothing but the rows, so that a
+    repeated task and another pass over the same input make the same ones.
+    """
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 24
-    ids, held, size = [], [], 0
-    for frame in frames:
-        for i, t in zip(frame["doc_id"], frame["text"], strict=True):
-            ids.append(None if pd.isna(i) else int(i))
-            held.append(t)
+    number, size = TaskContext.get().partitionId() << 24, 0
+    for batch in batches:
+        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            t = t.as_py()
             size += len(t) + 8
+            yield number, size >= chars, i, t
             if size >= chars:
-                yield number, ids, held
-                number, ids, held, size = number + 1, [], [], 0
-    if ids:
-        yield number, ids, held
+                number, size = number + 1, 0
+
+
+def _chunk_words(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tuple[int, set[str]]]:
+    """(chunk, its distinct words)."""
+    found: set[str] = set()
+    number = None
+    for number, last, _, t in _texts_by_chunk(batches, chars):
+        found.update(split_words(t))
+        if last:
+            found.discard("")
+            yield number, found
+            found = set()
+    found.discard("")
+    if found:
+        yield number, found
+
 
+def packed(docs: DataFrame, chars: int) -> DataFrame:
+    """chunk and payload: a chunk's documents (doc_id, text), compressed in pieces of some megabytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, ids, held, size = zstandard.ZstdCompressor(level=6), [], [], 0
 
-def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 24_000_000, group_chunks: int = 4096) -> DataFrame:
+        def flush(number: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([squeeze.compress(pickle.dumps((ids, held)))], pa.binary())], ["chunk", "payload"])
+
+        for number, last, i, t in _texts_by_chunk(batches, chars):
+            ids.append(i)
+            held.append(t)
+            size += len(t)
+            if last or size > 8_000_000:
+                yield flush(number)
+                ids, held, size = [], [], 0
+        if ids:
+            yield flush(number)
+
+    return docs.mapInArrow(run, "chunk long, payload binary")
+
+
+def unpacked(payload: bytes) -> Iterator[tuple[int | None, str]]:
+    return zip(*pickle.loads(zstandard.ZstdDecompressor().decompress(payload)), strict=True)
+
+
+def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 32_000_000, group_chunks: int = 4096) -> DataFrame:
     """Ids and decoded text of every document, as digests.
 
     1. Words: each chunk of documents gives its distinct words, grouped into one table of
@@ -141,7 +182,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 2
     2. Each distinct word is encoded once, by the tokenizers library.
     3. Its ids are exploded and joined to the vocabulary's pieces (as large as the vocabulary,
        so broadcast); the pieces in order are the decoded word.
-    4. Both go back to the chunks, where the documents' words look them up by position.
+    4. Both go back to the chunks, packed, where the documents' words look them up by position.
 
     Documents keep their input split and travel once, compressed. A null text counts as empty;
     a document without text has no ids. Repeated rows give repeated results. Returns doc_id,
@@ -151,33 +192,22 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 2
     spark = docs.sparkSession
     docs = texts(docs)
 
-    def words_of(frames):
-        for number, _, held in _chunks(frames, chunk_chars):
-            found = set()
-            for t in held:
-                found.update(split_words(t))
-            found.discard("")
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, found in _chunk_words(batches, chunk_chars):
             found = list(found)
-            for at in range(0, len(found), 100_000):
-                yield pd.DataFrame({"chunk": number, "word": found[at : at + 100_000]})
-
-    def packed(frames):
-        pack = zstandard.ZstdCompressor(level=3)
-        for number, ids, held in _chunks(frames, chunk_chars):
-            table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(held, pa.large_string())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            yield pd.DataFrame({"chunk": [number], "payload": [pack.compress(sink.getvalue())]})
+            for at in range(0, len(found), 50_000):
+                words = pa.array(found[at : at + 50_000], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), words], ["chunk", "word"])
 
     @F.pandas_udf("array<int>")
     def encoded(word: pd.Series) -> pd.Series:
-        own = _encoders.get(path) or encoder(path)
-        return pd.Series([e.ids for e in own.tokenizer.encode_batch_fast(word.tolist(), add_special_tokens=False)])
+        return pd.Series([e.ids for e in encoder(path).tokenizer.encode_batch_fast(word.tolist(), add_special_tokens=False)])
 
     by_word = (
-        docs.mapInPandas(words_of, "chunk long, word string")
-        .groupBy("word", F.expr(f"(shiftright(chunk, 24) div {group_chunks})").alias("part"))
+        docs.mapInArrow(words_of, "chunk long, word string")
+        .withColumn("part", F.expr(f"shiftright(chunk, 24) div {group_chunks}"))
+        .repartition("word", "part")
+        .groupBy("word", "part")
         .agg(F.collect_list("chunk").alias("chunks"))
         .withColumn("ids", encoded("word"))
     )
@@ -186,37 +216,59 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 2
         .join(F.broadcast(pieces(spark, path)), "id")
         .groupBy("word", "part")
         .agg(F.first("chunks").alias("chunks"), F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("got"))
-        .select(F.explode("chunks").alias("chunk"), "word", "ids", F.expr("unhex(array_join(transform(got, x -> hex(x.piece)), ''))").alias("decoded"))
+        .select("word", "chunks", "ids", F.expr("unhex(array_join(transform(got, x -> hex(x.piece)), ''))").alias("decoded"))
     )
 
+    def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a task packed by chunk, so that they travel compressed."""
+        squeeze, held, size = zstandard.ZstdCompressor(level=3), [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            lists = table["chunks"].combine_chunks()
+            chunk, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            words, ids, decoded = table["word"].to_pylist(), table["ids"].to_pylist(), table["decoded"].to_pylist()
+            shown = [",".join(map(str, i)) + "," for i in ids]
+            order = np.argsort(chunk, kind="stable")
+            edges = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+            blobs = []
+            for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+                at = row[order[a:b]].tolist()
+                blobs.append(squeeze.compress(pickle.dumps(([words[k] for k in at], [shown[k] for k in at], [decoded[k] for k in at]))))
+            return pa.RecordBatch.from_arrays([pa.array(chunk[order[edges]]), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column("chunks").flatten())
+            if size > 1_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_words": [], "n_bytes": []}
-        words = right["word"].to_pylist()
-        lists = right["ids"].combine_chunks()
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) if len(words) else []
-        flat = lists.flatten().to_pylist() if len(words) else []
-        shown, count, start = {}, {}, 0
-        for w, end in zip(words, ends, strict=True):
-            shown[w] = ",".join(map(str, flat[start:end])).encode() + b","
-            count[w] = int(end) - start
-            start = int(end)
-        plain = dict(zip(words, right["decoded"].to_pylist(), strict=True))
-        for payload in left["payload"].to_pylist():
-            table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
-            for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True):
+        shown, plain = {}, {}
+        for blob in right["blob"]:
+            words, ids, decoded = pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_py()))
+            shown.update(zip(words, ids, strict=True))
+            plain.update(zip(words, decoded, strict=True))
+        for payload in left["payload"]:
+            for i, t in unpacked(payload.as_py()):
                 own = split_words(t) if t else []
+                ids = "".join([shown[w] for w in own])
                 decoded = b"".join([plain[w] for w in own]).decode("utf-8", "replace").encode()
                 rows["doc_id"].append(i)
-                rows["n_tokens"].append(sum([count[w] for w in own]))
-                rows["ids_sha256"].append(hashlib.sha256(b"".join([shown[w] for w in own])[:-1]).hexdigest())
+                rows["n_tokens"].append(ids.count(","))
+                rows["ids_sha256"].append(hashlib.sha256(ids[:-1].encode()).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                 rows["n_words"].append(len(own))
                 rows["n_bytes"].append(len(decoded))
         return pa.table(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_words", pa.int64()), ("n_bytes", pa.int64())]))
 
-    payload = docs.mapInPandas(packed, "chunk long, payload binary")
+    back = table.mapInArrow(by_chunk, "chunk long, blob binary")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long, n_bytes long"
-    return payload.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(joined, out)
+    return packed(docs, chunk_chars).groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(joined, out)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
