@@ -23,6 +23,11 @@ def tokens_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def features_of(word: str) -> list[str]:
+    """A word and its beginnings of four to six characters, so that forms of one stem count together."""
+    return [word, *["^" + word[:k] for k in (4, 5, 6) if len(word) > k]]
+
+
 def segments(at: list[int], value: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, token after the last, score), in linear time.
 
@@ -55,23 +60,40 @@ def segments(at: list[int], value: list[float], drift: float) -> list[tuple[int,
 
 @dataclass
 class Model:
-    """Word scores and calibration. ``rate`` and ``scale`` are the exponential tail of clean segments (lambda and K)."""
+    """Scores of features and calibration. ``rate`` and ``scale`` are the exponential tail of clean segments (lambda and K)."""
 
     scores: dict[str, float] = field(default_factory=dict)
-    drift: float = 0.05
+    drift: float = 0.2
     rate: float = 1.0
     scale: float = 1e-3
     intercept: float = -4.0
     slope: float = 0.0
 
+    def __post_init__(self):
+        self._words: dict[str, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_words": {}}
+
+    def word(self, word: str) -> float:
+        """A word's score: that of its strongest feature, 0 if none is known. Kept for the task, up to a bound."""
+        if len(self._words) > 500_000:
+            self._words.clear()
+        value = self._words[word] = max((self.scores.get(f, 0.0) for f in features_of(word)), key=abs)
+        return value
+
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Tokens of the text, and its segments."""
-        words = tokens_of(text)
-        known = self.scores
-        at = [i for i, w in enumerate(words) if w in known]
-        if not at:
-            return len(words), []
-        return len(words), segments(at, [known[words[i]] for i in at], self.drift)
+        words, known = tokens_of(text), self._words
+        try:
+            values = [known[w] for w in words]
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    self.word(w)
+            values = [known[w] if w in known else self.word(w) for w in words]
+        at = [i for i, v in enumerate(values) if v]
+        return len(words), segments(at, [values[i] for i in at], self.drift) if at else []
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """Sum over segments of -log of the expected number of such segments in a clean text of n tokens, where below 0."""
@@ -86,17 +108,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def word_scores(counts: list[tuple[str, int, int]], totals: tuple[int, int], prior: float, sure: float) -> dict[str, float]:
-    """Log-odds of toxic against other text with an informative Dirichlet prior, drawn ``sure`` standard errors to 0."""
+def log_odds(a, b, totals: tuple[int, int], prior: float, floor: float, log, sqrt):
+    """(log-odds of toxic against other text, its standard error) of counts a and b, under an informative Dirichlet prior.
+
+    The prior is ``prior`` tokens dealt like the pooled counts, and ``floor`` for each feature.
+    """
     toxic, clean = totals
-    scores = {}
-    for word, a, b in counts:
-        alpha = prior * (a + b) / max(1, toxic + clean)
-        odds = math.log((a + alpha) / (toxic + prior - a - alpha)) - math.log((b + alpha) / (clean + prior - b - alpha))
-        error = math.sqrt(1 / (a + alpha) + 1 / (b + alpha))
-        if abs(odds) > sure * error:
-            scores[word] = odds - math.copysign(sure * error, odds)
-    return scores
+    alpha = prior * (a + b) / (toxic + clean) + floor
+    odds = log((a + alpha) / (toxic + prior - a - alpha)) - log((b + alpha) / (clean + prior - b - alpha))
+    return odds, sqrt(1 / (a + alpha) + 1 / (b + alpha))
 
 
 def _tail_rate(background: list[tuple[float, float]]) -> float:
@@ -115,41 +135,56 @@ def _tail_rate(background: list[tuple[float, float]]) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, sure: float = 2.0, vocabulary: int = 50_000, least: int = 5, drift: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float = 0.5, sure: float = 3.5, effect: float = 3.5, vocabulary: int = 50_000, drift: float = 0.2) -> Model:
     """Learn from the labelled rows that aren't held out, all of them.
 
-    Words are counted by class in Spark. The model keeps the ``vocabulary`` words that differ most
-    surely (a size of the model, as is ``least``, the count below which a word can't be sure); others
-    score 0. The tail of clean segments gives lambda and K; the calibration is a logistic curve on
-    counts of the evidence in bins. Nothing larger than the vocabulary reaches the driver.
-    Without both classes the model scores every text the same.
+    Words and word beginnings are counted by class in Spark. A feature scores its log-odds, drawn a
+    standard error to 0, if these are ``sure`` errors from 0 and at least ``effect`` afterwards; the
+    ``vocabulary`` surest are kept (a size of the model), all else scores 0. Tokens also cost ``drift``.
+    The tail of clean segments gives lambda and K; the calibration is a logistic curve on counts of
+    the evidence in bins. Nothing larger than the vocabulary reaches the driver. Without both
+    classes the model scores every text the same.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(known, "doc_id").select("text", "toxic")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(words: dict[int, Counter]) -> pd.DataFrame:
+            got: dict[str, list[int]] = {}
+            for y, c in words.items():
+                for w, n in c.items():
+                    for f in features_of(w):
+                        got.setdefault(f, [0, 0])[y] += n
+            return pd.DataFrame({"feature": list(got), "a": [v[1] for v in got.values()], "b": [v[0] for v in got.values()]})
+
+        words = {0: Counter(), 1: Counter()}
         for frame in frames:
-            got = {0: Counter(), 1: Counter()}
             for t, y in zip(frame["text"], frame["toxic"], strict=True):
-                got[int(y > 0)].update(tokens_of(t))
-            for y, c in got.items():
-                yield pd.DataFrame({"word": list(c), "a": [n * y for n in c.values()], "b": [n * (1 - y) for n in c.values()]})
-
-    counted = train.mapInPandas(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = stored(counted, "word-counts")
-    sums = counted.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    toxic, clean = int(sums["a"]), int(sums["b"])
+                words[int(y > 0)].update(tokens_of(t))
+            if sum(map(len, words.values())) > 200_000:
+                yield rows(words)
+                words = {0: Counter(), 1: Counter()}
+        yield rows(words)
+
+    counted = stored(train.mapInPandas(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "feature-counts")
+    words = counted.where("not startswith(feature, '^')")
+    sums = words.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    totals = int(sums["a"]), int(sums["b"])
     model = Model(drift=drift)
-    if not toxic or not clean:
+    if not all(totals):
         return model
-    alpha = F.lit(prior) * (F.col("a") + F.col("b")) / (toxic + clean)
-    odds = F.log((F.col("a") + alpha) / (toxic + prior - F.col("a") - alpha)) - F.log((F.col("b") + alpha) / (clean + prior - F.col("b") - alpha))
-    sureness = F.abs(odds) / F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha))
-    most = counted.where(F.col("a") + F.col("b") >= least).withColumn("z", sureness).where(F.col("z") > sure).orderBy(F.desc("z"), "word").limit(vocabulary)
-    rows = [(r["word"], int(r["a"]), int(r["b"])) for r in most.select("word", "a", "b").collect()]
-    model.scores = word_scores(rows, (toxic, clean), prior, sure)
-    background = [(model.scores[w] - drift, b / clean) for w, _, b in rows if w in model.scores]
-    model.rate = _tail_rate([*background, (-drift, 1 - sum(p for _, p in background))])
+    odds, error = log_odds(F.col("a"), F.col("b"), totals, prior, floor, F.log, F.sqrt)
+    most = counted.withColumn("odds", odds).withColumn("error", error).where((F.abs("odds") > sure * F.col("error")) & (F.abs("odds") - F.col("error") >= effect))
+    rows = most.orderBy(F.desc(F.abs("odds") / F.col("error")), "feature").limit(vocabulary).select("feature", "odds", "error").collect()
+    model.scores = {r["feature"]: r["odds"] - math.copysign(r["error"], r["odds"]) for r in rows}
+
+    def background(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            s = pd.Series([round(max((model.scores.get(f, 0.0) for f in features_of(w)), key=abs), 2) for w in frame["feature"]], dtype=float)
+            yield frame["b"].groupby(s.to_numpy()).sum().rename("n").rename_axis("score").reset_index()
+
+    shares = words.select("feature", "b").where("b > 0").mapInPandas(background, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    model.rate = _tail_rate([(r["score"] - drift, r["n"] / totals[1]) for r in shares])
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
