@@ -63,7 +63,7 @@ class WordEncoder:
     ``limit`` bounds the cache's words; words over ``longest`` characters are never kept.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
         self.tokenizer = load_tokenizer(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
         self.type = np.dtype("<u4" if self.wide else "<u2")

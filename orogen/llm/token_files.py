@@ -32,66 +32,73 @@ def _array(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b[1:]), f"<u{b[0]}").astype(np.int64)
 
 
-def repair(ids: np.ndarray, first_rule: int, rounds: int = 6, least: int = 8, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, first_rule: int, rounds: int = 4, least: int = 8, most: int = 15_000) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair of one shard: (symbols, rules), where rule k makes symbol ``first_rule + k`` of a pair.
 
     Each round counts every pair of neighbours exactly and replaces, from the left, the most
-    frequent ones (at least ``least`` times, at most ``per_round`` pairs, ties to the smaller
+    frequent ones (at least ``least`` times, at most ``most / rounds`` pairs, ties to the smaller
     pair). Within a round a pair is only taken if its right symbol doesn't begin and its left
     symbol doesn't end a more frequent one, so that replacements never overlap, but for a pair
     of equal symbols, whose runs are paired from their start. Rounds end when no pair is left.
+    Symbols take two bytes while they fit, and pairs four.
     """
-    seq, rules, nxt = ids.astype(np.int64), [], first_rule
+    narrow = first_rule + most <= 1 << 16
+    symbol, pair, bits = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
+    seq, rules, nxt, per_round = ids.astype(symbol), [], first_rule, most // rounds
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = seq[:-1] << 32 | seq[1:]
+        keys = seq[:-1].astype(pair) << pair(bits) | seq[1:]
         order = np.sort(keys)
         starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         counts = np.diff(np.append(starts, len(order)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        pairs, counts = order[starts[often]], counts[often]
-        rank = np.lexsort((pairs, -counts))
+        found, counts = order[starts[often]], counts[often]
+        rank = np.argsort(-counts, kind="stable")
         lefts, rights, taken = set(), set(), []
-        for pair in pairs[rank].tolist():
-            a, b = pair >> 32, pair & 0xFFFFFFFF
+        for key in found[rank].tolist():
+            a, b = key >> bits, key & ((1 << bits) - 1)
             if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
                 continue
             lefts.add(a)
             rights.add(b)
-            taken.append(pair)
+            taken.append(key)
             if len(taken) == per_round:
                 break
-        taken = np.array(taken, np.int64)
-        order = np.argsort(taken)
-        where = np.searchsorted(taken[order], keys)
+        taken = np.array(taken, pair)
+        by_key = np.argsort(taken)
+        # Few places have a left and a right symbol of some pair; only those are looked up.
+        begins, ends = (np.zeros(nxt + 1, bool) for _ in range(2))
+        begins[list(lefts)] = ends[list(rights)] = True
+        at = np.flatnonzero(begins[seq[:-1]] & ends[seq[1:]])
+        where = np.searchsorted(taken[by_key], keys[at])
         where[where == len(taken)] = 0
-        hit = taken[order][where] == keys
-        same = hit & (seq[:-1] == seq[1:])
-        if same.any():  # runs of a repeated symbol: every other place, from the run's start
-            at = np.flatnonzero(same)
-            first = np.concatenate(([True], (np.diff(at) != 1) | (seq[at[1:]] != seq[at[:-1]])))
-            begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            hit[at[(np.arange(len(at)) - begin) % 2 == 1]] = False
-        at = np.flatnonzero(hit)
+        hit = taken[by_key][where] == keys[at]
+        at, where = at[hit], where[hit]
+        same = np.flatnonzero(seq[at] == seq[at + 1])
+        if len(same):  # runs of a repeated symbol: every other place, from the run's start
+            place = at[same]
+            first = np.concatenate(([True], (np.diff(place) != 1) | (seq[place[1:]] != seq[place[:-1]])))
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(place)), 0))
+            keep = np.ones(len(at), bool)
+            keep[same[(np.arange(len(place)) - begin) % 2 == 1]] = False
+            at, where = at[keep], where[keep]
         seq = seq.copy()
-        seq[at] = nxt + order[where[at]]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules.append(np.stack((taken >> 32, taken & 0xFFFFFFFF), 1))
+        seq[at] = (nxt + by_key[where]).astype(symbol)
+        seq = np.delete(seq, at + 1)
+        rules.append(np.stack((taken >> pair(bits), taken & pair((1 << bits) - 1)), 1).astype(np.int64))
         nxt += len(taken)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return seq.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def expansions(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """How many ids each rule stands for."""
-    size = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[k] = sum(size[x - first_rule] if x >= first_rule else 1 for x in (a, b))
-    return size
+    size: list[int] = []
+    for a, b in rules.tolist():
+        size.append((size[a - first_rule] if a >= first_rule else 1) + (size[b - first_rule] if b >= first_rule else 1))
+    return np.array(size, np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
