@@ -12,6 +12,7 @@ import hashlib
 import os
 import pickle
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from orogen.llm.common import texts
 #: White space as Unicode has it (White_Space), which byte-level pre-tokenizers split at.
 _OTHER = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _WS = " \n" + "".join(_OTHER)
+#: What can't follow the space that a key leaves out: nothing, a newline, the mark itself.
+_SPECIAL = ("", "\n", "\1")
 _WORD = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
 
@@ -36,15 +39,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def split_keys(text: str) -> list[str]:
+    """The words of a text as keys: a word without its one leading space, or as it is if it begins with a newline, or else after ``\\1``."""
+    if "\1" not in text and not any(c in text for c in _OTHER):
+        parts = text.replace("\n", " \n").split(" ")
+        if "" not in parts and "\n" not in parts:
+            parts[0] = "\1" + parts[0]
+            return parts
+    return [w[1:] if w[0] == " " and w[1:2] not in _SPECIAL else w if w[0] == "\n" else "\1" + w for w in _WORD.findall(text)]
+
+
+def word_of(key: str) -> str:
+    return key[1:] if key[0] == "\1" else key if key[0] == "\n" else " " + key
+
+
 def split_words(text: str) -> list[str]:
     """The words of a text; joined they are the text."""
-    if any(c in text for c in _OTHER):
-        return _WORD.findall(text)
-    parts = text.replace("\n", " \n").split(" ")
-    if "" in parts or "\n" in parts:
-        return _WORD.findall(text)
-    head = parts[0]
-    return [head, *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
+    return [word_of(k) for k in split_keys(text)]
 
 
 def load_tokenizer(path: str):
@@ -65,29 +76,43 @@ class WordEncoder:
 
     def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
         self.tokenizer = load_tokenizer(path)
-        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
-        self.type = np.dtype("<u4" if self.wide else "<u2")
+        self.code = "I" if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536 else "H"
+        self.type = np.dtype("<u4" if self.code == "I" else "<u2")
         self.limit, self.longest, self.words = limit, longest, {}
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text."""
-        words = split_words(text)
-        known = self.words
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), self.type)
-        except KeyError:
-            pass
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        return next(iter(self.encode_many([text])))
+
+    def encode_many(self, several: Iterable[str], chars: int = 2_000_000) -> Iterator[np.ndarray]:
+        """The ids of each text; some ``chars`` characters at a time share one call for their new words."""
+        held, size = [], 0
+        for t in several:
+            held.append(t)
+            size += len(t)
+            if size >= chars:
+                yield from self._encode(held)
+                held, size = [], 0
+        if held:
+            yield from self._encode(held)
+
+    def _encode(self, several: list[str]) -> list[np.ndarray]:
+        known, split, missing = self.words, [split_keys(t) for t in several], set()
+        for keys in split:
+            missing.update([k for k in keys if k not in known])
         if len(known) + len(missing) > self.limit:
             known.clear()
-            missing = list(dict.fromkeys(words))
-        new = {w: np.array(e.ids, self.type).tobytes() for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        known.update(new if len(new) < self.limit // 2 else {})
-        found = np.frombuffer(b"".join([new[w] if w in new else known[w] for w in words]), self.type)
-        for w in missing:
-            if len(w) > self.longest:
-                known.pop(w, None)
-        return found
+            missing = set().union(*split)
+        missing = list(missing)
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast([word_of(k) for k in part], add_special_tokens=False)
+            known.update(zip(part, [array(self.code, e.ids).tobytes() for e in found], strict=True))
+        out = [np.frombuffer(b"".join([known[k] for k in keys]), self.type) for keys in split]
+        for k in missing:
+            if len(k) > self.longest:
+                del known[k]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -278,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(frames):
         own = encoder(path)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [own.encode(t).astype("int32") for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [ids.astype("int32") for ids in own.encode_many(frame["text"])]})
 
     return texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
 

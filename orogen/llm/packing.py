@@ -24,8 +24,8 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, size: int
         own = encoder(path)
         for frame in frames:
             out = []
-            for i, t in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = np.append(own.encode(t), end_id).astype("<u4")
+            for i, ids in zip(frame["doc_id"], own.encode_many(frame["text"]), strict=True):
+                ids = np.append(ids, end_id).astype("<u4")
                 first = (len(ids) - 1) % size + 1
                 cuts = [0, *range(first, len(ids) + 1, size)]
                 out += [(i, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]

@@ -153,9 +153,9 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, s
             return pd.DataFrame({"part": [part], "shard": [number], "n_docs": [len(ids)], "n_ids": [size], "first_rule": [first], "doc_ids": [np.array(ids, "<i8").tobytes()], "lengths": [_bytes([len(x) for x in held])], "rules": [_bytes(rules.ravel())], "expansions": [_bytes(expansions(rules, first))], "symbols": [_bytes(symbols)]})
 
         for frame in frames:
-            for i, t in zip(frame["doc_id"], frame["text"], strict=True):
+            for i, found in zip(frame["doc_id"], own.encode_many(frame["text"]), strict=True):
                 ids.append(np.iinfo("<i8").min if pd.isna(i) else int(i))
-                held.append(np.concatenate((own.encode(t), end)))
+                held.append(np.concatenate((found, end)))
                 size += len(held[-1])
                 if size >= shard_ids:
                     yield shard()
