@@ -110,9 +110,10 @@ def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, m
                 for part in np.array_split(at, max(1, len(at) * n * n // 2_000_000)):
                     x, y, v = (np.array([[s[c] for s in near[i]] for i in part], float) for c in "xyv")
                     estimate[part], variance[part] = solve(tx[part], ty[part], x, y, v, model, mean, block, grid)
-            yield pd.DataFrame({"id": frame["id"], "estimate": pd.Series(estimate, dtype="object").where(~np.isnan(estimate), None), "variance": pd.Series(variance, dtype="object").where(~np.isnan(variance), None), "n_near": size})
+            yield pd.DataFrame({"id": frame["id"], "estimate": estimate, "variance": variance, "n_near": size})
 
-    return neighbours(targets, samples, radius, most, exclude).mapInPandas(run, "id long, estimate double, variance double, n_near int")
+    got = neighbours(targets, samples, radius, most, exclude).mapInPandas(run, "id long, estimate double, variance double, n_near int")
+    return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("estimate", "variance")})
 
 
 def cross_validate(samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def stations(vertices: DataFrame, step: float) -> DataFrame:
     s = segments(vertices)
     first = F.ceil(F.col("d0") / step)
     last = F.ceil((F.col("d0") + F.col("length")) / step) - 1
-    s = s.where(last >= first).withColumn("d", F.explode(F.sequence(first, last)) * step)
+    s = s.where(last >= first).withColumn("k", F.explode(F.sequence(first, last))).withColumn("d", F.col("k") * float(step))
     t = (F.col("d") - F.col("d0")) / F.col("length")
     return s.select("line", "d", (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"))
 

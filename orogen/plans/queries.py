@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orogen.functions import scalar
 from orogen.functions.joins import rounded
 from orogen.operators import density, drill, flow, fractal, kriging, points, raster, section, variogram
-from orogen.plans.geometry import holes, intervals, profiles, raw_points, with_
+from orogen.plans.geometry import holes, intervals, profiles, raw_points, table, with_
 from orogen.plans.geometry import points as pts
 from orogen.plans.geometry import raster as ras
 from orogen.session import ship
@@ -210,9 +210,9 @@ def profile_curvature(spark, sf_dir):
 
 
 @query(with_("ras", "dim", "cells", "win AS (SELECT a.row, a.col, a.z, max(b.z) AS high, min(b.z) AS low FROM cells a JOIN cells b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY ALL)", "pk AS (SELECT * FROM win WHERE z >= high AND z - low >= 50)")
-       + "SELECT row, col, round(z, 4) + 0.0 AS z, round(z - low, 4) + 0.0 AS drop FROM pk a WHERE NOT EXISTS (SELECT 1 FROM pk b WHERE b.z = a.z AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (b.row < a.row OR (b.row = a.row AND b.col < a.col)))")
+       + "SELECT row, col, round(z, 6) + 0.0 AS z, round(z - low, 6) + 0.0 AS drop FROM pk a WHERE NOT EXISTS (SELECT 1 FROM pk b WHERE b.z = a.z AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (b.row < a.row OR (b.row = a.row AND b.col < a.col)))")
 def terrain_peaks(spark, sf_dir):
-    return rnd(raster.peaks(framed(spark, sf_dir)[0], 3, 50.0), 4, "z", "drop")
+    return rnd(raster.peaks(framed(spark, sf_dir)[0], 3, 50.0), 6, "z", "drop")
 
 
 @query(with_("ras", "rasf", "d AS (SELECT rasf.z - ras.z AS d FROM ras FULL JOIN rasf ON ras.row = rasf.row AND ras.col = rasf.col)")
@@ -222,11 +222,11 @@ def cut_fill_volumes(spark, sf_dir):
     return rnd(rnd(got, 2, "cut_volume", "fill_volume"), 4, "cut_max", "cut_mean", "fill_max", "fill_mean")
 
 
-@query(with_("ras") + "SELECT row // 20 * 5 + col // 20 AS zone, count(*) AS n, round(sum(z), 3) + 0.0 AS total, round(avg(z), 5) + 0.0 AS mean, round(min(z), 5) + 0.0 AS least, round(max(z), 5) + 0.0 AS most FROM ras WHERE z IS NOT NULL AND row // 20 * 5 + col // 20 <> 0 GROUP BY 1")
+@query(with_("ras") + "SELECT row // 20 * 5 + col // 20 AS zone, count(*) AS n, round(sum(z), 3) + 0.0 AS total, round(avg(z), 7) + 0.0 AS mean, round(min(z), 7) + 0.0 AS least, round(max(z), 7) + 0.0 AS most FROM ras WHERE z IS NOT NULL AND row // 20 * 5 + col // 20 <> 0 GROUP BY 1")
 def zone_statistics(spark, sf_dir):
     cells = ras(spark, sf_dir)
     zones = cells.select("row", "col", F.expr("cast(row div 20 * 5 + col div 20 as int)").alias("zone"))
-    return rnd(rnd(raster.zone_stats(cells, zones), 3, "total"), 5, "mean", "least", "most")
+    return rnd(rnd(raster.zone_stats(cells, zones), 3, "total"), 7, "mean", "least", "most")
 
 
 SAMPLED = """p AS (SELECT id, x / 10 AS x, y / 10 AS y, v FROM pts), c AS (SELECT id, v, CAST(floor(x - 0.5) AS INT) AS c0, CAST(floor(y - 0.5) AS INT) AS r0, x - 0.5 - floor(x - 0.5) AS tx, y - 0.5 - floor(y - 0.5) AS ty FROM p),
@@ -234,10 +234,10 @@ SAMPLED = """p AS (SELECT id, x / 10 AS x, y / 10 AS y, v FROM pts), c AS (SELEC
     got AS (SELECT id, any_value(v) AS v, CASE WHEN count(z) = 4 THEN sum(z * k) END AS z FROM k LEFT JOIN ras ON ras.row = k.row AND ras.col = k.col GROUP BY id)"""
 
 
-@query(with_("raw", "pts", "ras", SAMPLED) + "SELECT id, round(z, 5) + 0.0 AS z FROM got")
+@query(with_("raw", "pts", "ras", SAMPLED) + "SELECT id, round(z, 9) + 0.0 AS z FROM got")
 def raster_sampling(spark, sf_dir):
     p = pts(spark, sf_dir).select("id", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"))
-    return rnd(raster.sample(p, ras(spark, sf_dir)).select("id", "z"), 5, "z")
+    return rnd(raster.sample(p, ras(spark, sf_dir)).select("id", "z"), 9, "z")
 
 
 def residual_table(spark, sf_dir):
@@ -273,12 +273,12 @@ def _smooth_sql(rounds: int) -> str:
     parts = ["t0 AS (SELECT row, col, z, z AS z0 FROM cells)"]
     for k in range(1, rounds + 1):
         parts.append(f"t{k} AS (SELECT m.row, m.col, CASE WHEN m.z IS NOT NULL THEN greatest(least((4 * m.z + coalesce(w.z, 0) + coalesce(e.z, 0) + coalesce(n.z, 0) + coalesce(s.z, 0)) / (4 + (w.z IS NOT NULL)::INT + (e.z IS NOT NULL)::INT + (n.z IS NOT NULL)::INT + (s.z IS NOT NULL)::INT), m.z0 + 8), m.z0 - 8) END AS z, m.z0 FROM t{k - 1} m LEFT JOIN t{k - 1} w ON w.row = m.row AND w.col = m.col - 1 LEFT JOIN t{k - 1} e ON e.row = m.row AND e.col = m.col + 1 LEFT JOIN t{k - 1} n ON n.col = m.col AND n.row = m.row - 1 LEFT JOIN t{k - 1} s ON s.col = m.col AND s.row = m.row + 1)")
-    return with_("ras", "dim", "cells", *parts) + f"SELECT row, col, round(z, 5) + 0.0 AS z FROM t{rounds}"
+    return with_("ras", "dim", "cells", *parts) + f"SELECT row, col, round(z, 9) + 0.0 AS z FROM t{rounds}"
 
 
 @query(_smooth_sql(4))
 def clamped_smoothing(spark, sf_dir):
-    return rnd(raster.smooth_clamped(*framed(spark, sf_dir), 8.0, 4), 5, "z")
+    return rnd(raster.smooth_clamped(*framed(spark, sf_dir), 8.0, 4), 9, "z")
 
 
 @query(with_("ras", "dim", "cells", OPEN, "m AS (SELECT v.level, (z >= level)::INT * 8 + (e >= level)::INT * 4 + (se >= level)::INT * 2 + (s >= level)::INT AS k FROM s, (SELECT unnest([100.0, 150.0, 200.0]::DOUBLE[]) AS level) v WHERE z IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL AND se IS NOT NULL)")
@@ -333,9 +333,9 @@ def stream_orders(spark, sf_dir):
 # ----- boreholes ----------------------------------------------------------------------------
 
 
-@query(with_("hol") + "SELECT hole_id, x, y, round(z, 4) AS z, CASE WHEN eoh0 > 0 THEN eoh0 END AS eoh FROM hol")
+@query(with_("hol") + "SELECT hole_id, x, y, round(z, 6) AS z, CASE WHEN eoh0 > 0 THEN eoh0 END AS eoh FROM hol")
 def collar_scan(spark, sf_dir):
-    return rnd(drill.collars(holes(spark, sf_dir), "seq").select("hole_id", "x", "y", "z", "eoh"), 4, "z")
+    return rnd(drill.collars(holes(spark, sf_dir), "seq").select("hole_id", "x", "y", "z", "eoh"), 6, "z")
 
 
 @query(with_("hol", "ivs", "i AS (SELECT *, max(\"to\") OVER (PARTITION BY hole_id ORDER BY frm, \"to\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM ivs)")
@@ -346,7 +346,7 @@ def interval_check(spark, sf_dir):
 
 COMPOSITE = """t AS (SELECT DISTINCT hole_id, floor(frm / 30) * 30.0 AS t_frm, floor(frm / 30) * 30.0 + 30 AS t_to, code FROM ivs),
     m AS (SELECT t.hole_id, t.t_frm, t.t_to, grade, greatest(frm, t_frm) AS a, least("to", t_to) AS b FROM (SELECT DISTINCT hole_id, t_frm, t_to FROM t) t JOIN ivs s ON s.hole_id = t.hole_id AND s.frm < t.t_to AND s."to" > t.t_frm),
-    agg AS (SELECT hole_id, t_frm, t_to, sum(grade * (b - a)) / sum(CASE WHEN grade IS NOT NULL THEN b - a END) AS grade, coalesce(sum(CASE WHEN grade IS NOT NULL THEN b - a END), 0) / (t_to - t_frm) AS grade_cover, sum(b - a) / (t_to - t_frm) AS cover FROM m GROUP BY ALL),
+    agg AS (SELECT hole_id, t_frm, t_to, sum(grade * (b - a)) / sum(CASE WHEN grade IS NOT NULL THEN b - a END) AS grade, coalesce(sum(CASE WHEN grade IS NOT NULL THEN b - a END), 0) / (t_to - t_frm) AS grade_cover, sum(b - a) / (t_to - t_frm) AS cover FROM m GROUP BY hole_id, t_frm, t_to),
     comp AS (SELECT t.hole_id, t.t_frm, t.t_to, t.code, agg.grade, agg.grade_cover, agg.cover FROM t JOIN agg ON agg.hole_id = t.hole_id AND agg.t_frm = t.t_frm)"""
 
 
@@ -362,9 +362,9 @@ def drill_composite(spark, sf_dir):
     return rnd(composited(spark, sf_dir).select("hole_id", "t_frm", "t_to", "code", "grade", "grade_cover", "cover", "overlap"), 6, "grade", "grade_cover", "cover")
 
 
-@query(with_("ivs", COMPOSITE, "w AS (SELECT *, CASE WHEN grade IS NOT NULL THEN (t_to - t_frm) * grade_cover END AS k FROM comp)") + "SELECT hole_id, code, sum(t_to - t_frm) AS length, round(sum(grade * k) / sum(k), 6) AS grade FROM w GROUP BY hole_id, code")
+@query(with_("ivs", COMPOSITE, "w AS (SELECT *, CASE WHEN grade IS NOT NULL THEN (t_to - t_frm) * grade_cover END AS k FROM comp)") + "SELECT hole_id, code, sum(t_to - t_frm) AS length, round(sum(grade * k) / sum(k), 9) AS grade FROM w GROUP BY hole_id, code")
 def bed_grades(spark, sf_dir):
-    return rnd(drill.bed_grades(composited(spark, sf_dir), ["grade"]), 6, "grade")
+    return rnd(drill.bed_grades(composited(spark, sf_dir), ["grade"]), 9, "grade")
 
 
 ORDERED = "first AS (SELECT code, min((hole_id, frm, \"to\")) AS f FROM ivs GROUP BY code), ranks AS (SELECT code, CAST(row_number() OVER (ORDER BY f, code) AS INT) AS rank FROM first)"
@@ -418,10 +418,10 @@ def level_for_flow(spark, sf_dir):
 
 
 @query(with_("pro", "t AS (SELECT sec, seq, lead(d) OVER w - d AS len, (lead(z) OVER w - z) / nullif(lead(d) OVER w - d, 0) AS tilt FROM pro WINDOW w AS (PARTITION BY sec ORDER BY d))")
-       + "SELECT sec AS profile, seq, round(tilt, 6) + 0.0 AS tilt, round((tilt - lag(tilt) OVER w) / nullif(0.5 * (len + lag(len) OVER w), 0), 6) + 0.0 AS curvature FROM t WINDOW w AS (PARTITION BY sec ORDER BY seq)")
+       + "SELECT sec AS profile, seq, round(tilt, 8) + 0.0 AS tilt, round((tilt - lag(tilt) OVER w) / nullif(0.5 * (len + lag(len) OVER w), 0), 8) + 0.0 AS curvature FROM t WINDOW w AS (PARTITION BY sec ORDER BY seq)")
 def subsidence_profile(spark, sf_dir):
     p = profiles(spark, sf_dir).select(F.col("sec").alias("profile"), "seq", "d", F.col("z").alias("settle"))
-    return rnd(section.deformations(p).select("profile", "seq", "tilt", "curvature"), 6, "tilt", "curvature")
+    return rnd(section.deformations(p).select("profile", "seq", "tilt", "curvature"), 8, "tilt", "curvature")
 
 
 SEGMENTS = "ver AS (SELECT CAST(zone AS INT) AS line, id AS seq, x, y FROM raw), seg AS (SELECT * FROM (SELECT line, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ver WINDOW w AS (PARTITION BY line ORDER BY seq)) WHERE x1 IS NOT NULL), len AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS length FROM seg), st AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d0 FROM len)"
@@ -461,8 +461,6 @@ STACK = "bed AS (SELECT CAST((o_orderkey % 10000) // 100 AS INT) AS row, CAST(o_
 def bed_stack_check(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     flat, rank = k % 10000, F.floor(k / 10000).cast("int")
-    from orogen.plans.geometry import table
-
     beds = table(spark, sf_dir, "orders").select(F.floor(flat / 100).cast("int").alias("row"), (flat % 100).cast("int").alias("col"), rank.alias("rank"), F.when(c % 11 != 0, (100 - rank * 10 + c % 7).cast("double")).alias("top"), F.when(c % 13 != 0, (100 - rank * 10 - c % 5).cast("double")).alias("bottom"))
     return section.stack_codes(beds)
 
