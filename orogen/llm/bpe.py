@@ -130,12 +130,12 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``id``, ``piece`` (bytes) and ``special`` of a byte-level vocabulary, as large as the vocabulary."""
+    """``id`` and ``piece`` (bytes) of a byte-level vocabulary, as large as the vocabulary."""
     tokenizer = load_tokenizer(path)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as themselves
     rest = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     rows = [(i, p.encode() if p in added else bytes(byte[c] for c in p)) for p, i in tokenizer.get_vocab(with_added_tokens=True).items()]
     return spark.createDataFrame(rows, "id int, piece binary")
 
@@ -176,7 +176,7 @@ def _chunk_words(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tupl
 def packed(docs: DataFrame, chars: int) -> DataFrame:
     """chunk and payload: a chunk's documents (doc_id, text), compressed in pieces of some megabytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, ids, held, size = zstandard.ZstdCompressor(level=6), [], [], 0
+        squeeze, ids, held, size = zstandard.ZstdCompressor(level=9), [], [], 0
 
         def flush(number: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([squeeze.compress(pickle.dumps((ids, held)))], pa.binary())], ["chunk", "payload"])
@@ -205,8 +205,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 3
        distinct words with the chunks that hold each. A group takes ``group_chunks`` chunks (some
        100 GB), so no row's list outgrows that.
     2. Each distinct word is encoded once, by the tokenizers library.
-    3. Its ids are exploded and joined to the vocabulary's pieces (as large as the vocabulary,
-       so broadcast); the pieces in order are the decoded word.
+    3. Its ids are joined to the vocabulary's pieces, which are broadcast (a table as large as
+       the vocabulary), and the pieces in order are the decoded word.
     4. Both go back to the chunks, packed, where the documents' words look them up by position.
 
     Documents keep their input split and travel once, compressed. A null text counts as empty;
@@ -216,50 +216,49 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 3
     path = path or default_tokenizer()
     spark = docs.sparkSession
     docs = texts(docs)
+    table = pieces(spark, path).orderBy("id").toPandas()
+    by_id = [b""] * (int(table["id"].max()) + 1)
+    for i, piece in zip(table["id"], table["piece"], strict=True):
+        by_id[i] = bytes(piece)
+    vocabulary = spark.sparkContext.broadcast(by_id)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, found in _chunk_words(batches, chunk_chars):
-            found = list(found)
+            found = sorted(found)
             for at in range(0, len(found), 50_000):
                 words = pa.array(found[at : at + 50_000], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), words], ["chunk", "word"])
 
-    @F.pandas_udf("array<int>")
-    def encoded(word: pd.Series) -> pd.Series:
-        return pd.Series([e.ids for e in encoder(path).tokenizer.encode_batch_fast(word.tolist(), add_special_tokens=False)])
-
     by_word = (
         docs.mapInArrow(words_of, "chunk long, word string")
         .withColumn("part", F.expr(f"shiftright(chunk, 24) div {group_chunks}"))
         .repartition("word", "part")
         .groupBy("word", "part")
         .agg(F.collect_list("chunk").alias("chunks"))
-        .withColumn("ids", encoded("word"))
-    )
-    table = (
-        by_word.select("word", "part", "chunks", "ids", F.posexplode("ids").alias("pos", "id"))
-        .join(F.broadcast(pieces(spark, path)), "id")
-        .groupBy("word", "part")
-        .agg(F.first("chunks").alias("chunks"), F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("got"))
-        .select("word", "chunks", "ids", F.expr("unhex(array_join(transform(got, x -> hex(x.piece)), ''))").alias("decoded"))
     )
 
     def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a task packed by chunk, so that they travel compressed."""
-        squeeze, held, size = zstandard.ZstdCompressor(level=3), [], 0
+        """Encode a task's words, join their ids to pieces, and pack the rows by chunk, so that they travel compressed."""
+        own, squeeze = encoder(path), zstandard.ZstdCompressor(level=9)
+        piece = pa.array(vocabulary.value, pa.large_binary())
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            lists = table["chunks"].combine_chunks()
-            chunk, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            words, ids, decoded = table["word"].to_pylist(), table["ids"].to_pylist(), table["decoded"].to_pylist()
-            shown = [",".join(map(str, i)) + "," for i in ids]
+            rows = pa.Table.from_batches(held).sort_by("word")
+            words, lists = rows["word"].to_pylist(), rows["chunks"].combine_chunks()
+            chunk, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ids = [array(own.code, e.ids) for e in own.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ends = np.cumsum([0, *map(len, ids)])
+            got = piece.take(pa.array(np.concatenate([np.frombuffer(i, own.type) for i in ids])))
+            at = np.frombuffer(got.buffers()[1], np.int64)[ends]
+            text = got.buffers()[2].to_pybytes()
+            decoded = [text[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             order = np.argsort(chunk, kind="stable")
             edges = np.flatnonzero(np.diff(chunk[order], prepend=-1))
             blobs = []
             for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
-                at = row[order[a:b]].tolist()
-                blobs.append(squeeze.compress(pickle.dumps(([words[k] for k in at], [shown[k] for k in at], [decoded[k] for k in at]))))
+                mine = row[order[a:b]].tolist()
+                blobs.append(squeeze.compress(_columns([words[k].encode() for k in mine], [ids[k].tobytes() for k in mine], [decoded[k] for k in mine])))
             return pa.RecordBatch.from_arrays([pa.array(chunk[order[edges]]), pa.array(blobs, pa.binary())], ["chunk", "blob"])
 
         for batch in batches:
@@ -273,10 +272,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 3
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_words": [], "n_bytes": []}
+        wide = "<u4" if len(vocabulary.value) > 65_536 else "<u2"
         shown, plain = {}, {}
         for blob in right["blob"]:
-            words, ids, decoded = pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_py()))
-            shown.update(zip(words, ids, strict=True))
+            words, ids, decoded = _parts(zstandard.ZstdDecompressor().decompress(blob.as_py()))
+            words = [w.decode() for w in words]
+            shown.update(zip(words, [",".join(map(str, np.frombuffer(i, wide).tolist())) + "," for i in ids], strict=True))
             plain.update(zip(words, decoded, strict=True))
         for payload in left["payload"]:
             for i, t in unpacked(payload.as_py()):
@@ -291,11 +292,24 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 3
                 rows["n_bytes"].append(len(decoded))
         return pa.table(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_words", pa.int64()), ("n_bytes", pa.int64())]))
 
-    back = table.mapInArrow(by_chunk, "chunk long, blob binary")
+    back = by_word.select("word", "chunks").mapInArrow(by_chunk, "chunk long, blob binary")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long, n_bytes long"
     return packed(docs, chunk_chars).groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(joined, out)
 
 
+def _columns(*columns: list[bytes]) -> bytes:
+    """Lists of byte strings, each as lengths and one run of bytes."""
+    return pickle.dumps([(np.array(list(map(len, c)), "<u4").tobytes(), b"".join(c)) for c in columns])
+
+
+def _parts(blob: bytes) -> list[list[bytes]]:
+    out = []
+    for lengths, run in pickle.loads(blob):
+        ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64).tolist()
+        out.append([run[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    return out
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array<int>) of every document, words encoded once per worker while cached."""
     path = path or default_tokenizer()
