@@ -56,7 +56,7 @@ class Shingler:
 # ----- which documents may link at all -----------------------------------------------------
 
 
-def shingled(docs: DataFrame, chunk_chars: int = 32_000_000) -> DataFrame:
+def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_shingles, and for documents that may link ``digest`` and ``hashes`` of the set.
 
     A document that links has at most a quarter of its shingles to itself. Chunks of documents
@@ -207,21 +207,23 @@ def _sets(frame: pd.DataFrame) -> list[np.ndarray]:
 # ----- the join -----------------------------------------------------------------------------
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """node and component: sets that share a prefix shingle, directly or through others.
+def families(may: DataFrame, classes: DataFrame) -> DataFrame:
+    """node (a doc_id) and component: documents whose sets are equal or share a prefix shingle, directly or through others.
 
     Sets that link share one of the least ``n - ceil(3n / 4) + 1`` hashes of each, so no link
-    leaves a family. A shingle ties its sets to the least of them.
+    leaves a family. A shingle ties its documents to the least of them.
     """
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for node, h in zip(frame["node"], _sets(frame), strict=True):
+            for node, h in zip(frame["doc_id"], _sets(frame), strict=True):
                 own = h[: len(h) // 4 + 1]
                 yield pd.DataFrame({"h": own.view(np.int64), "node": node})
 
-    rows = classes.select("node", "hashes").mapInPandas(prefixes, "h long, node long")
+    rows = may.select("doc_id", "hashes").mapInPandas(prefixes, "h long, node long")
     least = rows.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("h", "m")
-    return components(rows.join(least, "h").select(F.col("node").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+    tied = rows.join(least, "h").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    equal = may.select("digest", F.col("doc_id").alias("a")).join(classes, "digest").select("a", F.col("node").alias("b"))
+    return components(tied.union(equal))
 
 
 def link(docs: DataFrame, small: int = 1024, block: int = 512) -> DataFrame:
@@ -242,12 +244,14 @@ def link(docs: DataFrame, small: int = 1024, block: int = 512) -> DataFrame:
     """
     rows = stored(shingled(docs), "shingled")
     may = rows.where("digest is not null")
-    classes = stored(may.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("hashes").alias("hashes")), "classes")
-    found = stored(families(classes), "families")
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    members = stored(classes.join(found, "node").join(sizes, "component").select("node", "component", "members", "hashes"), "members")
+    classes = stored(may.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    found = families(may, classes).join(classes.select("node").distinct(), "node")
+    found = stored(found.join(found.groupBy("component").agg(F.count("*").alias("members")).where("members > 1"), "component"), "families")
+    counts = found.agg(F.count_if(F.col("members") <= small).alias("many"), F.count_if(F.col("members") > small).alias("large")).first()
+    # Of equal sets only the class's document goes on.
+    members = stored(may.join(found, F.col("doc_id") == F.col("node")).join(classes.withColumnRenamed("node", "first"), "digest").where("first = doc_id").select("node", "component", "members", "hashes"), "members")
     many = members.where(F.col("members") <= small)
-    blocks = max(256, -(-many.count() // 1000))
+    blocks = max(256, -(-counts["many"] // 1000))
 
     def alone(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -260,7 +264,7 @@ def link(docs: DataFrame, small: int = 1024, block: int = 512) -> DataFrame:
     tied = many.withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks))).groupBy("block").applyInPandas(lambda f: alone(f), "a long, b long")
     tied = stored(tied.where("a <> b"), "tied")
     large = members.where(F.col("members") > small)
-    if large.isEmpty():
+    if not counts["large"]:
         labels = tied.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
     else:
         labels = tied.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(_large(large, block))
