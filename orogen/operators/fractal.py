@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.operators.raster import COL, ROW
+from orogen.operators.raster import along_col, along_row
 
 
 def box_counts(mask: DataFrame, ny: int, nx: int) -> DataFrame:
@@ -40,7 +40,7 @@ def dimension_map(cells: DataFrame, radius: int, max_lag: int = 4, least: int =
     """
     diffs = []
     for h in range(1, max_lag + 1):
-        for w in (ROW, COL):
+        for w in (along_row(), along_col()):
             d = F.lead("z", h).over(w) - F.col("z")
             diffs.append((h, d))
     base = cells.select("row", "col", *[(d * d).alias(f"d{i}") for i, (_, d) in enumerate(diffs)])
@@ -48,7 +48,7 @@ def dimension_map(cells: DataFrame, radius: int, max_lag: int = 4, least: int =
         (F.coalesce(F.col(f"d{2 * h - 2}"), F.lit(0.0)) + F.coalesce(F.col(f"d{2 * h - 1}"), F.lit(0.0))).alias(f"s{h}"),
         (F.col(f"d{2 * h - 2}").isNotNull().cast("int") + F.col(f"d{2 * h - 1}").isNotNull().cast("int")).alias(f"n{h}"))])
     names = [f"{p}{h}" for h in range(1, max_lag + 1) for p in "sn"]
-    for w in (ROW, COL):
+    for w in (along_row(), along_col()):
         both = both.select("row", "col", *[F.sum(c).over(w.rowsBetween(-radius, radius)).alias(c) for c in names])
     long = both.select("row", "col", F.explode(F.array(*[F.struct(F.lit(float(h)).alias("h"), F.col(f"s{h}").alias("s"), F.col(f"n{h}").cast("long").alias("n")) for h in range(1, max_lag + 1)])).alias("v")).select("row", "col", "v.*").where((F.col("n") >= least) & (F.col("s") > 0))
     fit = long.groupBy("row", "col").agg(F.regr_slope(F.log(F.col("s") / (2 * F.col("n"))), F.log("h")).alias("slope"), F.count("*").alias("k")).where("k >= 2")
@@ -63,7 +63,7 @@ def detrended_variance(cells: DataFrame, radius: int) -> DataFrame:
     x, y, z = F.col("col").cast("double"), F.col("row").cast("double"), F.col("z")
     terms = {"k": F.lit(1.0), "x": x, "y": y, "z": z, "xx": x * x, "yy": y * y, "xy": x * y, "xz": x * z, "yz": y * z, "zz": z * z}
     s = cells.select("row", "col", *[F.when(z.isNotNull(), e).alias(f"s_{n}") for n, e in terms.items()])
-    for w in (ROW, COL):
+    for w in (along_row(), along_col()):
         s = s.select("row", "col", *[F.sum(f"s_{n}").over(w.rowsBetween(-radius, radius)).alias(f"s_{n}") for n in terms])
     c = lambda n: F.col(f"s_{n}")
     cov = lambda a, b, ab: c(ab) - c(a) * c(b) / c("k")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from orogen.functions.loops import checkpointed
 
-ROW = Window.partitionBy("row").orderBy("col")
-COL = Window.partitionBy("col").orderBy("row")
 #: Neighbours as (name, row step, column step), clockwise from east.
 NEIGHBOURS = [("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1)]
 
 
+def along_row() -> WindowSpec:
+    return Window.partitionBy("row").orderBy("col")
+
+
+def along_col() -> WindowSpec:
+    return Window.partitionBy("col").orderBy("row")
+
+
 def frame(cells: DataFrame) -> tuple[int, int]:
     """Rows and columns of the frame."""
     top = cells.agg(F.max("row"), F.max("col")).first()
@@ -31,11 +37,11 @@ def stencil(cells: DataFrame, ny: int, nx: int, replicate: bool = False) -> Data
     Off the frame a neighbour is null, or with ``replicate`` the edge's own value. A corner is a
     neighbour's neighbour, so two windows do: one along rows and one along columns.
     """
-    west = F.when(F.col("col") == 0, F.col("z") if replicate else F.lit(None)).otherwise(F.lag("z").over(ROW))
-    east = F.when(F.col("col") == nx - 1, F.col("z") if replicate else F.lit(None)).otherwise(F.lead("z").over(ROW))
+    west = F.when(F.col("col") == 0, F.col("z") if replicate else F.lit(None)).otherwise(F.lag("z").over(along_row()))
+    east = F.when(F.col("col") == nx - 1, F.col("z") if replicate else F.lit(None)).otherwise(F.lead("z").over(along_row()))
     wide = cells.withColumn("w", west).withColumn("e", east)
-    up = lambda c: F.when(F.col("row") == 0, F.col(c) if replicate else F.lit(None)).otherwise(F.lag(c).over(COL))
-    down = lambda c: F.when(F.col("row") == ny - 1, F.col(c) if replicate else F.lit(None)).otherwise(F.lead(c).over(COL))
+    up = lambda c: F.when(F.col("row") == 0, F.col(c) if replicate else F.lit(None)).otherwise(F.lag(c).over(along_col()))
+    down = lambda c: F.when(F.col("row") == ny - 1, F.col(c) if replicate else F.lit(None)).otherwise(F.lead(c).over(along_col()))
     return wide.select("*", up("w").alias("nw"), up("z").alias("n"), up("e").alias("ne"), down("w").alias("sw"), down("z").alias("s"), down("e").alias("se"))
 
 
@@ -82,8 +88,8 @@ def profile_curvature(cells: DataFrame, ny: int, nx: int, cell: float) -> DataFr
 def window_range(cells: DataFrame, radius: int) -> DataFrame:
     """Cells with the highest and lowest z of the square window of ``radius`` cells, axis by axis."""
     along = lambda w: w.rowsBetween(-radius, radius)
-    part = cells.withColumn("h", F.max("z").over(along(ROW))).withColumn("l", F.min("z").over(along(ROW)))
-    return part.select("row", "col", "z", F.max("h").over(along(COL)).alias("high"), F.min("l").over(along(COL)).alias("low"))
+    part = cells.withColumn("h", F.max("z").over(along(along_row()))).withColumn("l", F.min("z").over(along(along_row())))
+    return part.select("row", "col", "z", F.max("h").over(along(along_col())).alias("high"), F.min("l").over(along(along_col())).alias("low"))
 
 
 def peaks(cells: DataFrame, radius: int, least_drop: float) -> DataFrame:
@@ -166,7 +172,7 @@ def smooth_clamped(cells: DataFrame, ny: int, nx: int, limit: float, rounds: int
     """``rounds`` of (4 own + neighbours) / (4 + their number), each held within ``limit`` of the first height; nulls neither change nor spread."""
     now = cells.select("row", "col", "z", F.col("z").alias("z0"))
     for k in range(rounds):
-        s = now.withColumn("w", F.lag("z").over(ROW)).withColumn("e", F.lead("z").over(ROW)).withColumn("n", F.lag("z").over(COL)).withColumn("s", F.lead("z").over(COL))
+        s = now.withColumn("w", F.lag("z").over(along_row())).withColumn("e", F.lead("z").over(along_row())).withColumn("n", F.lag("z").over(along_col())).withColumn("s", F.lead("z").over(along_col()))
         around = [F.col(c) for c in "wens"]
         total = sum((F.coalesce(c, F.lit(0.0)) for c in around), 4 * F.col("z"))
         count = sum((c.isNotNull().cast("int") for c in around), F.lit(4))
