@@ -64,8 +64,8 @@ def variogram_experimental(spark, sf_dir):
 
 
 @query(with_("raw", "pts", PAIRS, "two AS (SELECT dx, dy, 0.5 * d * d AS g FROM pairs UNION ALL SELECT -dx, -dy, 0.5 * d * d FROM pairs)",
-             "b AS (SELECT CAST(round_even(dx / (reach / 15), 0) AS INT) AS ix, CAST(round_even(dy / (reach / 15), 0) AS INT) AS iy, count(*) AS npairs, avg(g) AS gamma FROM two, bounds GROUP BY 1, 2)")
-       + "SELECT ix, iy, npairs, CASE WHEN ix = 0 AND iy = 0 THEN 0.0 ELSE round(gamma, 2) + 0.0 END AS gamma FROM b WHERE abs(ix) <= 15 AND abs(iy) <= 15 AND npairs >= 5")
+             "b AS (SELECT CAST(round_even(dx / (reach / 15), 0) AS INT) AS ix, CAST(round_even(dy / (reach / 15), 0) AS INT) AS iy, count(g) AS npairs, avg(g) AS gamma FROM (SELECT * FROM two UNION ALL SELECT 0, 0, NULL), bounds GROUP BY 1, 2)")
+       + "SELECT ix, iy, npairs, CASE WHEN ix = 0 AND iy = 0 THEN 0.0 ELSE round(gamma, 2) + 0.0 END AS gamma FROM b WHERE abs(ix) <= 15 AND abs(iy) <= 15 AND (npairs >= 5 OR (ix = 0 AND iy = 0))")
 def variogram_map(spark, sf_dir):
     return rnd(variogram.surface(pts(spark, sf_dir)), 2, "gamma")
 
