@@ -46,3 +46,8 @@ def chars_of(docs: DataFrame) -> tuple[int, int]:
     """Rows and characters of a table of texts, by one aggregate."""
     row = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
     return int(row["n"]), int(row["c"])
+
+
+def drawn(labels: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` labelled rows, one a doc_id, drawn by a hash of the doc_id and so the same each time."""
+    return labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import stored
+from orogen.llm.common import drawn, stored
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -135,8 +135,10 @@ def _tail_rate(background: list[tuple[float, float]]) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float = 0.5, sure: float = 3.5, effect: float = 3.5, vocabulary: int = 50_000, drift: float = 0.2) -> Model:
-    """Learn from the labelled rows that aren't held out, all of them.
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float = 0.5, sure: float = 3.5, effect: float = 3.5, vocabulary: int = 50_000, drift: float = 0.2, sample: int = 30_000) -> Model:
+    """Learn from the labelled rows that aren't held out: ``sample`` of them at most, drawn by a hash of the doc_id.
+
+    The sample's labels are broadcast, under half a megabyte, so that no text is shuffled.
 
     Words and word beginnings are counted by class in Spark. A feature scores its log-odds, drawn a
     standard error to 0, if these are ``sure`` errors from 0 and at least ``effect`` afterwards; the
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float
     classes the model scores every text the same.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(known, "doc_id").select("text", "toxic")
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(drawn(known, sample)), "doc_id").select("text", "toxic")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows(words: dict[int, Counter]) -> pd.DataFrame:
