@@ -30,17 +30,18 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         if len(words) < self.size:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)], np.uint64)
+            return np.frombuffer(xxhash.xxh3_64_digest(b" ".join(words), 1), ">u8").astype(np.uint64)
         kept = self.kept
         if len(kept) > self.limit:
             kept.clear()
         try:
-            one = np.array([kept[w] for w in words], np.uint64)
+            run = b"".join([kept[w] for w in words])
         except KeyError:
             for w in words:
                 if w not in kept:
-                    kept[w] = xxhash.xxh3_64_intdigest(w)
-            one = np.array([kept[w] for w in words], np.uint64)
+                    kept[w] = xxhash.xxh3_64_digest(w)
+            run = b"".join([kept[w] for w in words])
+        one = np.frombuffer(run, ">u8").astype(np.uint64)
         n = len(one) - self.size + 1
         mix = one[:n].copy()
         for k in range(1, self.size):
@@ -60,19 +61,17 @@ def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_shingles, and for documents that may link ``digest`` and ``hashes`` of the set.
 
     A document that links has at most a quarter of its shingles to itself. Chunks of documents
-    send the distinct shingles of half the hash space, packed by range, to where each range
-    meets; those seen in two chunks go back to the chunks that hold them. Each chunk then counts, for
-    every document, the shingles that another document has (here or elsewhere): documents with too few
-    are out. A common shingle moves once a chunk, however many documents hold it.
+    send their distinct shingles, packed by range, to where each range meets; those seen in two chunks
+    go back to the chunks that hold them, with how many do. Each chunk then counts, for every document,
+    the shingles that another document has (here or elsewhere): documents with too few are out. A common
+    shingle moves once a chunk, however many documents hold it. ``hashes`` begin with the set's
+    prefix, its ``n // 4 + 1`` first shingles by number of chunks and hash, rare ones first.
     """
     docs = texts(docs)
     _, chars = chars_of(docs)
     bits = max(8, int(np.ceil(np.log2(max(2, chars / 3_000_000)))))
     low = np.uint64((1 << (48 - bits)) - 1)
 
-    def half(h: np.ndarray) -> np.ndarray:
-        return h[: np.searchsorted(h, np.uint64(1 << 63))] >> np.uint64(16)
-
     def pack(a: np.ndarray) -> bytes:
         return np.ascontiguousarray((a & low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
@@ -92,7 +91,7 @@ def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(np.full(len(edges), number)), pa.array(values, pa.binary())], ["bucket", "chunk", "values"])
 
         for number, last, _, t in _texts_by_chunk(batches, chunk_chars):
-            parts.append(half(shingle(t)))
+            parts.append(shingle(t) >> np.uint64(16))
             if last:
                 yield flush(number)
                 parts = []
@@ -102,37 +101,51 @@ def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
     def met(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(b) for b in frame["values"]]
         every = np.sort(np.concatenate(parts))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        got = [p[np.isin(p, twice, assume_unique=True)] for p in parts]
-        return frame.assign(values=[pack(g) for g in got])[[len(g) > 0 for g in got]]
+        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        counts = np.diff(np.append(starts, len(every)))
+        twice, counts = every[starts[counts > 1]], np.minimum(counts[counts > 1], 65_535).astype("<u2")
+        values, held = [], []
+        for p in parts:
+            at = np.searchsorted(twice, p)
+            at[at == len(twice)] = 0
+            hit = twice[at] == p if len(twice) else np.zeros(len(p), bool)
+            values.append(pack(p[hit]))
+            held.append(counts[at[hit]].tobytes())
+        return frame[["bucket", "chunk"]].assign(values=values, held=held)[[len(v) > 0 for v in values]]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary())])
 
     def judged(left: pa.Table, right: pa.Table) -> pa.Table:
         far = [unpack(v) | np.uint64(b << (48 - bits)) for b, v in zip(right["bucket"].to_pylist(), right["values"].to_pylist(), strict=True)]
-        far = np.sort(np.concatenate(far)) if far else np.zeros(0, np.uint64)
-        shingle, near, rows = Shingler(), [np.zeros(0, np.uint64)], {"doc_id": [], "n_shingles": [], "digest": [], "hashes": []}
-        for payload in left["payload"]:
-            parts = [half(shingle(t)) for _, t in unpacked(payload.as_py())]
-            near.append(np.concatenate(parts))
-        near = np.sort(np.concatenate(near))
-        shared = np.union1d(near[1:][near[1:] == near[:-1]], far)
-        del near, far
+        far = np.concatenate(far) if far else np.zeros(0, np.uint64)
+        held = np.frombuffer(b"".join(right["held"].to_pylist()), "<u2").astype(np.int64)
+        order = np.argsort(far)
+        far, held = far[order], held[order]
+        shingle, rows = Shingler(), {"doc_id": [], "n_shingles": [], "digest": [], "hashes": []}
+        ids, sets = [], []
         for payload in left["payload"]:
             for i, t in unpacked(payload.as_py()):
-                full = shingle(t)
-                own = half(full)
-                at = np.searchsorted(shared, own)
-                at[at == len(shared)] = 0
-                here = int((shared[at] == own).sum()) if len(shared) else 0
-                may = len(full) > 0 and i is not None and here >= len(own) - len(full) // 4
-                rows["doc_id"].append(i)
-                rows["n_shingles"].append(len(full))
-                rows["digest"].append(xxhash.xxh3_128_digest(full.tobytes()) if may else None)
-                rows["hashes"].append(full.tobytes() if may else None)
+                ids.append(i)
+                sets.append(shingle(t))
+        near = np.sort(np.concatenate(sets) >> np.uint64(16)) if sets else far
+        near = near[1:][near[1:] == near[:-1]]
+        for i, full in zip(ids, sets, strict=True):
+            own = full >> np.uint64(16)
+            at, by = np.searchsorted(far, own), np.searchsorted(near, own)
+            at[at == len(far)] = 0
+            by[by == len(near)] = 0
+            abroad = far[at] == own if len(far) else np.zeros(len(own), bool)
+            here = near[by] == own if len(near) else np.zeros(len(own), bool)
+            may = len(full) > 0 and i is not None and int((abroad | here).sum()) >= len(full) - len(full) // 4
+            rows["doc_id"].append(i)
+            rows["n_shingles"].append(len(full))
+            rows["digest"].append(xxhash.xxh3_128_digest(full.tobytes()) if may else None)
+            if may:
+                full = full[np.lexsort((full, np.where(abroad, held[at], 1)))] if len(far) else full
+            rows["hashes"].append(full.tobytes() if may else None)
         return pa.table(rows, schema=schema)
 
-    back = docs.mapInArrow(sent, "bucket long, chunk long, values binary").groupBy("bucket").applyInPandas(lambda f: met(f), "bucket long, chunk long, values binary")
+    back = docs.mapInArrow(sent, "bucket long, chunk long, values binary").groupBy("bucket").applyInPandas(lambda f: met(f), "bucket long, chunk long, values binary, held binary")
     return packed(docs, chunk_chars).groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(judged, "doc_id long, n_shingles long, digest binary, hashes binary")
 
 
@@ -201,7 +214,7 @@ def joined(sets: list[np.ndarray], group: np.ndarray, asks: np.ndarray | None =
 
 
 def _sets(frame: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint64) for b in frame["hashes"]]
+    return [np.sort(np.frombuffer(b, np.uint64)) for b in frame["hashes"]]
 
 
 # ----- the join -----------------------------------------------------------------------------
@@ -210,14 +223,15 @@ def _sets(frame: pd.DataFrame) -> list[np.ndarray]:
 def families(may: DataFrame, classes: DataFrame) -> DataFrame:
     """node (a doc_id) and component: documents whose sets are equal or share a prefix shingle, directly or through others.
 
-    Sets that link share one of the least ``n - ceil(3n / 4) + 1`` hashes of each, so no link
-    leaves a family. A shingle ties its documents to the least of them.
+    Sets that link share one of the first ``n - ceil(3n / 4) + 1`` shingles of each in any one
+    order of all shingles, so no link leaves a family. A shingle ties its documents to the least of them.
     """
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for node, h in zip(frame["doc_id"], _sets(frame), strict=True):
-                own = h[: len(h) // 4 + 1]
-                yield pd.DataFrame({"h": own.view(np.int64), "node": node})
+            if not len(frame):
+                continue
+            own = [np.frombuffer(b, np.int64)[: len(b) // 32 + 1] for b in frame["hashes"]]
+            yield pd.DataFrame({"h": np.concatenate(own), "node": np.repeat(frame["doc_id"].to_numpy(), list(map(len, own)))})
 
     rows = may.select("doc_id", "hashes").mapInPandas(prefixes, "h long, node long")
     least = rows.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("h", "m")
