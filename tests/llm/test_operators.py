@@ -134,12 +134,12 @@ def test_best_fit_keeps_every_capacity(rule):
 
 
 def test_segments_are_the_maximal_ones():
-    def brute(values):  # Ruzzo and Tompa's definition, by recursion on the best segment
+    def brute(values):  # the definition: the best segment, the shortest of equals, then the same on either side
         if not len(values) or max(values) <= 0:
             return []
         sums = np.concatenate(([0], np.cumsum(values)))
-        best = max(((sums[b] - sums[a], -a, -b) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), key=lambda t: (round(t[0], 9), t[1], t[2]))
-        a, b = -best[1], -best[2]
+        best = max(((sums[b] - sums[a], a - b, -a) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), key=lambda t: (round(t[0], 9), t[1], t[2]))
+        a, b = -best[2], -best[2] - best[1]
         return [*brute(values[:a]), (a, b, best[0]), *[(x + b, y + b, s) for x, y, s in brute(values[b:])]]
 
     rng = random.Random(2)
