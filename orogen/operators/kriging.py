@@ -101,18 +101,20 @@ def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, m
     """id, estimate, variance and n_near of targets (id, x, y); both null with fewer than ``least`` neighbours."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            near = [[] if r is None else r for r in frame["near"]]
-            size = np.array([len(r) for r in near])
+            near = [frame[c].to_numpy() for c in ("nx", "ny", "nv")]
+            size = np.array([0 if r is None else len(r) for r in near[0]])
             estimate, variance = np.full(len(frame), np.nan), np.full(len(frame), np.nan)
             tx, ty = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
             for n in np.unique(size[size >= max(least, 1)]):
                 at = np.flatnonzero(size == n)
                 for part in np.array_split(at, max(1, len(at) * n * n // 2_000_000)):
-                    x, y, v = (np.array([[s[c] for s in near[i]] for i in part], float) for c in "xyv")
+                    x, y, v = (np.stack(column[part]) for column in near)
                     estimate[part], variance[part] = solve(tx[part], ty[part], x, y, v, model, mean, block, grid)
             yield pd.DataFrame({"id": frame["id"], "estimate": estimate, "variance": variance, "n_near": size})
 
-    got = neighbours(targets, samples, radius, most, exclude).mapInPandas(run, "id long, estimate double, variance double, n_near int")
+    found = neighbours(targets, samples, radius, most, exclude)
+    found = found.select("id", "x", "y", *[F.col(f"near.{c}").alias(f"n{c}") for c in "xyv"])
+    got = found.mapInPandas(run, "id long, estimate double, variance double, n_near int")
     return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("estimate", "variance")})
 
 
