@@ -131,22 +131,29 @@ class Field:
     node: dict[str, list[float]] = field(default_factory=dict)
     skip: float = 4.0
     chain: float = 0.0
-    rounds: int = 20
 
     def labels(self, units: list[Unit]) -> np.ndarray:
         """The likeliest label of each unit (0: none), by loopy sum-product message passing.
 
-        Skip edges join each occurrence of a key to the next one, near or far; chain edges join
-        neighbours at most 40 characters apart. Base spans are observed.
+        Skip edges join each occurrence of a key to the next one, near or far, and to the key's first
+        base span of each kind; chain edges join neighbours at most 40 characters apart. Base spans are
+        observed. Messages pass until they settle: they cross an edge a round, so the bound of four
+        rounds an edge only ends what would swing for ever.
         """
         n, m = len(units), len(KINDS) + 1
         node = np.array([self.node.get(u.shape, [0.0] + [-3.0] * len(KINDS)) for u in units])
         for i, u in enumerate(units):
             if u.label is not None:
-                node[i] = -60.0
+                node[i] = -np.inf
                 node[i, u.label + 1] = 0.0
         edges, last = [], {}
+        seen: dict[str, dict[int, int]] = {}
         for i, u in enumerate(units):
+            if u.label is not None:
+                seen.setdefault(u.key, {}).setdefault(u.label, i)
+        for i, u in enumerate(units):
+            if u.label is None:
+                edges += [(k, i, self.skip) for k in seen.get(u.key, {}).values() if k != last.get(u.key)]
             if u.key in last:
                 edges.append((last[u.key], i, self.skip))
             elif i and u.start - units[i - 1].end <= 40 and self.chain:
@@ -159,7 +166,7 @@ class Field:
         back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
         gain = np.exp(np.concatenate((bonus, bonus)))[:, None] - 1
         messages = np.zeros((len(source), m))
-        for _ in range(self.rounds):
+        for _ in range(max(200, 4 * len(edges))):
             belief = node.copy()
             np.add.at(belief, target, messages)
             out = belief[source] - messages[back]
@@ -186,15 +193,17 @@ class Field:
         return base, {k: sorted(v) for k, v in every.items()}
 
 
-def fit(docs: DataFrame, unlabelled: float = 0.5) -> Field:
+def fit(docs: DataFrame, unlabelled: float = 0.5, share: float = 0.001) -> Field:
     """Learn the potentials from all documents, with base spans as labels.
 
     Tasks count units by shape and base label, and pairs of successive units of one key or place
     by whether their base labels agree; Spark adds the counts up, a few hundred rows whatever the
     input. A unit without a base label counts as none with weight ``unlabelled``, since it may be
     an entity that the patterns miss, and doesn't count if it has the key of a base span beside it.
-    Pairs count where both have base labels; those of one key start at 20,000 agreeing to 1, for
-    two different entities hardly ever share seven digits or an address.
+    Node potentials are logs of each label's share of its shape plus ``share``, so they are the same for
+    a table and for many copies of it, and a shape that never has a label stays within log(1 / ``share``) of
+    one. Pairs count where both have base labels and lie apart; those of one key start at 20,000 agreeing
+    to 1, for two different entities hardly ever share seven digits or an address.
     """
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -206,7 +215,7 @@ def fit(docs: DataFrame, unlabelled: float = 0.5) -> Field:
                 for before, u in zip([None, *units], units, strict=False):
                     if u.label is not None or u.key not in sure:
                         total["node", u.shape, -1 if u.label is None else u.label] += 1
-                    if u.key in last and None not in (u.label, last[u.key].label):
+                    if u.key in last and None not in (u.label, last[u.key].label) and u.start >= last[u.key].end:
                         total["skip", "", int(u.label == last[u.key].label)] += 1
                     elif before and u.start - before.end <= 40 and None not in (u.label, before.label):
                         total["chain", "", int(u.label == before.label)] += 1
@@ -221,7 +230,7 @@ def fit(docs: DataFrame, unlabelled: float = 0.5) -> Field:
             counts.setdefault(r["shape"], [0.0] * (len(KINDS) + 1))[r["label"] + 1] += r["n"] * (unlabelled if r["label"] < 0 else 1.0)
         else:
             pair[r["what"]][r["label"]] += r["n"]
-    node = {s: [math.log(c + (0.5 if k == 0 else 0.05)) for k, c in enumerate(row)] for s, row in counts.items()}
+    node = {s: [math.log(c / sum(row) + share) for c in row] for s, row in counts.items()}
     bonus = {k: min(12.0, max(0.0, math.log(same / other))) for k, (other, same) in pair.items()}
     return Field(node, skip=bonus["skip"], chain=min(0.5, bonus["chain"]))
 

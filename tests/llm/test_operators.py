@@ -214,6 +214,25 @@ def test_pii_field_adds_what_repeats(spark, docs, empty):
     assert pii.redact(docs, pii.fit(docs)).columns == docs.columns
 
 
+@pytest.mark.parametrize("unrelated", [0, 5000])
+def test_pii_repeats_are_found_at_any_size(spark, unrelated):
+    rows = [(k, "call +1 (743) 555-3824" + " then some words 743 555 3824" * k, "x", 1) for k in (1, 2, 5, 50)]
+    rows += [(1000 + k, " ".join(f"and {200 + n // 1000} {n % 1000:03} {n * 7 % 10000:04}," for n in range(k * 100, k * 100 + 100)), "x", 1) for k in range(unrelated // 100)]
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    model = pii.fit(frame)
+    got = {r["doc_id"]: r["n_added"] for r in pii.find(frame, model).collect()}
+    assert {i: n for i, n in got.items() if n} == {1: 1, 2: 2, 5: 5, 50: 50}
+    if unrelated:
+        again = pii.fit(frame.union(frame).union(frame))
+        assert again.node["n10"] == pytest.approx(model.node["n10"])
+
+
+def test_pii_messages_pass_until_they_settle():
+    model = pii.Field({"a": [0.0, 0.0, -9, -9, -9.0], "b": [0.0, 3.0, -9, -9, -9.0]}, skip=9.0)
+    units = [pii.Unit(100 * k, 100 * k + 9, "k", "b" if k == 60 else "a") for k in range(61)]
+    assert model.labels(units).tolist() == [1] * 61
+
+
 def test_messages_agree_with_enumeration():
     model = pii.Field({"a": [0.0, -0.5, -3, -3, -3.0], "b": [0.2, 0.0, -3, -3, -3.0]}, skip=1.0, chain=0.3)
     units = [pii.Unit(0, 5, "k", "a", 0), pii.Unit(10, 15, "m", "b"), pii.Unit(60, 65, "k", "a"), pii.Unit(70, 75, "k", "b")]
