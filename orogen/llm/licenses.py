@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -11,9 +12,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orogen.llm.license_texts import TEXTS
+
 _WORD = re.compile(r"[^\W_]+")
 
-#: Notices of public licenses, as their stewards give them.
+_GPL_TAIL = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} General Public License for more details. You should have received a copy of the GNU {0} General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+_GPL_HEAD = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_MIT_TAIL = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+#: Notices and whole texts of public licenses, as their stewards give them.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -25,7 +34,22 @@ TEMPLATES = {
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC whole": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-Clause": f"{_BSD} {_BSD_TAIL}",
+    "BSD-3-Clause": f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_TAIL}",
+    "GPL-3.0 whole header": f"{_GPL_HEAD} {_GPL_TAIL}".format("", "3"),
+    "GPL-2.0 header": _GPL_HEAD.format("", "2"),
+    "GPL-2.0 whole header": f"{_GPL_HEAD} {_GPL_TAIL}".format("", "2"),
+    "LGPL-3.0 header": f"{_GPL_HEAD} {_GPL_TAIL}".format("Lesser", "3"),
+    "LGPL-2.1 header": f"{_GPL_HEAD} {_GPL_TAIL}".format("Lesser", "2.1"),
+    "AGPL-3.0 header": f"{_GPL_HEAD} {_GPL_TAIL}".format("Affero", "3"),
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    **TEXTS,
 }
+TEMPLATES["MIT whole"] = f"{TEMPLATES['MIT']} {_MIT_TAIL}"
+#: Words without which a window of prose isn't a notice of a few words.
+NAMING = frozenset("mit apache gnu creative cc nc sharealike mozilla".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -75,35 +99,81 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def windows(text: list[str], template: list[str], need: int) -> list[tuple[int, int, int]]:
+    """(bound, first word, word after the last): windows of a template's length, or half as much again, that hold at least ``need`` of its words in any order, by falling bound.
+
+    Windows begin at a word of the template; those that begin within a sixteenth of the template's length are one.
+    """
+    n, hop = len(template), len(template) // 16
+    best: dict[tuple[int, int], int] = {}
+    for size in (n, n + n // 2):
+        left, held = Counter(template), 0
+        for end in range(len(text) + size):
+            if end < len(text) and (w := text[end]) in left:
+                held += left[w] > 0
+                left[w] -= 1
+            start = end - size + 1
+            if start > 0 and (w := text[start - 1]) in left:
+                left[w] += 1
+                held -= left[w] > 0
+            if held >= need and 0 <= start < len(text) and text[start] in left:
+                key = (size, start // (hop + 1))
+                best[key] = max(best.get(key, 0), held)
+    found = []
+    for (size, k), bound in best.items():
+        a = k * (hop + 1)
+        found.append((min(n, bound + hop), a, min(len(text), a + hop + size)))
+    return sorted(found, key=lambda w: (-w[0], w[1], w[2]))
+
+
 def scan_text(text: str, templates: dict[str, list[str]], least: float, share: float = 0.6) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, first line, line after the last), best place of each template that reaches ``least``.
 
     Places are runs of lines of whose words at least ``share`` occur in the template, blank lines
-    among them, and each of those lines by itself.
+    among them, each of those lines by itself, and ``windows`` of the whole text regardless of lines; a window
+    of a template under 20 words counts if it has the template's words in ``NAMING``.
     """
-    lines = [words_of(line) for line in text.split("\n")]
-    every = {w for t in templates.values() for w in t}
-    likely = [k for k, line in enumerate(lines) if line and sum([w in every for w in line]) >= share * len(line)]
-    if not likely:
-        return []
-    out = []
+    flat = words_of(text)
+    here = set(flat)
+    counts = None
+    out, lines, line_of = [], [], []
     for name, template in templates.items():
-        known = set(template)
+        need, known = max(1, math.ceil(least * len(template) - 1e-9)), set(template)
+        # Each word that the text lacks, or lacks copies of, is a word of the template that no place matches.
+        if len(flat) < need or len(template) - len(known - here) < need:
+            continue
+        counts = counts or Counter(flat)
+        if sum(min(k, counts[w]) for w, k in Counter(template).items()) < need:
+            continue
+        if not lines:
+            lines = [words_of(line) for line in text.split("\n")]
+            line_of = [k for k, line in enumerate(lines) for _ in line]
         runs: list[list[int]] = []
-        for k in likely:
-            if sum([w in known for w in lines[k]]) < share * len(lines[k]):
+        for k, line in enumerate(lines):
+            if not line or sum([w in known for w in line]) < share * len(line):
                 continue
             if runs and all(not lines[x] for x in range(runs[-1][1], k)):
                 runs[-1][1] = k + 1
             else:
                 runs.append([k, k + 1])
         best = None
+
+        def better(matched: int, x: int, y: int):
+            return (matched, x, y) if best is None or (matched, -x, x - y) > (best[0], -best[1], best[1] - best[2]) else best
+
         for a, b in runs:
             for x, y in {(a, b), *((k, k + 1) for k in range(a, b) if lines[k])}:
-                matched = len(align([w for line in lines[x:y] for w in line], template))
-                if best is None or (matched, -x, x - y) > (best[0], -best[1], best[1] - best[2]):
-                    best = (matched, x, y)
-        if best and best[0] >= least * len(template):
+                best = better(len(align([w for line in lines[x:y] for w in line], template)), x, y)
+        naming = known & NAMING if len(template) < 20 else set()
+        top = 0
+        for bound, a, b in windows(flat, template, need):
+            if bound <= top:
+                break
+            pairs = align(flat[a:b], template)
+            if len(pairs) > top and naming <= {template[j] for _, j in pairs}:
+                top = len(pairs)
+                best = better(top, line_of[a + pairs[0][0]], line_of[a + pairs[-1][0]] + 1)
+        if best and best[0] >= need:
             out.append((name, best[0] / len(template), *best))
     return out
 

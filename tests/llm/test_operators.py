@@ -258,6 +258,21 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_inside_long_lines():
+    own = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
+    rng = random.Random(4)
+    scan = lambda text: {h[0]: h for h in licenses.scan_text(text, own, 0.75)}
+    got = scan(f"first line\n{prose(rng, 15)} Released under the MIT License. {prose(rng, 20)}\nlast")
+    assert set(got) == {"MIT notice"} and got["MIT notice"][1:] == (1.0, 5, 1, 2)
+    assert not scan("the film was released under the name of an old license to its public") and not scan(prose(rng, 300))
+    head = licenses.TEMPLATES["GPL-3.0 header"].split()
+    text = " ".join(head[:20]) + "\nunrelated vendor banner stands between both halves here\n" + " ".join(head[20:])
+    assert scan(text)["GPL-3.0 header"][1:] == (1.0, len(own["GPL-3.0 header"]), 0, 3)
+    for name in ("MIT whole", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "CC0-1.0", "Unlicense", "AGPL-3.0 header"):
+        got = scan(f"{prose(rng, 200)} {licenses.TEMPLATES[name]} {prose(rng, 200)}")
+        assert got[name][1] > 0.98, name
+
+
 def test_alignment_matches_in_order():
     rng = random.Random(3)
     for _ in range(200):
