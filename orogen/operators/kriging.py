@@ -170,21 +170,22 @@ def detrended(samples: DataFrame, trend: dict[str, float]) -> DataFrame:
 def simulate(samples: DataFrame, model: Model, x0: float, y0: float, cell: float, ny: int, nx: int, realisations: int, most: int = 16, window: int = 25, seed: int = 1) -> DataFrame:
     """realisation, row, col, score: sequential gaussian simulation of normal scores ``v`` with mean 0; a realisation is one group.
 
-    Samples are fixed at their nearest node; nodes are visited along a seeded random path, each drawn from simple
-    kriging on the nearest known nodes within ``window`` cells. The samples are frozen into the tasks, so they
-    should be those of one grid.
+    Samples are fixed at their nearest node of the frame (of several, the last by x, y and v); nodes are visited along a seeded random path, each drawn from simple
+    kriging on the nearest known nodes within ``window`` cells. The fixed nodes are frozen into the tasks, so
+    they go through the driver, at most ny * nx of them.
     """
-    data = [(float(r["x"]), float(r["y"]), float(r["v"])) for r in samples.select("x", "y", "v").orderBy("x", "y", "v").collect()]
+    node = lambda c, low, n: F.least(F.greatest(F.rint((F.col(c) - low) / cell), F.lit(0)), F.lit(n - 1)).cast("int")
+    known = samples.where("x is not null and y is not null and v is not null")
+    fixed = known.groupBy(node("y", y0, ny).alias("i"), node("x", x0, nx).alias("j")).agg(F.max(F.struct("x", "y", "v"))["v"].alias("v"))
+    data = [(r["i"], r["j"], float(r["v"])) for r in fixed.collect()]
     runs = samples.sparkSession.range(realisations).select(F.col("id").alias("realisation"))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         r = int(frame["realisation"].iloc[0])
         rng = np.random.default_rng((seed, r))
         z = np.full((ny, nx), np.nan)
-        for x, y, v in data:
-            i, j = int(round((y - y0) / cell)), int(round((x - x0) / cell))
-            if 0 <= i < ny and 0 <= j < nx:
-                z[i, j] = v
+        for i, j, v in data:
+            z[i, j] = v
         for k in rng.permutation(ny * nx).tolist():
             i, j = divmod(k, nx)
             if not np.isnan(z[i, j]):

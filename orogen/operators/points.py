@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,23 +62,58 @@ def declustered_means(samples: DataFrame, weights: DataFrame) -> DataFrame:
     return weights.join(samples.select("id", "v"), "id").groupBy("size").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("mean"))
 
 
-def normal_score(samples: DataFrame, buckets: int = 256) -> DataFrame:
+def normal_score(samples: DataFrame, buckets: int = 256, weight: str | None = None) -> DataFrame:
     """Samples with ``p``, the share (rank + 0.5) / n of values before theirs (ties by id), to be passed to the inverse normal.
 
+    With a column ``weight``, the share of weight before theirs and half their own, kept off 0 and 1 by 1e-6.
+
     Values fall into ``buckets`` ranges of about equal counts; the ranges' totals go through the
     driver, ranks within a range come from a window, so no task ranks all samples.
     """
     edges = sorted(set(samples.approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.5 / buckets)))
     bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
     placed = samples.withColumn("bucket", bucket)
-    totals = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}
+    own = F.col(weight) if weight else F.lit(1)
+    totals = {r["bucket"]: r["total"] for r in placed.groupBy("bucket").agg(F.sum(own).alias("total")).collect()}
     n, before, start = sum(totals.values()), [], 0
     for k in sorted(totals):
         before += [F.lit(k), F.lit(start)]
         start += totals[k]
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy("v", "id")) - 1
+    within = F.sum(own).over(Window.partitionBy("bucket").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)) - own
     first = F.create_map(*before)[F.col("bucket")] if before else F.lit(0)
-    return placed.withColumn("p", (first + within + 0.5) / n).drop("bucket")
+    p = (first + within + 0.5 * own) / n
+    return placed.withColumn("p", F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)) if weight else p).drop("bucket")
+
+
+def inverse_normal(table: DataFrame, p: str, score: str) -> DataFrame:
+    """``table`` with ``score``, the standard normal quantile of ``p``."""
+    @F.pandas_udf("double")
+    def quantile(values: pd.Series) -> pd.Series:
+        return values.map(NormalDist().inv_cdf, na_action="ignore")
+
+    return table.withColumn(score, quantile(F.col(p).cast("double")))
+
+
+def back_transform(table: DataFrame, score: str, scores: DataFrame) -> DataFrame:
+    """``table`` with ``value``, its ``score`` interpolated in ``scores`` (v, score) and held to the range of ``v``.
+
+    Steps between successive scores are joined by bins of the score; a bin's last step ends at
+    the first score of the next bin, so only the bins' firsts are ordered in one task.
+    """
+    known = scores.select("v", F.col("score").alias("s"))
+    b = known.agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n")).first()
+    fine = float(min(10_000, max(100, b["n"] // 100)))
+    bin_of = lambda c: F.floor(c * fine)
+    placed = known.withColumn("bin", bin_of(F.col("s")))
+    firsts = placed.groupBy("bin").agg(F.min(F.struct("s", "v")).alias("first")).withColumn("next", F.lead("first").over(Window.orderBy("bin"))).select("bin", "next")
+    step = F.lead(F.struct("s", "v")).over(Window.partitionBy("bin").orderBy("s", "v"))
+    steps = placed.withColumn("inside", step).join(firsts, "bin").withColumn("to", F.coalesce("inside", "next"))
+    steps = steps.select("s", "v", F.col("to.s").alias("s2"), F.col("to.v").alias("v2")).where("s2 is null or s < s2")
+    steps = steps.withColumn("bin", F.explode(F.sequence(bin_of(F.col("s")), bin_of(F.coalesce("s2", "s")))))
+    held = table.withColumn("y", F.least(F.greatest(F.col(score), F.lit(b["low"])), F.lit(b["high"]))).withColumn("bin", bin_of(F.col("y")))
+    found = held.join(steps, (held["bin"] == steps["bin"]) & (F.col("y") >= F.col("s")) & (F.col("s2").isNull() | (F.col("y") < F.col("s2"))), "left")
+    value = F.coalesce(F.col("v") + (F.col("y") - F.col("s")) / (F.col("s2") - F.col("s")) * (F.col("v2") - F.col("v")), F.col("v"))
+    return found.select(*[F.col(c) for c in table.columns], value.alias("value"))
 
 
 def axial_mean(table: DataFrame, angle: str, weight: str, by: list[str]) -> DataFrame:

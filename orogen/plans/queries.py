@@ -183,9 +183,12 @@ def indicator_kriging(spark, sf_dir):
 
 @query()
 def gaussian_simulation(spark, sf_dir):
-    scored = points.normal_score(pts(spark, sf_dir)).select("x", "y", ((F.col("p") - 0.5) * 3.4).alias("v"))
-    got = kriging.simulate(scored, kriging.Model("spherical", 1.0, 150.0), 0.0, 0.0, 50.0, 20, 20, 4)
-    return got.groupBy("row", "col").agg(F.avg("score").alias("mean"), F.percentile("score", 0.5).alias("median"), F.count("*").alias("n"))
+    samples = pts(spark, sf_dir)
+    weighted = samples.join(points.decluster_sweep(samples, [100.0]).select("id", "weight"), "id")
+    scored = points.inverse_normal(points.normal_score(weighted, weight="weight"), "p", "score").select("x", "y", "v", "score")
+    got = kriging.simulate(scored.select("x", "y", F.col("score").alias("v")), kriging.Model("spherical", 1.0, 150.0), 0.0, 0.0, 50.0, 20, 20, 4)
+    got = points.back_transform(got, "score", scored)
+    return got.groupBy("row", "col").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.count("*").alias("n"))
 
 
 # ----- rasters ------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import heapq
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from orogen.functions import scalar
 from orogen.functions.joins import near_join
 from orogen.operators import density, drill, flow, fractal, kriging, points, raster, section, variogram
+from orogen.plans import geometry, queries
 from orogen.sources import tables
 from orogen.streaming import density as stream
 
@@ -78,6 +80,36 @@ def test_simulation_honours_samples(spark):
     assert got.where("row = 4 and col = 3").select("score").distinct().count() == 1
 
 
+def test_simulation_keeps_samples_beyond_the_edge(spark):
+    known = spark.createDataFrame([(5.8, 2.0, 2.5), (-3.0, 0.0, -0.5)], "x double, y double, v double")
+    got = kriging.simulate(known, kriging.Model("spherical", 1.0, 5.0), 0.0, 0.0, 1.0, 6, 6, 3)
+    fixed = {tuple(r) for r in got.where("row = 2 and col = 5 or row = 0 and col = 0").select("row", "col", "score").distinct().collect()}
+    assert fixed == {(2, 5, 2.5), (0, 0, -0.5)}
+
+
+def test_scores_and_back(spark):
+    rng = np.random.default_rng(8)
+    v, w = np.round(rng.lognormal(0, 1, 400), 2), rng.uniform(0.1, 3, 400)
+    frame = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(v, w, strict=True))], "id long, v double, weight double")
+    scored = points.inverse_normal(points.normal_score(frame, weight="weight"), "p", "score").cache()
+    order = np.argsort(v, kind="stable")
+    share = w[order] / w.sum()
+    want = [NormalDist().inv_cdf(p) for p in np.cumsum(share) - share / 2]
+    got = {r["id"]: r["score"] for r in scored.collect()}
+    assert [got[k] for k in order.tolist()] == pytest.approx(want)
+    ask = np.concatenate((rng.normal(0, 2, 500), [-9.0, 9.0], want))
+    back = points.back_transform(spark.createDataFrame([(k, float(y)) for k, y in enumerate(ask)], "k long, y double"), "y", scored)
+    assert [r["value"] for r in back.orderBy("k").collect()] == pytest.approx(np.interp(ask, want, v[order]).tolist(), abs=1e-6)
+
+
+def test_simulated_values_stay_in_the_data_range(spark):
+    d = "/root/testdata/sf0.001"
+    b = geometry.points(spark, d).agg(F.min("v"), F.max("v")).first()
+    rows = queries.gaussian_simulation(spark, d).collect()
+    assert len(rows) == 400 and all(b[0] <= r["mean"] <= b[1] and r["n"] == 4 for r in rows)
+    assert max(r["mean"] for r in rows) > 100
+
+
 def test_trend_and_detrending(spark, sample):
     plane = sample.withColumn("v", 3 + 0.5 * F.col("x") - 0.25 * F.col("y"))
     left = kriging.detrended(plane, kriging.polynomial_trend(plane, 1))
