@@ -263,7 +263,7 @@ def link(docs: DataFrame, small: int = 1024, block: int = 512) -> DataFrame:
     found = stored(found.join(found.groupBy("component").agg(F.count("*").alias("members")).where("members > 1"), "component"), "families")
     counts = found.agg(F.count_if(F.col("members") <= small).alias("many"), F.count_if(F.col("members") > small).alias("large")).first()
     # Of equal sets only the class's document goes on.
-    members = stored(may.join(found, F.col("doc_id") == F.col("node")).join(classes.withColumnRenamed("node", "first"), "digest").where("first = doc_id").select("node", "component", "members", "hashes"), "members")
+    members = stored(may.join(found, F.col("doc_id") == F.col("node")).join(classes.withColumnRenamed("node", "first"), "digest").where("first = doc_id").select("node", "component", "members", "digest", "hashes").dropDuplicates(["node", "digest"]).drop("digest"), "members")
     many = members.where(F.col("members") <= small)
     blocks = max(256, -(-counts["many"] // 1000))
 
@@ -271,8 +271,8 @@ def link(docs: DataFrame, small: int = 1024, block: int = 512) -> DataFrame:
         out = []
         for _, own in frame.groupby("component", sort=False):
             own = own.sort_values("node", ignore_index=True)
-            group = joined(_sets(own), np.arange(len(own)))
-            out.append(pd.DataFrame({"a": own["node"], "b": own["node"].to_numpy()[group]}))
+            names, same = np.unique(own["node"].to_numpy(), return_inverse=True)
+            out.append(pd.DataFrame({"a": own["node"], "b": names[joined(_sets(own), same)]}))
         return pd.concat(out)
 
     tied = many.withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks))).groupBy("block").applyInPandas(lambda f: alone(f), "a long, b long")
@@ -282,6 +282,7 @@ def link(docs: DataFrame, small: int = 1024, block: int = 512) -> DataFrame:
         labels = tied.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
     else:
         labels = tied.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(_large(large, block))
+    labels = labels.dropDuplicates(["node"])
     named = may.join(classes.select("digest", "node"), "digest").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
     return named.union(rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -295,8 +296,8 @@ def _large(members: DataFrame, block: int) -> DataFrame:
 
     def together(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", ignore_index=True)
-        group = joined(_sets(frame), np.arange(len(frame)))
-        return pd.DataFrame({"a": frame["node"], "b": frame["node"].to_numpy()[group]})
+        names, same = np.unique(frame["node"].to_numpy(), return_inverse=True)
+        return pd.DataFrame({"a": frame["node"], "b": names[joined(_sets(frame), same)]})
 
     first = own.select(cols).union(hub.select(cols)).groupBy("component", "block").applyInPandas(lambda f: together(f), "a long, b long")
     label = stored(components(first).withColumnRenamed("component", "label"), "labels")

@@ -350,6 +350,14 @@ def test_ngram_join(spark, rows, empty, small):
         assert ngram_join.link(empty).count() == 0
 
 
+def test_ngram_join_repeated_rows_stay_as_many(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, two = " ".join(words), " ".join([*words[:-1], "other"])
+    frame = spark.createDataFrame([(1, one, "x", 1), *[(2, two, "x", 1)] * 3], SCHEMA)
+    for small in (1024, 1):
+        assert sorted(tuple(r) for r in ngram_join.link(frame, small=small, block=1).collect()) == [(1, 56, 1), *[(2, 56, 1)] * 3]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
