@@ -12,12 +12,12 @@ import hashlib
 import os
 import pickle
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from orogen.llm.common import texts
 
 #: White space as Unicode has it (White_Space), which byte-level pre-tokenizers split at.
 _OTHER = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_OTHER_ASCII = [c for c in _OTHER if c.isascii()]
 _WS = " \n" + "".join(_OTHER)
 #: What can't follow the space that a key leaves out: nothing, a newline, the mark itself.
 _SPECIAL = ("", "\n", "\1")
@@ -46,7 +47,11 @@ def split_keys(text: str) -> list[str]:
         if "" not in parts and "\n" not in parts:
             parts[0] = "\1" + parts[0]
             return parts
-    return [w[1:] if w[0] == " " and w[1:2] not in _SPECIAL else w if w[0] == "\n" else "\1" + w for w in _WORD.findall(text)]
+    return [key_of(w) for w in _WORD.findall(text)]
+
+
+def key_of(word: str) -> str:
+    return word[1:] if word[0] == " " and word[1:2] not in _SPECIAL else word if word[0] == "\n" else "\1" + word
 
 
 def word_of(key: str) -> str:
@@ -71,20 +76,27 @@ def load_tokenizer(path: str):
 class WordEncoder:
     """Encodes texts by the tokenizers library, each word once while it stays in the cache.
 
-    ``limit`` bounds the cache's words; words over ``longest`` characters are never kept.
+    Words are found and made distinct in Arrow, some megabytes of text at a time, so that Python sees a
+    word once for all its places there. ``limit`` bounds the cache's words; words over ``longest``
+    characters are never kept.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
         self.tokenizer = load_tokenizer(path)
-        self.code = "I" if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536 else "H"
-        self.type = np.dtype("<u4" if self.code == "I" else "<u2")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.type = np.dtype("<u4" if size > 65_536 else "<u2")
         self.limit, self.longest, self.words = limit, longest, {}
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for piece, i in vocabulary.items():  # a byte-level piece has a character for each byte
+            self.bytes_of[i] = len(piece.encode()) if piece in added else len(piece)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text."""
         return next(iter(self.encode_many([text])))
 
-    def encode_many(self, several: Iterable[str], chars: int = 2_000_000) -> Iterator[np.ndarray]:
+    def encode_many(self, several: Iterable[str], chars: int = 8_000_000) -> Iterator[np.ndarray]:
         """The ids of each text; some ``chars`` characters at a time share one call for their new words."""
         held, size = [], 0
         for t in several:
@@ -97,23 +109,82 @@ class WordEncoder:
             yield from self._encode(held)
 
     def _encode(self, several: list[str]) -> list[np.ndarray]:
-        known, split, missing = self.words, [split_keys(t) for t in several], set()
-        for keys in split:
-            missing.update([k for k in keys if k not in known])
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = set().union(*split)
-        missing = list(missing)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([word_of(k) for k in part], add_special_tokens=False)
-            known.update(zip(part, [array(self.code, e.ids).tobytes() for e in found], strict=True))
-        out = [np.frombuffer(b"".join([known[k] for k in keys]), self.type) for keys in split]
-        for k in missing:
-            if len(k) > self.longest:
-                del known[k]
+        odd = [not t or "\1" in t or any(c in t for c in (_OTHER_ASCII if t.isascii() else _OTHER)) for t in several]
+        plain = [i for i, x in enumerate(odd) if not x]
+        out: list = [None] * len(several)
+        if plain:
+            split = pc.split_pattern(pc.replace_substring(pa.array(["\1" + several[i] for i in plain], pa.large_string()), "\n", " \n"), " ")
+            words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()[1:]
+            keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            at = words.indices.to_numpy()
+            bad = [k for k, key in enumerate(keys) if key in ("", "\n", "\1")]
+            if bad:  # runs of white space: these texts go by their words as Python splits them
+                wrong = set(np.searchsorted(ends, np.flatnonzero(np.isin(at, bad)), "right").tolist())
+                for k in wrong:
+                    odd[plain[k]] = True
+                keep = np.ones(len(plain), bool)
+                keep[list(wrong)] = False
+                at = at[np.repeat(keep, np.diff(ends, prepend=0))]
+                ends = np.cumsum(np.diff(ends, prepend=0)[keep])
+                plain = [i for k, i in enumerate(plain) if keep[k]]
+                used, at = np.unique(at, return_inverse=True)
+                keys = [keys[k] for k in used.tolist()]
+            for i, ids in zip(plain, self._placed(keys, at, ends), strict=True):
+                out[i] = ids
+        rest = [i for i, x in enumerate(odd) if x]
+        if rest:
+            split = [split_keys(several[i]) for i in rest]
+            number: dict[str, int] = {}
+            at = np.array([number.setdefault(k, len(number)) for keys in split for k in keys], np.int64)
+            for i, ids in zip(rest, self._placed(list(number), at, np.cumsum(list(map(len, split)))), strict=True):
+                out[i] = ids
         return out
 
+    def _placed(self, keys: list[str], at: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts whose words are ``keys[at]``, up to ``ends`` each."""
+        known = self.words
+        found = list(map(known.get, keys))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            missing = [keys[k] for k in new]
+            if len(known) + len(missing) > self.limit:
+                known.clear()
+            for k, key, ids in zip(new, missing, self.ids_of(missing), strict=True):
+                found[k] = ids
+                if len(key) <= self.longest:
+                    known[key] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))), pa.array(np.frombuffer(b"".join(found), self.type)))
+        flat = lists.take(pa.array(at)).flatten().to_numpy()
+        cuts = np.concatenate(([0], np.cumsum(sizes[at])))[np.concatenate(([0], ends)).astype(np.int64)].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def ids_of(self, keys: list[str], together: int = 2000) -> list[bytes]:
+        """Ids of words, as bytes. Words that begin with white space and end without are encoded ``together`` in one text and told apart by their bytes."""
+        out: dict[int, bytes] = {}
+        alone, runs = [], []
+        for k, key in enumerate(keys):
+            (alone if key[0] == "\1" or key[-1].isspace() else runs).append(k)
+        for at in range(0, len(runs), 40 * together):
+            part = runs[at : at + 40 * together]
+            words = [word_of(keys[k]) for k in part]
+            sizes = pc.binary_length(pa.array(words, pa.large_string())).to_numpy()
+            texts_ = ["".join(words[a : a + together]) for a in range(0, len(words), together)]
+            for j, e in enumerate(self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)):
+                own, ids = part[j * together : (j + 1) * together], np.array(e.ids, np.int64)
+                ends, got = np.cumsum(sizes[j * together : (j + 1) * together]), np.cumsum(self.bytes_of[ids])
+                cut = np.searchsorted(got, ends)
+                if not len(got) or cut[-1] >= len(got) or (got[cut] != ends).any() or got[-1] != ends[-1]:
+                    alone += own
+                    continue
+                blob, cut = ids.astype(self.type).tobytes(), ((cut + 1) * self.type.itemsize).tolist()
+                out.update(zip(own, [blob[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+        for at in range(0, len(alone), 20_000):
+            part = alone[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast([word_of(keys[k]) for k in part], add_special_tokens=False)
+            out.update(zip(part, [np.array(e.ids, self.type).tobytes() for e in found], strict=True))
+        return [out[k] for k in range(len(keys))]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -247,9 +318,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 3
             rows = pa.Table.from_batches(held).sort_by("word")
             words, lists = rows["word"].to_pylist(), rows["chunks"].combine_chunks()
             chunk, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            ids = [array(own.code, e.ids) for e in own.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            ends = np.cumsum([0, *map(len, ids)])
-            got = piece.take(pa.array(np.concatenate([np.frombuffer(i, own.type) for i in ids])))
+            ids = own.ids_of([key_of(w) for w in words])
+            ends = np.cumsum([0, *map(len, ids)]) // own.type.itemsize
+            got = piece.take(pa.array(np.frombuffer(b"".join(ids), own.type)))
             at = np.frombuffer(got.buffers()[1], np.int64)[ends]
             text = got.buffers()[2].to_pybytes()
             decoded = [text[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -258,7 +329,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 3
             blobs = []
             for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
                 mine = row[order[a:b]].tolist()
-                blobs.append(squeeze.compress(_columns([words[k].encode() for k in mine], [ids[k].tobytes() for k in mine], [decoded[k] for k in mine])))
+                blobs.append(squeeze.compress(_columns([words[k].encode() for k in mine], [ids[k] for k in mine], [decoded[k] for k in mine])))
             return pa.RecordBatch.from_arrays([pa.array(chunk[order[edges]]), pa.array(blobs, pa.binary())], ["chunk", "blob"])
 
         for batch in batches:

@@ -6,14 +6,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orogen.llm.bpe import default_tokenizer, encoder
 from orogen.llm.common import chars_of, new_table, texts
 
-SHARD = "part int, shard int, n_docs long, n_ids long, first_rule int, doc_ids binary, lengths binary, rules binary, expansions binary, symbols binary"
+SHARD = "part int, shard int, n_docs long, n_nulls long, n_ids long, first_rule int, doc_ids binary, lengths binary, rules binary, expansions binary, symbols binary"
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
@@ -23,73 +24,92 @@ def _narrow(a: np.ndarray) -> np.ndarray:
 
 
 def _bytes(a: np.ndarray) -> bytes:
-    """A type code and the values, deflated."""
+    """A type code and the values, compressed."""
     a = _narrow(np.asarray(a))
-    return bytes([a.itemsize]) + zlib.compress(a.tobytes(), 1)
+    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
 
 def _array(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b[1:]), f"<u{b[0]}").astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), f"<u{b[0]}").astype(np.int64)
 
 
-def repair(ids: np.ndarray, first_rule: int, rounds: int = 4, least: int = 8, most: int = 15_000) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, live: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Among the pairs at places ``live``, those found at least ``least`` times, most frequent first, ties to the smaller: left and right symbols, and each place with its pair's rank.
+
+    Buckets of a hash of the pair are counted first: only places whose bucket is frequent can hold a frequent pair, and only they are sorted.
+    """
+    left, right = seq[live], seq[live + 1]
+    bucket = ((left * np.uint32(2_654_435_761)) ^ (right * np.uint32(2_246_822_519))) >> np.uint32(11)
+    keep = np.flatnonzero(np.bincount(bucket, minlength=1)[bucket] >= least)
+    at, left, right = live[keep], left[keep], right[keep]
+    bits, wide = np.uint64(symbols.bit_length()), np.uint64(len(seq).bit_length())
+    keys = left.astype(np.uint64) << bits | right
+    if 2 * bits + wide <= 64:  # pair and place sort as one number
+        ordered = np.sort(keys << wide | at.astype(np.uint64))
+        at = (ordered & np.uint64((1 << int(wide)) - 1)).astype(np.int64)
+        ordered >>= wide
+    else:
+        order = np.argsort(keys, kind="stable")
+        ordered, at = keys[order], at[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+    counts = np.diff(np.append(starts, len(ordered)))
+    often = counts >= least
+    found, n = ordered[starts[often]], counts[often]
+    rank = np.argsort(-n, kind="stable")
+    rank_of = np.empty(len(rank), np.int64)
+    rank_of[rank] = np.arange(len(rank))
+    found = found[rank]
+    return (found >> bits).astype(np.int64), (found & np.uint64((1 << int(bits)) - 1)).astype(np.int64), at[np.repeat(often, counts)], np.repeat(rank_of, n)
+
+
+def repair(ids: np.ndarray, first_rule: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair of one shard: (symbols, rules), where rule k makes symbol ``first_rule + k`` of a pair.
 
-    Each round counts every pair of neighbours exactly and replaces, from the left, the most
-    frequent ones (at least ``least`` times, at most ``most / rounds`` pairs, ties to the smaller
-    pair). Within a round a pair is only taken if its right symbol doesn't begin and its left
-    symbol doesn't end a more frequent one, so that replacements never overlap, but for a pair
-    of equal symbols, whose runs are paired from their start. Rounds end when no pair is left.
-    Symbols take two bytes while they fit, and pairs four.
+    Each round counts pairs of neighbours exactly and replaces frequent ones (at least ``least``
+    times) by new symbols, until no pair is that frequent; neither rounds nor rules are bounded. A
+    symbol takes the side that it has in its most frequent pair, ties to the smaller pair, and a round
+    replaces the pairs whose symbols both stand on their sides, so that replacements never overlap;
+    the most frequent pair is always among them. A pair of equal symbols goes when it is the most
+    frequent of its symbol, from the start of each run. Counts of old pairs only fall, so after the
+    first round only places with a new symbol or with a frequent pair left over are counted.
     """
-    narrow = first_rule + most <= 1 << 16
-    symbol, pair, bits = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
-    seq, rules, nxt, per_round = ids.astype(symbol), [], first_rule, most // rounds
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1].astype(pair) << pair(bits) | seq[1:]
-        order = np.sort(keys)
-        starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        counts = np.diff(np.append(starts, len(order)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+    seq, rules, nxt = ids.astype(np.uint32), [], first_rule
+    live = np.arange(max(0, len(seq) - 1))
+    while len(live):
+        left, right, at, pair = _frequent(seq, live, nxt, least)
+        n = len(left)
+        if not n:
             break
-        found, counts = order[starts[often]], counts[often]
-        rank = np.argsort(-counts, kind="stable")
-        lefts, rights, taken = set(), set(), []
-        for key in found[rank].tolist():
-            a, b = key >> bits, key & ((1 << bits) - 1)
-            if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
-                continue
-            lefts.add(a)
-            rights.add(b)
-            taken.append(key)
-            if len(taken) == per_round:
-                break
-        taken = np.array(taken, pair)
-        by_key = np.argsort(taken)
-        # Few places have a left and a right symbol of some pair; only those are looked up.
-        begins, ends = (np.zeros(nxt + 1, bool) for _ in range(2))
-        begins[list(lefts)] = ends[list(rights)] = True
-        at = np.flatnonzero(begins[seq[:-1]] & ends[seq[1:]])
-        where = np.searchsorted(taken[by_key], keys[at])
-        where[where == len(taken)] = 0
-        hit = taken[by_key][where] == keys[at]
-        at, where = at[hit], where[hit]
-        same = np.flatnonzero(seq[at] == seq[at + 1])
-        if len(same):  # runs of a repeated symbol: every other place, from the run's start
-            place = at[same]
+        k = np.arange(n)
+        best = np.full((2, nxt), n)  # each symbol's best rank as left and as right
+        best[0, left[::-1]] = k[::-1]
+        best[1, right[::-1]] = k[::-1]
+        # A symbol whose best pair is of itself alone has two equal ranks, and so no side in other pairs.
+        taken = (best[0, left] < best[1, left]) & (best[1, right] < best[0, right])
+        taken |= (left == right) & (best[0, left] == k) & (best[1, left] == k)
+        number = np.cumsum(taken) - 1
+        waiting = at[~taken[pair]]
+        at, pair = at[taken[pair]], pair[taken[pair]]
+        equal = np.flatnonzero(left[pair] == right[pair])
+        if len(equal):  # runs of a repeated symbol: every other place, from the run's start
+            equal = equal[np.argsort(at[equal])]
+            place = at[equal]
             first = np.concatenate(([True], (np.diff(place) != 1) | (seq[place[1:]] != seq[place[:-1]])))
             begin = np.maximum.accumulate(np.where(first, np.arange(len(place)), 0))
             keep = np.ones(len(at), bool)
-            keep[same[(np.arange(len(place)) - begin) % 2 == 1]] = False
-            at, where = at[keep], where[keep]
-        seq = seq.copy()
-        seq[at] = (nxt + by_key[where]).astype(symbol)
-        seq = np.delete(seq, at + 1)
-        rules.append(np.stack((taken >> pair(bits), taken & pair((1 << bits) - 1)), 1).astype(np.int64))
-        nxt += len(taken)
+            keep[equal[(np.arange(len(place)) - begin) % 2 == 1]] = False
+            at, pair = at[keep], pair[keep]
+        seq[at] = (nxt + number[pair]).astype(np.uint32)
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        place = np.cumsum(stay) - 1
+        seq = seq[stay]
+        touched = np.zeros(len(seq), bool)
+        touched[place[waiting[stay[waiting]]]] = touched[place[at]] = True
+        touched[np.maximum(place[at] - 1, 0)] = True
+        live = np.flatnonzero(touched[:-1])
+        rules.append(np.stack((left[taken], right[taken]), 1))
+        nxt += int(taken.sum())
     return seq.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
@@ -101,7 +121,7 @@ def expansions(rules: np.ndarray, first_rule: int) -> np.ndarray:
     return np.array(size, np.int64)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+def _by_level(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids that symbols stand for, a level of rules at a time."""
     while len(rules):
         is_rule = symbols >= first_rule
@@ -116,6 +136,19 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     return symbols
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for. With the rules' expansion lengths, and where those sum to no more than a few times the symbols, each rule is expanded once and then copied."""
+    if sizes is None or not len(rules) or sizes.sum() > 8 * len(symbols):
+        return _by_level(symbols, rules, first_rule)
+    used = np.flatnonzero(np.bincount(symbols[symbols < first_rule], minlength=1))
+    table = np.concatenate((used, _by_level(np.arange(first_rule, first_rule + len(rules)), rules, first_rule)))
+    row = np.zeros(first_rule + len(rules), np.int64)
+    row[used] = np.arange(len(used))
+    row[first_rule:] = len(used) + np.arange(len(rules))
+    lists = pa.LargeListArray.from_arrays(np.concatenate((np.arange(len(used)), len(used) + np.concatenate(([0], np.cumsum(sizes))))), pa.array(table.astype(np.uint32)))
+    return lists.take(pa.array(row[symbols])).flatten().to_numpy().astype(np.int64)
+
+
 def slice_ids(row, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a shard row without expanding the rest: expansion lengths find the symbols."""
     symbols, size, rules, first = _array(row["symbols"]), _array(row["expansions"]), _array(row["rules"]).reshape(-1, 2), row["first_rule"]
@@ -133,14 +166,16 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, s
     Documents are range-partitioned and sorted by doc_id (then text, for repeated ids; null ids
     first). Each task cuts its documents into shards of at least ``shard_ids`` ids; a shard is one
     row of a Parquet file: its documents' ids and lengths, and a Re-Pair grammar (rules,
-    expansion lengths, symbols). Nulls and empty texts hold ``end_id`` alone.
+    expansion lengths, symbols). Nulls and empty texts hold ``end_id`` alone. Repeated rows are documents of
+    their own; a text longer than a shard is a shard by itself; other columns are not read.
     """
     path = path or default_tokenizer()
+    layout = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in SHARD.split(", ")])
     docs = texts(docs)
     _, chars = chars_of(docs)
     n = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-chars // part_chars))
 
-    def shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own = encoder(path)
@@ -150,11 +185,11 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, s
 
         def shard():
             symbols, rules = repair(np.concatenate(held), first)
-            return pd.DataFrame({"part": [part], "shard": [number], "n_docs": [len(ids)], "n_ids": [size], "first_rule": [first], "doc_ids": [np.array(ids, "<i8").tobytes()], "lengths": [_bytes([len(x) for x in held])], "rules": [_bytes(rules.ravel())], "expansions": [_bytes(expansions(rules, first))], "symbols": [_bytes(symbols)]})
+            return pa.RecordBatch.from_pydict({"part": [part], "shard": [number], "n_docs": [len(ids)], "n_nulls": [sum(i is None for i in ids)], "n_ids": [size], "first_rule": [first], "doc_ids": [np.array([i or 0 for i in ids], "<i8").tobytes()], "lengths": [_bytes([len(x) for x in held])], "rules": [_bytes(rules.ravel())], "expansions": [_bytes(expansions(rules, first))], "symbols": [_bytes(symbols)]}, layout)
 
-        for frame in frames:
-            for i, found in zip(frame["doc_id"], own.encode_many(frame["text"]), strict=True):
-                ids.append(np.iinfo("<i8").min if pd.isna(i) else int(i))
+        for batch in batches:
+            for i, found in zip(batch.column("doc_id").to_pylist(), own.encode_many(batch.column("text").to_pylist()), strict=True):
+                ids.append(i)
                 held.append(np.concatenate((found, end)))
                 size += len(held[-1])
                 if size >= shard_ids:
@@ -163,30 +198,31 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, s
         if ids:
             yield shard()
 
-    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(shards, SHARD).write.parquet(out)
+    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.parquet(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document of files by ``write``."""
     rows = spark.read.parquet(path)
-    # Ids before each shard: a running sum in each part, and one over the parts' totals, of which there are as many as write() made tasks.
-    totals = rows.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before = totals.withColumn("before", F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).select("part", "before")
+    # Ids before each shard: running sums within parts, within blocks of a thousand parts, and over the blocks' totals.
+    totals = rows.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("block", F.expr("part div 1000"))
+    blocks = totals.groupBy("block").agg(F.sum("ids").alias("all")).withColumn("ahead", F.sum("all").over(Window.orderBy("block")) - F.col("all"))
+    before = totals.withColumn("inside", F.sum("ids").over(Window.partitionBy("block").orderBy("part")) - F.col("ids")).join(blocks, "block").select("part", (F.col("ahead") + F.col("inside")).alias("before"))
     within = Window.partitionBy("part").orderBy("shard")
     placed = rows.select("part", "shard", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("inside")).join(before, "part")
     starts = placed.select("part", "shard", (F.col("before") + F.col("inside")).alias("first"))
 
-    def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                ids = expand(_array(row["symbols"]), _array(row["rules"]).reshape(-1, 2), row["first_rule"]).astype("<u4")
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = expand(_array(row["symbols"]), _array(row["rules"]).reshape(-1, 2), row["first_rule"], _array(row["expansions"])).astype("<u4")
                 lengths = _array(row["lengths"])
                 ends = np.cumsum(lengths)
-                names = np.frombuffer(row["doc_ids"], "<i8")
+                names = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.arange(row["n_docs"]) < row["n_nulls"])
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(names, "Int64").copy() if (names != np.iinfo("<i8").min).all() else pd.array([None if x == np.iinfo("<i8").min else int(x) for x in names], "Int64"), "start": row["first"] + ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
+                yield pa.RecordBatch.from_arrays([names, pa.array(row["first"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.join(starts, ["part", "shard"]).mapInPandas(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["part", "shard"]).mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

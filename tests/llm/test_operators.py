@@ -62,6 +62,9 @@ def test_word_splits_never_change_tokens(encoded):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert "".join(bpe.split_words(text)) == text
         assert own.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    for _ in range(100):
+        several = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 30))]
+        assert [i.tolist() for i in own.encode_many(several, chars=40)] == [t.encode(x, add_special_tokens=False).ids for x in several]
 
 
 def test_encode_decode(docs, rows, encoded, empty):
@@ -103,6 +106,33 @@ def test_repair_round_trip_and_slices():
             assert (token_files.slice_ids(row, a, b) == ids[a:b]).all()
 
 
+def test_repair_ends_when_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    copies = np.concatenate([np.tile(rng.integers(0, 5000, 400), 50), rng.integers(0, 30, 4000), np.zeros(3000, np.int64)])
+    symbols, rules = token_files.repair(copies, 50_257)
+    pairs = defaultdict(int)
+    last = None
+    for k, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):  # runs count every other place
+        if pair[0] == pair[1] and last == (k - 1, pair):
+            last = None
+            continue
+        last = (k, pair)
+        pairs[pair] += 1
+    assert max(pairs.values()) < 4 and len(symbols) < len(copies) / 5
+    size = token_files.expansions(rules, 50_257)
+    assert size.max() >= 400
+    for sizes in (None, size):
+        assert (token_files.expand(symbols, rules, 50_257, sizes) == copies).all()
+
+
+def test_token_files_keep_every_doc_id(spark):
+    least = -(2**63)
+    frame = spark.createDataFrame([(least, "a b", "x", 1), (None, "c", "x", 1), (2**63 - 1, None, "x", 1)], SCHEMA)
+    got = token_files.round_trip(frame).collect()
+    assert {r["doc_id"] for r in got} == {least, None, 2**63 - 1}
+    assert {r["doc_id"]: r["start"] for r in got}[None] == 0 and {r["doc_id"]: r["n_tokens"] for r in got}[2**63 - 1] == 1
+
+
 def test_packing(docs, rows, encoded, empty):
     _, ids = encoded
     got = packing.pack(docs, block=16).toPandas()
