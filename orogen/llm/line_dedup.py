@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orogen.llm.common import SPACES
+from orogen.llm.common import SPACES, fresh
 
 #: Bits of a keep bitmap's word that are used; the sign bit stays free.
 BITS = 60
+#: A word of a bitmap whose lines all stay.
+FULL = (1 << BITS) - 1
 
 
 def line_key(line: Column) -> Column:
@@ -24,74 +26,97 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """A document's key: rows that repeat a doc_id with another text stay apart."""
-    return F.xxhash64(doc_id, text)
+def wide_hash(*columns: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of differing seeds, 128 bits together, so that equal hashes mean equal values at any table size."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """r1 and r2, a document's key (rows that repeat a doc_id with another text stay apart), with doc_id and text."""
+    r1, r2 = wide_hash(F.col("doc_id"), F.col("text"))
+    return docs.select(r1.alias("r1"), r2.alias("r2"), "doc_id", "text")
 
 
 def key_hashes(docs: DataFrame) -> DataFrame:
-    """row, doc_id and the hashes of the keys of a document's lines in order; 0 where a key is empty."""
-    keys = F.transform(lines_of(F.col("text")), line_key)
-    hashes = F.transform(keys, lambda k: F.when(k == "", F.lit(0).cast("long")).otherwise(F.xxhash64(k)))
-    return docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", hashes.alias("hashes"))
+    """r1, r2, doc_id and ``keys``: position and hashes (h1, h2) of each line of a document whose key isn't empty, in order."""
+    found = F.transform(F.transform(lines_of(F.col("text")), line_key), lambda k, i: F.struct(i.alias("pos"), *(h.alias(n) for h, n in zip(wide_hash(k), ("h1", "h2"), strict=True)), (k == "").alias("blank")))
+    keys = F.filter(found, lambda k: ~k["blank"])
+    return row_key(docs).select("r1", "r2", "doc_id", keys.alias("keys"))
 
 
-def keep_bitmaps(docs: DataFrame, least_docs: int = 10, first_stays: bool = False, partitions: int | None = None) -> DataFrame:
-    """row and a compressed bitmap of the lines to drop, for documents that lose any.
-
-    A line is dropped if its key stands in at least ``least_docs`` documents; with
-    ``first_stays`` its first occurrence (least doc_id, then position) stays. Only hashes move.
-    A document's distinct hashes are range-partitioned by hash, document and position and
-    sorted so in each partition; a hash with many rows spans partitions. Each partition reduces its
-    stream to one row for a hash (documents, first occurrence), so the exchange that brings a
-    hash together gets a row for each hash and partition, however often a line occurs. The join
-    that takes the frequent hashes back to their lines is one whose large partitions Spark splits.
-
-    The bitmap is sparse: ``words`` maps a word's number to its ``BITS`` bits, position
-    ``BITS * word + bit``; words without a bit are left out.
+def occurrences(docs: DataFrame) -> DataFrame:
+    """h1, h2, pos, r1, r2 and doc_id, a row for each line whose key isn't empty."""
+    return key_hashes(docs).select("r1", "r2", "doc_id", F.explode("keys").alias("k")).select("k.h1", "k.h2", "k.pos", "r1", "r2", "doc_id")
+
+
+def streamed(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """h1, h2, n_docs and first (doc_id, pos, r1, r2) of every key.
+
+    Occurrences are range-partitioned by hash and a slot of the document, and sorted by hash, slot,
+    document and position. A key's documents fall into as many slots as there are partitions, so one
+    that stands in a third of all lines spans many ranges; any other lies in one. The stream of each key
+    and slot tells first occurrences by the row before: an occurrence begins a document if the row before
+    has another doc_id, and begins the slot if there is none. What is left of a range is a row for each of its keys,
+    which the exchange that brings a key's ranges together sums up. Rows of one doc_id are one document; a
+    null doc_id counts as one too.
     """
-    hashes = key_hashes(docs)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = (
-        hashes.select("row", "doc_id", F.explode(F.array_distinct("hashes")).alias("hash"), "hashes")
-        .where("hash <> 0")
-        .select("hash", "doc_id", (F.array_position("hashes", F.col("hash")) - 1).cast("int").alias("pos"), "row")
-        .repartitionByRange(n, "hash", "doc_id", "pos")
-        .sortWithinPartitions("hash", "doc_id", "pos")
+    stream = Window.partitionBy("h1", "h2", "slot").orderBy("doc_id", "pos", "r1", "r2")
+    before = F.lag(F.struct("doc_id")).over(stream)
+    return (
+        occurrences(docs)
+        .withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+        .repartitionByRange(n, "h1", "slot")
+        .withColumn("before", before)
+        .select("h1", "h2", F.struct("doc_id", "pos", "r1", "r2").alias("here"), F.col("before").isNull().alias("begins"), (~F.struct("doc_id").eqNullSafe(F.col("before"))).alias("new_doc"))
+        .groupBy("h1", "h2")
+        .agg(F.count_if("new_doc").alias("n_docs"), F.min(F.when(F.col("begins"), F.col("here"))).alias("first"))
     )
-    often = once.groupBy("hash").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "pos", "row")).alias("first")).where(F.col("n_docs") >= least_docs)
-    dropped = hashes.select("row", F.posexplode("hashes").alias("pos", "hash")).where("hash <> 0").join(often, "hash")
+
+
+def keep_bitmaps(docs: DataFrame, least_docs: int = 10, first_stays: bool = False, partitions: int | None = None) -> DataFrame:
+    """r1, r2 and a compressed bitmap of the lines that stay, for documents that lose any.
+
+    A line is dropped if its key stands in at least ``least_docs`` documents (``streamed``); with
+    ``first_stays`` its first occurrence (least doc_id, then position) stays. Only hashes move. The
+    join that takes the frequent keys back to their lines is one whose large partitions Spark splits.
+
+    The bitmap is compressed: ``words`` maps a word's number to its ``BITS`` bits, position
+    ``BITS * word + bit``; words whose lines all stay are left out.
+    """
+    often = streamed(docs, partitions).where(F.col("n_docs") >= least_docs)
+    dropped = occurrences(docs).join(often, ["h1", "h2"])
     if first_stays:
-        dropped = dropped.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
+        dropped = dropped.where((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2")) | (F.col("pos") != F.col("first.pos")))
     word = (F.col("pos") / BITS).cast("long").alias("word")
-    bits = F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {BITS} as int))")).alias("bits")
-    return dropped.groupBy("row", word).agg(bits).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {BITS} as int))")).bitwiseXOR(F.lit(FULL)).alias("bits")
+    return dropped.groupBy("r1", "r2", word).agg(bits).groupBy("r1", "r2").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def dropped_at(pos: Column, words: Column) -> Column:
-    """Whether a bitmap marks a position."""
-    word = F.coalesce(F.try_element_at(words, F.floor(pos / BITS)), F.lit(0).cast("long"))
-    return F.coalesce(F.call_function("getbit", word, (pos % BITS).cast("int")) == 1, F.lit(False))
+def kept_at(pos: Column, words: Column) -> Column:
+    """Whether a bitmap keeps a position."""
+    word = F.coalesce(F.try_element_at(words, F.floor(pos / BITS)), F.lit(FULL))
+    return F.call_function("getbit", word, (pos % BITS).cast("int")) == 1
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``kept`` (the lines that stay, joined by newlines), ``n_lines`` and ``n_dropped``."""
-    marked = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(bitmaps.select(F.col("row").alias("_row"), F.col("words").alias("_words")), "_row", "left")
-    kept = F.filter(F.col("_lines"), lambda x, i: ~dropped_at(i, F.col("_words")))
-    out = marked.withColumn("_lines", lines_of(F.col("text"))).withColumn("_kept", F.when(F.col("_words").isNull(), F.col("_lines")).otherwise(kept))
-    return (
-        out.withColumn("kept", F.array_join("_kept", "\n"))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-        .drop("_row", "_words", "_lines", "_kept")
-    )
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the lines that stay, joined by newlines, and the numbers of lines before and dropped, under ``names``."""
+    r1, r2, words, lines, left = fresh(docs, "r1", "r2", "words", "lines", "left")
+    h1, h2 = wide_hash(F.col("doc_id"), F.col("text"))
+    marked = docs.withColumns({r1: h1, r2: h2}).join(bitmaps.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("words").alias(words)), [r1, r2], "left")
+    stay = F.filter(F.col(lines), lambda x, i: kept_at(i, F.col(words)))
+    out = marked.withColumn(lines, lines_of(F.col("text"))).withColumn(left, F.when(F.col(words).isNull(), F.col(lines)).otherwise(stay))
+    kept, n_lines, n_dropped = names
+    made = {kept: F.array_join(left, "\n"), n_lines: F.size(lines).cast("long"), n_dropped: (F.size(lines) - F.size(left)).cast("long")}
+    return out.select(*[c for c in docs.columns if c not in names], *[v.alias(k) for k, v in made.items()])
 
 
-def dedup(docs: DataFrame, least_docs: int = 10, first_stays: bool = False) -> DataFrame:
-    """``docs`` with ``kept``, ``n_lines`` and ``n_dropped``.
+def dedup(docs: DataFrame, least_docs: int = 10, first_stays: bool = False, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the text that stays, the number of its lines before, and how many are dropped, as columns ``names``.
 
     Text is split at newlines; null or empty text is one empty line. Empty keys are never
-    dropped. Rows that repeat count as documents of their own. Columns named ``kept``,
-    ``n_lines`` or ``n_dropped`` are replaced.
+    dropped. Documents are told apart by doc_id: rows that repeat one count once, and lose the same
+    lines. A text of any length is one array of lines in its row. An empty table stays empty. Other columns stay
+    as they are, whatever their names, but those named as in ``names`` are replaced.
     """
-    return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), least_docs, first_stays))
+    return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), least_docs, first_stays), names)

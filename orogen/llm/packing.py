@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, size: int
     return texts(docs).mapInPandas(run, PIECE)
 
 
-def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Vector best-fit decreasing of one block: (bin, offset) of each item.
 
     A bin has three capacities: tokens, documents and attention cost (the sum of squared
@@ -96,26 +96,33 @@ def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_attention: int,
     return place, offset
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, max_docs: int = 2048, max_attention: int | None = None, block: int = 16_384, rule: str = "norm") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, max_docs: int = 2048, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), block: int = 16_384, rule: str = "norm") -> DataFrame:
     """Pack all documents into sequences of at most ``size`` tokens.
 
     Full pieces are sequences of their own. The rest (one piece a document at most) is dealt at
     random, by a hash, into blocks of about ``block`` pieces, each packed by vector best-fit in a
-    task; a block leaves one sequence part empty or so, which costs about 1 in ``block`` / 2. The
-    default document-count and attention capacities are the loosest that bind nothing beyond
-    tokens; lower ones hold too, unless one piece alone exceeds them. A null or empty text is its
-    end id alone. Repeated rows are packed as documents of their own.
+    task; a block leaves one sequence part empty or so, which costs about 1 in ``block`` / 2.
+
+    ``weights`` are those of tokens, documents and attention cost in the residual norm (or dot
+    product) that picks a sequence; by default all three count alike. ``max_docs`` and ``max_attention`` (default:
+    the square of ``size``) are constraints of their own. Their defaults are the least that any set of
+    pieces within ``size`` tokens keeps, since the fewest sequences are asked for; lower ones hold
+    too, unless one piece alone exceeds them, which raises.
+
+    A null or empty text is its end id alone. Repeated rows are packed as documents of their own; a null
+    doc_id stays null. A text of any length is cut, never shortened. An empty table gives no rows; other columns are not
+    read. Blocks are told by row places in the stored pieces, so that equal rows spread too.
     """
     cut = stored(pieces(docs, path, end_id, size), "pieces")
     max_attention = max_attention or size * size
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
+    spread = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())
     full = cut.where(F.col("length") == size)
     rest = cut.where(F.col("length") < size)
     blocks = max(1, -(-rest.count() // block))
 
-    def packed(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
-        place, offset = best_fit(frame["length"].to_numpy(np.int64), size, max_docs, max_attention, rule=rule)
+        place, offset = best_fit(frame["length"].to_numpy(np.int64), size, max_docs, max_attention, weights, rule)
         return frame.drop(columns="block").assign(sequence_id=(place << 31) + int(key[0]), offset=offset)
 
     out = f"{PIECE}, sequence_id long, offset long"

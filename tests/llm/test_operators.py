@@ -159,10 +159,42 @@ def test_best_fit_keeps_every_capacity(rule):
         own = lengths[place == b]
         assert own.sum() <= 2048 and len(own) <= 5 and (own**2).sum() <= 1_500_000
         assert sorted(offset[place == b].tolist()) == np.sort(np.cumsum([0, *own[np.argsort(offset[place == b])]])[:-1]).tolist()
-    place, _ = packing.best_fit(lengths, 2048, 2048, 2048**2)
+    place, _ = packing.best_fit(lengths, 2048, 2048, 2048**2, rule=rule)
     assert place.max() + 1 <= -(-lengths.sum() // 2048) * 1.02 + 1
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("weights", [(1.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.5, 2.0, 1.0)])
+def test_best_fit_equals_its_definition(rule, weights):
+    """Every item goes to the open bin of the best value among all that hold it in every dimension, ties to the oldest."""
+    def plain(lengths, caps):
+        bins, place = [], {}
+        for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+            need = (lengths[k], 1, lengths[k] ** 2)
+            best = None
+            for b, left in enumerate(bins):
+                if left[0] > 0 and left[1] > 0 and all(x >= y for x, y in zip(left, need, strict=True)):
+                    if rule == "norm":
+                        value = sum(((x - y) * (w / c)) ** 2 for x, y, w, c in zip(left, need, weights, caps, strict=True))
+                    else:
+                        value = -sum(x * (w / c) * (y * (w / c)) for x, y, w, c in zip(left, need, weights, caps, strict=True))
+                    if best is None or value < best[0] - 1e-15:
+                        best = (value, b)
+            if best is None:
+                bins.append(list(caps))
+                best = (0, len(bins) - 1)
+            bins[best[1]] = [x - y for x, y in zip(bins[best[1]], need, strict=True)]
+            place[k] = best[1]
+        return [place[k] for k in range(len(lengths))]
+
+    rng = np.random.default_rng(6)
+    for caps in ((2048, 2048, 2048**2), (2048, 6, 1_500_000)):
+        lengths = rng.integers(1, 1100, 250)
+        assert packing.best_fit(lengths, caps[0], caps[1], caps[2], weights, rule)[0].tolist() == plain(lengths.tolist(), caps)
+    bins = {w: packing.best_fit(np.array([1000, 600, 500, 400, 350, 90, 60, 30, 20, 10] * 4), 1024, 8, 1024**2, w)[0].tolist() for w in ((1.0, 0.0, 0.0), (0.1, 1.0, 1.0))}
+    assert len(set(map(tuple, bins.values()))) == 2  # the weights choose the bins
+
+
 def test_segments_are_the_maximal_ones():
     def brute(values):  # the definition: the best segment, the shortest of equals, then the same on either side
         if not len(values) or max(values) <= 0:
@@ -322,14 +354,16 @@ def test_line_dedup(spark, docs, empty):
     rows.append(rows[0])
     own = spark.createDataFrame(rows, SCHEMA)
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
-    held = defaultdict(int)
+    rows += [(i, "repeated row\nrest", "x", 1) for i in (70, 70, 71, 71, 72, 73, 74, 75, 76, 77)] + [(i, "just enough\nrest", "x", 1) for i in range(80, 90)]
+    own = spark.createDataFrame(rows, SCHEMA)
+    held = defaultdict(set)
     for r in rows:
-        for k in {key(x) for x in (r[1] or "").split("\n")}:
-            held[k] += 1
+        for x in (r[1] or "").split("\n"):
+            held[key(x)].add(r[0])
     want = []
     for r in rows:
         lines = (r[1] or "").split("\n")
-        kept = [x for x in lines if not key(x) or held[key(x)] < 10]
+        kept = [x for x in lines if not key(x) or len(held[key(x)]) < 10]
         want.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
     got = [tuple(r) for r in line_dedup.dedup(own, 10).select("doc_id", "n_lines", "n_dropped", "kept").collect()]
     assert same(got, want)
@@ -339,6 +373,31 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup(docs).count() == docs.count()
 
 
+def test_line_dedup_plan_streams_sorted_ranges(spark, capsys):
+    long = "\n".join(f"line {k}" for k in range(3000))
+    own = spark.createDataFrame([(i, long + f"\nown {i}", "x", 1) for i in range(10)], SCHEMA)
+    line_dedup.streamed(own).explain("formatted")
+    plan = capsys.readouterr().out
+    nodes = re.findall(r"[+]- [* ]*([A-Z][A-Za-z]+)", plan)
+    at = nodes.index("Window")
+    assert "Exchange" not in nodes[nodes.index("Exchange") + 1 : at] and nodes[at + 1] == "Sort" and "Exchange" in nodes[at + 2 : at + 4]
+    assert re.search(r"rangepartitioning\(h1#\d+L? ASC NULLS FIRST, slot#", plan) and not re.search("EvalPython|InPandas|InArrow", plan)
+    got = line_dedup.dedup(own, 10).collect()
+    assert all((r["n_lines"], r["n_dropped"], r["kept"]) == (3001, 3000, f"own {r['doc_id']}") for r in got)
+    stays = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(own, 10, first_stays=True).collect()}
+    assert stays == {0: 0, **{i: 3000 for i in range(1, 10)}}
+    bitmap = line_dedup.keep_bitmaps(own.select("doc_id", "text")).first()["words"]
+    assert bitmap == dict.fromkeys(range(50), 0)  # 3000 lines go; the word of the last line would be full, so it is left out
+
+
+def test_line_dedup_leaves_clashing_columns_alone(spark):
+    names = ["r1", "r2", "words", "lines", "left", "h1", "slot", "before", "_row", "_words", "_kept"]
+    rows = [(i, f"shared\nown {i}", *[f"{c} {i}" for c in names]) for i in range(12)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = line_dedup.dedup(own).collect()
+    assert all(r["kept"] == f"own {r['doc_id']}" and all(r[c] == f"{c} {r['doc_id']}" for c in names) for r in got) and len(got) == 12
+
+
 def brute_components(rows):
     sets = {}
     for i, t, *_ in rows:
