@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.llm import line_dedup, ngram_join, packing, pii, toxicity
-from orogen.llm.common import documents, stored
+from orogen.llm.common import documents, fresh, stored
 from orogen.session import ship
 
 
@@ -34,14 +34,16 @@ def toxic_documents_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def shared_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten or more documents share go everywhere; documents stay, with an empty text if nothing is left."""
     ship(spark)
-    return _with_text(line_dedup.dedup(docs, least_docs=10).withColumn("text", F.col("kept")), docs)
+    names = fresh(docs, "kept", "n_lines", "n_dropped")
+    return _with_text(line_dedup.dedup(docs, least_docs=10, names=names).withColumn("text", F.col(names[0])), docs)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays; a row without a doc_id stays too."""
     ship(spark)
-    linked = ngram_join.link(docs.select("doc_id", "text")).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(linked, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "gone")[0]
+    linked = ngram_join.link(docs.select("doc_id", "text")).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(gone))
+    return docs.join(linked, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
