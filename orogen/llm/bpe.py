@@ -81,7 +81,7 @@ class WordEncoder:
     characters are never kept.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 1_390_000, longest: int = 64):
         self.tokenizer = load_tokenizer(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u4" if size > 65_536 else "<u2")

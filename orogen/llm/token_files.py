@@ -34,32 +34,37 @@ def _array(b: bytes) -> np.ndarray:
 
 
 def _frequent(seq: np.ndarray, live: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Among the pairs at places ``live``, those found at least ``least`` times, most frequent first, ties to the smaller: left and right symbols, and each place with its pair's rank.
-
-    Buckets of a hash of the pair are counted first: only places whose bucket is frequent can hold a frequent pair, and only they are sorted.
-    """
-    left, right = seq[live], seq[live + 1]
-    bucket = ((left * np.uint32(2_654_435_761)) ^ (right * np.uint32(2_246_822_519))) >> np.uint32(11)
-    keep = np.flatnonzero(np.bincount(bucket, minlength=1)[bucket] >= least)
-    at, left, right = live[keep], left[keep], right[keep]
+    """Among the pairs at places ``live``, those found at least ``least`` times, most frequent first, ties to the smaller: left and right symbols, and each place with its pair's rank."""
     bits, wide = np.uint64(symbols.bit_length()), np.uint64(len(seq).bit_length())
-    keys = left.astype(np.uint64) << bits | right
-    if 2 * bits + wide <= 64:  # pair and place sort as one number
-        ordered = np.sort(keys << wide | at.astype(np.uint64))
-        at = (ordered & np.uint64((1 << int(wide)) - 1)).astype(np.int64)
-        ordered >>= wide
+    keys = seq[live].astype(np.uint64)
+    keys <<= bits
+    keys |= seq[live + 1]
+    packed = 2 * int(bits) + int(wide) <= 64  # pair and place sort as one number
+    if packed:
+        keys <<= wide
+        keys |= live.astype(np.uint64)
+        keys.sort()
+        at, keys = keys, keys >> wide
     else:
         order = np.argsort(keys, kind="stable")
-        ordered, at = keys[order], at[order]
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
-    counts = np.diff(np.append(starts, len(ordered)))
-    often = counts >= least
-    found, n = ordered[starts[often]], counts[often]
-    rank = np.argsort(-n, kind="stable")
+        keys, at = keys[order], live[order]
+    # In sorted order, a pair is frequent where the one ``least - 1`` places on is the same.
+    runs = np.flatnonzero(keys[: len(keys) - least + 1] == keys[least - 1 :]) if len(keys) >= least else np.zeros(0, np.int64)
+    found = keys[runs]
+    new = np.ones(len(runs), bool)
+    new[1:] = found[1:] != found[:-1]
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(runs))) + least - 1
+    starts = runs[starts]
+    rank = np.argsort(-counts, kind="stable")
     rank_of = np.empty(len(rank), np.int64)
     rank_of[rank] = np.arange(len(rank))
-    found = found[rank]
-    return (found >> bits).astype(np.int64), (found & np.uint64((1 << int(bits)) - 1)).astype(np.int64), at[np.repeat(often, counts)], np.repeat(rank_of, n)
+    ends = np.cumsum(counts)
+    at = at[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)]
+    if packed:
+        at = (at & np.uint64((1 << int(wide)) - 1)).astype(np.int64)
+    found = keys[starts[rank]]
+    return (found >> bits).astype(np.int64), (found & np.uint64((1 << int(bits)) - 1)).astype(np.int64), at, np.repeat(rank_of, counts)
 
 
 def repair(ids: np.ndarray, first_rule: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
