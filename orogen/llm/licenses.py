@@ -6,7 +6,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,9 +30,10 @@ TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "BSD notice": "Released under the BSD License.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "ISC whole": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "BSD-2-Clause": f"{_BSD} {_BSD_TAIL}",
@@ -48,8 +49,14 @@ TEMPLATES = {
     **TEXTS,
 }
 TEMPLATES["MIT whole"] = f"{TEMPLATES['MIT']} {_MIT_TAIL}"
-#: Words without which a window of prose isn't a notice of a few words.
-NAMING = frozenset("mit apache gnu creative cc nc sharealike mozilla".split())
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _short, _long in _CC.items():
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES[f"CC-{_short}-{_version} mark"] = f"Licensed under CC {_short} {_version}."
+        TEMPLATES[f"CC-{_short}-{_version} notice"] = f"This work is licensed under a Creative Commons {_long} {_version} {_port} License."
+#: Words that tell licenses apart. A template of fewer than ``SHORT`` words only stands where all that it has of them are matched, and its numerals.
+NAMING = frozenset("mit apache bsd gnu lesser affero creative cc by sa nc nd attribution sharealike noncommercial noderivatives mozilla".split())
+SHORT = 20
 
 
 def words_of(text: str) -> list[str]:
@@ -100,95 +107,113 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 def windows(text: list[str], template: list[str], need: int) -> list[tuple[int, int, int]]:
-    """(bound, first word, word after the last): windows of a template's length, or half as much again, that hold at least ``need`` of its words in any order, by falling bound.
+    """(bound, first word, word after the last): windows of a template's length and half as much again that hold at least ``need`` of its words, by falling bound.
 
-    Windows begin at a word of the template; those that begin within a sixteenth of the template's length are one.
+    A window can match no more of the template than the words both have, each as often as the rarer side
+    has it, so no window that reaches ``need`` is left out. Windows begin at every word; those that
+    begin within a sixteenth of the template's length are one, which holds them all.
     """
-    n, hop = len(template), len(template) // 16
-    best: dict[tuple[int, int], int] = {}
-    for size in (n, n + n // 2):
-        left, held = Counter(template), 0
-        for end in range(len(text) + size):
-            if end < len(text) and (w := text[end]) in left:
-                held += left[w] > 0
-                left[w] -= 1
-            start = end - size + 1
-            if start > 0 and (w := text[start - 1]) in left:
-                left[w] += 1
-                held -= left[w] > 0
-            if held >= need and 0 <= start < len(text) and text[start] in left:
-                key = (size, start // (hop + 1))
-                best[key] = max(best.get(key, 0), held)
-    found = []
-    for (size, k), bound in best.items():
-        a = k * (hop + 1)
-        found.append((min(n, bound + hop), a, min(len(text), a + hop + size)))
-    return sorted(found, key=lambda w: (-w[0], w[1], w[2]))
+    n = len(template)
+    hop, size = n // 16 + 1, n + n // 2
+    best: dict[int, int] = {}
+    left, held = Counter(template), 0
+    for end in range(len(text) + size):
+        if end < len(text) and (w := text[end]) in left:
+            held += left[w] > 0
+            left[w] -= 1
+        start = end - size + 1
+        if start > 0 and (w := text[start - 1]) in left:
+            left[w] += 1
+            held -= left[w] > 0
+        if held >= need and start < len(text):
+            k = max(0, start) // hop
+            best[k] = max(best.get(k, 0), held)
+    found = [(min(n, bound + hop - 1), k * hop, min(len(text), k * hop + hop - 1 + size)) for k, bound in best.items()]
+    return sorted(found, key=lambda w: (-w[0], w[1]))
+
+
+def _apart(found: list[tuple], span: Callable[[tuple], tuple[int, int]]) -> list[tuple]:
+    """Of rows in order of preference those that share no more than half of their words with an earlier one that stays."""
+    out: list[tuple] = []
+    for row in found:
+        a, b = span(row)
+        if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for x, y in map(span, out)):
+            out.append(row)
+    return out
+
+
+def places(text: list[str], template: list[str], need: int) -> list[tuple[int, int, int]]:
+    """(matched words, first word, word after the last) of every place where at least ``need`` words of a template align, best first; places share no more than half of their words."""
+    naming = {w for w in template if w in NAMING or w.isdigit()} if len(template) < SHORT else set()
+    found: list[tuple[int, int, int]] = []
+    for bound, a, b in windows(text, template, need):
+        # A window around half of a place that already matches as many words can only show that place again.
+        if any(m >= bound and 2 * (min(b, y) - max(a, x)) >= y - x for m, x, y in found):
+            continue
+        pairs = align(text[a:b], template)
+        if len(pairs) >= need and naming <= {template[j] for _, j in pairs}:
+            found.append((len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1))
+    return _apart(sorted(set(found), key=lambda p: (-p[0], p[2] - p[1], p[1])), lambda p: p[1:])
 
 
-def scan_text(text: str, templates: dict[str, list[str]], least: float, share: float = 0.6) -> list[tuple[str, float, int, int, int]]:
-    """(template, coverage, matched words, first line, line after the last), best place of each template that reaches ``least``.
+def scan_text(text: str, templates: dict[str, list[str]], least: float, index: dict[str, list[tuple[str, int]]] | None = None) -> list[tuple[str, float, int, int, int]]:
+    """(template, coverage, matched words, first line, line after the last) of every place, in order.
 
-    Places are runs of lines of whose words at least ``share`` occur in the template, blank lines
-    among them, each of those lines by itself, and ``windows`` of the whole text regardless of lines; a window
-    of a template under 20 words counts if it has the template's words in ``NAMING``.
+    A place is a window of up to one and a half template lengths of the word sequence, regardless of lines, that aligns with at
+    least ``least`` of the template's words. Where places of several templates share over half of
+    their words, the one that matches most words stays, then the one of the highest coverage: a
+    longer or more exact template wins over those that it contains or nearly equals.
     """
     flat = words_of(text)
-    here = set(flat)
-    counts = None
-    out, lines, line_of = [], [], []
-    for name, template in templates.items():
-        need, known = max(1, math.ceil(least * len(template) - 1e-9)), set(template)
-        # Each word that the text lacks, or lacks copies of, is a word of the template that no place matches.
-        if len(flat) < need or len(template) - len(known - here) < need:
-            continue
-        counts = counts or Counter(flat)
-        if sum(min(k, counts[w]) for w, k in Counter(template).items()) < need:
-            continue
-        if not lines:
-            lines = [words_of(line) for line in text.split("\n")]
-            line_of = [k for k, line in enumerate(lines) for _ in line]
-        runs: list[list[int]] = []
-        for k, line in enumerate(lines):
-            if not line or sum([w in known for w in line]) < share * len(line):
-                continue
-            if runs and all(not lines[x] for x in range(runs[-1][1], k)):
-                runs[-1][1] = k + 1
-            else:
-                runs.append([k, k + 1])
-        best = None
-
-        def better(matched: int, x: int, y: int):
-            return (matched, x, y) if best is None or (matched, -x, x - y) > (best[0], -best[1], best[1] - best[2]) else best
-
-        for a, b in runs:
-            for x, y in {(a, b), *((k, k + 1) for k in range(a, b) if lines[k])}:
-                best = better(len(align([w for line in lines[x:y] for w in line], template)), x, y)
-        naming = known & NAMING if len(template) < 20 else set()
-        top = 0
-        for bound, a, b in windows(flat, template, need):
-            if bound <= top:
-                break
-            pairs = align(flat[a:b], template)
-            if len(pairs) > top and naming <= {template[j] for _, j in pairs}:
-                top = len(pairs)
-                best = better(top, line_of[a + pairs[0][0]], line_of[a + pairs[-1][0]] + 1)
-        if best and best[0] >= need:
-            out.append((name, best[0] / len(template), *best))
-    return out
+    found = []
+    for name in _possible(flat, templates, least, index):
+        template = templates[name]
+        found += [(name, m / len(template), m, a, b) for m, a, b in places(flat, template, _need(template, least))]
+    if not found:
+        return []
+    line_of = [k for k, line in enumerate(text.split("\n")) for _ in words_of(line)]
+    found.sort(key=lambda p: (-p[2], -p[1], p[4] - p[3], p[3], p[0]))
+    best = _apart(found, lambda p: p[3:])
+    return [(name, share, m, line_of[a], line_of[b - 1] + 1) for name, share, m, a, b in sorted(best, key=lambda p: (p[3], p[0]))]
+
+
+def _need(template: list[str], least: float) -> int:
+    return max(1, math.ceil(least * len(template) - 1e-9))
+
+
+def _possible(text: list[str], templates: dict[str, list[str]], least: float, index: dict[str, list[tuple[str, int]]] | None = None) -> list[str]:
+    """Templates of which the text has enough words, each as often as the rarer side has it; an exact bound on what any place can match."""
+    index = index_of(templates) if index is None else index
+    shared = Counter(w for w in text if w in index)
+    held: Counter = Counter()
+    for w, k in shared.items():
+        for name, n in index[w]:
+            held[name] += min(k, n)
+    return [name for name, template in templates.items() if held[name] >= _need(template, least)]
+
+
+def index_of(templates: dict[str, list[str]]) -> dict[str, list[tuple[str, int]]]:
+    """Templates and how often they have it, by word."""
+    index: dict[str, list[tuple[str, int]]] = {}
+    for name, words in templates.items():
+        for w, n in Counter(words).items():
+            index.setdefault(w, []).append((name, n))
+    return index
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:
-    """doc_id, license, coverage, n_matched, first_line and end_line of every template whose words a document's best place covers to ``least``.
+    """doc_id, license, coverage, n_matched, first_line and end_line of every place of a license in every document (``scan_text``).
 
-    Null and empty texts give nothing; repeated rows give repeated results. A row is judged by
+    Null and empty texts give nothing; repeated rows give repeated results; a null doc_id stays null. Texts of any
+    length are read whole. An empty table gives no rows; other columns are not read. A row is judged by
     itself, so nothing is shuffled.
     """
     own = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
+    index = index_of(own)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(i, *hit) for i, t in zip(frame["doc_id"].astype("Int64").tolist(), frame["text"], strict=True) for hit in scan_text(t, own, least)]
+            out = [(i, *hit) for i, t in zip(frame["doc_id"].astype("Int64").tolist(), frame["text"], strict=True) for hit in scan_text(t, own, least, index)]
             frame = pd.DataFrame(out, columns=["doc_id", "license", "coverage", "n_matched", "first_line", "end_line"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64").to_numpy(dtype=object))
 

@@ -24,7 +24,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: A whole token with a digit or an @; tokens without are passed over once.
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _RUN = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9])")
 
 
@@ -71,7 +72,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 @dataclass
 class Unit:
-    """A place that may be an entity. ``label`` is the base kind's number, or None; ``key`` is what repeats of the entity share."""
+    """A place that may be an entity. ``label`` is the base kind's number, or None; ``key`` is what repeats of the entity share, and ``stem`` what similar ones do."""
 
     start: int
     end: int
@@ -79,6 +80,13 @@ class Unit:
     shape: str
     label: int | None = None
 
+    @property
+    def stem(self) -> str:
+        """The last seven digits, a local part without dots and tag, or an address's first three parts."""
+        if self.key[0] == "@":
+            return "@" + self.key[1:].partition("+")[0].replace(".", "")
+        return self.key.rpartition(".")[0] if self.key[0] == "i" else self.key[0] + self.key[1:][-7:]
+
 
 def _describe(text: str) -> tuple[str, str]:
     """(key, shape): the digits but for a country code, or an address's local part; and a class of form."""
@@ -106,12 +114,12 @@ def units_of(text: str, base: dict[str, list[Span]]) -> list[Unit]:
     extra: list[Unit] = []
     for m in _TOKEN.finditer(text):
         token = m[0]
-        if "@" not in token and sum(c.isdigit() for c in token[:64]) < 7:
+        if "@" not in token and len(digits(token)) < 7:
             continue
         body = token.strip(".,;:!?()[]{}<>\"'*#$%&|")
         a = m.start() + token.find(body)
         wanted = ("@" in body[1:-1]) if "@" in body else re.fullmatch(r"\+?[0-9().-]*", body) and 7 <= len(digits(body)) <= 19
-        if body and wanted and len(body) <= 254 and free(a, a + len(body)):
+        if body and wanted and free(a, a + len(body)):
             extra.append(Unit(a, a + len(body), *_describe(body)))
     covered = {(u.start, u.end) for u in extra}
     edges = sorted(covered)
@@ -124,49 +132,78 @@ def units_of(text: str, base: dict[str, list[Span]]) -> list[Unit]:
     return sorted(found + extra, key=lambda u: (u.start, u.end))
 
 
+EDGES = ("skip", "similar", "chain")
+
+
+def edges_of(units: list[Unit]) -> list[tuple[int, int, int]]:
+    """(unit, later or base unit, number in ``EDGES``) of a document's graph.
+
+    Skip edges join each occurrence of a key to the next one, near or far, and every unlabelled one to its
+    key's first base span of each kind. Similar edges join each occurrence of a stem to the next one
+    of another key. Chain edges join neighbours at most 40 characters apart, whatever else joins them.
+    """
+    edges, last, alike = [], {}, {}
+    seen: dict[str, dict[int, int]] = {}
+    for i, u in enumerate(units):
+        if u.label is not None:
+            seen.setdefault(u.key, {}).setdefault(u.label, i)
+    for i, u in enumerate(units):
+        if u.label is None:
+            edges += [(k, i, 0) for k in seen.get(u.key, {}).values() if k != last.get(u.key) and k < i]
+            edges += [(i, k, 0) for k in seen.get(u.key, {}).values() if k > i]
+        if u.key in last and not (last[u.key], i, 0) in edges[-len(KINDS) :]:
+            edges.append((last[u.key], i, 0))
+        stem = u.stem
+        if stem in alike and units[alike[stem]].key != u.key:
+            edges.append((alike[stem], i, 1))
+        if i and u.start - units[i - 1].end <= 40:
+            edges.append((i - 1, i, 2))
+        last[u.key] = alike[stem] = i
+    return list(dict.fromkeys(edges))
+
+
 @dataclass
 class Field:
-    """Potentials: ``node[shape]`` are log-potentials of no entity and of each kind, ``skip`` and ``chain`` the bonus of equal labels."""
+    """Potentials: ``node[shape]`` are log-potentials of no entity and of each kind; ``skip``, ``similar`` and ``chain`` what equal labels at the two ends of an edge add."""
 
     node: dict[str, list[float]] = field(default_factory=dict)
-    skip: float = 4.0
+    skip: float = 9.0
+    similar: float = 4.0
     chain: float = 0.0
 
     def labels(self, units: list[Unit]) -> np.ndarray:
-        """The likeliest label of each unit (0: none), by loopy sum-product message passing.
+        """The likeliest label of each unit (0: none), by loopy sum-product message passing over ``edges_of``.
 
-        Skip edges join each occurrence of a key to the next one, near or far, and to the key's first
-        base span of each kind; chain edges join neighbours at most 40 characters apart. Base spans are
-        observed. Messages pass until they settle: they cross an edge a round, so the bound of four
-        rounds an edge only ends what would swing for ever.
+        Base spans are observed. Edges between the same two units add up. Messages pass, half
+        damped, until they settle: they cross an edge a round, so the bound of four
+        rounds an edge only ends what would swing for ever. An edge moves a label's odds by no more than its weight,
+        so where no unlabelled unit's edges outweigh its node there are no rounds.
         """
         n, m = len(units), len(KINDS) + 1
         node = np.array([self.node.get(u.shape, [0.0] + [-3.0] * len(KINDS)) for u in units])
+        open_ = np.array([u.label is None for u in units])
         for i, u in enumerate(units):
             if u.label is not None:
                 node[i] = -np.inf
                 node[i, u.label + 1] = 0.0
-        edges, last = [], {}
-        seen: dict[str, dict[int, int]] = {}
-        for i, u in enumerate(units):
-            if u.label is not None:
-                seen.setdefault(u.key, {}).setdefault(u.label, i)
-        for i, u in enumerate(units):
-            if u.label is None:
-                edges += [(k, i, self.skip) for k in seen.get(u.key, {}).values() if k != last.get(u.key)]
-            if u.key in last:
-                edges.append((last[u.key], i, self.skip))
-            elif i and u.start - units[i - 1].end <= 40 and self.chain:
-                edges.append((i - 1, i, self.chain))
-            last[u.key] = i
-        if not edges:
+        weight = (self.skip, self.similar, self.chain)
+        joined: dict[tuple[int, int], float] = {}
+        for i, k, kind in edges_of(units):
+            pair = (min(i, k), max(i, k))
+            joined[pair] = joined.get(pair, 0.0) + weight[kind]
+        joined = {p: w for p, w in joined.items() if w and (open_[p[0]] or open_[p[1]])}
+        if not joined:
+            return node.argmax(1)
+        a, b = np.array(list(joined)).T
+        bonus = np.array(list(joined.values()))
+        reach = np.bincount(a, abs(bonus), n) + np.bincount(b, abs(bonus), n)
+        if (node[open_, 0] - node[open_, 1:].max(1) > reach[open_]).all():
             return node.argmax(1)
-        a, b, bonus = (np.array(x) for x in zip(*edges, strict=True))
         source, target = np.concatenate((a, b)), np.concatenate((b, a))
         back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
         gain = np.exp(np.concatenate((bonus, bonus)))[:, None] - 1
         messages = np.zeros((len(source), m))
-        for _ in range(max(200, 4 * len(edges))):
+        for _ in range(max(200, 4 * len(a))):
             belief = node.copy()
             np.add.at(belief, target, messages)
             out = belief[source] - messages[back]
@@ -193,46 +230,89 @@ class Field:
         return base, {k: sorted(v) for k, v in every.items()}
 
 
-def fit(docs: DataFrame, unlabelled: float = 0.5, share: float = 0.001) -> Field:
+def evidence(units: list[Unit]) -> Iterator[tuple[str, int, str]]:
+    """(shape, label, what its edges lead to) of each unit whose label is sure: a base span's, or none where no base span of the document has the unit's key or stem.
+
+    What edges lead to is the numbers of sure neighbours by edge and label, as ``edge.label`` marks.
+    """
+    named = {u.key for u in units if u.label is not None} | {u.stem for u in units if u.label is not None}
+    label = [u.label + 1 if u.label is not None else None if u.key in named or u.stem in named else 0 for u in units]
+    around: list[list[str]] = [[] for _ in units]
+    for i, k, kind in edges_of(units):
+        # Places that overlap are one entity read twice, and say nothing of two.
+        if label[i] is not None and label[k] is not None and max(units[i].start, units[k].start) >= min(units[i].end, units[k].end):
+            around[i].append(f"{kind}.{label[k]}")
+            around[k].append(f"{kind}.{label[i]}")
+    for u, y, marks in zip(units, label, around, strict=True):
+        if y is not None:
+            yield u.shape, y, " ".join(sorted(marks))
+
+
+def weights_of(rows: list[tuple[list[float], int, str, float]], prior: tuple[float, ...], spread: float = 1.0) -> np.ndarray:
+    """Edge weights of largest pseudo-likelihood under a normal prior, by Newton steps.
+
+    Rows are (log-potentials of the unit's shape, label, marks of ``evidence``, how often). A unit's label
+    is given its neighbours': its odds are those of its node plus, for every edge, the edge's weight at the neighbour's label.
+    """
+    m = len(KINDS) + 1
+    node = np.array([r[0] for r in rows]).reshape(-1, m)
+    y, n = np.array([r[1] for r in rows], int), np.array([r[3] for r in rows], float)
+    around = np.zeros((len(rows), m, len(EDGES)))
+    for k, r in enumerate(rows):
+        for mark in r[2].split():
+            around[k, int(mark[2:]), int(mark[0])] += 1
+    mean, w = np.array(prior), np.array(prior)
+
+    def value(w):
+        score = node + around @ w
+        top = score.max(1, keepdims=True)
+        return float((n * (score[np.arange(len(y)), y] - top[:, 0] - np.log(np.exp(score - top).sum(1)))).sum() - ((w - mean) ** 2).sum() / (2 * spread))
+
+    for _ in range(100):
+        score = node + around @ w
+        p = np.exp(score - score.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        expected = np.einsum("rl,rlk->rk", p, around)
+        slope = (n[:, None] * (around[np.arange(len(y)), y] - expected)).sum(0) - (w - mean) / spread
+        second = np.einsum("r,rl,rlj,rlk->jk", n, p, around, around) - np.einsum("r,rj,rk->jk", n, expected, expected)
+        step = np.linalg.solve(second + np.eye(len(w)) / spread, slope)
+        now = value(w)
+        while value(w + step) < now and abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fit(docs: DataFrame, unlabelled: float = 0.5, share: float = 0.001, prior: tuple[float, float, float] = (9.0, 4.0, 0.0)) -> Field:
     """Learn the potentials from all documents, with base spans as labels.
 
-    Tasks count units by shape and base label, and pairs of successive units of one key or place
-    by whether their base labels agree; Spark adds the counts up, a few hundred rows whatever the
-    input. A unit without a base label counts as none with weight ``unlabelled``, since it may be
-    an entity that the patterns miss, and doesn't count if it has the key of a base span beside it.
-    Node potentials are logs of each label's share of its shape plus ``share``, so they are the same for
-    a table and for many copies of it, and a shape that never has a label stays within log(1 / ``share``) of
-    one. Pairs count where both have base labels and lie apart; those of one key start at 20,000 agreeing
-    to 1, for two different entities hardly ever share seven digits or an address.
+    Tasks count units by shape, label and what their edges lead to (``evidence``); Spark adds the
+    counts up, some thousands of rows at most whatever the input, since an edge leads to one of few labels and
+    a sure unit has few edges. A unit without a base label counts as none with weight ``unlabelled``, since it
+    may be an entity that the patterns miss. Node potentials are logs of each label's share of its shape
+    plus ``share``, so they are the same for a table and for many copies of it, and a shape that never has a
+    label stays within log(1 / ``share``) of one. Edge weights are trained from the same counts by
+    pseudo-likelihood; ``prior`` is where skip, similar and chain weights start from, with the strength of about one
+    document. Null texts have no units; rows that repeat count as often.
     """
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for frame in frames:
             for t in frame["text"]:
-                units = units_of(t, base_spans(t))
-                last: dict[str, Unit] = {}
-                sure = {u.key for u in units if u.label is not None}
-                for before, u in zip([None, *units], units, strict=False):
-                    if u.label is not None or u.key not in sure:
-                        total["node", u.shape, -1 if u.label is None else u.label] += 1
-                    if u.key in last and None not in (u.label, last[u.key].label) and u.start >= last[u.key].end:
-                        total["skip", "", int(u.label == last[u.key].label)] += 1
-                    elif before and u.start - before.end <= 40 and None not in (u.label, before.label):
-                        total["chain", "", int(u.label == before.label)] += 1
-                    last[u.key] = u
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "shape", "label", "n"])
-
-    got = docs.where("text is not null").select("text").mapInPandas(count, "what string, shape string, label int, n long").groupBy("what", "shape", "label").agg(F.sum("n").alias("n")).collect()
+                if "@" in t or _DIGIT.search(t):
+                    total.update(evidence(units_of(t, base_spans(t))))
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["shape", "label", "marks", "n"])
+
+    got = docs.where("text is not null").select("text").mapInPandas(count, "shape string, label int, marks string, n long").groupBy("shape", "label", "marks").agg(F.sum("n").alias("n")).orderBy("shape", "label", "marks").collect()
     counts: dict[str, list[float]] = {}
-    pair = {"skip": [1.0, 20_000.0], "chain": [1.0, 1.0]}
     for r in got:
-        if r["what"] == "node":
-            counts.setdefault(r["shape"], [0.0] * (len(KINDS) + 1))[r["label"] + 1] += r["n"] * (unlabelled if r["label"] < 0 else 1.0)
-        else:
-            pair[r["what"]][r["label"]] += r["n"]
+        counts.setdefault(r["shape"], [0.0] * (len(KINDS) + 1))[r["label"]] += r["n"] * (1.0 if r["label"] else unlabelled)
     node = {s: [math.log(c / sum(row) + share) for c in row] for s, row in counts.items()}
-    bonus = {k: min(12.0, max(0.0, math.log(same / other))) for k, (other, same) in pair.items()}
-    return Field(node, skip=bonus["skip"], chain=min(0.5, bonus["chain"]))
+    rows = [(node[r["shape"]], r["label"], r["marks"], r["n"] * (1.0 if r["label"] else unlabelled)) for r in got if r["marks"]]
+    skip, similar, chain = (float(min(12.0, max(-12.0, x))) for x in (weights_of(rows, prior) if rows else prior))
+    return Field(node, skip, similar, chain)
 
 
 def shown(spans: dict[str, list[Span]]) -> str:
@@ -240,7 +320,11 @@ def shown(spans: dict[str, list[Span]]) -> str:
 
 
 def find(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id, counts of base spans, ``base_sha256``, ``spans`` (all) and ``n_added`` of every document; a null text is empty."""
+    """doc_id, counts of base spans, ``base_sha256``, ``spans`` (all) and ``n_added`` of every document.
+
+    A null or empty text has no spans; a null doc_id stays null; rows that repeat give repeated results. Texts of any
+    length are read whole, in time that grows with them. An empty table gives no rows; other columns are not read.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -254,7 +338,7 @@ def find(docs: DataFrame, model: Field) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Field) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one. Null texts stay null."""
+    """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one. Null texts stay null, and all other columns as they are."""
     def clean(text: str | None) -> str | None:
         if not text:
             return text
