@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogen.functions.loops import checkpointed, fixpoint
-from orogen.operators.raster import NEIGHBOURS, stencil
+from orogen.operators.raster import NEIGHBOURS, stencil, tiles
 
 #: Order in which equal drops are decided, and the powers of two of the codes: E, SE, S, SW, W, NW, N, NE.
 ORDER = {name: (k, dr, dc) for k, (name, dr, dc) in enumerate(NEIGHBOURS)}
@@ -51,61 +54,216 @@ def accumulation(flow: DataFrame) -> DataFrame:
     return now.select("cell", "acc")
 
 
-def strahler(flow: DataFrame, streams: DataFrame) -> DataFrame:
-    """cell and order of stream cells (cell): heads are 1, two inflows of the highest order make the next.
+def climb(pointers: DataFrame) -> DataFrame:
+    """cell, root and dist (steps to it) of pointers (cell, ptr; a root points to itself), by pointer jumping."""
+    def jump(t: DataFrame) -> DataFrame:
+        far = t.select(F.col("cell").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("more"))
+        joined = t.select("cell", "ptr", "dist").join(far, "ptr")
+        return joined.select("cell", F.col("next").alias("ptr"), (F.col("dist") + F.col("more")).alias("dist"), (F.col("next") != F.col("ptr")).alias("moved"))
+
+    start = pointers.select("cell", "ptr", (F.col("cell") != F.col("ptr")).cast("long").alias("dist"))
+    return fixpoint(start, jump, lambda t: t.where("moved")).select("cell", F.col("ptr").alias("root"), "dist")
+
+
+def stream_cells(flow: DataFrame, acc: DataFrame, threshold: float) -> DataFrame:
+    """cell, down, acc, link and dist of the cells through which at least ``threshold`` cells drain.
+
+    A link begins at a head or where streams meet, and is named by that cell; ``dist`` counts the steps from it. Links come
+    from pointers to the one cell upstream, so long streams take as many rounds as the logarithm of their length.
+    """
+    net = flow.join(acc.where(F.col("acc") >= threshold), "cell").select("cell", "down", "acc")
+    up = net.select(F.col("down").alias("cell"), F.col("cell").alias("up")).where("cell is not null").join(net.select("cell"), "cell", "left_semi")
+    inflow = up.groupBy("cell").agg(F.count("*").alias("inflows"), F.min("up").alias("up"))
+    pointer = F.when(F.col("inflows") == 1, F.col("up")).otherwise(F.col("cell"))
+    roots = climb(net.join(inflow, "cell", "left").select("cell", F.coalesce(pointer, "cell").alias("ptr")))
+    return net.join(roots, "cell").select("cell", "down", "acc", F.col("root").alias("link"), "dist")
+
 
-    Each round settles the cells all of whose inflows are settled.
+def stream_links(cells: DataFrame) -> DataFrame:
+    """link, end, n_cells, acc_out and order of the links of ``stream_cells``.
+
+    A link ends on the cell where it meets others, or where it leaves the network. Heads have order 1; where two inflows or
+    more share the highest order, the next link has one more. Orders settle link by link, in as many rounds as links follow one another.
     """
-    net = checkpointed(flow.join(streams.select("cell"), "cell", "left_semi").select("cell", "down"))
-    inflow = net.join(net.select(F.col("cell").alias("down")), "down", "left_semi").select(F.col("down").alias("cell"), F.col("cell").alias("up"))
-    need = inflow.groupBy("cell").agg(F.count("*").alias("need"))
-    done = checkpointed(net.join(need, "cell", "left_anti").select("cell", F.lit(1).alias("order")))
+    inside = cells.select(F.col("cell").alias("down"), F.col("acc").alias("acc_down"))
+    last = cells.groupBy("link").agg(F.max_by(F.struct("cell", "down", "acc"), "dist").alias("l"), F.count("*").alias("n")).select("link", "l.*", "n").join(inside, "down", "left")
+    met = F.col("acc_down").isNotNull()
+    links = checkpointed(last.select("link", F.when(met, F.col("down")).otherwise(F.col("cell")).alias("end"), met.alias("met"), (F.col("n") + met.cast("int")).alias("n_cells"), F.coalesce("acc_down", "acc").alias("acc_out")))
+    above = checkpointed(links.where("met").select(F.col("end").alias("link"), F.col("link").alias("up")))
+    need = above.groupBy("link").agg(F.count("*").alias("need"))
+    done = checkpointed(links.join(need, "link", "left_anti").select("link", F.lit(1).alias("order")))
     while True:
-        ready = (
-            inflow.join(done.select("cell"), "cell", "left_anti")
-            .join(done.select(F.col("cell").alias("up"), "order"), "up")
-            .groupBy("cell").agg(F.count("*").alias("have"), F.max("order").alias("top"), F.collect_list("order").alias("all"))
-            .join(need, "cell").where("have = need")
-            .select("cell", F.when(F.size(F.filter("all", lambda x: x == F.col("top"))) > 1, F.col("top") + 1).otherwise(F.col("top")).alias("order"))
-        )
+        orders = above.join(done.select("link"), "link", "left_anti").join(done.select(F.col("link").alias("up"), "order"), "up").groupBy("link", "order").agg(F.count("*").alias("k"))
+        best = orders.groupBy("link").agg(F.sum("k").alias("have"), F.max(F.struct("order", "k")).alias("top"))
+        ready = best.join(need, "link").where("have = need").select("link", (F.col("top.order") + (F.col("top.k") > 1).cast("int")).alias("order"))
         ready = checkpointed(ready)
         if ready.isEmpty():
-            return done
+            return links.join(done, "link").drop("met")
         done = checkpointed(done.union(ready))
 
 
-def fill(cells: DataFrame, ny: int, nx: int, eps: float = 0.001, rounds: int = 10_000) -> DataFrame:
+def strahler(flow: DataFrame, streams: DataFrame) -> DataFrame:
+    """cell and order of stream cells (cell): those of their links, so that rounds follow links and not cells."""
+    cells = checkpointed(stream_cells(flow, streams.select("cell", F.lit(1).alias("acc")), 1))
+    return cells.join(stream_links(cells).select("link", "order"), "link").select("cell", "order")
+
+
+def river_network(flow: DataFrame, acc: DataFrame, threshold: float) -> DataFrame:
+    """link, end, n_cells, acc_out and order of the links of two cells or more of a river network."""
+    return stream_links(checkpointed(stream_cells(flow, acc, threshold))).where("n_cells >= 2")
+
+
+def snap(points: DataFrame, acc: DataFrame, ny: int, nx: int, radius: int) -> DataFrame:
+    """id and cell: the cell through which most drains in the square window of ``radius`` cells around each point (id, row, col), the first in row order of equals."""
+    held = lambda c, n: F.greatest(F.lit(0), F.least(c, F.lit(n - 1)))
+    p = points.select("id", held(F.col("row"), ny).alias("row"), held(F.col("col"), nx).alias("col"))
+    span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.col(c) - radius), F.least(F.lit(n - 1), F.col(c) + radius))
+    near = p.select("id", F.explode(span("row", ny)).alias("r"), span("col", nx).alias("cs")).select("id", "r", F.explode("cs").alias("c"))
+    near = near.select("id", (F.col("r") * nx + F.col("c")).cast("long").alias("cell")).join(acc, "cell")
+    return near.groupBy("id").agg(F.min(F.struct(-F.col("acc"), "cell"))["cell"].alias("cell"))
+
+
+def catchments(flow: DataFrame, seeds: DataFrame) -> DataFrame:
+    """cell and seed: the first seed (cell) on each cell's way down, for cells that pass one."""
+    marked = flow.select("cell", "down").join(seeds.select("cell", F.lit(True).alias("seed")).distinct(), "cell", "left")
+    own = F.when(F.col("seed"), F.col("cell")).otherwise(F.coalesce("down", "cell"))
+    ends = climb(marked.select("cell", own.alias("ptr")))
+    return ends.join(seeds.select(F.col("cell").alias("root")).distinct(), "root", "left_semi").select("cell", F.col("root").alias("seed"))
+
+
+def main_streams(flow: DataFrame, acc: DataFrame, seeds: DataFrame, nx: int) -> DataFrame:
+    """seed, cell and step: the way up from each seed, always to the neighbour through which most drains, the first in E..NE order of equals."""
+    dr, dc = F.expr(f"(cell div {nx}) - (down div {nx})"), F.expr(f"(cell % {nx}) - (down % {nx})")
+    turn = F.coalesce(*[F.when((dr == r) & (dc == c), k) for k, r, c in ORDER.values()])
+    feeds = flow.where("down is not null").join(acc, "cell").select("cell", "down", "acc", turn.alias("k"))
+    best = feeds.groupBy("down").agg(F.min(F.struct(-F.col("acc"), "k", "cell"))["cell"].alias("cell"))
+    seed = seeds.select("cell").distinct()
+    pointers = best.join(seed, "cell", "left_anti").select("cell", F.col("down").alias("ptr"))
+    every = flow.select("cell").join(pointers, "cell", "left").select("cell", F.coalesce("ptr", "cell").alias("ptr"))
+    return climb(every).join(seed.select(F.col("cell").alias("root")), "root", "left_semi").select(F.col("root").alias("seed"), "cell", F.col("dist").alias("step"))
+
+
+def gauge_report(cells: DataFrame, flow: DataFrame, acc: DataFrame, seeds: DataFrame, ny: int, nx: int, cell: float, interval: float = 0.0, threshold: float = 0.0) -> DataFrame:
+    """Of the catchment of each seed (cell): cells, area, heights, main stream and slopes; and with ``interval`` and ``threshold`` contours and network.
+
+    Contour length counts a cell's side for each two neighbours inside that lie between different contours; the slope of
+    the sides is interval * length / (2 area), in thousandths. The weighted slope of the stream is the product of its
+    reaches' slopes to the power of their share of its length; reaches end where the profile's curvature changes sign, and level
+    ones don't count. The network is the steps between two cells inside through which ``threshold`` cells drain.
+    What isn't known is null. Seeds of nested catchments part the cells between them.
+    """
+    z = cells.select((F.col("row") * nx + F.col("col")).cast("long").alias("cell"), "row", "col", "z")
+    area = checkpointed(catchments(flow, seeds).join(z, "cell").join(acc, "cell").join(flow.select("cell", "down"), "cell"))
+    base = area.groupBy("seed").agg(
+        F.count("*").alias("cells"), (F.count("*") * cell * cell / 1e6).alias("area_km2"), F.avg("z").alias("z_mean"), F.min("z").alias("z_min"),
+        F.max("z").alias("z_max"), F.max(F.when(F.col("cell") == F.col("seed"), F.col("z"))).alias("z_gauge"),
+    )
+    step = F.sqrt(F.pow(F.expr(f"(down div {nx}) - (cell div {nx})"), F.lit(2)) + F.pow(F.expr(f"(down % {nx}) - (cell % {nx})"), F.lit(2))) * cell
+    if interval > 0:
+        level = F.floor(F.col("z") / interval)
+        side = lambda by, along: F.when((F.lead(along).over(Window.partitionBy("seed", by).orderBy(along)) == F.col(along) + 1), (F.lead(level).over(Window.partitionBy("seed", by).orderBy(along)) != level).cast("int"))
+        lines = area.select("seed", (F.coalesce(side("row", "col"), F.lit(0)) + F.coalesce(side("col", "row"), F.lit(0))).alias("k")).groupBy("seed").agg((F.sum("k") * cell).alias("iso"))
+        base = base.join(lines, "seed").withColumn("sp_iso_km", F.col("iso") / 1000).withColumn("sp_slope_ppm", interval * F.col("iso") / (2 * F.col("cells") * cell * cell) * 1000).drop("iso")
+    if threshold > 0:
+        net = area.where(F.col("acc") >= threshold)
+        both = net.withColumn("step", step).join(net.select("seed", F.col("cell").alias("down")), ["seed", "down"], "left_semi")
+        found = both.groupBy("seed").agg((F.sum("step") / 1000).alias("net"))
+        base = base.join(found, "seed", "left").withColumn("net_km", F.coalesce("net", F.lit(0.0))).withColumn("net_dens", F.col("net_km") / F.col("area_km2")).drop("net")
+    way = main_streams(flow, acc, seeds, nx).join(z.select("cell", "z"), "cell").join(flow.select("cell", "down"), "cell")
+    way = way.withColumn("step_m", F.when(F.col("step") > 0, step).otherwise(0.0))
+    total = way.groupBy("seed").agg(F.sum("step_m").alias("length"), F.max("step").alias("n"), F.max_by("z", "step").alias("top"), F.min_by("z", "step").alias("foot"))
+    order = Window.partitionBy("seed").orderBy(F.desc("step"))
+    bend = F.lead("z").over(order) - 2 * F.col("z") + F.lag("z").over(order)
+    known = way.where("z is not null").withColumn("k", F.row_number().over(order)).withColumn("bend", bend).withColumn("next_bend", F.lead("bend").over(order)).withColumn("left", F.lead("k").over(order))
+    turns = known.where((F.col("k") == 1) | F.col("left").isNull() | (F.col("bend") * F.col("next_bend") < 0))
+    reach = turns.select("seed", "k", "z", F.lead("k").over(Window.partitionBy("seed").orderBy("k")).alias("k2"), F.lead("z").over(Window.partitionBy("seed").orderBy("k")).alias("z2")).where("k2 is not null")
+    reach = reach.join(known.groupBy("seed").agg(F.count("*").alias("places")), "seed").join(total.select("seed", "length"), "seed")
+    li = F.col("length") / (F.col("places") - 1) * (F.col("k2") - F.col("k"))
+    slope = F.abs(F.col("z2") - F.col("z")) / li
+    weighted = reach.groupBy("seed").agg(F.sum(F.when(slope > 0, li / F.col("length") * F.log(slope))).alias("l")).select("seed", F.when(F.col("l") != 0, F.exp("l") * 1000).alias("sp_stream_ppm"))
+    stream = total.where("length > 0").join(weighted, "seed", "left").select(
+        "seed", (F.col("length") / 1000).alias("stream_km"), (F.col("top") - F.col("foot")).alias("stream_fall_m"),
+        ((F.col("top") - F.col("foot")) / F.col("length") * 1000).alias("stream_ppm"), "sp_stream_ppm",
+    )
+    return base.join(stream, "seed", "left")
+
+
+def fill(cells: DataFrame, ny: int, nx: int, eps: float = 0.001, tile: int = 256, rounds: int = 10_000) -> DataFrame:
     """Heights raised so that every cell drains (Planchon and Darboux): the least surface at or above z that falls by ``eps`` a step to an outlet.
 
-    The frame's edge and cells next to nodata are outlets. Eight relaxation steps make one checkpointed round.
+    The frame's edge and cells next to nodata are outlets. Each round settles every tile from its own outlets and the
+    cells around it, lowest first; it ends when no tile has lowered a cell, after as many rounds as the longest way out crosses tiles.
     """
     s = stencil(cells, ny, nx)
-    names = list(ORDER)
     gone = F.lit(False)
-    for n in names:
+    for n in ORDER:
         gone = gone | F.col(n).isNull()
-    now = checkpointed(s.select("row", "col", "z", F.when(gone, F.col("z")).otherwise(F.lit(float("inf"))).alias("w"), F.lit(True).alias("moved")).where("z is not null"))
+    start = F.when(gone, F.col("z")).otherwise(F.lit(float("inf")))
+    now = s.where("z is not null").select("row", "col", F.col("z").cast("double").alias("z"), start.cast("double").alias("w"), F.lit(True).alias("moved"))
 
-    def step(t: DataFrame) -> DataFrame:
-        first = t
-        for _ in range(8):
-            around = stencil(first.select("row", "col", F.col("w").alias("z")), ny, nx).select("row", "col", F.least(*[F.coalesce(F.col(n), F.lit(float("inf"))) for n in names]).alias("low"))
-            first = first.join(around, ["row", "col"]).select("row", "col", "z", F.least("w", F.greatest("z", F.col("low") + eps)).alias("w"))
-        return first.join(t.select("row", "col", F.col("w").alias("w0")), ["row", "col"]).select("row", "col", "z", "w", (F.col("w") != F.col("w0")).alias("moved"))
+    def settled(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = key[0] * tile - 1, key[1] * tile - 1
+        z, w = np.full((tile + 2, tile + 2), np.nan), np.full((tile + 2, tile + 2), np.inf)
+        at = (frame["row"].to_numpy() - top, frame["col"].to_numpy() - left)
+        z[at], w[at] = frame["z"].to_numpy(), frame["w"].to_numpy()
+        before, inner = w.copy(), np.isfinite(z)
+        inner[[0, -1]] = inner[:, [0, -1]] = False
+        heap = [(w[i, j], i, j) for i, j in zip(*np.nonzero(np.isfinite(w)), strict=True)]
+        heapq.heapify(heap)
+        while heap:
+            low, i, j = heapq.heappop(heap)
+            if low > w[i, j]:
+                continue
+            for _, dr, dc in ORDER.values():
+                a, b = i + dr, j + dc
+                if 0 <= a <= tile + 1 and 0 <= b <= tile + 1 and inner[a, b]:
+                    new = max(z[a, b], low + eps)
+                    if new < w[a, b]:
+                        w[a, b] = new
+                        heapq.heappush(heap, (new, a, b))
+        own = inner[at]
+        return frame[own].assign(w=w[at][own], moved=(w != before)[at][own])
 
+    step = lambda t: tiles(t, tile, 1).groupBy("tr", "tc").applyInPandas(lambda key, f: settled(key, f)[["row", "col", "z", "w", "moved"]], now.schema)
     return fixpoint(now, step, lambda t: t.where("moved"), rounds).select("row", "col", F.col("w").alias("z"))
 
 
-def trace(flow: DataFrame, starts: DataFrame, steps: int = 100_000) -> DataFrame:
-    """start, step and cell of the ways downhill from ``starts`` (cell), a step a round, written to a checkpoint each 16."""
-    here = starts.select(F.col("cell").alias("start"), "cell")
-    out = here.withColumn("step", F.lit(0))
-    for k in range(1, steps + 1):
-        here = here.join(flow.select("cell", "down"), "cell").where("down is not null").select("start", F.col("down").alias("cell"))
-        if k % 16 == 0:
-            here = checkpointed(here)
-            out = checkpointed(out)
-            if here.isEmpty():
-                break
-        out = out.union(here.withColumn("step", F.lit(k)))
+def trace(flow: DataFrame, starts: DataFrame, stop: DataFrame | None = None, merge: bool = False) -> DataFrame:
+    """start, step and cell of the ways downhill from ``starts`` (cell), up to a cell of ``stop`` (cell) where they pass one.
+
+    With ``merge`` a way ends on the first cell that a way from a lesser start has passed. Ways double their length each round:
+    a table of cells 2^k steps down continues all places known so far.
+    """
+    down = flow.select("cell", "down")
+    if stop is not None:
+        held = stop.select("cell", F.lit(True).alias("held")).distinct()
+        down = down.join(held, "cell", "left").select("cell", F.when(F.col("held").isNull(), F.col("down")).alias("down"))
+    far = checkpointed(down.where("down is not null"))
+    out = checkpointed(starts.select(F.col("cell").alias("start"), F.lit(0).cast("long").alias("step"), "cell").distinct())
+    reach = 1
+    while not far.isEmpty():
+        longer = out.join(far, "cell").select("start", (F.col("step") + reach).alias("step"), F.col("down").alias("cell"))
+        out = checkpointed(out.union(longer))
+        far = checkpointed(far.join(far.select(F.col("cell").alias("down"), F.col("down").alias("next")), "down").select("cell", F.col("next").alias("down")))
+        reach *= 2
+    if merge:
+        owner = out.groupBy("cell").agg(F.min("start").alias("owner"))
+        known = out.join(owner, "cell")
+        first = known.where(F.col("owner") != F.col("start")).groupBy("start").agg(F.min("step").alias("last"))
+        out = known.join(first, "start", "left").where(F.col("last").isNull() | (F.col("step") <= F.col("last"))).select("start", "step", "cell")
     return out
+
+
+def trace_metrics(ways: DataFrame, cells: DataFrame, flow: DataFrame, ny: int, nx: int, cell: float, stop: DataFrame | None = None) -> DataFrame:
+    """start, cells, length, drop, slope and reason (receiver, merge, edge or sink) of each way of ``trace``."""
+    z = cells.select((F.col("row") * nx + F.col("col")).cast("long").alias("cell"), "row", "col", "z")
+    w = Window.partitionBy("start").orderBy("step")
+    laid = ways.join(z, "cell").withColumn("r", F.lag("row").over(w)).withColumn("c", F.lag("col").over(w))
+    length = F.sqrt(F.pow(F.col("row") - F.col("r"), F.lit(2)) + F.pow(F.col("col") - F.col("c"), F.lit(2))) * cell
+    ends = laid.groupBy("start").agg(F.count("*").alias("cells"), F.coalesce(F.sum(length), F.lit(0.0)).alias("length"), F.min_by("z", "step").alias("z0"), F.max_by(F.struct("cell", "row", "col", "z"), "step").alias("last"))
+    ends = ends.withColumn("cell", F.col("last.cell")).join(flow.select("cell", "down"), "cell")
+    received = ends.select("cell").limit(0).withColumn("held", F.lit(True)) if stop is None else stop.select("cell", F.lit(True).alias("held")).distinct()
+    edge = F.col("last.row").isin(0, ny - 1) | F.col("last.col").isin(0, nx - 1)
+    reason = F.when(F.col("held"), "receiver").when(F.col("down").isNotNull(), "merge").when(edge, "edge").otherwise("sink")
+    drop = F.col("z0") - F.col("last.z")
+    return ends.join(received, "cell", "left").select("start", "cells", "length", drop.alias("drop"), F.coalesce(F.try_divide(drop, F.col("length")), F.lit(0.0)).alias("slope"), reason.alias("reason"))

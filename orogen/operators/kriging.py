@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogen.functions.joins import near_join
+from orogen.functions.loops import checkpointed
+from orogen.operators.raster import dense, tiles
 
 
 @dataclass(frozen=True)
@@ -28,30 +30,53 @@ class Model:
     def top(self) -> float:
         return self.nugget + self.sill
 
-    def covariance(self, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-        a = np.radians(90.0 - self.azimuth)
+    def covariance(self, dx: np.ndarray, dy: np.ndarray, azimuth: np.ndarray | None = None) -> np.ndarray:
+        """Covariance of lags; ``azimuth`` (one for each first index) stands in for the model's own."""
+        a = np.radians(90.0 - (self.azimuth if azimuth is None else azimuth.reshape(-1, *[1] * (dx.ndim - 1))))
         h = np.hypot(dx * np.cos(a) + dy * np.sin(a), (dy * np.cos(a) - dx * np.sin(a)) / self.anisotropy)
         r = h / self.reach
         body = {"spherical": lambda: np.where(r < 1, 1 - 1.5 * r + 0.5 * r**3, 0.0), "exponential": lambda: np.exp(-r), "gaussian": lambda: np.exp(-r * r)}[self.kind]()
         return np.where(h < 1e-10, self.top, self.sill * body)
 
 
-def neighbours(targets: DataFrame, samples: DataFrame, radius: float, most: int, exclude: bool = False) -> DataFrame:
-    """Targets (id, x, y) with ``near``, their at most ``most`` nearest samples (x, y, v) within ``radius``.
+def blocked(pairs: DataFrame, faults: DataFrame, radius: float) -> DataFrame:
+    """``pairs`` (of ``near_join``) whose straight way no fault segment (x0, y0, x1, y1) crosses.
+
+    A crossing is strict: a way that only touches a segment, or runs along it, is free. Segments fall into
+    the bins of the targets from which a way of ``radius`` can reach them, so the anti join is an equi-join on bins.
+    """
+    bins = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / radius), F.floor((F.greatest(a, b) + radius) / radius))
+    near = faults.select("x0", "y0", "x1", "y1", F.explode(bins("x0", "x1")).alias("_bx"), bins("y0", "y1").alias("_by")).withColumn("_by", F.explode("_by"))
+    laid = pairs.withColumn("_bx", F.floor(F.col("l_x") / radius)).withColumn("_by", F.floor(F.col("l_y") / radius))
+    p, f = laid.alias("p"), near.alias("f")
+    side = lambda ax, ay, bx, by, cx, cy: (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))
+    ray, wall = ("p.l_x", "p.l_y", "p.r_x", "p.r_y"), ("f.x0", "f.y0", "f.x1", "f.y1")
+    ends = side(*ray, "f.x0", "f.y0") * side(*ray, "f.x1", "f.y1")
+    places = side(*wall, "p.l_x", "p.l_y") * side(*wall, "p.r_x", "p.r_y")
+    same = (F.col("p._bx") == F.col("f._bx")) & (F.col("p._by") == F.col("f._by"))
+    return p.join(f, same & (ends < 0) & (places < 0), "left_anti").drop("_bx", "_by")
+
+
+def neighbours(targets: DataFrame, samples: DataFrame, radius: float, most: int, exclude: bool = False, faults: DataFrame | None = None) -> DataFrame:
+    """Targets (id, x, y) with ``near``, their at most ``most`` nearest samples (x, y, v, and ``a`` where they have an azimuth) within ``radius``.
 
     Equal distances go by x, then y, then v, so the order of rows never matters. ``exclude`` leaves out the
-    sample with the target's id.
+    sample with the target's id. Samples behind a fault (``blocked``) aren't seen.
     """
-    found = near_join(targets.select("id", "x", "y"), samples.select("id", "x", "y", "v"), radius)
+    extra = [c for c in ("a",) if c in samples.columns]
+    found = near_join(targets.select("id", "x", "y"), samples.select("id", "x", "y", "v", *extra), radius)
     if exclude:
         found = found.where("l_id <> r_id")
+    if faults is not None:
+        found = blocked(found, faults, radius)
     order = Window.partitionBy("l_id").orderBy("h", "r_x", "r_y", "r_v")
     kept = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    near = kept.groupBy(F.col("l_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("k", F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col("r_v").alias("v")))).alias("near"))
-    return targets.join(near, "id", "left")
+    near = F.struct("k", *[F.col(f"r_{c}").alias(c) for c in ("x", "y", "v", *extra)])
+    kept = kept.groupBy(F.col("l_id").alias("id")).agg(F.array_sort(F.collect_list(near)).alias("near"))
+    return targets.join(kept, "id", "left")
 
 
-def solve(tx: np.ndarray, ty: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, model: Model, mean: float | None, block: float = 0.0, grid: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def solve(tx: np.ndarray, ty: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, model: Model, mean: float | None, block: float = 0.0, grid: int = 1, azimuth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Estimates and variances of targets that all have the same number of neighbours: x, y, v are (targets, neighbours).
 
     Simple kriging with ``mean``, else ordinary, whose row is scaled by the covariance at 0. A block of
@@ -62,8 +87,8 @@ def solve(tx: np.ndarray, ty: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.nd
     m, n = x.shape
     at = (np.arange(grid) + 0.5) / grid * block - block / 2
     ox, oy = (a.ravel() for a in np.meshgrid(at, at)) if block and grid > 1 else (np.zeros(1), np.zeros(1))
-    a = model.covariance(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :])
-    b = model.covariance(x[:, :, None] - (tx[:, None, None] + ox), y[:, :, None] - (ty[:, None, None] + oy)).mean(2)
+    a = model.covariance(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :], azimuth)
+    b = model.covariance(x[:, :, None] - (tx[:, None, None] + ox), y[:, :, None] - (ty[:, None, None] + oy), azimuth).mean(2)
     cbb = model.top
     if len(ox) > 1:
         within = model.covariance(ox[:, None] - ox, oy[:, None] - oy)
@@ -97,30 +122,115 @@ def solve(tx: np.ndarray, ty: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.nd
     return estimate, np.maximum(variance, 0.0)
 
 
-def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None, block: float = 0.0, grid: int = 1, exclude: bool = False) -> DataFrame:
-    """id, estimate, variance and n_near of targets (id, x, y); both null with fewer than ``least`` neighbours."""
+def _batches(sizes: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Rows with equal numbers of neighbours, ``least`` at least, some million matrix entries at a time."""
+    for n in np.unique(sizes[sizes >= max(least, 1)]):
+        at = np.flatnonzero(sizes == n)
+        yield from np.array_split(at, max(1, len(at) * int(n) * int(n) // 2_000_000))
+
+
+def _axial(angles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean azimuth and strength of axes along the last axis, leaving out those that are missing."""
+    known = np.isfinite(angles)
+    t, n = np.radians(2 * np.where(known, angles, 0.0)), np.maximum(known.sum(-1), 1)
+    c, s = (np.cos(t) * known).sum(-1) / n, (np.sin(t) * known).sum(-1) / n
+    return np.degrees(np.arctan2(s, c)) / 2 % 180, np.hypot(c, s)
+
+
+def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None, block: float = 0.0, grid: int = 1, exclude: bool = False, faults: DataFrame | None = None, strength: float = 0.3) -> DataFrame:
+    """id, estimate, variance and n_near of targets (id, x, y); both null with fewer than ``least`` neighbours.
+
+    Samples may bring azimuths ``a`` of a local fabric: where those of a target's neighbours agree (axial mean of
+    ``strength`` at least), the whole system takes the model turned to their mean. ``faults`` hide samples behind them.
+    """
+    names = ["x", "y", "v"] + (["a"] if "a" in samples.columns else [])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            near = [frame[c].to_numpy() for c in ("nx", "ny", "nv")]
-            size = np.array([0 if r is None else len(r) for r in near[0]])
+            near = {c: frame[f"n{c}"].to_numpy() for c in names}
+            size = np.array([0 if r is None else len(r) for r in near["x"]], int)
             estimate, variance = np.full(len(frame), np.nan), np.full(len(frame), np.nan)
             tx, ty = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
-            for n in np.unique(size[size >= max(least, 1)]):
-                at = np.flatnonzero(size == n)
-                for part in np.array_split(at, max(1, len(at) * n * n // 2_000_000)):
-                    x, y, v = (np.stack(column[part]) for column in near)
-                    estimate[part], variance[part] = solve(tx[part], ty[part], x, y, v, model, mean, block, grid)
+            for part in _batches(size, least):
+                x, y, v, *a = (np.stack(near[c][part]).astype(float) for c in names)
+                azimuth = None
+                if a:
+                    azimuth, agree = _axial(a[0])
+                    azimuth = np.where(agree >= strength, azimuth, model.azimuth)
+                estimate[part], variance[part] = solve(tx[part], ty[part], x, y, v, model, mean, block, grid, azimuth)
             yield pd.DataFrame({"id": frame["id"], "estimate": estimate, "variance": variance, "n_near": size})
 
-    found = neighbours(targets, samples, radius, most, exclude)
-    found = found.select("id", "x", "y", *[F.col(f"near.{c}").alias(f"n{c}") for c in "xyv"])
+    found = neighbours(targets, samples, radius, most, exclude, faults)
+    found = found.select("id", "x", "y", *[F.col(f"near.{c}").alias(f"n{c}") for c in names])
     got = found.mapInPandas(run, "id long, estimate double, variance double, n_near int")
     return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("estimate", "variance")})
 
 
-def cross_validate(samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None) -> DataFrame:
+def cross_validate(samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None, faults: DataFrame | None = None) -> DataFrame:
     """id, v, estimate and variance of every sample from the others."""
-    return krige(samples.select("id", "x", "y"), samples, model, radius, most, least, mean, exclude=True).join(samples.select("id", "v"), "id")
+    got = krige(samples.select("id", "x", "y"), samples, model, radius, most, least, mean, exclude=True, faults=faults)
+    return got.join(samples.select("id", "v"), "id")
+
+
+def cross_validate_detrended(samples: DataFrame, model: Model, degree: int, radius: float, most: int = 24, least: int = 4) -> DataFrame:
+    """id, v, estimate and variance of every sample from the others: the trend is fitted, and its rest kriged, without the sample.
+
+    The fit without a sample follows from that with it: coefficients move by the inverse normal matrix times
+    the sample's terms times its error over one less its leverage. So one aggregate serves all samples.
+    """
+    trend, inverse = _trend(samples, degree)
+    mx, my, sx, sy = (trend[k] for k in ("mx", "my", "sx", "sy"))
+    beta = np.array([trend[f"b{i}"] for i in range(len(inverse))])
+
+    def terms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = (x - mx) / sx, (y - my) / sy
+        return np.stack([np.ones_like(x), x, y] + ([x * x, x * y, y * y] if degree == 2 else []), -1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near = {c: frame[f"n{c}"].to_numpy() for c in "xyv"}
+            size = np.array([0 if r is None else len(r) for r in near["x"]], int)
+            estimate, variance = np.full(len(frame), np.nan), np.full(len(frame), np.nan)
+            tx, ty, own = (frame[c].to_numpy(float) for c in "xyv")
+            at = terms(tx, ty)
+            lever = np.einsum("ij,jk,ik->i", at, inverse, at)
+            without = beta - (at @ inverse) * ((own - at @ beta) / np.maximum(1 - lever, 1e-12))[:, None]
+            for part in _batches(size, least):
+                x, y, v = (np.stack(near[c][part]).astype(float) for c in "xyv")
+                rest = v - np.einsum("inj,ij->in", terms(x, y), without[part])
+                e, variance[part] = solve(tx[part], ty[part], x, y, rest, model, None)
+                estimate[part] = e + (at[part] * without[part]).sum(1)
+            yield pd.DataFrame({"id": frame["id"], "v": own, "estimate": estimate, "variance": variance})
+
+    found = neighbours(samples.select("id", "x", "y", "v"), samples, radius, most, exclude=True)
+    found = found.select("id", "x", "y", "v", *[F.col(f"near.{c}").alias(f"n{c}") for c in "xyv"])
+    got = found.mapInPandas(run, "id long, v double, estimate double, variance double")
+    return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("estimate", "variance")})
+
+
+def drift(samples: DataFrame, degree: int = 1) -> dict[str, float]:
+    """Coefficients of v on an outer variable ``s`` (standardised, degree 1 or 2) from sums of powers, with its mean and scale."""
+    b = samples.agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
+    scale = b["d"] or 1.0
+    s, n = (F.col("s") - b["m"]) / scale, degree + 1
+    sums = samples.agg(*[F.sum(F.pow(s, F.lit(float(k)))).alias(f"a{k}") for k in range(2 * n - 1)], *[F.sum(F.pow(s, F.lit(float(k))) * F.col("v")).alias(f"b{k}") for k in range(n)]).first()
+    matrix = np.array([[sums[f"a{i + j}"] for j in range(n)] for i in range(n)], float)
+    beta = np.linalg.lstsq(matrix, np.array([sums[f"b{k}"] for k in range(n)], float), rcond=None)[0]
+    return {"mean": b["m"], "scale": scale} | {f"b{k}": float(v) for k, v in enumerate(beta)}
+
+
+def drift_at(s, found: dict[str, float]):
+    """The drift as a column of ``s``."""
+    t = (s - found["mean"]) / found["scale"]
+    return F.lit(found["b0"]) + found["b1"] * t + (found.get("b2", 0.0) * t * t)
+
+
+def krige_with_drift(targets: DataFrame, samples: DataFrame, model: Model, radius: float, degree: int = 1, **options) -> DataFrame:
+    """id, estimate, variance and n_near of targets (id, x, y, s) from samples (id, x, y, v, s): the drift in ``s`` plus the kriged rest."""
+    found = drift(samples.where("s is not null and v is not null"), degree)
+    rest = samples.where("s is not null and v is not null").withColumn("v", F.col("v") - drift_at(F.col("s"), found)).drop("s")
+    got = krige(targets.select("id", "x", "y"), rest, model, radius, **options)
+    return got.join(targets.select("id", "s"), "id").withColumn("estimate", F.col("estimate") + drift_at(F.col("s"), found)).drop("s")
 
 
 def inverse_distance(targets: DataFrame, samples: DataFrame, radius: float, most: int = 12, exclude: bool = False) -> DataFrame:
@@ -134,30 +244,57 @@ def inverse_distance(targets: DataFrame, samples: DataFrame, radius: float, most
 
 
 def indicators(targets: DataFrame, samples: DataFrame, classes: list, models: dict, radius: float, most: int = 24, least: int = 4) -> DataFrame:
-    """id, class and probability: simple kriging of each class's 0/1 indicator with its share as mean, clipped and normalised, and ``best``."""
-    n = samples.count()
-    parts = None
-    for c in classes:
-        own = samples.select("id", "x", "y", F.when(F.col("class") == c, 1.0).otherwise(0.0).alias("v"))
-        share = own.agg(F.sum("v")).first()[0] / max(n, 1)
-        got = krige(targets, own, models[c], radius, most, least, mean=share).select("id", F.lit(c).alias("class"), F.least(F.greatest("estimate", F.lit(0.0)), F.lit(1.0)).alias("p"))
-        parts = got if parts is None else parts.union(got)
-    w = Window.partitionBy("id")
-    parts = parts.where("p is not null").withColumn("probability", F.try_divide(F.col("p"), F.sum("p").over(w)))
-    return parts.withColumn("best", F.row_number().over(w.orderBy(F.desc("probability"), "class")) == 1).drop("p")
+    """id, class, probability and ``best``: simple kriging of each class's 0/1 indicator with its share as mean, clipped and normalised.
+
+    Neighbours are searched once; each task solves the systems of all classes. ``classes`` are few.
+    """
+    shares = {r["class"]: r["n"] for r in samples.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    n = max(sum(shares.values()), 1)
+    number = F.coalesce(F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, float(k))])[F.col("class")], F.lit(-1.0))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near = {c: frame[f"n{c}"].to_numpy() for c in "xyv"}
+            size = np.array([0 if r is None else len(r) for r in near["x"]], int)
+            tx, ty = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
+            p = np.full((len(frame), len(classes)), np.nan)
+            for part in _batches(size, least):
+                x, y, v = (np.stack(near[c][part]).astype(float) for c in "xyv")
+                for k, c in enumerate(classes):
+                    p[part, k] = solve(tx[part], ty[part], x, y, (v == k).astype(float), models[c], shares.get(c, 0) / n)[0]
+            p = np.clip(p, 0.0, 1.0)
+            total = p.sum(1)
+            share = np.divide(p, total[:, None], out=np.full_like(p, np.nan), where=(total > 0)[:, None])
+            first = np.where(np.isfinite(total), p.argmax(1), -1)
+            known = np.isfinite(total)
+            for k in range(len(classes)):
+                yield pd.DataFrame({"id": frame["id"][known], "k": k, "probability": share[known, k], "best": (first == k)[known]})
+
+    found = neighbours(targets, samples.select("id", "x", "y", number.alias("v")), radius, most)
+    found = found.select("id", "x", "y", *[F.col(f"near.{c}").alias(f"n{c}") for c in "xyv"])
+    got = found.mapInPandas(run, "id long, k int, probability double, best boolean")
+    label = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("k") + 1)
+    return got.select("id", label.alias("class"), F.when(~F.isnan("probability"), F.col("probability")).alias("probability"), "best")
 
 
 def polynomial_trend(samples: DataFrame, degree: int) -> dict[str, float]:
     """Coefficients of a plane or quadratic in standardised coordinates, from sums of products, and the scales."""
+    return _trend(samples, degree)[0]
+
+
+def _trend(samples: DataFrame, degree: int) -> tuple[dict[str, float], np.ndarray]:
+    """The trend and the inverse of its normal matrix."""
     b = samples.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")).first()
     sx, sy = b["sx"] or 1.0, b["sy"] or 1.0
     x, y = (F.col("x") - b["mx"]) / sx, (F.col("y") - b["my"]) / sy
     terms = [F.lit(1.0), x, y] + ([x * x, x * y, y * y] if degree == 2 else [])
     k = len(terms)
-    sums = samples.agg(*[F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(terms[i] * F.col("v")).alias(f"b{i}") for i in range(k)]).first()
+    products = [F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
+    sums = samples.agg(*products, *[F.sum(terms[i] * F.col("v")).alias(f"b{i}") for i in range(k)]).first()
     a = np.array([[sums[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-    beta = np.linalg.lstsq(a, np.array([sums[f"b{i}"] for i in range(k)], float), rcond=None)[0]
-    return {"mx": b["mx"], "my": b["my"], "sx": sx, "sy": sy} | {f"b{i}": float(v) for i, v in enumerate(beta)}
+    inverse = np.linalg.pinv(a)
+    beta = inverse @ np.array([sums[f"b{i}"] for i in range(k)], float)
+    return {"mx": b["mx"], "my": b["my"], "sx": sx, "sy": sy} | {f"b{i}": float(v) for i, v in enumerate(beta)}, inverse
 
 
 def detrended(samples: DataFrame, trend: dict[str, float]) -> DataFrame:
@@ -167,27 +304,33 @@ def detrended(samples: DataFrame, trend: dict[str, float]) -> DataFrame:
     return samples.withColumn("v", F.col("v") - sum((trend[f"b{i}"] * t for i, t in enumerate(terms) if f"b{i}" in trend), F.lit(0.0)))
 
 
-def simulate(samples: DataFrame, model: Model, x0: float, y0: float, cell: float, ny: int, nx: int, realisations: int, most: int = 16, window: int = 25, seed: int = 1) -> DataFrame:
-    """realisation, row, col, score: sequential gaussian simulation of normal scores ``v`` with mean 0; a realisation is one group.
+def simulate(samples: DataFrame, model: Model, x0: float, y0: float, cell: float, ny: int, nx: int, realisations: int, most: int = 16, window: int = 25, seed: int = 1, tile: int = 64) -> DataFrame:
+    """realisation, row, col, score: sequential gaussian simulation of normal scores ``v`` with mean 0.
 
-    Samples are fixed at their nearest node of the frame (of several, the last by x, y and v); nodes are visited along a seeded random path, each drawn from simple
-    kriging on the nearest known nodes within ``window`` cells. The fixed nodes are frozen into the tasks, so
-    they go through the driver, at most ny * nx of them.
+    Samples are fixed at their nearest node of the frame (of several, the last by x, y and v). Each other node is drawn
+    from simple kriging on the nearest known nodes within ``window`` cells. The path goes tile by tile in four
+    turns, as on a chessboard of four colours, and at random within a tile: tiles of one turn lie more than ``window``
+    cells apart, so they don't see each other, and each is a task with the nodes around it that samples and earlier turns have made.
     """
+    tile = max(tile, window + 1)
     node = lambda c, low, n: F.least(F.greatest(F.rint((F.col(c) - low) / cell), F.lit(0)), F.lit(n - 1)).cast("int")
     known = samples.where("x is not null and y is not null and v is not null")
-    fixed = known.groupBy(node("y", y0, ny).alias("i"), node("x", x0, nx).alias("j")).agg(F.max(F.struct("x", "y", "v"))["v"].alias("v"))
-    data = [(r["i"], r["j"], float(r["v"])) for r in fixed.collect()]
-    runs = samples.sparkSession.range(realisations).select(F.col("id").alias("realisation"))
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        r = int(frame["realisation"].iloc[0])
-        rng = np.random.default_rng((seed, r))
-        z = np.full((ny, nx), np.nan)
-        for i, j, v in data:
-            z[i, j] = v
-        for k in rng.permutation(ny * nx).tolist():
-            i, j = divmod(k, nx)
+    fixed = known.groupBy(node("y", y0, ny).alias("row"), node("x", x0, nx).alias("col")).agg(F.max(F.struct("x", "y", "v"))["v"].alias("z"))
+    now = dense(fixed, ny, nx).select(F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))).alias("realisation"), "row", "col", F.col("z").alias("score"))
+    now = checkpointed(now.withColumn("realisation", F.col("realisation").cast("long")))
+    turn = lambda r, c: (F.pmod(r, F.lit(2)) * 2 + F.pmod(c, F.lit(2)))
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        run, tr, tc = (int(k) for k in key)
+        r0, c0 = max(0, tr * tile - window), max(0, tc * tile - window)
+        z = np.full((min(ny, (tr + 1) * tile + window) - r0, min(nx, (tc + 1) * tile + window) - c0), np.nan)
+        rows, cols = frame["row"].to_numpy() - r0, frame["col"].to_numpy() - c0
+        z[rows, cols] = frame["score"].to_numpy(float)
+        own = np.flatnonzero(((frame["row"] // tile == tr) & (frame["col"] // tile == tc)).to_numpy())
+        rng = np.random.default_rng((seed, run, tr, tc))
+        own = own[np.lexsort((cols[own], rows[own]))]
+        for k in rng.permutation(own).tolist():
+            i, j = rows[k], cols[k]
             if not np.isnan(z[i, j]):
                 continue
             a, b = max(0, i - window), max(0, j - window)
@@ -198,9 +341,15 @@ def simulate(samples: DataFrame, model: Model, x0: float, y0: float, cell: float
             ii, jj = ii + a, jj + b
             near = np.lexsort((jj, ii, (ii - i) ** 2 + (jj - j) ** 2))[:most]
             ii, jj = ii[near], jj[near]
-            e, s = solve(np.array([j * cell]), np.array([i * cell]), (jj * cell)[None].astype(float), (ii * cell)[None].astype(float), z[ii, jj][None], model, 0.0)
+            place = np.array([j * cell], float), np.array([i * cell], float)
+            e, s = solve(*place, (jj * cell)[None].astype(float), (ii * cell)[None].astype(float), z[ii, jj][None], model, 0.0)
             z[i, j] = e[0] + rng.normal() * np.sqrt(s[0])
-        row, col = np.divmod(np.arange(ny * nx), nx)
-        return pd.DataFrame({"realisation": r, "row": row, "col": col, "score": z.ravel()})
-
-    return runs.groupBy("realisation").applyInPandas(lambda f: one(f), "realisation long, row int, col int, score double")
+        return frame.iloc[own][["realisation", "row", "col"]].assign(score=z[rows[own], cols[own]])
+
+    for k in range(4):
+        mine = turn(F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)) == k
+        laid = tiles(now, tile, window).where(turn(F.col("tr"), F.col("tc")) == k).where((F.col("tr") >= 0) & (F.col("tc") >= 0))
+        laid = laid.where((F.floor(F.col("row") / tile) == F.col("tr")) & (F.floor(F.col("col") / tile) == F.col("tc")) | F.col("score").isNotNull())
+        done = laid.groupBy("realisation", "tr", "tc").applyInPandas(one, "realisation long, row int, col int, score double")
+        now = checkpointed(now.where(~mine).unionByName(done))
+    return now

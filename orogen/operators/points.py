@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogen.functions.scalar import inverse_normal as quantile
+
 
 def scan(samples: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Samples with a place and a value; those closer than ``tolerance`` of the larger span are averaged under the least id."""
@@ -87,10 +86,6 @@ def normal_score(samples: DataFrame, buckets: int = 256, weight: str | None = No
 
 def inverse_normal(table: DataFrame, p: str, score: str) -> DataFrame:
     """``table`` with ``score``, the standard normal quantile of ``p``."""
-    @F.pandas_udf("double")
-    def quantile(values: pd.Series) -> pd.Series:
-        return values.map(NormalDist().inv_cdf, na_action="ignore")
-
     return table.withColumn(score, quantile(F.col(p).cast("double")))
 
 

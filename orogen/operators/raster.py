@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -104,6 +106,13 @@ def peaks(cells: DataFrame, radius: int, least_drop: float) -> DataFrame:
     return a.join(b, (F.col("a.z") == F.col("b.z")) & near & before, "left_anti")
 
 
+def extremes(cells: DataFrame, radius: int, least_drop: float) -> DataFrame:
+    """row, col, z, drop and kind of peaks and pits, the largest drops first; a pit is a peak of the surface upside down."""
+    down = peaks(cells.withColumn("z", -F.col("z")), radius, least_drop).withColumn("z", -F.col("z"))
+    both = peaks(cells, radius, least_drop).withColumn("kind", F.lit("peak")).union(down.withColumn("kind", F.lit("pit")))
+    return both.orderBy(F.desc("drop"), "row", "col")
+
+
 def cut_fill(before: DataFrame, after: DataFrame, cell: float, dead: float = 0.0) -> DataFrame:
     """cut and fill volumes, areas, largest and mean depth, flat area and cells without a difference; depths count beyond ``dead`` only."""
     both = before.select("row", "col", F.col("z").alias("z0")).join(after.select("row", "col", F.col("z").alias("z1")), ["row", "col"], "full")
@@ -168,19 +177,55 @@ def level_attraction(cells: DataFrame, base: float, interval: float, band: float
     return cells.where("z is not null").agg(F.count("*").alias("n"), (F.avg(near.cast("double")) / (2 * band)).alias("attraction"))
 
 
-def smooth_clamped(cells: DataFrame, ny: int, nx: int, limit: float, rounds: int) -> DataFrame:
-    """``rounds`` of (4 own + neighbours) / (4 + their number), each held within ``limit`` of the first height; nulls neither change nor spread."""
-    now = cells.select("row", "col", "z", F.col("z").alias("z0"))
-    for k in range(rounds):
-        s = now.withColumn("w", F.lag("z").over(along_row())).withColumn("e", F.lead("z").over(along_row())).withColumn("n", F.lag("z").over(along_col())).withColumn("s", F.lead("z").over(along_col()))
-        around = [F.col(c) for c in "wens"]
-        total = sum((F.coalesce(c, F.lit(0.0)) for c in around), 4 * F.col("z"))
-        count = sum((c.isNotNull().cast("int") for c in around), F.lit(4))
-        new = F.greatest(F.least(total / count, F.col("z0") + limit), F.col("z0") - limit)
-        now = s.select("row", "col", F.when(F.col("z").isNotNull(), new).alias("z"), "z0")
-        if k % 8 == 7:
-            now = checkpointed(now)
-    return now.select("row", "col", "z")
+def tiles(cells: DataFrame, tile: int, halo: int) -> DataFrame:
+    """Cells under every square tile (tr, tc) of ``tile`` cells that holds them or has them within ``halo`` cells of its edge."""
+    around = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + k) / tile).cast("int") for k in (-halo, 0, halo)]))
+    return cells.withColumn("tr", F.explode(around("row"))).withColumn("tc", F.explode(around("col")))
+
+
+def smooth_clamped(cells: DataFrame, ny: int, nx: int, interval: float, rounds: int = 50, band: float = 0.5, tile: int = 256) -> DataFrame:
+    """``rounds`` of (4 own + neighbours) / (4 + their number), each held within ``band`` contour intervals of the first height.
+
+    Nulls neither change nor spread. Beyond the frame's edge the surface goes on at its slope: the
+    neighbour there is twice the edge cell less the one inside, in height and in weight. A pass over tiles makes up to
+    16 rounds in a task, with as many cells around each tile, and is one shuffle.
+    """
+    if not interval > 0:
+        raise ValueError("the interval must be positive")
+    limit = band * interval
+    now = cells.select("row", "col", F.col("z").cast("double").alias("z"), F.col("z").cast("double").alias("z0"))
+    done = 0
+    while done < rounds:
+        halo = min(16, rounds - done)
+        done += halo
+
+        def smoothed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            r0, c0 = max(0, key[0] * tile - halo), max(0, key[1] * tile - halo)
+            r1, c1 = min(ny, (key[0] + 1) * tile + halo), min(nx, (key[1] + 1) * tile + halo)
+            z, first = np.full((r1 - r0, c1 - c0), np.nan), np.full((r1 - r0, c1 - c0), np.nan)
+            at = (frame["row"].to_numpy() - r0, frame["col"].to_numpy() - c0)
+            z[at], first[at] = frame["z"].to_numpy(float), frame["z0"].to_numpy(float)
+            known = np.isfinite(z)
+            z = np.where(known, z, 0.0)
+            weight = np.maximum(_around(known.astype(float)) + 4.0 * known, 1e-12)
+            for _ in range(halo):
+                z = np.where(known, np.clip((_around(z) + 4.0 * z) / weight, first - limit, first + limit), 0.0)
+            own = (frame["row"] // tile == key[0]) & (frame["col"] // tile == key[1])
+            return frame[own].assign(z=np.where(known[at], z[at], np.nan)[own.to_numpy()])[["row", "col", "z", "z0"]]
+
+        # Run at once, so the function's halo is this pass's.
+        now = checkpointed(tiles(now, tile, halo).groupBy("tr", "tc").applyInPandas(smoothed, now.schema))
+    return now.select("row", "col", F.when(~F.isnan("z"), F.col("z")).alias("z"))
+
+
+def _around(a: np.ndarray) -> np.ndarray:
+    """Sum of each cell's four neighbours; beyond an edge, twice the edge less the cell inside it."""
+    up, down, left, right = np.empty_like(a), np.empty_like(a), np.empty_like(a), np.empty_like(a)
+    up[1:], down[:-1], left[:, 1:], right[:, :-1] = a[:-1], a[1:], a[:, :-1], a[:, 1:]
+    rows, cols = len(a) > 1, a.shape[1] > 1
+    up[0], down[-1] = (2 * a[0] - a[1], 2 * a[-1] - a[-2]) if rows else (a[0], a[-1])
+    left[:, 0], right[:, -1] = (2 * a[:, 0] - a[:, 1], 2 * a[:, -1] - a[:, -2]) if cols else (a[:, 0], a[:, -1])
+    return up + down + left + right
 
 
 def contour_segments(cells: DataFrame, ny: int, nx: int, levels: list[float]) -> DataFrame:

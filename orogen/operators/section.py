@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orogen.functions.scalar import manning
+from orogen.functions.scalar import CURVATURE, TILT, manning, reduction
 
 
 def segments(vertices: DataFrame) -> DataFrame:
@@ -73,24 +73,58 @@ def level_for(curve: DataFrame, flows: DataFrame) -> DataFrame:
     return flows.join(got, ["sec", "flow"], "left")
 
 
-def deformations(profiles: DataFrame) -> DataFrame:
-    """Tilt of each interval and curvature at its start, of settlements (profile, d, settle) along profiles."""
+def deformations(profiles: DataFrame, reduce: bool = True) -> DataFrame:
+    """Tilt of each interval and curvature at its start, of settlements (profile, d, settle) along profiles.
+
+    With ``reduce`` they are brought to intervals of 15 m: tilts by their interval's length, curvatures, which
+    are differences of reduced tilts, by the mean of the two lengths. The ends of a profile have no curvature.
+    """
     w = Window.partitionBy("profile").orderBy("d")
-    s = profiles.withColumn("len", F.lead("d").over(w) - F.col("d")).withColumn("tilt", F.try_divide(F.lead("settle").over(w) - F.col("settle"), F.lead("d").over(w) - F.col("d")))
-    mean = 0.5 * (F.col("len") + F.lag("len").over(w))
-    return s.withColumn("curvature", F.try_divide(F.col("tilt") - F.lag("tilt").over(w), mean))
+    s = profiles.withColumn("len", F.lead("d").over(w) - F.col("d"))
+    tilt = F.when(F.col("len") > 0, F.try_divide(F.lead("settle").over(w) - F.col("settle"), F.col("len")))
+    s = s.withColumn("tilt", tilt * (reduction(F.col("len"), TILT) if reduce else 1.0))
+    s = s.withColumn("mean", 0.5 * (F.col("len") + F.lag("len").over(w)))
+    curvature = F.when(F.col("mean") > 0, F.try_divide(F.col("tilt") - F.lag("tilt").over(w), F.col("mean")))
+    return s.withColumn("curvature", curvature * (reduction(F.col("mean"), CURVATURE) if reduce else 1.0)).drop("mean")
+
+
+def _bed_findings(beds: DataFrame, zero: float, known: DataFrame | None) -> DataFrame:
+    """Beds with thickness ``m``, ``gap`` to the next bed, and whether they are thin, negative, known to be, or crossing."""
+    if known is not None:
+        marked = known.select("row", "col").distinct().withColumn("known", F.lit(True))
+        beds = beds.join(marked, ["row", "col"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    else:
+        beds = beds.withColumn("known", F.lit(False))
+    w = Window.partitionBy("row", "col").orderBy("rank")
+    beds = beds.withColumn("m", F.col("top") - F.col("bottom")).withColumn("gap", F.col("bottom") - F.lead("top").over(w))
+    negative = F.coalesce(F.col("m") < -abs(zero), F.lit(False))
+    return beds.select(
+        "row", "col", "rank", "m", "gap", "known",
+        F.coalesce(F.abs("m") <= zero, F.lit(False)).alias("thin"), negative.alias("negative"),
+        F.coalesce(F.col("gap") < -abs(zero), F.lit(False)).alias("crossing"),
+    )
 
 
-def stack_codes(beds: DataFrame, zero: float = 0.0) -> DataFrame:
-    """Of bed stacks (row, col, rank, top, bottom): the worst finding of each cell.
+def stack_codes(beds: DataFrame, zero: float = 0.0, known: DataFrame | None = None) -> DataFrame:
+    """Of bed stacks (row, col, rank, top, bottom; from the top down): each cell's worst finding, and the least gap between neighbours.
 
-    4 the bottom of a bed lies below the next bed's top, 3 known partly, 2 negative thickness, 1 no thickness, 0 none; the highest wins.
+    4 a negative thickness where ``known`` cells (row, col) tell that the stack is overturned, 3 the
+    bottom of a bed lies more than ``zero`` below the next bed's top (not in known cells), 2 a
+    negative thickness, 1 a thickness within ``zero`` of none, 0 none of these; the highest wins. Missing surfaces find nothing.
     """
-    w = Window.partitionBy("row", "col").orderBy("rank")
-    t = F.col("top") - F.col("bottom")
-    below = F.lead("top").over(w)
+    f = _bed_findings(beds, zero, known)
     code = F.greatest(
-        F.when(F.col("bottom") < below, 4).otherwise(0), F.when(F.col("top").isNull() != F.col("bottom").isNull(), 3).otherwise(0),
-        F.when(t < -zero, 2).otherwise(0), F.when(F.abs(t) <= zero, 1).otherwise(0),
+        F.when(F.col("negative") & F.col("known"), 4).otherwise(0), F.when(F.col("crossing") & ~F.col("known"), 3).otherwise(0),
+        F.when(F.col("negative"), 2).otherwise(0), F.when(F.col("thin"), 1).otherwise(0),
+    )
+    return f.groupBy("row", "col").agg(F.max(code).alias("code"), F.min("gap").alias("least_gap"))
+
+
+def stack_report(beds: DataFrame, zero: float = 0.0, known: DataFrame | None = None) -> DataFrame:
+    """For each bed (rank): cells with a thickness, thin, negative and known ones, extremes of thickness, and crossings of and the least gap to the next bed."""
+    f = _bed_findings(beds, zero, known)
+    return f.groupBy("rank").agg(
+        F.count("m").alias("n_valid"), F.count_if("thin").alias("n_zero"), F.count_if(F.col("negative") & ~F.col("known")).alias("n_neg"),
+        F.count_if(F.col("negative") & F.col("known")).alias("n_known"), F.min("m").alias("least"), F.max("m").alias("most"),
+        F.count("gap").alias("n_contact"), F.count_if(F.col("crossing") & ~F.col("known")).alias("n_cross"), F.min("gap").alias("least_gap"),
     )
-    return beds.withColumn("code", code).withColumn("gap", F.col("bottom") - below).groupBy("row", "col").agg(F.max("code").alias("code"), F.min("gap").alias("least_gap"))

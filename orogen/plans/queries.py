@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orogen.functions import scalar
 from orogen.functions.joins import rounded
 from orogen.operators import density, drill, flow, fractal, kriging, points, raster, section, variogram
-from orogen.plans.geometry import holes, intervals, profiles, raw_points, table, with_
+from orogen.plans.geometry import extent, holes, intervals, lattice, profiles, raw_points, side_of, table, with_
 from orogen.plans.geometry import points as pts
 from orogen.plans.geometry import raster as ras
 from orogen.session import ship
@@ -163,22 +163,71 @@ def kriging_cross_validation(spark, sf_dir):
 
 @query()
 def kriging_grid(spark, sf_dir):
-    targets = spark.range(2500).select("id", (F.col("id") % 50 * 20.0 + 10).alias("x"), (F.floor(F.col("id") / 50) * 20.0 + 10).alias("y"))
-    return kriging.krige(targets, pts(spark, sf_dir), SPHERICAL, 80.0)
+    return kriging.krige(lattice(spark, sf_dir, 20.0), pts(spark, sf_dir), SPHERICAL, 100.0)
 
 
 @query()
 def kriging_blocks(spark, sf_dir):
-    targets = spark.range(625).select("id", (F.col("id") % 25 * 40.0 + 20).alias("x"), (F.floor(F.col("id") / 25) * 40.0 + 20).alias("y"))
-    return kriging.krige(targets, pts(spark, sf_dir), SPHERICAL, 100.0, block=40.0, grid=4)
+    return kriging.krige(lattice(spark, sf_dir, 40.0), pts(spark, sf_dir), SPHERICAL, 100.0, block=40.0, grid=4)
+
+
+def fault_lines(spark, sf_dir):
+    """A fault for each nation: from the point of its number to the one seven numbers on."""
+    ends = pts(spark, sf_dir).where("id < 400 and id % 16 = 0").select((F.col("id") / 16).cast("int").alias("k"), "x", "y")
+    other = ends.select((F.col("k") - 7).alias("k"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return ends.join(other, "k").select(F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+
+
+@query()
+def kriging_with_faults(spark, sf_dir):
+    return kriging.krige(lattice(spark, sf_dir, 20.0), pts(spark, sf_dir), SPHERICAL, 100.0, faults=fault_lines(spark, sf_dir))
+
+
+@query()
+def kriging_local_anisotropy(spark, sf_dir):
+    turned = kriging.Model("spherical", 8_000_000.0, 120.0, 500_000.0, anisotropy=0.4)
+    fabric = pts(spark, sf_dir).withColumn("a", (F.col("x") / 8 + F.col("id") % 40).cast("double"))
+    return kriging.krige(lattice(spark, sf_dir, 40.0), fabric, turned, 100.0)
+
+
+@query()
+def external_drift_kriging(spark, sf_dir):
+    drift = lambda t: t.withColumn("s", F.sin(F.col("x") / 200) + F.col("y") / 1000)
+    return kriging.krige_with_drift(drift(lattice(spark, sf_dir, 40.0)), drift(pts(spark, sf_dir)), SPHERICAL, 100.0, degree=2)
+
+
+@query()
+def detrended_cross_validation(spark, sf_dir):
+    got = kriging.cross_validate_detrended(pts(spark, sf_dir), SPHERICAL, 2, 60.0).withColumn("se", F.sqrt("variance"))
+    return points.validation(got.where("estimate is not null"), "v", "estimate", "se")
+
+
+@query()
+def variogram_anisotropy(spark, sf_dir):
+    found = variogram.anisotropy(pts(spark, sf_dir), 15, 480.0)
+    return spark.createDataFrame([tuple(found.values())], "azimuth double, ratio double, major double, minor double, resolved boolean, capped boolean")
+
+
+VISIBLE = """ends AS (SELECT CAST(id / 16 AS INT) AS k, x, y FROM pts WHERE id < 400 AND id % 16 = 0),
+    fault AS (SELECT a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM ends a JOIN ends b ON b.k - 7 = a.k),
+    pair AS (SELECT a.id AS i, b.id AS j, a.x AS ax, a.y AS ay, b.x AS px, b.y AS py FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60
+        WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60)"""
+
+
+@query(with_("raw", "pts", VISIBLE) + """SELECT i AS id, count(*) AS n FROM pair WHERE NOT EXISTS (SELECT 1 FROM fault f WHERE
+        ((px - ax) * (y0 - ay) - (py - ay) * (x0 - ax)) * ((px - ax) * (y1 - ay) - (py - ay) * (x1 - ax)) < 0
+        AND ((x1 - x0) * (ay - y0) - (y1 - y0) * (ax - x0)) * ((x1 - x0) * (py - y0) - (y1 - y0) * (px - x0)) < 0) GROUP BY i""")
+def fault_visibility(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    pairs = kriging.near_join(p.select("id", "x", "y"), p.select("id", "x", "y"), 60.0).where("l_id <> r_id")
+    return kriging.blocked(pairs, fault_lines(spark, sf_dir), 60.0).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"))
 
 
 @query()
 def indicator_kriging(spark, sf_dir):
     p = raw_points(spark, sf_dir).groupBy("x", "y").agg(F.min("id").alias("id"), F.min("class").alias("class"))
     classes = [r["class"] for r in p.select("class").distinct().orderBy("class").collect()]
-    targets = spark.range(400).select("id", (F.col("id") % 20 * 50.0 + 25).alias("x"), (F.floor(F.col("id") / 20) * 50.0 + 25).alias("y"))
-    return kriging.indicators(targets, p, classes, {c: kriging.Model("spherical", 0.15, 150.0, 0.02) for c in classes}, 120.0)
+    return kriging.indicators(lattice(spark, sf_dir, 50.0), p, classes, {c: kriging.Model("spherical", 0.15, 150.0, 0.02) for c in classes}, 120.0)
 
 
 @query()
@@ -186,11 +235,23 @@ def gaussian_simulation(spark, sf_dir):
     samples = pts(spark, sf_dir)
     weighted = samples.join(points.decluster_sweep(samples, [100.0]).select("id", "weight"), "id")
     scored = points.inverse_normal(points.normal_score(weighted, weight="weight"), "p", "score").select("x", "y", "v", "score")
-    got = kriging.simulate(scored.select("x", "y", F.col("score").alias("v")), kriging.Model("spherical", 1.0, 150.0), 0.0, 0.0, 50.0, 20, 20, 4)
+    n = max(1, int(extent(spark, sf_dir) / 64))
+    got = kriging.simulate(scored.select("x", "y", F.col("score").alias("v")), kriging.Model("spherical", 1.0, 150.0), 0.0, 0.0, 64.0, n, n, 4)
     got = points.back_transform(got, "score", scored)
     return got.groupBy("row", "col").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.count("*").alias("n"))
 
 
+QUANTILE = """CASE WHEN p < 0.02425 THEN (((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838e+00) * q - 2.549732539343734e+00) * q + 4.374664141464968e+00) * q + 2.938163982698783e+00) / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996e+00) * q + 3.754408661907416e+00) * q + 1)
+    WHEN p > 1 - 0.02425 THEN -(((((-7.784894002430293e-03 * u - 3.223964580411365e-01) * u - 2.400758277161838e+00) * u - 2.549732539343734e+00) * u + 4.374664141464968e+00) * u + 2.938163982698783e+00) / ((((7.784695709041462e-03 * u + 3.224671290700398e-01) * u + 2.445134137142996e+00) * u + 3.754408661907416e+00) * u + 1)
+    ELSE (((((-3.969683028665376e+01 * r + 2.209460984245205e+02) * r - 2.759285104469687e+02) * r + 1.383577518672690e+02) * r - 3.066479806614716e+01) * r + 2.506628277459239e+00) * (p - 0.5) / (((((-5.447609879822406e+01 * r + 1.615858368580409e+02) * r - 1.556989798598866e+02) * r + 6.680131188771972e+01) * r - 1.328068155288572e+01) * r + 1) END"""
+
+
+@query(with_("raw", "pts", "s AS (SELECT id, (row_number() OVER (ORDER BY v, id) - 1 + 0.5) / (SELECT count(*) FROM pts) AS p FROM pts)", "t AS (SELECT id, p, sqrt(-2 * ln(p)) AS q, sqrt(-2 * ln(1 - p)) AS u, (p - 0.5) * (p - 0.5) AS r FROM s)")
+       + f"SELECT id, round({QUANTILE}, 7) + 0.0 AS score FROM t")
+def normal_scores(spark, sf_dir):
+    return rnd(points.inverse_normal(points.normal_score(pts(spark, sf_dir)), "p", "score").select("id", "score"), 7, "score")
+
+
 # ----- rasters ------------------------------------------------------------------------------
 
 
@@ -212,10 +273,15 @@ def profile_curvature(spark, sf_dir):
     return rnd(raster.profile_curvature(*framed(spark, sf_dir), 10.0), 7, "curvature")
 
 
-@query(with_("ras", "dim", "cells", "win AS (SELECT a.row, a.col, a.z, max(b.z) AS high, min(b.z) AS low FROM cells a JOIN cells b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY ALL)", "pk AS (SELECT * FROM win WHERE z >= high AND z - low >= 50)")
-       + "SELECT row, col, round(z, 6) + 0.0 AS z, round(z - low, 6) + 0.0 AS drop FROM pk a WHERE NOT EXISTS (SELECT 1 FROM pk b WHERE b.z = a.z AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (b.row < a.row OR (b.row = a.row AND b.col < a.col)))")
+def _peaks_sql(sign: str, kind: str) -> str:
+    return f"""w{kind} AS (SELECT a.row, a.col, {sign}a.z AS z, max({sign}b.z) AS high, min({sign}b.z) AS low FROM cells a JOIN cells b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY ALL),
+        p{kind} AS (SELECT * FROM w{kind} WHERE z >= high AND z - low >= 50),
+        {kind} AS (SELECT row, col, {sign}z AS z, z - low AS drop, '{kind}' AS kind FROM p{kind} a WHERE NOT EXISTS (SELECT 1 FROM p{kind} b WHERE b.z = a.z AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (b.row < a.row OR (b.row = a.row AND b.col < a.col))))"""
+
+
+@query(with_("ras", "dim", "cells", _peaks_sql("", "peak"), _peaks_sql("-", "pit")) + "SELECT row, col, round(z, 6) + 0.0 AS z, round(drop, 6) + 0.0 AS drop, kind FROM (SELECT * FROM peak UNION ALL SELECT * FROM pit)")
 def terrain_peaks(spark, sf_dir):
-    return rnd(raster.peaks(framed(spark, sf_dir)[0], 3, 50.0), 6, "z", "drop")
+    return rnd(raster.extremes(framed(spark, sf_dir)[0], 3, 50.0), 6, "z", "drop")
 
 
 @query(with_("ras", "rasf", "d AS (SELECT rasf.z - ras.z AS d FROM ras FULL JOIN rasf ON ras.row = rasf.row AND ras.col = rasf.col)")
@@ -232,19 +298,19 @@ def zone_statistics(spark, sf_dir):
     return rnd(rnd(rnd(raster.zone_stats(cells, zones), 3, "total"), 10, "mean"), 7, "least", "most")
 
 
-SAMPLED = """p AS (SELECT id, x / 10 AS x, y / 10 AS y, v FROM pts), c AS (SELECT id, v, CAST(floor(x - 0.5) AS INT) AS c0, CAST(floor(y - 0.5) AS INT) AS r0, x - 0.5 - floor(x - 0.5) AS tx, y - 0.5 - floor(y - 0.5) AS ty FROM p),
+SAMPLED = """p AS (SELECT id, x / 13 AS x, y / 13 AS y, v FROM pts), c AS (SELECT id, v, CAST(floor(x - 0.5) AS INT) AS c0, CAST(floor(y - 0.5) AS INT) AS r0, x - 0.5 - floor(x - 0.5) AS tx, y - 0.5 - floor(y - 0.5) AS ty FROM p),
     k AS (SELECT id, v, r0 + i AS row, c0 + j AS col, CASE WHEN i = 1 THEN ty ELSE 1 - ty END * CASE WHEN j = 1 THEN tx ELSE 1 - tx END AS k FROM c, range(0, 2) a(i), range(0, 2) b(j)),
     got AS (SELECT id, any_value(v) AS v, CASE WHEN count(z) = 4 THEN sum(z * k) END AS z FROM k LEFT JOIN ras ON ras.row = k.row AND ras.col = k.col GROUP BY id)"""
 
 
 @query(with_("raw", "pts", "ras", SAMPLED) + "SELECT id, round(z, 9) + 0.0 AS z FROM got")
 def raster_sampling(spark, sf_dir):
-    p = pts(spark, sf_dir).select("id", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"))
+    p = pts(spark, sf_dir).select("id", (F.col("x") / 13).alias("x"), (F.col("y") / 13).alias("y"))
     return rnd(raster.sample(p, ras(spark, sf_dir)).select("id", "z"), 9, "z")
 
 
 def residual_table(spark, sf_dir):
-    p = pts(spark, sf_dir).select("id", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), "v")
+    p = pts(spark, sf_dir).select("id", (F.col("x") / 13).alias("x"), (F.col("y") / 13).alias("y"), "v")
     return raster.sample(p, ras(spark, sf_dir)).select("id", (F.col("v") / 50 - F.col("z")).alias("residual"), (F.floor(F.col("v") / 1000) * 20.0).alias("level"))
 
 
@@ -272,17 +338,24 @@ def terracing_attraction(spark, sf_dir):
     return rnd(raster.level_attraction(ras(spark, sf_dir), 0.0, 20.0, 0.1), 6, "attraction")
 
 
-def _smooth_sql(rounds: int) -> str:
-    parts = ["t0 AS (SELECT row, col, z, z AS z0 FROM cells)"]
-    for k in range(1, rounds + 1):
-        parts.append(f"t{k} AS (SELECT m.row, m.col, CASE WHEN m.z IS NOT NULL THEN greatest(least((4 * m.z + coalesce(w.z, 0) + coalesce(e.z, 0) + coalesce(n.z, 0) + coalesce(s.z, 0)) / (4 + (w.z IS NOT NULL)::INT + (e.z IS NOT NULL)::INT + (n.z IS NOT NULL)::INT + (s.z IS NOT NULL)::INT), m.z0 + 8), m.z0 - 8) END AS z, m.z0 FROM t{k - 1} m LEFT JOIN t{k - 1} w ON w.row = m.row AND w.col = m.col - 1 LEFT JOIN t{k - 1} e ON e.row = m.row AND e.col = m.col + 1 LEFT JOIN t{k - 1} n ON n.col = m.col AND n.row = m.row - 1 LEFT JOIN t{k - 1} s ON s.col = m.col AND s.row = m.row + 1)")
-    return with_("ras", "dim", "cells", *parts) + f"SELECT row, col, round(z + 3.7e-10, 9) + 0.0 AS z FROM t{rounds}"
+SMOOTH = """t AS (SELECT 0 AS k, row, col, CAST(z AS DOUBLE) AS z, CAST(z AS DOUBLE) AS z0, ny, nx FROM cells, dim
+    UNION ALL SELECT k + 1, row, col, CASE WHEN z IS NULL THEN NULL ELSE greatest(least((4 * z
+            + CASE WHEN col = 0 THEN 2 * z - coalesce(e, 0) ELSE coalesce(w, 0) END + CASE WHEN col = nx - 1 THEN 2 * z - coalesce(w, 0) ELSE coalesce(e, 0) END
+            + CASE WHEN row = 0 THEN 2 * z - coalesce(s, 0) ELSE coalesce(n, 0) END + CASE WHEN row = ny - 1 THEN 2 * z - coalesce(n, 0) ELSE coalesce(s, 0) END)
+        / (4 + CASE WHEN col = 0 THEN 2 - (e IS NOT NULL)::INT ELSE (w IS NOT NULL)::INT END + CASE WHEN col = nx - 1 THEN 2 - (w IS NOT NULL)::INT ELSE (e IS NOT NULL)::INT END
+            + CASE WHEN row = 0 THEN 2 - (s IS NOT NULL)::INT ELSE (n IS NOT NULL)::INT END + CASE WHEN row = ny - 1 THEN 2 - (n IS NOT NULL)::INT ELSE (s IS NOT NULL)::INT END), z0 + 8), z0 - 8) END, z0, ny, nx
+        FROM (SELECT *, lag(z) OVER a AS w, lead(z) OVER a AS e, lag(z) OVER b AS n, lead(z) OVER b AS s FROM t WHERE k < 50
+            WINDOW a AS (PARTITION BY k, row ORDER BY col), b AS (PARTITION BY k, col ORDER BY row)))"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query(_smooth_sql(4))
+@query(_recursive(with_("ras", "dim", "cells", SMOOTH)) + "SELECT row, col, round(z + 3.7e-9, 8) + 0.0 AS z FROM t WHERE k = 50")
 def clamped_smoothing(spark, sf_dir):
-    # Eighths of decimals often end in 5; the shift keeps them off rounding midpoints, here and in the SQL.
-    return rnd(raster.smooth_clamped(*framed(spark, sf_dir), 8.0, 4).withColumn("z", F.col("z") + 3.7e-10), 9, "z")
+    # The shift keeps decimals off rounding midpoints, here and in the SQL.
+    return rnd(raster.smooth_clamped(*framed(spark, sf_dir), 16.0).withColumn("z", F.col("z") + 3.7e-9), 8, "z")
 
 
 @query(with_("ras", "dim", "cells", OPEN, "m AS (SELECT v.level, (z >= level)::INT * 8 + (e >= level)::INT * 4 + (se >= level)::INT * 2 + (s >= level)::INT AS k FROM s, (SELECT unnest([100.0, 150.0, 200.0]::DOUBLE[]) AS level) v WHERE z IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL AND se IS NOT NULL)")
@@ -308,10 +381,6 @@ D8 = """o AS (SELECT row * nx + col AS cell, u.k, (row + u.dr) * nx + col + u.dc
 WAYS = "ways AS (SELECT cell AS src, cell AS here FROM flow UNION ALL SELECT w.src, f.down FROM ways w JOIN flow f ON f.cell = w.here WHERE f.down IS NOT NULL)"
 
 
-def _recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query(with_("ras", "dim", "cells", OPEN, D8) + "SELECT cell, down, code FROM flow")
 def d8_receivers(spark, sf_dir):
     return flow.receivers(*framed(spark, sf_dir))
@@ -327,11 +396,84 @@ def drainage_basins(spark, sf_dir):
     return flow.basins(flow.receivers(*framed(spark, sf_dir)))
 
 
+NET = """acc AS (SELECT here AS cell, count(*) AS acc FROM ways GROUP BY here), net AS (SELECT flow.cell, flow.down, acc.acc FROM flow JOIN acc ON acc.cell = flow.cell WHERE acc.acc >= 3),
+    deg AS (SELECT a.cell, count(b.cell) AS deg FROM net a LEFT JOIN net b ON b.down = a.cell GROUP BY a.cell)"""
+LINKS = """chain AS (SELECT n.cell AS link, n.cell, 0 AS dist FROM net n JOIN deg ON deg.cell = n.cell WHERE deg <> 1
+        UNION ALL SELECT c.link, n.down, c.dist + 1 FROM chain c JOIN net n ON n.cell = c.cell JOIN deg ON deg.cell = n.down WHERE deg.deg = 1),
+    tail AS (SELECT link, cell, dist FROM chain QUALIFY row_number() OVER (PARTITION BY link ORDER BY dist DESC) = 1),
+    lnk AS (SELECT t.link, coalesce(m.cell, t.cell) AS "end", t.dist + 1 + (m.cell IS NOT NULL)::INT AS n_cells, coalesce(m.acc, n.acc) AS acc_out FROM tail t JOIN net n ON n.cell = t.cell LEFT JOIN net m ON m.cell = n.down)"""
+
+
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, WAYS, NET, LINKS)) + 'SELECT link, "end", CAST(n_cells AS BIGINT) AS n_cells, acc_out FROM lnk WHERE n_cells >= 2')
+def river_links(spark, sf_dir):
+    down = flow.receivers(*framed(spark, sf_dir))
+    return flow.river_network(down, flow.accumulation(down), 3).select("link", "end", F.col("n_cells").cast("long").alias("n_cells"), "acc_out")
+
+
+# Orders as nested sums over the tree above each link: a link's order is the least k for which fewer than two separate ways of order k enter.
 @query()
 def stream_orders(spark, sf_dir):
+    down = flow.receivers(*framed(spark, sf_dir))
+    return flow.strahler(down, flow.accumulation(down).where("acc >= 3"))
+
+
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND w.cell % 11 <> 0)")) + "SELECT start, step, cell FROM way")
+def flow_lines(spark, sf_dir):
+    down = flow.receivers(*framed(spark, sf_dir))
+    return flow.trace(down, down.where("cell % 37 = 5").select("cell"), down.where("cell % 11 = 0").select("cell"))
+
+
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND w.cell % 11 <> 0)",
+       "zz AS (SELECT CAST(row * nx + col AS BIGINT) AS cell, row, col, z, ny, nx FROM cells, dim)", "st AS (SELECT start, step, zz.*, lag(row) OVER (PARTITION BY start ORDER BY step) AS r, lag(col) OVER (PARTITION BY start ORDER BY step) AS c FROM way JOIN zz ON zz.cell = way.cell)",
+       "e AS (SELECT start, count(*) AS cells, coalesce(sum(sqrt(pow(row - r, 2) + pow(col - c, 2)) * 10), 0) AS length, min_by(z, step) - max_by(z, step) AS drop, max_by(st.cell, step) AS cell, max_by(row IN (0, ny - 1) OR col IN (0, nx - 1), step) AS edge FROM st GROUP BY start)"))
+       + "SELECT start, cells, round(length, 6) AS length, round(drop, 6) + 0.0 AS drop, round(CASE WHEN length > 0 THEN drop / length ELSE 0 END, 6) + 0.0 AS slope, CASE WHEN e.cell % 11 = 0 THEN 'receiver' WHEN edge THEN 'edge' ELSE 'sink' END AS reason FROM e")
+def flow_line_metrics(spark, sf_dir):
     cells, ny, nx = framed(spark, sf_dir)
     down = flow.receivers(cells, ny, nx)
-    return flow.strahler(down, flow.accumulation(down).where("acc >= 3"))
+    stop = down.where("cell % 11 = 0").select("cell")
+    ways = flow.trace(down, down.where("cell % 37 = 5").select("cell"), stop)
+    return rnd(flow.trace_metrics(ways, cells, down, ny, nx, 10.0, stop), 6, "length", "drop", "slope")
+
+
+@query()
+def filled_surface(spark, sf_dir):
+    return flow.fill(*framed(spark, sf_dir))
+
+
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, WAYS, "acc AS (SELECT here AS cell, count(*) AS acc FROM ways GROUP BY here)",
+       "p AS (SELECT k AS id, CAST((k * 7) % ny AS INT) AS row, CAST((k * 13) % nx AS INT) AS col, nx FROM dim, range(0, 40) r(k))", "near AS (SELECT p.id, acc.cell, acc.acc FROM p JOIN acc ON abs(acc.cell // nx - p.row) <= 3 AND abs(acc.cell % nx - p.col) <= 3)"))
+       + "SELECT CAST(id AS BIGINT) AS id, cell FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY acc DESC, cell) = 1")
+def gauge_snapping(spark, sf_dir):
+    cells, ny, nx = framed(spark, sf_dir)
+    down = flow.receivers(cells, ny, nx)
+    p = spark.range(40).select("id", (F.col("id") * 7 % ny).cast("int").alias("row"), (F.col("id") * 13 % nx).cast("int").alias("col"))
+    return flow.snap(p, flow.accumulation(down), ny, nx, 3)
+
+
+GAUGE = """acc AS (SELECT here AS cell, count(*) AS acc FROM ways GROUP BY here), seed AS (SELECT cell AS seed FROM acc WHERE acc >= 12 AND cell IN (SELECT cell FROM flow WHERE down IS NULL)),
+    zz AS (SELECT CAST(row * nx + col AS BIGINT) AS cell, row, col, z, nx FROM cells, dim),
+    area AS (SELECT s.seed, zz.*, acc.acc, flow.down FROM ways w JOIN seed s ON s.seed = w.here JOIN zz ON zz.cell = w.src JOIN acc ON acc.cell = w.src JOIN flow ON flow.cell = w.src),
+    base AS (SELECT seed, count(*) AS cells, count(*) * 100.0 / 1e6 AS area_km2, avg(z) AS z_mean, min(z) AS z_min, max(z) AS z_max, max(CASE WHEN cell = seed THEN z END) AS z_gauge FROM area GROUP BY seed),
+    iso AS (SELECT a.seed, count(*) * 10.0 AS iso FROM area a JOIN area b ON b.seed = a.seed AND ((b.row = a.row AND b.col = a.col + 1) OR (b.col = a.col AND b.row = a.row + 1)) WHERE floor(a.z / 20.0) <> floor(b.z / 20.0) GROUP BY a.seed),
+    stp AS (SELECT a.seed, a.cell, sqrt(pow(a.down // nx - a.cell // nx, 2) + pow(a.down % nx - a.cell % nx, 2)) * 10 AS step FROM area a WHERE a.acc >= 3 AND a.down IS NOT NULL AND EXISTS (SELECT 1 FROM area b WHERE b.seed = a.seed AND b.cell = a.down AND b.acc >= 3)),
+    netl AS (SELECT seed, sum(step) / 1000 AS net FROM stp GROUP BY seed),
+    feed AS (SELECT cell, down, row_number() OVER (PARTITION BY down ORDER BY acc DESC, CASE WHEN cell // nx = down // nx THEN CASE WHEN cell % nx > down % nx THEN 0 ELSE 4 END WHEN cell // nx > down // nx THEN CASE WHEN cell % nx > down % nx THEN 1 WHEN cell % nx = down % nx THEN 2 ELSE 3 END ELSE CASE WHEN cell % nx < down % nx THEN 5 WHEN cell % nx = down % nx THEN 6 ELSE 7 END END) AS k FROM area WHERE down IS NOT NULL),
+    up AS (SELECT seed, seed AS cell, 0 AS step FROM seed UNION ALL SELECT u.seed, f.cell, u.step + 1 FROM up u JOIN feed f ON f.down = u.cell AND f.k = 1),
+    wayl AS (SELECT up.seed, up.step, a.z, CASE WHEN up.step > 0 THEN sqrt(pow(a.down // nx - a.cell // nx, 2) + pow(a.down % nx - a.cell % nx, 2)) * 10 ELSE 0 END AS m FROM up JOIN area a ON a.seed = up.seed AND a.cell = up.cell),
+    main AS (SELECT seed, sum(m) AS length, max_by(z, step) - min_by(z, step) AS fall FROM wayl GROUP BY seed)"""
+
+
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, WAYS, GAUGE))
+       + "SELECT b.seed, b.cells, round(area_km2, 8) AS area_km2, round(z_mean + 3.7e-8, 6) AS z_mean, round(z_min, 6) AS z_min, round(z_max, 6) AS z_max, round(z_gauge, 6) AS z_gauge, round(iso / 1000, 6) AS sp_iso_km, round(20.0 * iso / (2 * b.cells * 100.0) * 1000, 4) AS sp_slope_ppm, round(coalesce(net, 0), 6) AS net_km, round(length / 1000, 6) AS stream_km, round(fall, 6) AS stream_fall_m, round(fall / length * 1000, 4) AS stream_ppm FROM base b JOIN iso ON iso.seed = b.seed LEFT JOIN netl ON netl.seed = b.seed LEFT JOIN main ON main.seed = b.seed AND length > 0")
+def gauge_reports(spark, sf_dir):
+    cells, ny, nx = framed(spark, sf_dir)
+    down = flow.receivers(cells, ny, nx)
+    acc = flow.accumulation(down)
+    seeds = acc.where("acc >= 12").join(down.where("down is null"), "cell").select("cell")
+    got = flow.gauge_report(cells, down, acc, seeds, ny, nx, 10.0, 20.0, 3)
+    got = got.select("seed", "cells", "area_km2", "z_mean", "z_min", "z_max", "z_gauge", "sp_iso_km", "sp_slope_ppm", "net_km", "stream_km", "stream_fall_m", "stream_ppm")
+    got = got.withColumn("z_mean", F.col("z_mean") + 3.7e-8)  # off rounding midpoints
+    return rnd(rnd(rnd(got, 8, "area_km2"), 6, "z_mean", "z_min", "z_max", "z_gauge", "sp_iso_km", "net_km", "stream_km", "stream_fall_m"), 4, "sp_slope_ppm", "stream_ppm")
 
 
 # ----- boreholes ----------------------------------------------------------------------------
@@ -421,11 +563,39 @@ def level_for_flow(spark, sf_dir):
     return rnd(rnd(section.level_for(curve, flows), 2, "flow"), 3, "level")
 
 
-@query(with_("pro", "t AS (SELECT sec, seq, lead(d) OVER w - d AS len, (lead(z) OVER w - z) / nullif(lead(d) OVER w - d, 0) AS tilt FROM pro WINDOW w AS (PARTITION BY sec ORDER BY d))")
-       + "SELECT sec AS profile, seq, round(tilt, 8) + 0.0 AS tilt, round((tilt - lag(tilt) OVER w) / nullif(0.5 * (len + lag(len) OVER w), 0), 8) + 0.0 AS curvature FROM t WINDOW w AS (PARTITION BY sec ORDER BY seq)")
-def subsidence_profile(spark, sf_dir):
+SUBSIDE = """q AS (SELECT sec, seq, d, lead(d) OVER w - d AS len, (lead(z) OVER w - z) / nullif(lead(d) OVER w - d, 0) AS slope FROM pro WINDOW w AS (PARTITION BY sec ORDER BY d)),
+    t AS (SELECT *, slope * (1 + 0.1414 * sqrt(least(greatest(len, 15.0), 45.0) / 15 - 1)) AS tilt FROM q),
+    k AS (SELECT *, 0.5 * (len + lag(len) OVER w) AS mean, tilt - lag(tilt) OVER w AS dt FROM t WINDOW w AS (PARTITION BY sec ORDER BY d)),
+    kk AS (SELECT sec, seq, tilt, dt / mean * (1 + 0.1768 * sqrt(least(greatest(mean, 15.0), 45.0) / 15 - 1)) AS curvature FROM k)"""
+
+
+def deformed(spark, sf_dir):
     p = profiles(spark, sf_dir).select(F.col("sec").alias("profile"), "seq", "d", F.col("z").alias("settle"))
-    return rnd(section.deformations(p).select("profile", "seq", "tilt", "curvature"), 8, "tilt", "curvature")
+    return section.deformations(p).select("profile", "seq", "tilt", "curvature")
+
+
+@query(with_("pro", SUBSIDE) + "SELECT sec AS profile, seq, round(tilt, 8) + 0.0 AS tilt, round(curvature, 8) + 0.0 AS curvature FROM kk")
+def subsidence_profile(spark, sf_dir):
+    return rnd(deformed(spark, sf_dir), 8, "tilt", "curvature")
+
+
+@query(with_("pro", SUBSIDE, "e AS (SELECT sec, seq, curvature / 1e6 AS c FROM kk WHERE curvature IS NOT NULL)")
+       + "SELECT sec AS profile, seq, round(0.05 * CASE WHEN abs(c) / 1e-4 < 1 THEN 1 + 1.8 * pow(1 - abs(c) / 1e-4, 3.8) ELSE 1 END * c * (1 / tan(radians(55.0)) + 1 / tan(radians(55.0))) * 300, 10) + 0.0 AS strain FROM e")
+def horizontal_strain(spark, sf_dir):
+    found = deformed(spark, sf_dir).where("curvature is not null")
+    strain = scalar.strain(F.col("curvature") / 1e6, scalar.half_trough(F.lit(300.0)))
+    return found.select("profile", "seq", rounded(strain, 10).alias("strain"))
+
+
+def _trough_sql() -> str:
+    nodes, slopes = scalar.TROUGH, scalar._monotone_slopes(scalar.TROUGH, 0.05)
+    return f"""n AS (SELECT id, CAST(least(greatest((x - 200) / 500, 0.0), 1.0) AS DOUBLE) AS z FROM raw), i AS (SELECT *, CAST(least(floor(round(z / 0.05, 9)), 19) AS INT) AS k FROM n),
+        v AS (SELECT *, (z - k * 0.05) / 0.05 AS t, {nodes}::DOUBLE[] AS y, {slopes}::DOUBLE[] AS m FROM i)"""
+
+
+@query(with_("raw", _trough_sql()) + "SELECT id, round((2 * t + 1) * (1 - t) * (1 - t) * y[k + 1] + t * (1 - t) * (1 - t) * 0.05 * m[k + 1] + t * t * (3 - 2 * t) * y[k + 2] + t * t * (t - 1) * 0.05 * m[k + 2], 9) + 0.0 AS s FROM v")
+def trough_settlement(spark, sf_dir):
+    return raw_points(spark, sf_dir).select("id", rounded(scalar.trough_shape((F.col("x") - 200) / 500), 9).alias("s"))
 
 
 SEGMENTS = "ver AS (SELECT CAST(zone AS INT) AS line, id AS seq, x, y FROM raw), seg AS (SELECT * FROM (SELECT line, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ver WINDOW w AS (PARTITION BY line ORDER BY seq)) WHERE x1 IS NOT NULL), len AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS length FROM seg), st AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d0 FROM len)"
@@ -458,31 +628,49 @@ def apparent_dips(spark, sf_dir):
     return raw_points(spark, sf_dir).select("id", rounded(scalar.apparent_dip(F.col("zone") * 3.0, F.col("x"), F.col("y")), 6).alias("slope"))
 
 
-STACK = "bed AS (SELECT CAST((o_orderkey % 10000) // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col, CAST(o_orderkey // 10000 AS INT) AS rank, CASE WHEN o_custkey % 11 <> 0 THEN CAST(100 - o_orderkey // 10000 * 10 + o_custkey % 7 AS DOUBLE) END AS top, CASE WHEN o_custkey % 13 <> 0 THEN CAST(100 - o_orderkey // 10000 * 10 - o_custkey % 5 AS DOUBLE) END AS bottom FROM orders), b AS (SELECT *, lead(top) OVER (PARTITION BY row, col ORDER BY rank) AS below FROM bed)"
+STACK = """rside AS (SELECT CAST(ceil(sqrt((max(o_orderkey) + 1) * (1 / 1.5))) AS BIGINT) AS w FROM orders),
+    bed AS (SELECT CAST((o_orderkey // 3) // w AS INT) AS row, CAST((o_orderkey // 3) % w AS INT) AS col, CAST(o_orderkey % 3 AS INT) AS rank,
+        CASE WHEN o_custkey % 11 <> 0 THEN CAST(100 - o_orderkey % 3 * 10 + o_custkey % 7 AS DOUBLE) END AS top,
+        CASE WHEN o_custkey % 19 <> 0 THEN CAST(103 - o_orderkey % 3 * 10 - o_custkey % 13 AS DOUBLE) END AS bottom FROM orders, rside),
+    b AS (SELECT *, (row * 3 + col) % 17 = 0 AS known, top - bottom AS m, bottom - lead(top) OVER (PARTITION BY row, col ORDER BY rank) AS gap FROM bed),
+    f AS (SELECT *, coalesce(abs(m) <= 0.5, false) AS thin, coalesce(m < -0.5, false) AS neg, coalesce(gap < -0.5, false) AS crossing FROM b)"""
 
 
-@query(with_(STACK) + "SELECT row, col, max(greatest(CASE WHEN bottom < below THEN 4 ELSE 0 END, CASE WHEN (top IS NULL) <> (bottom IS NULL) THEN 3 ELSE 0 END, CASE WHEN top - bottom < 0 THEN 2 ELSE 0 END, CASE WHEN abs(top - bottom) <= 0 THEN 1 ELSE 0 END)) AS code, min(bottom - below) AS least_gap FROM b GROUP BY row, col")
-def bed_stack_check(spark, sf_dir):
+def bed_stack(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    w = side_of(rows, "o_orderkey", 1 / 1.5)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    flat, rank = k % 10000, F.floor(k / 10000).cast("int")
-    beds = table(spark, sf_dir, "orders").select(F.floor(flat / 100).cast("int").alias("row"), (flat % 100).cast("int").alias("col"), rank.alias("rank"), F.when(c % 11 != 0, (100 - rank * 10 + c % 7).cast("double")).alias("top"), F.when(c % 13 != 0, (100 - rank * 10 - c % 5).cast("double")).alias("bottom"))
-    return section.stack_codes(beds)
+    cell, rank = F.floor(k / 3), (k % 3).cast("int")
+    top, bottom = (100 - rank * 10 + c % 7).cast("double"), (103 - rank * 10 - c % 13).cast("double")
+    beds = rows.select(F.floor(cell / w).cast("int").alias("row"), (cell % w).cast("int").alias("col"), rank.alias("rank"), F.when(c % 11 != 0, top).alias("top"), F.when(c % 19 != 0, bottom).alias("bottom"))
+    return beds, beds.where((F.col("row") * 3 + F.col("col")) % 17 == 0).select("row", "col").distinct()
 
 
-# ----- density and fractals -----------------------------------------------------------------
+@query(with_(STACK) + "SELECT row, col, max(greatest(CASE WHEN neg AND known THEN 4 ELSE 0 END, CASE WHEN crossing AND NOT known THEN 3 ELSE 0 END, CASE WHEN neg THEN 2 ELSE 0 END, CASE WHEN thin THEN 1 ELSE 0 END)) AS code, min(gap) AS least_gap FROM f GROUP BY row, col")
+def bed_stack_check(spark, sf_dir):
+    beds, known = bed_stack(spark, sf_dir)
+    return section.stack_codes(beds, 0.5, known)
+
 
+@query(with_(STACK) + "SELECT rank, count(m) AS n_valid, count(*) FILTER (WHERE thin) AS n_zero, count(*) FILTER (WHERE neg AND NOT known) AS n_neg, count(*) FILTER (WHERE neg AND known) AS n_known, min(m) AS least, max(m) AS most, count(gap) AS n_contact, count(*) FILTER (WHERE crossing AND NOT known) AS n_cross, min(gap) AS least_gap FROM f GROUP BY rank")
+def bed_stack_report(spark, sf_dir):
+    beds, known = bed_stack(spark, sf_dir)
+    return section.stack_report(beds, 0.5, known)
 
-GRID = density.Grid(0.0, 0.0, 50.0, 20, 20)
 
+# ----- density and fractals -----------------------------------------------------------------
 
-@query(with_("raw", "src AS (SELECT id, x, y, abs(v) AS mass, greatest(20.0 + zone, 25.0) AS s FROM raw)", "c AS (SELECT id, mass, s, r.r AS row, c.c AS col, exp(-(pow((c.c + 0.5) * 50 - x, 2) + pow((r.r + 0.5) * 50 - y, 2)) / (2 * s * s)) AS k FROM src, range(0, 20) r(r), range(0, 20) c(c) WHERE (c.c + 0.5) * 50 BETWEEN x - 3 * s AND x + 3 * s AND (r.r + 0.5) * 50 BETWEEN y - 3 * s AND y + 3 * s)", "n AS (SELECT *, k / sum(k) OVER (PARTITION BY id) AS share FROM c)")
+
+@query(with_("raw", "g AS (SELECT CAST(ceil(s * 32 / 50.0) AS BIGINT) AS n FROM side)", "src AS (SELECT id, x, y, abs(v) AS mass, greatest(20.0 + zone, 25.0) AS s FROM raw)", "c AS (SELECT id, mass, src.s, r.r AS row, c.c AS col, exp(-(pow((c.c + 0.5) * 50 - x, 2) + pow((r.r + 0.5) * 50 - y, 2)) / (2 * src.s * src.s)) AS k FROM src, g, range(0, g.n) r(r), range(0, g.n) c(c) WHERE (c.c + 0.5) * 50 BETWEEN x - 3 * src.s AND x + 3 * src.s AND (r.r + 0.5) * 50 BETWEEN y - 3 * src.s AND y + 3 * src.s)", "n AS (SELECT *, k / sum(k) OVER (PARTITION BY id) AS share FROM c)")
        + "SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(sum(mass * share) / 0.0025, 2) AS density, round(sum(mass * share * s) / sum(mass * share), 4) AS sigma FROM n GROUP BY row, col")
 def point_density(spark, sf_dir):
+    n = -int(-extent(spark, sf_dir) // 50.0)
+    grid = density.Grid(0.0, 0.0, 50.0, n, n)
     src = raw_points(spark, sf_dir).select("id", "x", "y", F.abs("v").alias("mass"), (20.0 + F.col("zone")).alias("sigma"))
-    return rnd(rnd(density.finalise(density.points(src, GRID), GRID), 2, "density"), 4, "sigma")
+    return rnd(rnd(density.finalise(density.points(src, grid), grid), 2, "density"), 4, "sigma")
 
 
-@query(with_("ras", "dim", "m AS (SELECT row, col FROM ras WHERE z > 150)", "b AS (SELECT size, count(DISTINCT (row // size, col // size)) AS n FROM m, dim, (SELECT unnest([1, 2, 4, 8]) AS size) z WHERE size <= greatest(1, least(ny, nx) // 8) AND row < ny - ny % size AND col < nx - nx % size GROUP BY size)")
+@query(with_("ras", "dim", "m AS (SELECT row, col FROM ras WHERE z > 150)", "b AS (SELECT size, count(DISTINCT (row // size, col // size)) AS n FROM m, dim, (SELECT unnest([2, 4, 8, 16, 32, 64, 128]) AS size) z WHERE size <= greatest(2, least(ny, nx) // 8) AND row < ny - ny % size AND col < nx - nx % size GROUP BY size)")
        + "SELECT CAST(size AS INT) AS size, n FROM b WHERE n > 4")
 def box_counting(spark, sf_dir):
     cells = ras(spark, sf_dir)
@@ -494,15 +682,30 @@ def minkowski_counting(spark, sf_dir):
     return fractal.minkowski_counts(raw_points(spark, sf_dir), [10.0, 20.0, 40.0, 80.0], [(0.0, 0.0), (0.25, 0.5), (0.5, 0.75)])
 
 
-@query(with_("ras", "dim", "cells", "d AS (SELECT a.row, a.col, h.h, (pow(b.z - a.z, 2)) AS d FROM cells a, range(1, 5) h(h) JOIN cells b ON (b.row = a.row AND b.col = a.col + h.h) OR (b.col = a.col AND b.row = a.row + h.h) WHERE a.z IS NOT NULL AND b.z IS NOT NULL)", "per AS (SELECT row, col, h, sum(d) AS s, count(*) AS n FROM d GROUP BY ALL)", "w AS (SELECT m.row, m.col, p.h, sum(p.s) AS s, sum(p.n) AS n FROM cells m JOIN per p ON abs(p.row - m.row) <= 4 AND abs(p.col - m.col) <= 4 GROUP BY ALL HAVING sum(p.n) >= 32 AND sum(p.s) > 0)", "f AS (SELECT row, col, regr_slope(ln(s / (2 * n)), ln(CAST(h AS DOUBLE))) AS b, count(*) AS k FROM w GROUP BY row, col HAVING count(*) >= 2)")
-       + "SELECT row, col, round(3 - b / 2, 5) AS dimension FROM f")
+DIMENSION = """d AS (SELECT a.row, a.col, h.h, pow(b.z - a.z, 2) AS d FROM cells a, range(1, 5) h(h), (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dr, dc) JOIN cells b ON b.row = a.row + s.dr * h.h AND b.col = a.col + s.dc * h.h WHERE a.z IS NOT NULL AND b.z IS NOT NULL),
+    per AS (SELECT row, col, h, sum(d) AS s, count(*) AS n FROM d GROUP BY ALL),
+    win AS (SELECT m.row, m.col, p.h, sum(p.s) AS s, sum(p.n) AS n FROM cells m JOIN per p ON abs(p.row - m.row) <= 4 AND abs(p.col - m.col) <= 4 WHERE m.z IS NOT NULL GROUP BY ALL HAVING sum(p.n) >= 32 AND sum(p.s) > 0),
+    f AS (SELECT row, col, regr_slope(ln(s / (2 * n)), ln(CAST(h AS DOUBLE))) AS b FROM win GROUP BY row, col HAVING count(*) = 4)"""
+
+
+@query(with_("ras", "dim", "cells", DIMENSION) + "SELECT row, col, round(least(greatest(3 - b / 2, 2), 3), 5) AS dimension, round(least(greatest(b / 2, 0), 1), 5) + 0.0 AS hurst FROM f")
 def fractal_dimension_map(spark, sf_dir):
-    return rnd(fractal.dimension_map(framed(spark, sf_dir)[0], 4), 5, "dimension")
+    return rnd(fractal.dimension_map(framed(spark, sf_dir)[0], 4), 5, "dimension", "hurst")
 
 
-@query()
+FOLD = """o AS (SELECT CAST(unnest(range(-8, 9)) AS INT) AS o),
+    rr AS (SELECT DISTINCT m.row AS r, o.o, CASE WHEN m.row + o.o < 0 THEN -(m.row + o.o) WHEN m.row + o.o >= ny THEN 2 * (ny - 1) - m.row - o.o ELSE m.row + o.o END AS src FROM cells m, dim, o),
+    cc AS (SELECT DISTINCT m.col AS c, o.o, CASE WHEN m.col + o.o < 0 THEN -(m.col + o.o) WHEN m.col + o.o >= nx THEN 2 * (nx - 1) - m.col - o.o ELSE m.col + o.o END AS src FROM cells m, dim, o),
+    wz AS (SELECT unnest([2, 4, 8]) AS h),
+    s1 AS (SELECT h, cells.row AS srow, c AS col, count(z) AS k, sum(cells.col) FILTER (WHERE z IS NOT NULL) AS x, sum(z) AS z, sum(cells.col * cells.col) FILTER (WHERE z IS NOT NULL) AS xx, sum(cells.col * z) AS xz, sum(z * z) AS zz FROM wz JOIN cc ON abs(o) <= h JOIN cells ON cells.col = cc.src GROUP BY ALL),
+    s2 AS (SELECT s1.h, r AS row, col, sum(k) AS k, sum(x) AS x, sum(k * srow) AS y, sum(z) AS z, sum(xx) AS xx, sum(k * srow * srow) AS yy, sum(x * srow) AS xy, sum(xz) AS xz, sum(z * srow) AS yz, sum(zz) AS zz FROM s1 JOIN rr ON abs(rr.o) <= s1.h AND rr.src = s1.srow GROUP BY ALL),
+    mo AS (SELECT h, row, col, k, xx - x * x / k AS xx, yy - y * y / k AS yy, xy - x * y / k AS xy, xz - x * z / k AS xz, yz - y * z / k AS yz, zz - z * z / k AS zz FROM s2 WHERE k >= 4),
+    va AS (SELECT mo.h, mo.row, mo.col, greatest(1e-12, greatest(0, CASE WHEN abs(xx * yy - xy * xy) > 1e-9 THEN zz - (xz * yy - yz * xy) / (xx * yy - xy * xy) * xz - (yz * xx - xz * xy) / (xx * yy - xy * xy) * yz ELSE zz END) / k) AS v FROM mo JOIN cells ON cells.row = mo.row AND cells.col = mo.col AND cells.z IS NOT NULL)"""
+
+
+@query(with_("ras", "dim", "cells", FOLD) + "SELECT row, col, round(regr_slope(ln(v), ln(2.0 * h + 1)), 5) + 0.0 AS slope FROM va GROUP BY row, col HAVING count(*) = 3")
 def fold_scale_slope(spark, sf_dir):
-    return fractal.scale_slope(framed(spark, sf_dir)[0], [2, 4, 8])
+    return rnd(fractal.scale_slope(*framed(spark, sf_dir), [2, 4, 8]), 5, "slope")
 
 
 @query()
