@@ -273,16 +273,18 @@ def encode_decode(docs: DataFrame, path: str | None = None, chunk_chars: int = 3
     """Ids and decoded text of every document, as digests.
 
     1. Words: each chunk of documents gives its distinct words, grouped into one table of
-       distinct words with the chunks that hold each. A group takes ``group_chunks`` chunks (some
-       100 GB), so no row's list outgrows that.
+       distinct words with the chunks that hold each. A group takes the chunks of ``group_chunks`` tasks, so
+       no row's list outgrows those.
     2. Each distinct word is encoded once, by the tokenizers library.
     3. Its ids are joined to the vocabulary's pieces, which are broadcast (a table as large as
        the vocabulary), and the pieces in order are the decoded word.
     4. Both go back to the chunks, packed, where the documents' words look them up by position.
 
-    Documents keep their input split and travel once, compressed. A null text counts as empty;
-    a document without text has no ids. Repeated rows give repeated results. Returns doc_id,
-    n_tokens, ids_sha256, decoded_sha256, n_words and n_bytes.
+    Documents keep their input split and travel once, compressed. They are read twice, and a chunk is a run of a
+    task's rows, so ``docs`` should be a stored table; a second reading that meets other words raises. A null
+    text counts as empty; a document without text has no ids. A text of any length is one of its chunk's. Repeated
+    rows give repeated results, a null doc_id stays null, other columns are not read. Returns doc_id, n_tokens,
+    ids_sha256, decoded_sha256, n_words and n_bytes.
     """
     path = path or default_tokenizer()
     spark = docs.sparkSession

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,11 @@ class Shingler:
         return np.unique(mix)
 
 
+def _sign(own: np.ndarray) -> int:
+    """A set's share of its chunk's sum."""
+    return xxhash.xxh3_64_intdigest(own.tobytes())
+
+
 # ----- which documents may link at all -----------------------------------------------------
 
 
@@ -66,6 +73,9 @@ def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
     the shingles that another document has (here or elsewhere): documents with too few are out. A common
     shingle moves once a chunk, however many documents hold it. ``hashes`` begin with the set's
     prefix, its ``n // 4 + 1`` first shingles by number of chunks and hash, rare ones first.
+
+    The documents are read twice, and a chunk is a run of a task's rows, so ``docs`` should be a stored table. Each
+    chunk sends a sum over its sets along; a second reading that meets other rows raises instead of losing links.
     """
     docs = texts(docs)
     _, chars = chars_of(docs)
@@ -81,24 +91,30 @@ def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
         return wide.view("<u8").ravel()
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, parts = Shingler(), []
+        shingle, parts, total = Shingler(), [], 0
 
         def flush(number: int) -> pa.RecordBatch:
             every = np.unique(np.concatenate(parts))
             bucket = (every >> np.uint64(48 - bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             values = [pack(every[a:b]) for a, b in zip(edges, [*edges[1:], len(every)][: len(edges)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(np.full(len(edges), number)), pa.array(values, pa.binary())], ["bucket", "chunk", "values"])
+            # The chunk's sum goes by a bucket of its own, of some thousand.
+            buckets, values = [*bucket[edges].tolist(), -1 - number % 4096], [*values, total.to_bytes(8, "little")]
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(np.full(len(values), number)), pa.array(values, pa.binary())], ["bucket", "chunk", "values"])
 
         for number, last, _, t in _texts_by_chunk(batches, chunk_chars):
-            parts.append(shingle(t) >> np.uint64(16))
+            own = shingle(t)
+            total = (total + _sign(own)) % 2**64
+            parts.append(own >> np.uint64(16))
             if last:
                 yield flush(number)
-                parts = []
+                parts, total = [], 0
         if parts:
             yield flush(number)
 
     def met(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["bucket"].iloc[0] < 0:
+            return frame.assign(held=b"")
         parts = [unpack(b) for b in frame["values"]]
         every = np.sort(np.concatenate(parts))
         starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
@@ -116,6 +132,8 @@ def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary())])
 
     def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        signs = right.filter(pc.less(right["bucket"], 0))["values"].to_pylist()
+        right = right.filter(pc.greater_equal(right["bucket"], 0))
         far = [unpack(v) | np.uint64(b << (48 - bits)) for b, v in zip(right["bucket"].to_pylist(), right["values"].to_pylist(), strict=True)]
         far = np.concatenate(far) if far else np.zeros(0, np.uint64)
         held = np.frombuffer(b"".join(right["held"].to_pylist()), "<u2").astype(np.int64)
@@ -127,6 +145,8 @@ def shingled(docs: DataFrame, chunk_chars: int = 8_000_000) -> DataFrame:
             for i, t in unpacked(payload.as_py()):
                 ids.append(i)
                 sets.append(shingle(t))
+        if signs != [(sum(map(_sign, sets)) % 2**64).to_bytes(8, "little")]:
+            raise RuntimeError("a second reading of the documents met other rows: store them first")
         near = np.sort(np.concatenate(sets) >> np.uint64(16)) if sets else far
         near = near[1:][near[1:] == near[:-1]]
         for i, full in zip(ids, sets, strict=True):
@@ -250,8 +270,8 @@ def link(docs: DataFrame, small: int = 1024, block: int = 512) -> DataFrame:
     others: an R-tree over count vectors gives, for each set, those whose overlap bound
     suffices, and these are verified exactly unless already connected. 5. Larger families are dealt
     into blocks of about ``block``; each is joined along with the family's first block. Classes then
-    outside the family's largest component are held against every block. So a group of near copies of any
-    size takes time in proportion to it, and no link is lost.
+    outside the family's largest component are held against every block whose sets are of a size that may
+    link with theirs. So a group of near copies of any size takes time in proportion to it, and no link is lost.
 
     Null or empty texts have no shingles and link with nothing; a null doc_id has no component.
     Rows that repeat a doc_id are one document to links.
@@ -305,11 +325,23 @@ def _large(members: DataFrame, block: int) -> DataFrame:
     weight = placed.groupBy("component", "label").agg(F.count("*").alias("k"))
     main = weight.groupBy("component").agg(F.max(F.struct("k", (-F.col("label")).alias("l"))).alias("m")).select("component", (-F.col("m.l")).alias("main"))
     placed = stored(placed.join(main, "component"), "placed")
-    outside = placed.where("label <> main")
-    asks = outside.groupBy("component").agg(F.ceil(F.count("*") / block).alias("asks"))
-    left = outside.join(asks, "component").withColumn("ask", F.pmod(F.xxhash64("label", "node"), F.col("asks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn("side", F.lit(0))
-    right = placed.join(asks, "component").withColumn("block", F.pmod(F.xxhash64("node"), count)).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))).withColumn("side", F.lit(1))
-    cols = ["component", "block", "ask", "side", "node", "label", "hashes"]
+    # Sets that link differ in size by a factor of 4 / 3 at most, so by one such class at most.
+    size_class = F.floor(F.log(F.octet_length("hashes") / 8) / math.log(4 / 3 * (1 + 1e-9))).cast("int")
+    placed_by_size = placed.withColumn("size_class", size_class)
+    outside = placed_by_size.where("label <> main")
+    near = F.explode(F.array(*[F.col("size_class") + k for k in (-1, 0, 1)])).alias("met")
+    number = lambda rows: rows.groupBy("component", "size_class").agg(F.ceil(F.count("*") / block).alias("n"))
+    blocks, asks = number(placed_by_size), number(outside)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own_block, own_ask = F.pmod(F.xxhash64("node"), F.col("n")), F.pmod(F.xxhash64("label", "node"), F.col("n"))
+    cols = ["component", "class", "block", "asking", "ask", "side", "node", "label", "hashes"]
+    # A task holds one block of a size class and one asking block of the same or a neighbouring class.
+    left = outside.join(asks, ["component", "size_class"]).withColumn("ask", own_ask).drop("n").select("*", near)
+    left = left.withColumnRenamed("size_class", "asking").join(blocks.withColumnRenamed("size_class", "met"), ["component", "met"])
+    left = left.withColumn("block", every("n")).withColumn("side", F.lit(0)).withColumnRenamed("met", "class")
+    right = placed_by_size.join(blocks, ["component", "size_class"]).withColumn("block", own_block).drop("n").select("*", near)
+    right = right.withColumnRenamed("size_class", "class").join(asks.withColumnRenamed("size_class", "met"), ["component", "met"])
+    right = right.withColumn("ask", every("n")).withColumn("side", F.lit(1)).withColumnRenamed("met", "asking")
 
     def across(frame: pd.DataFrame) -> pd.DataFrame:
         asking = frame["side"].to_numpy() == 0
@@ -319,6 +351,6 @@ def _large(members: DataFrame, block: int) -> DataFrame:
         new = joined(_sets(frame), group, np.flatnonzero(asking))
         return pd.DataFrame({"a": names[group], "b": names[new]}).drop_duplicates()
 
-    extra = left.select(cols).union(right.select(cols)).groupBy("component", "block", "ask").applyInPandas(lambda f: across(f), "a long, b long")
+    extra = left.select(cols).union(right.select(cols)).groupBy("component", "class", "block", "asking", "ask").applyInPandas(lambda f: across(f), "a long, b long")
     merged = components(extra).select(F.col("node").alias("label"), F.col("component").alias("to"))
     return placed.select("node", "label").join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("component_id"))
