@@ -78,7 +78,7 @@ def code_order(rows: DataFrame) -> DataFrame:
 
 def overturned(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     """Holes where a bed lies above one of lower rank."""
-    placed = rows.join(F.broadcast(ranks), "code")
+    placed = rows.join(ranks, "code")
     before = F.lag("rank").over(Window.partitionBy("hole_id").orderBy("frm", "rank"))
     return placed.withColumn("turned", F.coalesce(F.col("rank") < before, F.lit(False))).groupBy("hole_id").agg(F.bool_or("turned").alias("overturned"), F.count("*").alias("n"))
 
@@ -97,3 +97,24 @@ def axis(holes: DataFrame, surveys: DataFrame) -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     s = s.select("hole_id", "md", *[F.sum(f"d{c}").over(run).alias(f"d{c}") for c in "xyz"])
     return s.join(holes.select("hole_id", "x", "y", "z"), "hole_id").select("hole_id", "md", *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"])
+
+
+def vertical_reference(surveys: DataFrame, band: float = 5.0) -> DataFrame:
+    """reference: which inclination means vertical in a whole table of surveys (inc): the one of 0, -90 and 90 that most lie within ``band`` of, the first of equals.
+
+    Where none is near any of them, -90 if some lie under -45, else 0; an empty table has 0.
+    """
+    v = F.col("inc").cast("double")
+    known = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    n = lambda ref: F.count_if(known & (F.abs(v - ref) <= band))
+    counts = surveys.agg(n(0.0).alias("up"), n(-90.0).alias("down"), n(90.0).alias("across"), F.min(F.when(known, v)).alias("least"))
+    best = F.when(F.greatest("up", "down", "across") == 0, F.when(F.col("least") < -45, -90.0).otherwise(0.0))
+    return counts.select(best.when(F.col("up") >= F.greatest("down", "across"), 0.0).when(F.col("down") >= F.col("across"), -90.0).otherwise(90.0).alias("reference"))
+
+
+def surveyed(surveys: DataFrame, band: float = 5.0) -> DataFrame:
+    """Surveys (hole_id, md, azi, inc) with inclinations from the vertical, whatever they were counted from; the first by azimuth and inclination of a depth."""
+    zenith = F.when(F.col("reference") == 0, F.col("inc")).otherwise(90 - F.abs("inc"))
+    found = surveys.crossJoin(F.broadcast(vertical_reference(surveys, band)))  # one row
+    first = found.groupBy("hole_id", F.round("md", 6).alias("md")).agg(F.min(F.struct("azi", zenith.alias("inc"))).alias("o"))
+    return first.select("hole_id", "md", "o.azi", "o.inc")

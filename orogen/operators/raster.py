@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from orogen.functions.loops import checkpointed
+from orogen.functions.loops import checkpointed, fixpoint
 
 #: Neighbours as (name, row step, column step), clockwise from east.
 NEIGHBOURS = [("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1)]
@@ -179,7 +181,7 @@ def level_attraction(cells: DataFrame, base: float, interval: float, band: float
 
 def tiles(cells: DataFrame, tile: int, halo: int) -> DataFrame:
     """Cells under every square tile (tr, tc) of ``tile`` cells that holds them or has them within ``halo`` cells of its edge."""
-    around = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + k) / tile).cast("int") for k in (-halo, 0, halo)]))
+    around = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int"))
     return cells.withColumn("tr", F.explode(around("row"))).withColumn("tc", F.explode(around("col")))
 
 
@@ -229,27 +231,193 @@ def _around(a: np.ndarray) -> np.ndarray:
 
 
 def contour_segments(cells: DataFrame, ny: int, nx: int, levels: list[float]) -> DataFrame:
-    """level and segments (x0, y0, x1, y1 in cells) of contours by marching squares over squares of four known centres.
+    """level, case and directed segments (x0, y0, x1, y1 in cells) of contours by marching squares over squares of four known centres.
 
-    A corner at the level counts as above it. Saddles are settled by the mean of the corners.
+    A corner at the level counts as above it. Saddles are settled by the mean of the corners. Seen along a segment, with rows
+    going down, the ground above lies on its right. ``n0`` and ``n1`` number the grid lines between two centres on which it begins and ends.
     """
     s = stencil(cells, ny, nx).where("z is not null and e is not null and s is not null and se is not null")
     s = s.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
     c, v = F.col, F.col("level")
     t = lambda a, b: F.try_divide(v - c(a), c(b) - c(a))
     x, y = c("col") + 0.5, c("row") + 0.5
+    across, down = (c("row") * nx + c("col")).cast("double") * 2, (c("row") * nx + c("col")).cast("double") * 2 + 1
     edge = {
-        "N": F.array(x + t("z", "e"), y + F.lit(0.0)), "E": F.array(x + 1.0, y + t("e", "se")),
-        "S": F.array(x + t("s", "se"), y + 1.0), "W": F.array(x + F.lit(0.0), y + t("z", "s")),
+        "N": (x + t("z", "e"), y + F.lit(0.0), across), "E": (x + 1.0, y + t("e", "se"), down + 2),
+        "S": (x + t("s", "se"), y + 1.0, across + 2 * nx), "W": (x + F.lit(0.0), y + t("z", "s"), down),
     }
     up = lambda k: (c(k) >= v)
+    # For each pair of sides, a corner that lies on the right of the way from the first to the second.
+    corner = {"NW": "z", "WS": "s", "SE": "se", "EN": "e", "NS": "z", "EW": "z"}
+
+    def line(a: str, b: str) -> Column:
+        a, b = (a, b) if a + b in corner else (b, a)
+        go = lambda p, q: F.array(*edge[p], *edge[q])
+        return F.when(up(corner[a + b]), go(a, b)).otherwise(go(b, a))
+
     case = up("z").cast("int") * 8 + up("e").cast("int") * 4 + up("se").cast("int") * 2 + up("s").cast("int")
     mean = (c("z") + c("e") + c("s") + c("se")) / 4 >= v
-    line = lambda a, b: F.concat(edge[a], edge[b])
     one = {1: "SW", 2: "ES", 3: "EW", 4: "NE", 6: "NS", 7: "NW", 8: "NW", 9: "NS", 11: "NE", 12: "EW", 13: "ES", 14: "SW"}
     out = F.when(case.isin(0, 15), F.array().cast("array<array<double>>"))
     for k, (a, b) in one.items():
         out = out.when(case == k, F.array(line(a, b)))
     out = out.when(case == 5, F.when(mean, F.array(line("N", "W"), line("E", "S"))).otherwise(F.array(line("N", "E"), line("S", "W"))))
     out = out.when(case == 10, F.when(mean, F.array(line("N", "E"), line("S", "W"))).otherwise(F.array(line("N", "W"), line("E", "S"))))
-    return s.withColumn("case", case).select("level", "case", F.explode(out).alias("p")).select("level", "case", *[F.col("p")[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+    got = s.withColumn("case", case).select("level", "case", F.explode(out).alias("p"))
+    names = ("x0", "y0", "n0", "x1", "y1", "n1")
+    got = got.select("level", "case", *[F.col("p")[k].alias(n) for k, n in enumerate(names)])
+    return got.withColumns({n: F.col(n).cast("long") for n in ("n0", "n1")})
+
+
+def above_levels(cells: DataFrame, ny: int, nx: int, levels: list[float], cell: float) -> DataFrame:
+    """level, area and volume of the ground above each level: exact over two triangles for each square of four known centres.
+
+    A triangle's corners in rising order a, b, c cut by a level leave a part of its area, and of its volume, in closed form. Bands between levels are differences.
+    """
+    s = stencil(cells, ny, nx).where("z is not null and e is not null and s is not null and se is not null")
+    corners = F.explode(F.array(F.array_sort(F.array("z", "e", "se")), F.array_sort(F.array("z", "s", "se")))).alias("t")
+    t = s.select(corners).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"), F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level"))
+    a, b, c, v = (F.col(k) for k in ("a", "b", "c", "level"))
+    third = (a + b + c) / 3 - v
+    low, high = F.try_divide((v - a) * (v - a), (b - a) * (c - a)), F.try_divide((c - v) * (c - v), (c - a) * (c - b))
+    area = F.when(v <= a, 1.0).when(v <= b, 1 - low).when(v < c, high).otherwise(0.0)
+    volume = F.when(v <= a, third).when(v <= b, third + low * (v - a) / 3).when(v < c, high * (c - v) / 3).otherwise(0.0)
+    return t.groupBy("level").agg((F.sum(area) * cell * cell / 2).alias("area"), (F.sum(volume) * cell * cell / 2).alias("volume"))
+
+
+def level_bands(above: DataFrame) -> DataFrame:
+    """low, high, area and volume of the bands between successive levels of ``above_levels``: the ground's share of them, and its volume between the two planes."""
+    w = Window.orderBy("level")
+    t = above.select("level", "area", "volume", *[F.lead(c).over(w).alias(f"{c}2") for c in ("level", "area", "volume")]).where("level2 is not null")
+    return t.select(F.col("level").alias("low"), F.col("level2").alias("high"), (F.col("area") - F.col("area2")).alias("area"), (F.col("volume") - F.col("volume2")).alias("volume"))
+
+
+def _along(w: WindowSpec, c: str, shift: int, wrap: bool) -> Column:
+    """A column ``shift`` cells away; beyond an end, the other end's or the end's own."""
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    step = F.lead(c, shift) if shift > 0 else F.lag(c, -shift)
+    end = (F.first(c) if (shift > 0) == wrap else F.last(c)).over(whole)
+    return F.coalesce(step.over(w), end)
+
+
+def binomial_smooth(cells: DataFrame, passes: int = 2) -> DataFrame:
+    """Heights of a dense frame smoothed by 1, 2, 1 along both axes, ``passes`` times; nodata has no weight, and is filled where a neighbour is known. Ends meet the opposite ones."""
+    now = cells.select("row", "col", F.col("z").cast("double").alias("z"))
+    for _ in range(passes):
+        now = now.select("row", "col", F.coalesce("z", F.lit(0.0)).alias("v"), F.col("z").isNotNull().cast("double").alias("w"))
+        for axis in (along_col(), along_row()):
+            mean = lambda c: ((_along(axis, c, 1, True) + 2 * F.col(c) + _along(axis, c, -1, True)) / 4).alias(c)  # noqa: B023, E731
+            now = now.select("row", "col", mean("v"), mean("w"))
+        now = now.select("row", "col", F.when(F.col("w") > 1e-9, F.col("v") / F.col("w")).alias("z"))
+    return now
+
+
+def gaussian_smooth(cells: DataFrame, sigma: float) -> DataFrame:
+    """Heights of a dense frame smoothed by a gaussian of ``sigma`` cells, cut at three sigmas; nodata has no weight, and ends repeat."""
+    r = max(1, math.ceil(3 * sigma))
+    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    k = k / k.sum()
+    now = cells.select("row", "col", "z", F.coalesce(F.col("z").cast("double"), F.lit(0.0)).alias("v"), F.col("z").isNotNull().cast("double").alias("w"))
+    for axis in (along_row(), along_col()):
+        mean = lambda c: sum((float(k[i + r]) * (_along(axis, c, i, False) if i else F.col(c)) for i in range(-r, r + 1)), F.lit(0.0)).alias(c)  # noqa: B023, E731
+        now = now.select("row", "col", "z", mean("v"), mean("w"))
+    return now.select("row", "col", F.when(F.col("w") > 1e-6, F.col("v") / F.col("w")).otherwise(F.col("z")).alias("z"))
+
+
+def drop_per_cell(cells: DataFrame, ny: int, nx: int) -> DataFrame:
+    """row, col, z and drop: how far the ground falls over one cell, by central differences, one-sided at the frame's edge."""
+    return gradient(cells, ny, nx, 1.0).select("row", "col", F.col("magnitude").alias("drop")).join(cells.select("row", "col", "z"), ["row", "col"])
+
+
+def flat_levels(cells: DataFrame, ny: int, nx: int, levels: list[float], interval: float, share: float = 0.01) -> DataFrame:
+    """level, n_flat and share_valid: contours on flat ground, cells that drop less than ``share`` of the interval and lie as close to the level; the most first."""
+    limit = share * interval
+    total = cells.agg(F.count("z")).first()[0] or 1
+    flat = drop_per_cell(cells, ny, nx).where(F.col("drop") < limit)
+    near = flat.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels]))).where(F.abs(F.col("z") - F.col("level")) <= limit)
+    return near.groupBy("level").agg(F.count("*").alias("n_flat")).withColumn("share_valid", F.col("n_flat") / total).orderBy(F.desc("n_flat"), "level")
+
+
+def dilated(mask: DataFrame, ny: int, nx: int, times: int = 1) -> DataFrame:
+    """row and col of a mask (row, col) with all cells within ``times`` steps of it, diagonals too."""
+    span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.col(c) - times), F.least(F.lit(n - 1), F.col(c) + times))
+    rows = mask.select(F.explode(span("row", ny)).alias("row"), span("col", nx).alias("cols"))
+    return rows.select("row", F.explode("cols").alias("col")).distinct()
+
+
+def patches(mask: DataFrame, ny: int, nx: int) -> DataFrame:
+    """row, col and patch (its first cell in row order) of the parts of a mask (row, col) that hang together, diagonals too.
+
+    Each round every cell takes the least label around it, then that cell's own label, so labels travel further every round.
+    """
+    start = mask.select("row", "col").distinct().withColumn("cell", (F.col("row") * nx + F.col("col")).cast("long"))
+    around = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])).alias("p")
+
+    def step(t: DataFrame) -> DataFrame:
+        least = t.select(around, "patch").groupBy("p.row", "p.col").agg(F.min("patch").alias("near"))
+        far = t.select(F.col("cell").alias("near"), F.col("patch").alias("further"))
+        joined = t.select("row", "col", "cell", "patch").join(least, ["row", "col"]).join(far, "near")
+        return joined.select("row", "col", "cell", F.col("further").alias("patch"), (F.col("further") != F.col("patch")).alias("moved"))
+
+    return fixpoint(start.withColumn("patch", F.col("cell")).withColumn("moved", F.lit(True)), step, lambda t: t.where("moved"), 10_000).select("row", "col", "patch")
+
+
+def bridges_removed(cells: DataFrame, mask: DataFrame, ny: int, nx: int, stretch: float = 2.0, quantile: float = 25.0) -> DataFrame:
+    """Heights with the cells of a mask (row, col) lowered to what lies around them; each patch of the mask is a task with the ring of cells about it.
+
+    From a masked cell the nearest known cells are looked up both ways along the row, the column and both diagonals; a
+    pair gives the height between them by distance. The lowest of the shortest spans counts, and of those up to ``stretch``
+    times as long whose two ends lie in the lower ``quantile`` percent of the ring. No cell is raised; a cell without a span stays.
+    """
+    found = patches(mask.join(cells.where("z is not null").select("row", "col"), ["row", "col"], "left_semi"), ny, nx)
+    span = lambda c: F.sequence(F.col(c) - 1, F.col(c) + 1)
+    ring = found.select("patch", F.explode(span("row")).alias("row"), span("col").alias("cols")).select("patch", "row", F.explode("cols").alias("col")).distinct()
+    own = found.select("patch", "row", "col", F.lit(True).alias("own"))
+    laid = ring.join(own, ["patch", "row", "col"], "left").join(cells.where("z is not null").select("row", "col", "z"), ["row", "col"])
+
+    def lowered(frame: pd.DataFrame) -> pd.DataFrame:
+        unknown = frame["own"].notna().to_numpy()
+        r, c, z = (frame[k].to_numpy() for k in ("row", "col", "z"))
+        top, left = r.min() - 1, c.min() - 1
+        grid = np.full((r.max() - top + 2, c.max() - left + 2), np.nan)
+        hidden = np.zeros(grid.shape, bool)
+        grid[r - top, c - left] = z
+        hidden[r[unknown] - top, c[unknown] - left] = True
+        low = np.percentile(z[~unknown], quantile) if (~unknown).any() else -np.inf
+        out = []
+        for i, j in zip(r[unknown] - top, c[unknown] - left, strict=True):
+            spans = []
+            for di, dj in ((0, 1), (1, 0), (1, 1), (1, -1)):
+                ends = []
+                for sign in (1, -1):
+                    k = 1
+                    while hidden[i + sign * k * di, j + sign * k * dj]:
+                        k += 1
+                    ends.append((grid[i + sign * k * di, j + sign * k * dj], k))
+                (a, m), (b, n) = ends
+                if np.isfinite(a) and np.isfinite(b):
+                    spans.append(((m + n) * math.hypot(di, dj), a + (b - a) * m / (m + n), a <= low and b <= low))
+            if spans:
+                short = min(s for s, _, _ in spans)
+                best = min(v for s, v, deep in spans if s <= short * (1 + 1e-9) or (deep and s <= short * stretch + 1e-9))
+                out.append((i + top, j + left, min(best, grid[i, j])))
+        return pd.DataFrame(out, columns=["row", "col", "new"])
+
+    new = laid.groupBy("patch").applyInPandas(lambda f: lowered(f), "row int, col int, new double")
+    return cells.join(new, ["row", "col"], "left").select("row", "col", F.coalesce("new", "z").alias("z"))
+
+
+def height_shift(fine: DataFrame, coarse: DataFrame, plane: bool = False) -> dict[str, float]:
+    """What to add to a coarse surface to meet a fine one: the median difference, or a plane (per column, per row, constant) fitted to the middle nine tenths of them."""
+    d = fine.select("row", "col", F.col("z").alias("a")).join(coarse.select("row", "col", F.col("z").alias("b")), ["row", "col"]).select("row", "col", (F.col("a") - F.col("b")).alias("d")).where("d is not null")
+    q = d.agg(F.percentile("d", [0.05, 0.5, 0.95]).alias("q"), F.count("*").alias("n")).first()
+    if not q["n"]:
+        return {"x": 0.0, "y": 0.0, "c": 0.0}
+    if not plane:
+        return {"x": 0.0, "y": 0.0, "c": q["q"][1]}
+    x, y, v = F.col("col").cast("double"), F.col("row").cast("double"), F.col("d")
+    terms = [x, y, F.lit(1.0)]
+    kept = d.where(v.between(q["q"][0], q["q"][2]))
+    s = kept.agg(*[F.sum(a * b).alias(f"a{i}{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)], *[F.sum(a * v).alias(f"b{i}") for i, a in enumerate(terms)]).first()
+    found = np.linalg.lstsq(np.array([[s[f"a{i}{j}"] for j in range(3)] for i in range(3)], float), np.array([s[f"b{i}"] for i in range(3)], float), rcond=None)[0]
+    return dict(zip("xyc", map(float, found), strict=True))

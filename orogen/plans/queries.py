@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orogen.functions import scalar
 from orogen.functions.joins import rounded
-from orogen.operators import density, drill, flow, fractal, kriging, points, raster, section, variogram
+from orogen.operators import density, drill, flow, fractal, kriging, lines, points, raster, section, splines, variogram
 from orogen.plans.geometry import extent, holes, intervals, lattice, profiles, raw_points, side_of, table, with_
 from orogen.plans.geometry import points as pts
 from orogen.plans.geometry import raster as ras
@@ -369,6 +369,107 @@ def contour_lines(spark, sf_dir):
     return raster.contour_segments(*framed(spark, sf_dir), [100.0, 150.0, 200.0])
 
 
+@query()
+def contour_rings(spark, sf_dir):
+    """Contours as lines: how many vertices each has and whether it closes."""
+    found = lines.contour_polylines(raster.contour_segments(*framed(spark, sf_dir), [100.0, 150.0, 200.0]))
+    return found.groupBy("level", "closed").agg(F.count_distinct("line").alias("n_lines"), F.count("*").alias("n_vertices"))
+
+
+@query(with_("ras", "b AS (SELECT min(z) AS low, max(z) AS high FROM ras)", "lv AS (SELECT unnest(range(CAST(floor(low / 20) AS BIGINT) + 1, CAST(ceil(high / 20) AS BIGINT))) * 20.0 AS level FROM b)", "r AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS k, count(*) OVER () AS n FROM lv)")
+       + "SELECT CAST(level AS DOUBLE) AS level, abs(level - round_even(level / 100, 0) * 100) < 0.002 AS main, k % 4 = 0 AND k BETWEEN 1 AND n - 2 AS \"check\" FROM r")
+def contour_levels(spark, sf_dir):
+    b = ras(spark, sf_dir).agg(F.min("z"), F.max("z")).first()
+    levels = spark.createDataFrame([(v,) for v in lines.contour_levels(b[0], b[1], 20.0)], "level double")
+    checks = lines.thinned_levels(levels, 4)
+    return checks.select("level", scalar.index_contour(F.col("level"), 0.0, 20.0, 5).alias("main"), "check")
+
+
+BANDS = """tri AS (SELECT list_sort([z, e, se]) AS t FROM s WHERE z IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL AND se IS NOT NULL
+        UNION ALL SELECT list_sort([z, s, se]) FROM s WHERE z IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL AND se IS NOT NULL),
+    l AS (SELECT t[1] AS a, t[2] AS b, t[3] AS c, v FROM tri, (SELECT unnest([0.0, 100.0, 150.0, 200.0, 250.0]::DOUBLE[]) AS v) x),
+    f AS (SELECT v, CASE WHEN v <= a THEN 1.0 WHEN v <= b THEN 1 - (v - a) * (v - a) / ((b - a) * (c - a)) WHEN v < c THEN (c - v) * (c - v) / ((c - a) * (c - b)) ELSE 0.0 END AS area,
+        CASE WHEN v <= a THEN (a + b + c) / 3 - v WHEN v <= b THEN (a + b + c) / 3 - v + (v - a) * (v - a) * (v - a) / (3 * (b - a) * (c - a)) WHEN v < c THEN (c - v) * (c - v) * (c - v) / (3 * (c - a) * (c - b)) ELSE 0.0 END AS volume FROM l),
+    g AS (SELECT v, sum(area) * 50 AS area, sum(volume) * 50 AS volume FROM f GROUP BY v)"""
+
+
+@query(with_("ras", "dim", "cells", OPEN, BANDS) + "SELECT * FROM (SELECT v AS low, lead(v) OVER w AS high, round(area - lead(area) OVER w, 4) AS area, round(volume - lead(volume) OVER w, 2) AS volume FROM g WINDOW w AS (ORDER BY v)) WHERE high IS NOT NULL")
+def contour_bands(spark, sf_dir):
+    got = raster.level_bands(raster.above_levels(*framed(spark, sf_dir), [0.0, 100.0, 150.0, 200.0, 250.0], 10.0))
+    return rnd(rnd(got, 4, "area"), 2, "volume")
+
+
+def _binomial_sql() -> str:
+    parts, now = [], "cells"
+    for k in range(2):
+        parts.append(f"v{k} AS (SELECT row, col, coalesce(z, 0) AS v, (z IS NOT NULL)::INT::DOUBLE AS w FROM {now})")
+        for axis, name in (("row", "a"), ("col", "b")):
+            src = f"v{k}" if axis == "row" else f"a{k}"
+            n, other = ("ny", "col") if axis == "row" else ("nx", "row")
+            parts.append(f"{name}{k} AS (SELECT m.row, m.col, (p.v + 2 * m.v + q.v) / 4 AS v, (p.w + 2 * m.w + q.w) / 4 AS w FROM {src} m CROSS JOIN dim JOIN {src} p ON p.{other} = m.{other} AND p.{axis} = (m.{axis} + 1) % {n} JOIN {src} q ON q.{other} = m.{other} AND q.{axis} = (m.{axis} - 1 + {n}) % {n})")
+        parts.append(f"z{k} AS (SELECT row, col, CASE WHEN w > 1e-9 THEN v / w END AS z FROM b{k})")
+        now = f"z{k}"
+    return with_("ras", "dim", "cells", *parts) + f"SELECT row, col, round(z + 3.7e-9, 8) + 0.0 AS z FROM {now}"
+
+
+@query(_binomial_sql())
+def binomial_smoothing(spark, sf_dir):
+    # The shift keeps decimals off rounding midpoints, here and in the SQL.
+    return rnd(raster.binomial_smooth(framed(spark, sf_dir)[0]).withColumn("z", F.col("z") + 3.7e-9), 8, "z")
+
+
+GAUSSIAN = """k AS (SELECT unnest(range(-3, 4)) AS d), kk AS (SELECT d, exp(-(d * d) / 2.0) / (SELECT sum(exp(-(d * d) / 2.0)) FROM k) AS k FROM k),
+    g0 AS (SELECT row, col, z, coalesce(z, 0) AS v, (z IS NOT NULL)::INT::DOUBLE AS w FROM cells),
+    g1 AS (SELECT m.row, m.col, any_value(m.z) AS z, sum(kk.k * n.v) AS v, sum(kk.k * n.w) AS w FROM g0 m CROSS JOIN dim CROSS JOIN kk JOIN g0 n ON n.row = m.row AND n.col = greatest(0, least(nx - 1, m.col + d)) GROUP BY m.row, m.col),
+    g2 AS (SELECT m.row, m.col, any_value(m.z) AS z, sum(kk.k * n.v) AS v, sum(kk.k * n.w) AS w FROM g1 m CROSS JOIN dim CROSS JOIN kk JOIN g1 n ON n.col = m.col AND n.row = greatest(0, least(ny - 1, m.row + d)) GROUP BY m.row, m.col)"""
+
+
+@query(with_("ras", "dim", "cells", GAUSSIAN) + "SELECT row, col, round(CASE WHEN w > 1e-6 THEN v / w ELSE z END, 8) + 0.0 AS z FROM g2")
+def gaussian_smoothing(spark, sf_dir):
+    return rnd(raster.gaussian_smooth(framed(spark, sf_dir)[0], 1.0), 8, "z")
+
+
+@query(with_("ras", "dim", "cells", OPEN, "g AS (SELECT row, col, z, CASE WHEN col = 0 THEN e - z WHEN col = nx - 1 THEN z - w ELSE (e - w) / 2 END AS gx, CASE WHEN row = 0 THEN z - s WHEN row = ny - 1 THEN n - z ELSE (n - s) / 2 END AS gy FROM s WHERE z IS NOT NULL)",
+             "f AS (SELECT *, sqrt(gx * gx + gy * gy) AS d FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL)", "h AS (SELECT v AS level, count(*) AS n_flat FROM f, (SELECT unnest([100.0, 150.0, 200.0]::DOUBLE[]) AS v) x WHERE d < 20 AND abs(z - v) <= 20 GROUP BY v)")
+       + "SELECT level, n_flat, round(n_flat / (SELECT count(z) FROM cells), 8) AS share_valid FROM h")
+def flat_contours(spark, sf_dir):
+    return rnd(raster.flat_levels(*framed(spark, sf_dir), [100.0, 150.0, 200.0], 100.0, 0.2), 8, "share_valid")
+
+
+PATCH = """m AS (SELECT row, col, CAST(row * nx + col AS BIGINT) AS cell FROM cells, dim WHERE z > 300),
+    hop AS (SELECT cell, cell AS seen FROM m UNION SELECT h.cell, b.cell FROM hop h JOIN m a ON a.cell = h.seen JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1)"""
+
+
+@query(_recursive(with_("ras", "dim", "cells", PATCH)) + "SELECT row, col, min(seen) AS patch FROM hop JOIN m ON m.cell = hop.cell GROUP BY row, col")
+def mask_patches(spark, sf_dir):
+    cells, ny, nx = framed(spark, sf_dir)
+    return raster.patches(cells.where("z > 300").select("row", "col"), ny, nx)
+
+
+@query(with_("ras", "dim", "cells") + "SELECT DISTINCT b.row, b.col FROM cells a JOIN cells b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 WHERE a.z > 400")
+def mask_dilation(spark, sf_dir):
+    cells, ny, nx = framed(spark, sf_dir)
+    return raster.dilated(cells.where("z > 400").select("row", "col"), ny, nx, 2)
+
+
+@query()
+def bridge_removal(spark, sf_dir):
+    cells, ny, nx = framed(spark, sf_dir)
+    return raster.bridges_removed(cells, cells.where("z > 350").select("row", "col"), ny, nx)
+
+
+@query(with_("ras", "rasf", "d AS (SELECT rasf.z - ras.z AS d FROM ras JOIN rasf ON rasf.row = ras.row AND rasf.col = ras.col)") + "SELECT round(quantile_cont(d, 0.5), 6) + 0.0 AS shift FROM d WHERE d IS NOT NULL")
+def surface_shift(spark, sf_dir):
+    found = raster.height_shift(ras(spark, sf_dir, "F"), ras(spark, sf_dir))
+    return rnd(spark.createDataFrame([(found["c"],)], "shift double"), 6, "shift")
+
+
+@query()
+def spline_surface(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    return splines.evaluate(splines.fit(p, levels=4), p)
+
+
 # ----- flow ---------------------------------------------------------------------------------
 
 
@@ -658,6 +759,60 @@ def bed_stack_report(spark, sf_dir):
     return section.stack_report(beds, 0.5, known)
 
 
+STATIONED = "pt AS (SELECT id, CAST(zone AS INT) AS line, y AS px, x AS py FROM raw), so AS (SELECT id, pt.line, seq, d0, length, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, px, py, greatest(0.0, least(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / (length * length))) AS t FROM pt JOIN st ON st.line = pt.line WHERE length > 0), sd AS (SELECT *, px - x0 - dx * t AS ex, py - y0 - dy * t AS ey FROM so)"
+
+
+@query(with_("raw", SEGMENTS, STATIONED) + "SELECT id, line, round(CASE WHEN ex * dy - ey * dx >= 0 THEN 1 ELSE -1 END * sqrt(ex * ex + ey * ey), 4) + 0.0 AS \"offset\" FROM sd QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY sqrt(ex * ex + ey * ey), seq) = 1")
+def station_offsets(spark, sf_dir):
+    p = raw_points(spark, sf_dir).select("id", F.col("zone").cast("int").alias("line"), F.col("y").alias("x"), F.col("x").alias("y"))
+    return rnd(lines.station_offsets(p, line_vertices(spark, sf_dir)).select("id", "line", "offset"), 4, "offset")
+
+
+@query(with_("raw", SEGMENTS, "ask AS (SELECT id, CAST(zone AS INT) AS line, v * 1.0 AS sta, CAST(id % 7 - 3 AS DOUBLE) AS o FROM raw WHERE id % 5 = 0)",
+             "e AS (SELECT *, d0 + length AS d1, max(d0 + length) OVER (PARTITION BY line) AS total, min(d0) OVER (PARTITION BY line) AS first FROM st WHERE length > 0)",
+             "h AS (SELECT id, ask.line, seq, x0 + (sta - d0) * (x1 - x0) / length + (y1 - y0) / length * o AS x, y0 + (sta - d0) * (y1 - y0) / length - (x1 - x0) / length * o AS y FROM ask JOIN e ON e.line = ask.line WHERE sta BETWEEN d0 AND d1 OR (sta < first AND d0 = first) OR (sta > total AND d1 = total))")
+       + "SELECT id, line, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM h QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY seq) = 1")
+def alignment_stations(spark, sf_dir):
+    ask = raw_points(spark, sf_dir).where("id % 5 = 0").select("id", F.col("zone").cast("int").alias("line"), (F.col("v") * 1.0).alias("sta"), (F.col("id") % 7 - 3).cast("double").alias("offset"))
+    return rnd(lines.at_stations(line_vertices(spark, sf_dir), ask), 4, "x", "y")
+
+
+@query(with_("raw", SEGMENTS, """x AS (SELECT a.line AS line, b.line AS other, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS det,
+        (b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0) AS tn, (b.x0 - a.x0) * (a.y1 - a.y0) - (b.y0 - a.y0) * (a.x1 - a.x0) AS un FROM st a JOIN st b ON b.line = 1 WHERE a.line < 1)""")
+       + "SELECT line, other, count(*) AS n FROM x WHERE det <> 0 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1 GROUP BY line, other")
+def line_crossings(spark, sf_dir):
+    v = line_vertices(spark, sf_dir)
+    return lines.crossings(v.where("line < 1"), v.where("line = 1"), 64.0).groupBy("line", "other").agg(F.count("*").alias("n"))
+
+
+@query(with_("raw", SEGMENTS, "pt AS (SELECT id, y AS px, x AS py FROM raw WHERE id % 3 = 0)", "nd AS (SELECT id, st.line, sqrt(pow(px - x0 - t * (x1 - x0), 2) + pow(py - y0 - t * (y1 - y0), 2)) AS f FROM (SELECT *, CASE WHEN length > 0 THEN greatest(0.0, least(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / (length * length))) ELSE 0.0 END AS t FROM pt, st WHERE st.line < 3) st)")
+       + "SELECT id, line, round(min(f), 4) + 0.0 AS \"offset\" FROM nd GROUP BY id, line HAVING min(f) <= 25")
+def points_near_lines(spark, sf_dir):
+    p = raw_points(spark, sf_dir).where("id % 3 = 0").select("id", F.col("y").alias("x"), F.col("x").alias("y"))
+    return rnd(lines.near_line(p, line_vertices(spark, sf_dir).where("line < 3"), 25.0).select("id", "line", "offset"), 4, "offset")
+
+
+@query(with_("raw", "pts", "hol", "pl AS (SELECT hole_id, x, y FROM hol WHERE hole_id % 7 = 0)", "nd AS (SELECT id, hole_id, sqrt(pow(pl.x - pts.x, 2) + pow(pl.y - pts.y, 2)) AS h FROM pts LEFT JOIN pl ON abs(pl.x - pts.x) <= 80 AND abs(pl.y - pts.y) <= 80)")
+       + "SELECT id, CASE WHEN h <= 80 THEN hole_id END AS near FROM nd QUALIFY row_number() OVER (PARTITION BY id ORDER BY h, hole_id) = 1")
+def nearest_holes(spark, sf_dir):
+    places = holes(spark, sf_dir).where("hole_id % 7 = 0").select(F.col("hole_id").alias("id"), "x", "y", F.col("hole_id").alias("order"))
+    return lines.nearest_within(pts(spark, sf_dir), places, 80.0)
+
+
+@query(with_("ivs", "s AS (SELECT CAST(-90 + hole_id % 4 AS DOUBLE) AS inc FROM ivs)") + "SELECT CASE WHEN greatest(count(*) FILTER (WHERE abs(inc) <= 5), count(*) FILTER (WHERE abs(inc + 90) <= 5), count(*) FILTER (WHERE abs(inc - 90) <= 5)) = count(*) FILTER (WHERE abs(inc + 90) <= 5) THEN -90.0::DOUBLE ELSE 0.0::DOUBLE END AS reference FROM s")
+def survey_reference(spark, sf_dir):
+    return drill.vertical_reference(intervals(spark, sf_dir).select((-90 + F.col("hole_id") % 4).cast("double").alias("inc")))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand AS code FROM part), h AS (SELECT code, md5(code) AS m FROM c),
+    b AS (SELECT code, CAST('0x' || m[1:2] AS INT) / 255.0::DOUBLE * 6 AS h, 0.45::DOUBLE + 0.35::DOUBLE * (CAST('0x' || m[3:4] AS INT) / 255.0::DOUBLE) AS s, 0.65::DOUBLE + 0.25::DOUBLE * (CAST('0x' || m[5:6] AS INT) / 255.0::DOUBLE) AS v FROM h),
+    k AS (SELECT code, v, s, n, (n + h) - 6 * floor((n + h) / 6) AS k FROM b, (VALUES (5), (3), (1)) x(n)),
+    ch AS (SELECT code, n, CAST(round_even((v - v * s * greatest(0, least(k, 4 - k, 1))) * 255, 0) AS INT) AS c FROM k)
+    SELECT code, '#' || string_agg(printf('%02x', c), '' ORDER BY n DESC) AS colour FROM ch GROUP BY code""")
+def code_colours(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("code")).distinct().select("code", scalar.code_colour(F.col("code")).alias("colour"))
+
+
 # ----- density and fractals -----------------------------------------------------------------
 
 

@@ -112,3 +112,95 @@ def read_raster(spark: SparkSession, path: str, rows: tuple[int, int] | None = N
     if rows:
         got = got.where(F.col("tile_row").between(rows[0] // tile, rows[1] // tile) & F.col("row").between(*rows))
     return got.drop("tile_row")
+
+
+def merged(frames: list[DataFrame], reserved: tuple[str, ...] = ()) -> DataFrame:
+    """One table of many, by column name: what a table lacks is null, ``reserved`` names get a suffix, and a column that comes in two types is text."""
+    renamed = [f.withColumnsRenamed({c: f"{c}_1" for c in f.columns if c in reserved}) for f in frames]
+    types: dict[str, set[str]] = {}
+    for f in renamed:
+        for c, t in f.dtypes:
+            types.setdefault(c, set()).add(t)
+    mixed = [c for c, t in types.items() if len(t) > 1]
+    out = None
+    for f in renamed:
+        f = f.withColumns({c: F.col(c).cast("string") for c in mixed if c in f.columns})
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def manifest_merged(old: DataFrame, new: DataFrame, key: str = "layer") -> DataFrame:
+    """Rows of two manifests by ``key``, each field the new one's where it has one."""
+    fields = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c != key]
+    a, b = old.alias("a"), new.alias("b")
+    pick = lambda c: [F.col(f"{t}.{c}") for t, f in (("b", new), ("a", old)) if c in f.columns]
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(F.coalesce(F.col(f"b.{key}"), F.col(f"a.{key}")).alias(key), *[F.coalesce(*pick(c)).alias(c) for c in fields])
+
+
+def section_order(table: DataFrame, number: str, seq: str) -> DataFrame:
+    """Rows by the whole number that a field holds; those without one come last, in their own order."""
+    n = F.col(number).cast("string").try_cast("int")
+    return table.orderBy(n.isNull(), n, seq)
+
+
+#: Metres in a unit of land XML.
+UNITS = {"meter": 1.0, "millimeter": 0.001, "centimeter": 0.01, "kilometer": 1000.0, "foot": 0.3048, "USSurveyFoot": 1200 / 3937, "inch": 0.0254, "mile": 1609.344}
+
+
+def _refused(spark: SparkSession, path: str) -> None:
+    """Land XML files may not declare types or entities, which parsers might expand or fetch."""
+    if not spark.read.text(path).where(F.col("value").rlike("(?i)<!(DOCTYPE|ENTITY)")).isEmpty():
+        raise ValueError("a land XML file declares a document type or entities")
+
+
+def land_unit(spark: SparkSession, path: str) -> float:
+    """Metres in the files' linear unit; 1 where it isn't known."""
+    found = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", 'linearUnit\\s*=\\s*"([^"]*)"', 1).alias("u")).where("u <> ''").first()
+    return UNITS.get(found["u"], 1.0) if found else 1.0
+
+
+def land_surfaces(spark: SparkSession, path: str) -> DataFrame:
+    """surface, triangle and its corners x0 .. z2 of the TIN surfaces of land XML files (north first); hidden faces and those with unknown points are left out."""
+    _refused(spark, path)
+    unit = land_unit(spark, path)
+    schema = "_name STRING, Definition STRUCT<Pnts: STRUCT<P: ARRAY<STRUCT<_id: STRING, _VALUE: STRING>>>, Faces: STRUCT<F: ARRAY<STRUCT<_i: STRING, _VALUE: STRING>>>>"
+    raw = spark.read.format("xml").option("rowTag", "Surface").schema(schema).load(path).select(F.col("_name").alias("surface"), "Definition.*")
+    part = F.split(F.trim("p._VALUE"), "\\s+")
+    at = lambda k: part[k].cast("double") * unit
+    points = raw.select("surface", F.explode("Pnts.P").alias("p")).select("surface", F.col("p._id").alias("id"), at(1).alias("x"), at(0).alias("y"), at(2).alias("z"))
+    faces = raw.select("surface", F.posexplode("Faces.F").alias("triangle", "f")).where("coalesce(f._i, '') <> '1'")
+    corners = faces.select("surface", "triangle", F.posexplode(F.split(F.trim("f._VALUE"), "\\s+")).alias("k", "id")).where("k < 3").join(points, ["surface", "id"])
+    each = corners.groupBy("surface", "triangle").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "xyz"])
+    return each.where("n = 3").drop("n")
+
+
+def land_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """line (the alignment's name), seq, x and y of the straight elements of land XML alignments, with ``start``, the station of the first vertex."""
+    _refused(spark, path)
+    unit = land_unit(spark, path)
+    schema = "_name STRING, _staStart DOUBLE, CoordGeom STRUCT<Line: ARRAY<STRUCT<Start: STRING, End: STRING>>>"
+    raw = spark.read.format("xml").option("rowTag", "Alignment").schema(schema).load(path)
+    line = raw.select(F.col("_name").alias("line"), (F.coalesce("_staStart", F.lit(0.0)) * unit).alias("start"), F.posexplode("CoordGeom.Line").alias("k", "l"))
+    ends = line.select("line", "start", "k", F.posexplode(F.array("l.Start", "l.End")).alias("end", "p"))
+    part = F.split(F.trim("p"), "\\s+")
+    laid = ends.withColumns({"x": part[1].cast("double") * unit, "y": part[0].cast("double") * unit}).where("k = 0 or end = 1")
+    return laid.select("line", "start", (F.col("k") + F.col("end")).alias("seq"), "x", "y")
+
+
+def write_land_xml(triangles: DataFrame, path: str) -> None:
+    """Surfaces (surface, triangle, x0 .. z2) as land XML in metres, north first: a file for each surface, written by Spark as text.
+
+    Lines carry their place, so a sort within the surface's partition puts the file in order; corners that surfaces share are one point.
+    """
+    corner = F.explode(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in "xyz"]) for k in range(3)])).alias("p")
+    points = triangles.select("surface", corner).distinct()
+    points = points.withColumn("id", F.row_number().over(Window.partitionBy("surface").orderBy("p.x", "p.y", "p.z")))
+    named = triangles.select("surface", "triangle", F.posexplode(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in "xyz"]) for k in range(3)])).alias("k", "p")).join(points, ["surface", "p"])
+    faces = named.groupBy("surface", "triangle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"].cast("string")), " ").alias("ids"))
+    line = lambda part, at, text: F.struct(F.lit(part).alias("part"), at.cast("long").alias("at"), text.alias("value"))
+    head = F.concat(F.lit('<?xml version="1.0"?><LandXML version="1.2"><Units><Metric linearUnit="meter"/></Units><Surfaces><Surface name="'), F.regexp_replace(F.regexp_replace(F.col("surface").cast("string"), "&", "&amp;"), '["<>]', ""), F.lit('"><Definition surfType="TIN"><Pnts>'))
+    text = triangles.select("surface").distinct().select("surface", F.explode(F.array(line(0, F.lit(0), head), line(2, F.lit(0), F.lit("</Pnts><Faces>")), line(4, F.lit(0), F.lit("</Faces></Definition></Surface></Surfaces></LandXML>")))).alias("l"))
+    text = text.union(points.select("surface", line(1, F.col("id"), F.format_string('<P id="%d">%.6f %.6f %.6f</P>', "id", "p.y", "p.x", "p.z"))))
+    text = text.union(faces.select("surface", line(3, F.col("triangle"), F.format_string("<F>%s</F>", "ids"))))
+    out = text.select("surface", "l.*").repartition("surface").sortWithinPartitions("surface", "part", "at")
+    out.select("surface", "value").write.mode("overwrite").partitionBy("surface").text(path)
