@@ -227,7 +227,12 @@ def _logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence, n_tokens and the significant passages (tokens from, to) of every document."""
+    """doc_id, held_out, score, predicted, evidence, n_tokens and the significant passages (tokens from, to) of every document.
+
+    A null or empty text has no tokens and no evidence, and so the score of a text without any. Rows that repeat give
+    repeated results, a null doc_id stays null and isn't held out as no remainder is known. Texts of any length are scanned
+    whole, in linear time. An empty table gives no rows; other columns are not read.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
