@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,43 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     return near_join(points, points, radius).where("l_id < r_id")
 
 
+def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Callable[..., pd.DataFrame], schema: str, block: int = 1500) -> DataFrame:
+    """What ``kernel`` makes of all pairs of points at most about ``reach`` apart, each pair once, added up where the pairs arise.
+
+    Points fall into square blocks of some ``block`` points, a quarter of the reach wide at least; each two
+    blocks in reach of one another are a task's work, so pairs are never rows. ``kernel`` gets the columns of some
+    left points, those of some right ones, and a mask of the pairs that count, or None for all, a few million pairs at a time.
+    """
+    b = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if not b["n"]:
+        return points.sparkSession.createDataFrame([], schema)
+    area = max(b["x1"] - b["x0"], reach / 4) * max(b["y1"] - b["y0"], reach / 4)
+    side = max(math.sqrt(area * block / b["n"]), reach / 4)
+    k = math.ceil(reach / side)
+    # Half of the offsets: the others are the same two blocks the other way round.
+    offsets = [(i, j) for i in range(k + 1) for j in range(-k, k + 1) if i > 0 or j >= 0]
+    bx, by = F.floor((F.col("x") - b["x0"]) / side), F.floor((F.col("y") - b["y0"]) / side)
+    at = lambda sign: F.explode(F.array(*[F.struct((bx - sign * i).alias("bx"), (by - sign * j).alias("by"), F.lit(i).alias("ox"), F.lit(j).alias("oy")) for i, j in offsets if sign == 0 or (i, j) != (0, 0)]))
+    own = points.select(*columns, at(0).alias("k"), F.lit(0).alias("side"))
+    far = points.select(*columns, at(1).alias("k"), F.lit(1).alias("side"))
+    both = own.union(far).select("k.*", "side", *columns)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        same = frame["ox"].iloc[0] == 0 and frame["oy"].iloc[0] == 0
+        left = [frame.loc[frame["side"] == 0, c].to_numpy() for c in columns]
+        right = left if same else [frame.loc[frame["side"] == 1, c].to_numpy() for c in columns]
+        n, m, parts = len(left[0]), len(right[0]), []
+        if not n or not m:
+            return kernel([v[:0] for v in left], [v[:0] for v in left], None)
+        rows = max(1, 2_000_000 // m)
+        for i in range(0, n, rows):
+            mask = np.arange(i, min(n, i + rows))[:, None] < np.arange(m) if same else None
+            parts.append(kernel([v[i : i + rows] for v in left], right, mask))
+        return pd.concat(parts)
+
+    return both.groupBy("bx", "by", "ox", "oy").applyInPandas(lambda f: run(f), schema)
+
+
 def rounded(c: Column, digits: int) -> Column:
     """Rounded, without a negative zero."""
     return F.round(c, digits) + F.lit(0.0)

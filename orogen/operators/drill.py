@@ -32,32 +32,32 @@ def check(holes: DataFrame, rows: DataFrame, eps: float = 1e-9) -> DataFrame:
     )
 
 
-def _covered(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Length of the union of (a, b) pieces of each key: islands of pieces that meet, by running maxima."""
-    w = Window.partitionBy(*keys).orderBy("a", "b")
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    added = F.greatest(F.lit(0.0), F.col("b") - F.greatest(F.col("a"), F.coalesce(reach, F.col("a"))))
-    return pieces.withColumn("added", added).groupBy(*keys).agg(F.sum("added").alias("cover"))
-
-
 def composite(samples: DataFrame, targets: DataFrame, values: list[str]) -> DataFrame:
     """Length-weighted means of ``values`` over target intervals (hole_id, t_frm, t_to, ...), each over the samples that have it.
 
     ``cover`` is the share of the target that samples cover, overlaps once; ``overlap`` tells whether
     samples overlap there, ``<value>_cover`` the length-weighted share with that value. Intervals that
     only touch don't overlap. Targets without samples stay, with cover 0.
+
+    Both sides are dealt by hole once; the overlap join, the running end of the samples above, the sums and
+    the targets' other columns, which travel along, all keep to that.
     """
     keys = ["hole_id", "t_frm", "t_to"]
-    met = targets.select(*keys).distinct().join(samples, "hole_id").where((F.col("frm") < F.col("t_to")) & (F.col("to") > F.col("t_frm")))
-    met = met.withColumn("a", F.greatest("frm", "t_frm")).withColumn("b", F.least("to", "t_to")).withColumn("len", F.col("b") - F.col("a"))
-    aggs = []
+    others = [c for c in targets.columns if c not in keys]
+    rest = F.collect_list(F.struct(*others) if others else F.lit(1)).alias("rest")
+    wanted = targets.repartition("hole_id").groupBy(*keys).agg(rest).alias("t")
+    s = samples.select(F.col("hole_id").alias("s_hole"), "frm", "to", *values).repartition("s_hole").alias("s")
+    met = wanted.join(s, (F.col("t.hole_id") == F.col("s.s_hole")) & (F.col("s.frm") < F.col("t.t_to")) & (F.col("s.to") > F.col("t.t_frm")), "left").drop("s_hole")
+    met = met.withColumn("a", F.when(F.col("frm").isNotNull(), F.greatest("frm", "t_frm"))).withColumn("b", F.when(F.col("frm").isNotNull(), F.least("to", "t_to"))).withColumn("len", F.col("b") - F.col("a"))
+    reach = F.max("b").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("added", F.greatest(F.lit(0.0), F.col("b") - F.greatest(F.col("a"), F.coalesce(reach, F.col("a")))))
+    length, aggs = F.col("t_to") - F.col("t_frm"), []
     for v in values:
         known = F.when(F.col(v).isNotNull(), F.col("len"))
-        aggs += [F.try_divide(F.sum(F.col(v) * F.col("len")), F.sum(known)).alias(v), (F.coalesce(F.sum(known), F.lit(0.0)) / (F.col("t_to") - F.col("t_frm"))).alias(f"{v}_cover")]
-    means = met.groupBy(*keys).agg(*aggs, F.sum("len").alias("len"))
-    union = _covered(met.select(*keys, "a", "b"), keys)
-    both = means.join(union, keys).select(*keys, *values, *[f"{v}_cover" for v in values], (F.col("cover") / (F.col("t_to") - F.col("t_frm"))).alias("cover"), (F.col("len") > F.col("cover") + 1e-9).alias("overlap"))
-    return targets.join(both, keys, "left").fillna(0.0, ["cover", *[f"{v}_cover" for v in values]]).fillna(False, ["overlap"])
+        aggs += [F.try_divide(F.sum(F.col(v) * F.col("len")), F.sum(known)).alias(v), F.coalesce(F.sum(known), F.lit(0.0)).alias(f"{v}_cover")]
+    got = met.groupBy(*keys).agg(F.first("rest").alias("rest"), *aggs, F.coalesce(F.sum("added"), F.lit(0.0)).alias("cover"), F.coalesce(F.sum("len"), F.lit(0.0)).alias("len"))
+    got = got.withColumn("overlap", F.col("len") > F.col("cover") + 1e-9).withColumns({c: F.col(c) / length for c in ["cover", *[f"{v}_cover" for v in values]]})
+    return got.select(*keys, F.explode("rest").alias("r"), *[c for v in values for c in (v, f"{v}_cover")], "cover", "overlap").select(*keys, *([f"r.{c}" for c in others]), *[c for v in values for c in (v, f"{v}_cover")], "cover", "overlap")
 
 
 def bed_grades(composites: DataFrame, values: list[str], code: str = "code") -> DataFrame:
