@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -64,6 +65,24 @@ def inside(rings: DataFrame, grid: Grid) -> DataFrame:
     return runs.select("polygon", "row", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("col"))
 
 
+def polygons(rings: DataFrame, masses: DataFrame, grid: Grid, weights: DataFrame | None = None) -> DataFrame:
+    """row, col, mass and weighted sigma of polygons (``rings``) with mass (polygon, mass): spread evenly over their cells, or by ``weights`` (row, col, w).
+
+    Only positive weights count; a polygon without any is spread evenly. Its sigma is the radius of a circle of its area. Polygons
+    without a positive mass, and those that hold no cell's centre, leave nothing.
+    """
+    held = inside(rings, grid).join(masses.where("mass > 0"), "polygon")
+    w = F.lit(None).cast("double")
+    if weights is not None:
+        held = held.join(weights.select("row", "col", "w"), ["row", "col"], "left")
+        w = F.when((F.col("w") > 0) & (F.col("w") < float("inf")), F.col("w")).otherwise(0.0)
+    by = Window.partitionBy("polygon")
+    n, total = F.count("*").over(by), F.sum(F.coalesce(w, F.lit(0.0))).over(by)
+    share = F.when(total > 0, F.try_divide(F.coalesce(w, F.lit(0.0)), total)).otherwise(1 / n)
+    held = held.select("row", "col", (F.col("mass") * share).alias("m"), F.sqrt(n * grid.cell * grid.cell / math.pi).alias("s"))
+    return held.groupBy("row", "col").agg(F.sum("m").alias("mass"), F.sum(F.col("m") * F.col("s")).alias("sigma_mass"))
+
+
 def finalise(spread: DataFrame, grid: Grid) -> DataFrame:
     """Density a square kilometre, and the effective sigma, of summed mass."""
     area = grid.cell * grid.cell / 1e6

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from orogen.functions.joins import near_join
 from orogen.functions.loops import checkpointed, fixpoint
 
 #: Neighbours as (name, row step, column step), clockwise from east.
@@ -421,3 +422,31 @@ def height_shift(fine: DataFrame, coarse: DataFrame, plane: bool = False) -> dic
     s = kept.agg(*[F.sum(a * b).alias(f"a{i}{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)], *[F.sum(a * v).alias(f"b{i}") for i, a in enumerate(terms)]).first()
     found = np.linalg.lstsq(np.array([[s[f"a{i}{j}"] for j in range(3)] for i in range(3)], float), np.array([s[f"b{i}"] for i in range(3)], float), rcond=None)[0]
     return dict(zip("xyc", map(float, found), strict=True))
+
+
+def distance_to(mask: DataFrame, cells: DataFrame, width: float) -> DataFrame:
+    """row, col and distance in cells of the ``cells`` (row, col) within ``width`` of a mask (row, col); 0 on it. A join on bins of the width, with the mask's edge only."""
+    inner = [mask.select((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.lit(1).alias("k")) for dr, dc in ((0, 1), (0, -1), (1, 0), (-1, 0))]
+    near = inner[0].union(inner[1]).union(inner[2]).union(inner[3]).groupBy("row", "col").agg(F.count("*").alias("k"))
+    edge = mask.join(near.where("k = 4").select("row", "col"), ["row", "col"], "left_anti")
+    at = lambda t: t.select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    outside = cells.select("row", "col").join(mask, ["row", "col"], "left_anti")
+    found = near_join(at(outside), at(edge), width).groupBy(F.col("l_row").alias("row"), F.col("l_col").alias("col")).agg(F.min("h").alias("distance"))
+    return found.union(mask.join(cells.select("row", "col"), ["row", "col"], "left_semi").select("row", "col", F.lit(0.0)))
+
+
+def grafted(fine: DataFrame, coarse: DataFrame, mask: DataFrame, width: float, plane: bool = False) -> DataFrame:
+    """row, col and z: a detailed surface inside a mask (row, col), a regional one beyond ``width`` cells, and a smooth passage between.
+
+    The regional surface is first shifted to the detailed one, by their median difference (or plane) in the ring around the mask where both
+    are known. The detailed one's weight falls as 1 - t^2 (3 - 2t) over the ring; where one of them lacks, the other stands.
+    """
+    both = fine.select("row", "col", F.col("z").alias("a")).join(coarse.select("row", "col", F.col("z").alias("b")), ["row", "col"], "full")
+    away = distance_to(mask, both, width)
+    ring = away.where("distance > 0").select("row", "col")
+    shift = height_shift(fine.join(ring, ["row", "col"], "left_semi"), coarse.join(ring, ["row", "col"], "left_semi"), plane)
+    moved = F.col("b") + shift["x"] * F.col("col") + shift["y"] * F.col("row") + shift["c"]
+    t = F.least(F.coalesce(F.col("distance"), F.lit(width)) / width, F.lit(1.0))
+    w = 1 - t * t * (3 - 2 * t)
+    got = both.join(away, ["row", "col"], "left")
+    return got.select("row", "col", F.coalesce(w * F.col("a") + (1 - w) * moved, "a", moved).alias("z"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orogen.functions import scalar
 from orogen.functions.joins import rounded
-from orogen.operators import density, drill, flow, fractal, kriging, lines, points, raster, section, splines, variogram
+from orogen.operators import density, drill, flow, fractal, kriging, lines, points, raster, section, splines, subsidence, variogram
 from orogen.plans.geometry import extent, holes, intervals, lattice, profiles, raw_points, side_of, table, with_
 from orogen.plans.geometry import points as pts
 from orogen.plans.geometry import raster as ras
@@ -464,6 +464,18 @@ def surface_shift(spark, sf_dir):
     return rnd(spark.createDataFrame([(found["c"],)], "shift double"), 6, "shift")
 
 
+@query(with_("ras", "rasf", "dim", "cells", "m AS (SELECT row, col FROM cells WHERE row BETWEEN 5 AND 12 AND col BETWEEN 6 AND 15)",
+             "far AS (SELECT c.row, c.col, min(sqrt(pow(c.row - m.row, 2) + pow(c.col - m.col, 2))) AS d FROM cells c JOIN m ON abs(c.row - m.row) <= 4 AND abs(c.col - m.col) <= 4 GROUP BY c.row, c.col HAVING min(pow(c.row - m.row, 2) + pow(c.col - m.col, 2)) <= 16)",
+             "sh AS (SELECT quantile_cont(rasf.z - ras.z, 0.5) AS s FROM far JOIN ras ON ras.row = far.row AND ras.col = far.col JOIN rasf ON rasf.row = far.row AND rasf.col = far.col WHERE d > 0)",
+             "bo AS (SELECT coalesce(rasf.row, ras.row) AS row, coalesce(rasf.col, ras.col) AS col, rasf.z AS a, ras.z + s AS b FROM rasf FULL JOIN ras ON ras.row = rasf.row AND ras.col = rasf.col CROSS JOIN sh)",
+             "w AS (SELECT bo.*, least(coalesce(d, 4) / 4, 1.0) AS t FROM bo LEFT JOIN far ON far.row = bo.row AND far.col = bo.col)")
+       + "SELECT row, col, round(coalesce((1 - t * t * (3 - 2 * t)) * a + t * t * (3 - 2 * t) * b, a, b), 6) + 0.0 AS z FROM w")
+def surface_graft(spark, sf_dir):
+    cells, _, _ = framed(spark, sf_dir)
+    mask = cells.where("row between 5 and 12 and col between 6 and 15").select("row", "col")
+    return rnd(raster.grafted(ras(spark, sf_dir, "F"), ras(spark, sf_dir), mask, 4.0), 6, "z")
+
+
 @query()
 def spline_surface(spark, sf_dir):
     p = pts(spark, sf_dir)
@@ -699,6 +711,25 @@ def trough_settlement(spark, sf_dir):
     return raw_points(spark, sf_dir).select("id", rounded(scalar.trough_shape((F.col("x") - 200) / 500), 9).alias("s"))
 
 
+def _shape_sql(z: str) -> str:
+    """The trough's shape at a share of it, as SQL."""
+    nodes, slopes, k = scalar.TROUGH, scalar._monotone_slopes(scalar.TROUGH, 0.05), f"CAST(least(floor(round({z} / 0.05, 9)), 19) AS INT)"
+    t, at = f"(({z} - {k} * 0.05) / 0.05)", lambda values, i: f"({values}::DOUBLE[])[{k} + {i}]"
+    return f"((2 * {t} + 1) * (1 - {t}) * (1 - {t}) * {at(nodes, 1)} + {t} * (1 - {t}) * (1 - {t}) * 0.05 * {at(slopes, 1)} + {t} * {t} * (3 - 2 * {t}) * {at(nodes, 2)} + {t} * {t} * ({t} - 1) * 0.05 * {at(slopes, 2)})"
+
+
+@query("""WITH p AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, 300 / tan(radians(55.0)) AS a, 2 * 300 / tan(radians(55.0)) AS l FROM range(0, 40) x(r), range(0, 60) y(c)),
+        s AS (SELECT row, col, CAST(least(1.0, greatest(abs((row + 0.5) * 20 - 400) - greatest(0, 250 - a), 0) / l) AS DOUBLE) AS zy, CAST(least(1.0, greatest(abs((col + 0.5) * 20 - 600) - greatest(0, 400 - a), 0) / l) AS DOUBLE) AS zx FROM p) """
+       + f"SELECT row, col, round(1.5 * {_shape_sql('zy')} * {_shape_sql('zx')}, 8) + 0.0 AS z FROM s")
+def subsidence_trough(spark, sf_dir):
+    return rnd(subsidence.trough(spark, 40, 60, 20.0, 300.0, 800.0, 500.0, 1.5), 8, "z")
+
+
+@query()
+def subsidence_grid(spark, sf_dir):
+    return subsidence.deformations(*framed(spark, sf_dir), 10.0, 15.0)
+
+
 SEGMENTS = "ver AS (SELECT CAST(zone AS INT) AS line, id AS seq, x, y FROM raw), seg AS (SELECT * FROM (SELECT line, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ver WINDOW w AS (PARTITION BY line ORDER BY seq)) WHERE x1 IS NOT NULL), len AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS length FROM seg), st AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d0 FROM len)"
 
 
@@ -825,6 +856,30 @@ def point_density(spark, sf_dir):
     return rnd(rnd(density.finalise(density.points(src, grid), grid), 2, "density"), 4, "sigma")
 
 
+POLYGONS = """poly AS (SELECT zone AS polygon, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb, sum(abs(v)) AS mass FROM raw WHERE zone < 5 GROUP BY zone),
+    ring AS (SELECT polygon, mass, [xa, xb, (xa + xb) / 2] AS px, [ya, ya + 7, yb] AS py FROM poly),
+    edge AS (SELECT polygon, mass, px[k] AS x0, py[k] AS y0, px[k % 3 + 1] AS x1, py[k % 3 + 1] AS y1 FROM ring, (VALUES (1), (2), (3)) i(k)),
+    g AS (SELECT CAST(ceil(s * 32 / 50.0) AS BIGINT) AS n FROM side),
+    hit AS (SELECT polygon, any_value(mass) AS mass, r.r AS row, c.c AS col, count(*) AS k FROM edge, g, range(0, g.n) r(r), range(0, g.n) c(c)
+        WHERE (y0 <= (r.r + 0.5) * 50) <> (y1 <= (r.r + 0.5) * 50) AND x0 + ((r.r + 0.5) * 50 - y0) / (y1 - y0) * (x1 - x0) < (c.c + 0.5) * 50 GROUP BY polygon, r.r, c.c),
+    mem AS (SELECT polygon, mass, row, col, count(*) OVER (PARTITION BY polygon) AS n FROM hit WHERE k % 2 = 1)"""
+
+
+def polygon_rings(spark, sf_dir):
+    """A triangle for each of five zones, over the box of its points."""
+    b = raw_points(spark, sf_dir).where("zone < 5").groupBy(F.col("zone").alias("polygon")).agg(F.min("x").alias("xa"), F.max("x").alias("xb"), F.min("y").alias("ya"), F.max("y").alias("yb"), F.sum(F.abs("v")).alias("mass"))
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    places = F.array(corner(F.col("xa"), F.col("ya")), corner(F.col("xb"), F.col("ya") + 7), corner((F.col("xa") + F.col("xb")) / 2, F.col("yb")))
+    return b.select("polygon", F.lit(0).alias("ring"), F.posexplode(places).alias("seq", "p")).select("polygon", "ring", "seq", "p.x", "p.y"), b.select("polygon", "mass")
+
+
+@query(with_("raw", POLYGONS) + "SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(sum(mass / n) / 0.0025, 3) AS density, round(sum(mass / n * sqrt(n * 2500 / pi())) / sum(mass / n), 6) AS sigma FROM mem GROUP BY row, col")
+def polygon_density(spark, sf_dir):
+    n = -int(-extent(spark, sf_dir) // 50.0)
+    grid = density.Grid(0.0, 0.0, 50.0, n, n)
+    return rnd(rnd(density.finalise(density.polygons(*polygon_rings(spark, sf_dir), grid), grid), 3, "density"), 6, "sigma")
+
+
 @query(with_("ras", "dim", "m AS (SELECT row, col FROM ras WHERE z > 150)", "b AS (SELECT size, count(DISTINCT (row // size, col // size)) AS n FROM m, dim, (SELECT unnest([2, 4, 8, 16, 32, 64, 128]) AS size) z WHERE size <= greatest(2, least(ny, nx) // 8) AND row < ny - ny % size AND col < nx - nx % size GROUP BY size)")
        + "SELECT CAST(size AS INT) AS size, n FROM b WHERE n > 4")
 def box_counting(spark, sf_dir):

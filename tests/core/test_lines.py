@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orogen.functions import scalar
-from orogen.operators import drill, flow, fractal, kriging, lines, raster, section, splines, variogram
+from orogen.operators import density, drill, flow, fractal, kriging, lines, raster, section, splines, subsidence, variogram
 from orogen.sources import tables
 from tests.core.test_operators import brute_d8, cells_of, grid_of
 
@@ -316,3 +316,41 @@ def test_boxes_and_dimensions_follow_their_rules(spark):
     y, x = np.mgrid[0:20, 0:20]
     got = fractal.dimension_map(cells_of(spark, 1.0 * x + y)[0], 5).collect()
     assert len(got) == 400 and all(r["dimension"] == pytest.approx(2.0) and r["hurst"] == pytest.approx(1.0) for r in got)
+
+
+def test_grid_deformations_of_a_bowl(spark):
+    y, x = np.mgrid[0:30, 0:30]
+    z = 1e-4 * ((x * 10.0) ** 2 + 3 * (y * 10.0) ** 2)  # settlement grows east and south
+    got = {(r["row"], r["col"]): r for r in subsidence.deformations(*cells_of(spark, z), 10.0, 15.0, False).collect()}
+    r = got[12, 14]
+    gx, gy = 2e-4 * 140, -6e-4 * 120
+    # Between centres the surface is a chord; on a parabola half a cell off adds the same to both sides, and a quarter square to curvature.
+    assert r["tilt"] == pytest.approx(math.hypot(gx, gy)) and r["azimuth"] == pytest.approx(math.degrees(math.atan2(gx, gy)) % 360)
+    assert r["k_max"] / r["k_min"] == pytest.approx(3.0) and r["k_max_az"] == pytest.approx(0.0, abs=1e-6)
+    assert got[0, 0]["tilt"] is None and got[0, 0]["k_max"] is None
+    bowl = grid_of(subsidence.trough(spark, 20, 20, 50.0, 100.0, 600.0, 600.0, 2.0), "z", (20, 20))
+    assert bowl.max() == pytest.approx(2.0) and bowl[10, 10] == pytest.approx(2.0) and bowl[0, 0] < 0.1 and np.allclose(bowl, bowl[::-1, ::-1])
+
+
+def test_grafts_pass_smoothly(spark):
+    y, x = np.mgrid[0:20, 0:24]
+    coarse, fine = 0.5 * x, np.where((x > 3) & (x < 20), 0.5 * x + 4 + np.sin(y), np.nan)
+    mask = spark.createDataFrame([(i, j) for i in range(6, 14) for j in range(8, 16)], "row int, col int")
+    away = {(r["row"], r["col"]): r["distance"] for r in raster.distance_to(mask, cells_of(spark, coarse)[0], 3.0).collect()}
+    want = {(i, j): min(math.hypot(i - a, j - b) for a in range(6, 14) for b in range(8, 16)) for i in range(20) for j in range(24)}
+    assert away == {k: pytest.approx(v) for k, v in want.items() if v <= 3.0}
+    got = grid_of(raster.grafted(cells_of(spark, fine)[0], cells_of(spark, coarse)[0], mask, 3.0), "z", coarse.shape)
+    assert np.allclose(got[6:14, 8:16], fine[6:14, 8:16]) and np.isfinite(got).all()
+    shift = got[0, 0] - coarse[0, 0]
+    assert got[19, 23] - coarse[19, 23] == pytest.approx(shift) and abs(shift - 4) < 1
+
+
+def test_polygons_keep_their_mass(spark):
+    grid = density.Grid(0.0, 0.0, 10.0, 20, 20)
+    ring = spark.createDataFrame([(1, 0, k, x, y) for k, (x, y) in enumerate([(20.0, 20.0), (80.0, 20.0), (80.0, 60.0), (20.0, 60.0)])], "polygon int, ring int, seq int, x double, y double")
+    mass = spark.createDataFrame([(1, 48.0)], "polygon int, mass double")
+    even = density.polygons(ring, mass, grid).collect()
+    assert len(even) == 24 and all(r["mass"] == pytest.approx(2.0) for r in even) and even[0]["sigma_mass"] == pytest.approx(2 * math.sqrt(2400 / math.pi))
+    w = spark.createDataFrame([(3, 3, 1.0), (4, 4, 3.0), (5, 5, -2.0)], "row int, col int, w double")
+    dasymetric = {(r["row"], r["col"]): r["mass"] for r in density.polygons(ring, mass, grid, w).collect() if r["mass"] > 0}
+    assert dasymetric == {(3, 3): 12.0, (4, 4): 36.0}
