@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,10 +11,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back, which cuts its lineage and survives lost executors."""
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back, which cuts its lineage and survives lost executors.
+
+    Only a session in one process (``local[...]``) may go without such a folder; it gets a temporary one.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="orogen-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/orogen-loop-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogen.functions.ranks import quantiles
 from orogen.functions.scalar import inverse_normal as quantile
 
 
@@ -19,7 +20,7 @@ def scan(samples: DataFrame, tolerance: float = 1e-7) -> DataFrame:
 def clip(samples: DataFrame, percent: float, low: float | None = None, high: float | None = None, cap: bool = False) -> DataFrame:
     """Drop or cap values outside the ``percent`` and ``100 - percent`` percentiles; given bounds override them."""
     if low is None or high is None:
-        q = samples.agg(F.percentile("v", [percent / 100, 1 - percent / 100]).alias("q")).first()["q"]
+        q = quantiles(samples, "v", [percent / 100, 1 - percent / 100])
         low, high = q[0] if low is None else low, q[1] if high is None else high
     low, high = min(low, high), max(low, high)
     if cap:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orogen.functions.joins import near_join
 from orogen.functions.loops import checkpointed, fixpoint
+from orogen.functions.ranks import quantiles
 
 #: Neighbours as (name, row step, column step), clockwise from east.
 NEIGHBOURS = [("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1)]
@@ -100,13 +101,18 @@ def window_range(cells: DataFrame, radius: int) -> DataFrame:
 def peaks(cells: DataFrame, radius: int, least_drop: float) -> DataFrame:
     """Cells that no cell of their window exceeds and that rise ``least_drop`` above its lowest; of equal ones in reach the north-western stays.
 
-    Two candidates in one window are equal in height by definition, so one anti join on them does.
+    Two candidates in one window are equal in height by definition. They meet in bins as wide as the radius, so a plateau is as many keys as it has bins.
     """
     found = window_range(cells, radius).where((F.col("z") >= F.col("high")) & (F.col("z") - F.col("low") >= least_drop)).select("row", "col", "z", (F.col("z") - F.col("low")).alias("drop"))
-    a, b = found.alias("a"), found.select("row", "col", "z").alias("b")
+    side = max(radius, 1)
+    bin_of = lambda c, k=0: (F.floor(F.col(c) / side) + k)
+    a = found.select("*", bin_of("row").alias("br"), bin_of("col").alias("bc")).alias("a")
+    around = F.explode(F.array(*[F.struct(bin_of("row", i).alias("br"), bin_of("col", j).alias("bc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("k")
+    b = found.select("row", "col", "z", around).select("row", "col", "z", "k.*").alias("b")
     before = (F.col("b.row") < F.col("a.row")) | ((F.col("b.row") == F.col("a.row")) & (F.col("b.col") < F.col("a.col")))
     near = (F.abs(F.col("a.row") - F.col("b.row")) <= radius) & (F.abs(F.col("a.col") - F.col("b.col")) <= radius)
-    return a.join(b, (F.col("a.z") == F.col("b.z")) & near & before, "left_anti")
+    met = (F.col("a.z") == F.col("b.z")) & (F.col("a.br") == F.col("b.br")) & (F.col("a.bc") == F.col("b.bc"))
+    return a.join(b, met & near & before, "left_anti").drop("br", "bc")
 
 
 def extremes(cells: DataFrame, radius: int, least_drop: float) -> DataFrame:
@@ -145,11 +151,12 @@ def sample(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def residual_stats(table: DataFrame, residual: str, interval: float) -> DataFrame:
-    """Summary of residuals; spread has n - 1 below it and is 0 for one row."""
+    """Summary of residuals; spread has n - 1 below it and is 0 for one row. Quantiles are exact at any size (``quantiles``)."""
     r, a = F.col(residual), F.abs(F.col(residual))
+    median, p90 = quantiles(table, a, [0.5, 0.9])
     return table.where(r.isNotNull()).agg(
         F.count("*").alias("n"), F.avg(r).alias("mean"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("std"), F.sqrt(F.avg(r * r)).alias("rmse"),
-        F.percentile(a, 0.5).alias("median_abs"), F.percentile(a, 0.9).alias("p90_abs"), F.max(a).alias("max_abs"),
+        F.lit(median).cast("double").alias("median_abs"), F.lit(p90).cast("double").alias("p90_abs"), F.max(a).alias("max_abs"),
         F.avg((a > 0.5 * interval).cast("double")).alias("over_half"), F.avg((a > interval).cast("double")).alias("over_full"),
     )
 
@@ -411,14 +418,14 @@ def bridges_removed(cells: DataFrame, mask: DataFrame, ny: int, nx: int, stretch
 def height_shift(fine: DataFrame, coarse: DataFrame, plane: bool = False) -> dict[str, float]:
     """What to add to a coarse surface to meet a fine one: the median difference, or a plane (per column, per row, constant) fitted to the middle nine tenths of them."""
     d = fine.select("row", "col", F.col("z").alias("a")).join(coarse.select("row", "col", F.col("z").alias("b")), ["row", "col"]).select("row", "col", (F.col("a") - F.col("b")).alias("d")).where("d is not null")
-    q = d.agg(F.percentile("d", [0.05, 0.5, 0.95]).alias("q"), F.count("*").alias("n")).first()
-    if not q["n"]:
+    low, middle, high = quantiles(d, "d", [0.05, 0.5, 0.95])
+    if middle is None:
         return {"x": 0.0, "y": 0.0, "c": 0.0}
     if not plane:
-        return {"x": 0.0, "y": 0.0, "c": q["q"][1]}
+        return {"x": 0.0, "y": 0.0, "c": middle}
     x, y, v = F.col("col").cast("double"), F.col("row").cast("double"), F.col("d")
     terms = [x, y, F.lit(1.0)]
-    kept = d.where(v.between(q["q"][0], q["q"][2]))
+    kept = d.where(v.between(low, high))
     s = kept.agg(*[F.sum(a * b).alias(f"a{i}{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)], *[F.sum(a * v).alias(f"b{i}") for i, a in enumerate(terms)]).first()
     found = np.linalg.lstsq(np.array([[s[f"a{i}{j}"] for j in range(3)] for i in range(3)], float), np.array([s[f"b{i}"] for i in range(3)], float), rcond=None)[0]
     return dict(zip("xyc", map(float, found), strict=True))

@@ -640,10 +640,18 @@ def overturned_holes(spark, sf_dir):
     return drill.overturned(rows, drill.code_order(rows))
 
 
-@query()
+AXES = """sv AS (SELECT hole_id, round("to", 6) AS md, radians(CAST((hole_id * 37) % 360 AS DOUBLE)) AS a, radians(least("to" / 10, 45.0)) AS i FROM ivs),
+    pv AS (SELECT *, coalesce(lag(a) OVER w, a) AS a0, coalesce(lag(i) OVER w, i) AS i0, md - coalesce(lag(md) OVER w, 0) AS step FROM sv WINDOW w AS (PARTITION BY hole_id ORDER BY md)),
+    bt AS (SELECT *, acos(greatest(least(cos(i - i0) - sin(i0) * sin(i) * (1 - cos(a - a0)), 1.0), -1.0)) AS beta FROM pv),
+    hf AS (SELECT *, step / 2 * CASE WHEN beta < 1e-9 THEN 1.0 ELSE 2 * tan(beta / 2) / beta END AS h FROM bt),
+    rn AS (SELECT hole_id, md, sum(h * (sin(i0) * sin(a0) + sin(i) * sin(a))) OVER w AS dx, sum(h * (sin(i0) * cos(a0) + sin(i) * cos(a))) OVER w AS dy, sum(-h * (cos(i0) + cos(i))) OVER w AS dz FROM hf WINDOW w AS (PARTITION BY hole_id ORDER BY md))"""
+
+
+@query(with_("hol", "ivs", AXES) + "SELECT rn.hole_id, md, round(x + dx, 5) + 0.0 AS x, round(y + dy, 5) + 0.0 AS y, round(z + dz + 3.7e-8, 6) + 0.0 AS z FROM rn JOIN hol ON hol.hole_id = rn.hole_id")
 def surveyed_axes(spark, sf_dir):
     s = intervals(spark, sf_dir).select("hole_id", F.col("to").alias("md"), F.pmod(F.col("hole_id") * 37, F.lit(360)).cast("double").alias("azi"), F.least(F.col("to") / 10, F.lit(45.0)).alias("inc"))
-    return drill.axis(drill.collars(holes(spark, sf_dir), "seq"), s)
+    got = drill.axis(drill.collars(holes(spark, sf_dir), "seq"), s).withColumn("z", F.col("z") + 3.7e-8)
+    return rnd(rnd(got, 5, "x", "y"), 6, "z")
 
 
 # ----- sections and profiles ----------------------------------------------------------------

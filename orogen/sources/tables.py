@@ -44,10 +44,13 @@ def identifier(column):
 
 
 def bed_reference(rows: DataFrame) -> DataFrame:
-    """Beds (code, order, body, color, strata, note) by order; the first row of a code, without regard to case and look-alike letters, stays."""
+    """Beds (code, order, body, color, strata, note) by order; the first row of a code, without regard to case and look-alike letters, stays.
+
+    Rows may bring ``seq``, their place in the source; else they count in the order of one file as Spark reads it.
+    """
     key = F.lower(F.translate(F.trim("code"), "АВЕКМНОРСТХавекмнорстх", "ABEKMHOPCTXabekmhopctx"))
     w = Window.partitionBy("key").orderBy("seq")
-    ordered = rows.where(F.trim("code") != "").withColumn("seq", F.monotonically_increasing_id()).withColumn("key", key)
+    ordered = rows.where(F.trim("code") != "").withColumn("seq", F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()).withColumn("key", key)
     color = F.when(F.col("color").rlike("^#?[0-9A-Fa-f]{6}$"), F.concat(F.lit("#"), F.lower(F.regexp_replace("color", "#", ""))))
     return ordered.withColumn("k", F.row_number().over(w)).where("k = 1").select("code", "key", F.col("order").cast("int").alias("order"), "body", color.alias("color"), "strata", "note").orderBy("order", "seq")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orogen.functions import scalar
+from orogen.functions import ranks, scalar
 from orogen.operators import density, drill, flow, fractal, kriging, lines, raster, section, splines, subsidence, variogram
 from orogen.sources import tables
 from tests.core.test_operators import brute_d8, cells_of, grid_of
@@ -354,3 +354,12 @@ def test_polygons_keep_their_mass(spark):
     w = spark.createDataFrame([(3, 3, 1.0), (4, 4, 3.0), (5, 5, -2.0)], "row int, col int, w double")
     dasymetric = {(r["row"], r["col"]): r["mass"] for r in density.polygons(ring, mass, grid, w).collect() if r["mass"] > 0}
     assert dasymetric == {(3, 3): 12.0, (4, 4): 36.0}
+
+
+def test_quantiles_are_exact_by_narrowing(spark):
+    rng = np.random.default_rng(10)
+    for values in (rng.normal(0, 1, 3000), np.repeat([1.0, 2.0, 3.0], 1000), np.concatenate((np.zeros(2500), rng.uniform(0, 1, 500)))):
+        frame = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        shares = [0.0, 0.02, 0.5, 0.9, 1.0]
+        assert ranks.quantiles(frame, "v", shares, most=50) == pytest.approx(np.quantile(values, shares).tolist())
+    assert ranks.quantiles(frame.limit(0), "v", [0.5]) == [None]
