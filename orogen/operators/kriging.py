@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +33,17 @@ class Model:
 
     def covariance(self, dx: np.ndarray, dy: np.ndarray, azimuth: np.ndarray | None = None) -> np.ndarray:
         """Covariance of lags; ``azimuth`` (one for each first index) stands in for the model's own."""
-        a = np.radians(90.0 - (self.azimuth if azimuth is None else azimuth.reshape(-1, *[1] * (dx.ndim - 1))))
-        h = np.hypot(dx * np.cos(a) + dy * np.sin(a), (dy * np.cos(a) - dx * np.sin(a)) / self.anisotropy)
+        if self.anisotropy == 1.0:
+            h = np.sqrt(dx * dx + dy * dy)
+        else:
+            a = np.radians(90.0 - (self.azimuth if azimuth is None else azimuth.reshape(-1, *[1] * (dx.ndim - 1))))
+            h = np.hypot(dx * np.cos(a) + dy * np.sin(a), (dy * np.cos(a) - dx * np.sin(a)) / self.anisotropy)
         r = h / self.reach
-        body = {"spherical": lambda: np.where(r < 1, 1 - 1.5 * r + 0.5 * r**3, 0.0), "exponential": lambda: np.exp(-r), "gaussian": lambda: np.exp(-r * r)}[self.kind]()
+        if self.kind == "spherical":
+            r = np.minimum(r, 1.0)  # where the body is 0
+            body = 1 + r * (0.5 * r * r - 1.5)
+        else:
+            body = {"exponential": lambda: np.exp(-r), "gaussian": lambda: np.exp(-r * r)}[self.kind]()
         return np.where(h < 1e-10, self.top, self.sill * body)
 
 
@@ -123,10 +131,10 @@ def solve(tx: np.ndarray, ty: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.nd
 
 
 def _batches(sizes: np.ndarray, least: int) -> Iterator[np.ndarray]:
-    """Rows with equal numbers of neighbours, ``least`` at least, some million matrix entries at a time."""
+    """Rows with equal numbers of neighbours, ``least`` at least, as many at a time as keep their matrices in a core's cache."""
     for n in np.unique(sizes[sizes >= max(least, 1)]):
         at = np.flatnonzero(sizes == n)
-        yield from np.array_split(at, max(1, len(at) * int(n) * int(n) // 2_000_000))
+        yield from np.array_split(at, max(1, len(at) * int(n) * int(n) // 60_000))
 
 
 def _axial(angles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,32 +145,86 @@ def _axial(angles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.degrees(np.arctan2(s, c)) / 2 % 180, np.hypot(c, s)
 
 
-def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None, block: float = 0.0, grid: int = 1, exclude: bool = False, faults: DataFrame | None = None, strength: float = 0.3) -> DataFrame:
+def _nearest(tx: np.ndarray, ty: np.ndarray, sample: dict[str, np.ndarray], radius: float, most: int, ids: np.ndarray | None, walls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the at most ``most`` samples nearest to each target, by distance and then by their own order, padded with -1; and how many there are."""
+    dx, dy = sample["x"] - tx[:, None], sample["y"] - ty[:, None]
+    h = np.sqrt(dx * dx + dy * dy)
+    free = h <= radius
+    if ids is not None:
+        free &= sample["id"] != ids[:, None]
+    if len(walls):
+        i, j = np.nonzero(free)
+        ax, ay, bx, by = tx[i], ty[i], sample["x"][j], sample["y"][j]
+        for x0, y0, x1, y1 in walls:
+            ends = ((bx - ax) * (y0 - ay) - (by - ay) * (x0 - ax)) * ((bx - ax) * (y1 - ay) - (by - ay) * (x1 - ax))
+            places = ((x1 - x0) * (ay - y0) - (y1 - y0) * (ax - x0)) * ((x1 - x0) * (by - y0) - (y1 - y0) * (bx - x0))
+            hit = (ends < 0) & (places < 0)
+            free[i[hit], j[hit]] = False
+    h[~free] = np.inf
+    if h.shape[1] > most:
+        free &= h <= np.partition(h, most - 1, axis=1)[:, most - 1 : most]
+    i, j = np.nonzero(free)
+    order = np.lexsort((j, h[i, j], i))
+    i, j = i[order], j[order]
+    count = np.bincount(i, minlength=len(tx))
+    rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    near = np.full((len(tx), most), -1)
+    keep = rank < most
+    near[i[keep], rank[keep]] = j[keep]
+    return near, np.minimum(count, most)
+
+
+def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None, block: float = 0.0, grid: int = 1, exclude: bool = False, faults: DataFrame | None = None, strength: float = 0.3, tile: int = 1000) -> DataFrame:
     """id, estimate, variance and n_near of targets (id, x, y); both null with fewer than ``least`` neighbours.
 
-    Samples may bring azimuths ``a`` of a local fabric: where those of a target's neighbours agree (axial mean of
-    ``strength`` at least), the whole system takes the model turned to their mean. ``faults`` hide samples behind them.
+    Targets fall into square tiles of some ``tile`` targets, as wide as the radius at least; samples go to every tile within
+    the radius, and so do fault segments, so a task finds the neighbours of its tile and solves their systems in batches; neighbours are never
+    rows. They are those of ``neighbours``: the nearest, ties by x, y and v, seen past no fault. Samples may bring azimuths ``a`` of a
+    local fabric: where those of a target's neighbours agree (axial mean of ``strength`` at least), the whole system takes the model turned to their mean.
     """
-    names = ["x", "y", "v"] + (["a"] if "a" in samples.columns else [])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            near = {c: frame[f"n{c}"].to_numpy() for c in names}
-            size = np.array([0 if r is None else len(r) for r in near["x"]], int)
-            estimate, variance = np.full(len(frame), np.nan), np.full(len(frame), np.nan)
-            tx, ty = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
-            for part in _batches(size, least):
-                x, y, v, *a = (np.stack(near[c][part]).astype(float) for c in names)
+    names = ["id", "x", "y", "v"] + (["a"] if "a" in samples.columns else [])
+    schema = "id long, estimate double, variance double, n_near int"
+    b = targets.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if not b["n"]:
+        return targets.sparkSession.createDataFrame([], schema)
+    area = max(b["x1"] - b["x0"], radius) * max(b["y1"] - b["y0"], radius)
+    side = max(radius, math.sqrt(area * tile / b["n"]))
+    span = lambda low, high: F.sequence(F.floor((low - radius) / side), F.floor((high + radius) / side))
+    left = targets.select("id", "x", "y", F.floor(F.col("x") / side).alias("tc"), F.floor(F.col("y") / side).alias("tr"))
+    null = F.lit(None).cast("double")
+    right = samples.select(*[F.col(c).cast("long" if c == "id" else "double").alias(c) for c in names], null.alias("x1"), null.alias("y1"), F.explode(span(F.col("x"), F.col("x"))).alias("tc"), span(F.col("y"), F.col("y")).alias("tr"))
+    if faults is not None:
+        walls = faults.select(F.lit(None).cast("long").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"), *[null.alias(c) for c in names[3:]], "x1", "y1", F.explode(span(F.least("x0", "x1"), F.greatest("x0", "x1"))).alias("tc"), span(F.least("y0", "y1"), F.greatest("y0", "y1")).alias("tr"))
+        right = right.union(walls)
+    right = right.withColumn("tr", F.explode("tr"))
+
+    def run(t: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(t):
+            return pd.DataFrame({"id": [], "estimate": [], "variance": [], "n_near": []})
+        is_wall = known["x1"].notna()
+        walls = known.loc[is_wall, ["x", "y", "x1", "y1"]].to_numpy(float)
+        known = known[~is_wall & known["v"].notna()].sort_values(["x", "y", "v"], kind="stable")
+        sample = {c: known[c].to_numpy() for c in names}
+        tx, ty = t["x"].to_numpy(float), t["y"].to_numpy(float)
+        ids = t["id"].to_numpy() if exclude else None
+        estimate, variance, size = np.full(len(t), np.nan), np.full(len(t), np.nan), np.zeros(len(t), int)
+        rows = max(1, 250_000 // max(1, len(known)))
+        for at in range(0, len(t), rows):
+            own = slice(at, at + rows)
+            near, size[own] = _nearest(tx[own], ty[own], sample, radius, most, None if ids is None else ids[own], walls)
+            for part in _batches(size[own], least):
+                n = size[at + part[0]]
+                pick = near[part, :n]
+                x, y, v, *a = (sample[c][pick].astype(float) for c in names[1:])
                 azimuth = None
                 if a:
                     azimuth, agree = _axial(a[0])
                     azimuth = np.where(agree >= strength, azimuth, model.azimuth)
+                part = part + at
                 estimate[part], variance[part] = solve(tx[part], ty[part], x, y, v, model, mean, block, grid, azimuth)
-            yield pd.DataFrame({"id": frame["id"], "estimate": estimate, "variance": variance, "n_near": size})
+        return pd.DataFrame({"id": t["id"], "estimate": estimate, "variance": variance, "n_near": size})
 
-    found = neighbours(targets, samples, radius, most, exclude, faults)
-    found = found.select("id", "x", "y", *[F.col(f"near.{c}").alias(f"n{c}") for c in names])
-    got = found.mapInPandas(run, "id long, estimate double, variance double, n_near int")
+    got = left.groupBy("tr", "tc").cogroup(right.groupBy("tr", "tc")).applyInPandas(lambda t, known: run(t, known), schema)
     return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("estimate", "variance")})
 
 
