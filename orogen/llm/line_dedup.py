@@ -11,6 +11,8 @@ from orogen.llm.common import SPACES, fresh
 
 #: Bits of a keep bitmap's word that are used; the sign bit stays free.
 BITS = 60
+#: Shares of the documents that a frequent key's lines are dealt to.
+SALTS = 16
 #: A word of a bitmap whose lines all stay.
 FULL = (1 << BITS) - 1
 
@@ -79,13 +81,14 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = 10, first_stays: bool = Fals
 
     A line is dropped if its key stands in at least ``least_docs`` documents (``streamed``); with
     ``first_stays`` its first occurrence (least doc_id, then position) stays. Only hashes move. The
-    join that takes the frequent keys back to their lines is one whose large partitions Spark splits.
+    join that takes the frequent keys back to their lines holds each key ``SALTS`` times, once for each
+    share of the documents, so no task gets all lines of one key.
 
     The bitmap is compressed: ``words`` maps a word's number to its ``BITS`` bits, position
     ``BITS * word + bit``; words whose lines all stay are left out.
     """
-    often = streamed(docs, partitions).where(F.col("n_docs") >= least_docs)
-    dropped = occurrences(docs).join(often, ["h1", "h2"])
+    often = streamed(docs, partitions).where(F.col("n_docs") >= least_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dropped = occurrences(docs).withColumn("salt", F.pmod(F.col("r1"), F.lit(SALTS)).cast("int")).join(often, ["h1", "h2", "salt"])
     if first_stays:
         dropped = dropped.where((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2")) | (F.col("pos") != F.col("first.pos")))
     word = (F.col("pos") / BITS).cast("long").alias("word")
