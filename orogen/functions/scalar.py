@@ -186,6 +186,7 @@ def index_contour(level: Column, base: float, interval: float, every: int) -> Co
 
 def code_colour(code: Column) -> Column:
     """A colour that a code always has: hue, saturation and value from the first three bytes of its md5, as ``#rrggbb``."""
+    # The ranges of saturation and value.
     byte = lambda k: F.conv(F.substring(F.md5(code.cast("binary")), 2 * k + 1, 2), 16, 10).cast("double")
     h, s, v = byte(0) / 255 * 6, 0.45 + 0.35 * (byte(1) / 255), 0.65 + 0.25 * (byte(2) / 255)
     part = lambda shift: F.pmod(F.lit(float(shift)) + h, F.lit(6.0))
