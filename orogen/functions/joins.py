@@ -64,7 +64,10 @@ def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Cal
             parts.append(kernel([v[i : i + rows] for v in left], right, mask))
         return pd.concat(parts)
 
-    return both.groupBy("bx", "by", "ox", "oy").applyInPandas(lambda f: run(f), schema)
+    # Blocks are few bytes but much work, so their number decides the tasks, not their size.
+    keys = ["bx", "by", "ox", "oy"]
+    n = max(points.sparkSession.sparkContext.defaultParallelism, b["n"] * len(offsets) // (50 * block))
+    return both.repartition(n, *keys).groupBy(*keys).applyInPandas(lambda f: run(f), schema)
 
 
 def rounded(c: Column, digits: int) -> Column:

@@ -224,7 +224,10 @@ def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, m
                 estimate[part], variance[part] = solve(tx[part], ty[part], x, y, v, model, mean, block, grid, azimuth)
         return pd.DataFrame({"id": t["id"], "estimate": estimate, "variance": variance, "n_near": size})
 
-    got = left.groupBy("tr", "tc").cogroup(right.groupBy("tr", "tc")).applyInPandas(lambda t, known: run(t, known), schema)
+    # Tiles are few bytes but much work, so their number decides the tasks, not their size.
+    n = max(-(-b["n"] // (50 * tile)), min(-(-b["n"] // tile), targets.sparkSession.sparkContext.defaultParallelism))
+    left, right = (side.repartition(n, "tr", "tc").groupBy("tr", "tc") for side in (left, right))
+    got = left.cogroup(right).applyInPandas(lambda t, known: run(t, known), schema)
     return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("estimate", "variance")})
 
 
