@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, licenses, line_dedup, ngram_join, packing, pii, quality, token_files, topk, toxicity
+from orogen.llm import bpe, languages, licenses, line_dedup, ngram_join, packing, periodic, pii, prefix_trie, quality, token_files, topk, toxicity
 from orogen.llm.common import documents
 from orogen.session import ship
 
@@ -54,6 +54,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(documents(spark, sf_dir))
 
 
+def op11_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return languages.identify(docs, languages.fit(docs))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.shared_starts(prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic.find(documents(spark, sf_dir), loops=True)
+    return got.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def _shipped(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -62,7 +76,20 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_bpe_round_trip, op2_skip_chain_pii, op3_license_patience, op4_best_fit_packing, op5_toxic_segments, op6_token_files, op7_segment_topk, op8_quality_ratio, op9_line_dedup, op10_ngram_jaccard)}
+QUERIES = {
+    f.__name__: _shipped(f)
+    for f in (
+        op1_bpe_round_trip, op2_skip_chain_pii, op3_license_patience, op4_best_fit_packing, op5_toxic_segments, op6_token_files, op7_segment_topk,
+        op8_quality_ratio, op9_line_dedup, op10_ngram_jaccard, op11_language_filters, op12_prefix_trie, op13_periodic_runs,
+    )
+}
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text: eight shifts for each character."""
+    bits = "list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, z: xor(t >> 1, 3988292384 * (t & 1)))"
+    return f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda acc, b: {bits}))"
+
 
 ORACLES = {
     "op7_segment_topk": """
@@ -103,4 +130,58 @@ ORACLES = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
         SELECT sets.doc_id, len(s) AS n_shingles, m.c AS component_id
         FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = sets.doc_id""",
+    "op12_prefix_trie": rf"""
+        WITH RECURSIVE said AS (
+            SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        hashed AS (
+            SELECT c, turn, sha256(concat(length(role), ':', role, ':', text)) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM said),
+        own AS (SELECT c, d, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS i FROM hashed),
+        ids AS (SELECT DISTINCT c, c - c % 20 AS base, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h FROM own),
+        pieces AS (
+            SELECT ids.c, 0 AS later, own.i, d, words FROM ids JOIN own ON own.c = base AND i <= h
+            UNION ALL SELECT ids.c, 1, own.i, d, words FROM ids JOIN own ON own.c = ids.c AND i > h),
+        rebuilt AS (SELECT c, d, words, row_number() OVER (PARTITION BY c ORDER BY later, i) AS i FROM pieces),
+        path AS (
+            SELECT c, CAST(0 AS BIGINT) AS depth, '' AS k, CAST(NULL AS VARCHAR) AS pk, CAST(0 AS BIGINT) AS words FROM ids
+            UNION ALL SELECT p.c, r.i, sha256(p.k || r.d), p.k, r.words FROM path p JOIN rebuilt r ON r.c = p.c AND r.i = p.depth + 1),
+        nodes AS (SELECT depth, k, any_value(pk) AS pk, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM path GROUP BY depth, k),
+        kids AS (SELECT pk, count(*) AS n_children FROM nodes WHERE pk IS NOT NULL GROUP BY pk),
+        own_sums AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN n.depth > 0 THEN (n_convs - 1) * n.words ELSE 0 END AS saved
+            FROM nodes n LEFT JOIN kids ON kids.pk = n.k),
+        sums AS (
+            SELECT p.k, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM own_sums s JOIN path p ON p.c = s.conv_id AND p.depth <= s.depth GROUP BY p.k),
+        ends AS (
+            SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256
+            FROM (SELECT c, k FROM path QUALIFY row_number() OVER (PARTITION BY c ORDER BY depth DESC) = 1) GROUP BY k)
+        SELECT s.conv_id, s.depth, up.conv_id AS parent_conv_id, s.n_convs, s.n_children, CAST(sums.n_leaves AS BIGINT) AS n_leaves,
+               CAST(sums.saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+        FROM own_sums s JOIN sums ON sums.k = s.k LEFT JOIN nodes up ON up.k = s.pk LEFT JOIN ends ON ends.k = s.k""",
+    "op13_periodic_runs": rf"""
+        WITH split AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+        cut AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM split),
+        looped AS (
+            SELECT r, doc_id, n, CASE WHEN n > 0 AND h % 10 = 0
+                THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM cut),
+        windows AS (SELECT r, n, i, hash(w[i + 1:i + 16]) AS x FROM (SELECT r, n, w, unnest(range(n - 15)) AS i FROM looped)),
+        periods AS (
+            SELECT DISTINCT a.r, b.i - a.i AS q FROM (SELECT * FROM windows QUALIFY count(*) OVER (PARTITION BY r, x) > 1) a
+            JOIN windows b ON a.r = b.r AND a.x = b.x AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+        same AS (
+            SELECT r, q, i FROM (SELECT p.r, q, w, unnest(range(n - q)) AS i FROM periods p JOIN looped USING (r)) WHERE w[i + 1] = w[i + q + 1]),
+        islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+        found AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS (SELECT r, s, l, min(q) AS q FROM found GROUP BY r, s, l),
+        told AS (
+            SELECT r, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS listed FROM runs GROUP BY r),
+        best AS (
+            SELECT a.* FROM runs a WHERE NOT EXISTS (
+                SELECT 1 FROM runs b WHERE b.r = a.r AND (b.l * a.q > a.l * b.q OR (b.l * a.q = a.l * b.q AND (b.s < a.s OR (b.s = a.s AND b.q < a.q)))))),
+        gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+        kept AS (
+            SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM (SELECT r, unnest(w) AS x, unnest(range(n)) AS i FROM looped) ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+               sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM looped LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
 }

@@ -135,17 +135,17 @@ def _tail_rate(background: list[tuple[float, float]]) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float = 0.5, sure: float = 3.5, effect: float = 3.5, vocabulary: int = 50_000, drift: float = 0.2, sample: int = 30_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float = 0.5, sure: float = 3.5, effect: float = 3.5, drift: float = 0.2, sample: int = 30_000) -> Model:
     """Learn from the labelled rows that aren't held out: ``sample`` of them at most, drawn by a hash of the doc_id.
 
     The sample's labels are broadcast, under half a megabyte, so that no text is shuffled.
 
     Words and word beginnings are counted by class in Spark. A feature scores its log-odds, drawn a
-    standard error to 0, if these are ``sure`` errors from 0 and at least ``effect`` afterwards; the
-    ``vocabulary`` surest are kept (a size of the model), all else scores 0. Tokens also cost ``drift``.
-    The tail of clean segments gives lambda and K; the calibration is a logistic curve on counts of
-    the evidence in bins. Nothing larger than the vocabulary reaches the driver. Without both
-    classes the model scores every text the same.
+    standard error to 0, if these are ``sure`` errors from 0 and at least ``effect`` afterwards; all such
+    features are kept, all else scores 0. Tokens also cost ``drift``. The tail of clean segments gives lambda and K; the
+    calibration is a logistic curve on counts of the evidence in bins. The features and bins that reach the driver come from
+    the sample alone, so its bound is theirs. Without both classes, or without a labelled row, the model scores every text
+    the same.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(drawn(known, sample)), "doc_id").select("text", "toxic")
@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float
             if sum(map(len, words.values())) > 200_000:
                 yield rows(words)
                 words = {0: Counter(), 1: Counter()}
-        yield rows(words)
+        if any(words.values()):  # a task without labelled rows has no frame to give
+            yield rows(words)
 
     counted = stored(train.mapInPandas(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "feature-counts")
     words = counted.where("not startswith(feature, '^')")
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float
         return model
     odds, error = log_odds(F.col("a"), F.col("b"), totals, prior, floor, F.log, F.sqrt)
     most = counted.withColumn("odds", odds).withColumn("error", error).where((F.abs("odds") > sure * F.col("error")) & (F.abs("odds") - F.col("error") >= effect))
-    rows = most.orderBy(F.desc(F.abs("odds") / F.col("error")), "feature").limit(vocabulary).select("feature", "odds", "error").collect()
+    rows = most.select("feature", "odds", "error").collect()
     model.scores = {r["feature"]: r["odds"] - math.copysign(r["error"], r["odds"]) for r in rows}
 
     def background(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float
             for t, y in zip(frame["text"], frame["toxic"], strict=True):
                 n, got = model.passages(t)
                 out.append((n, [float(s) for _, _, s in got], int(y > 0)))
-            yield pd.DataFrame(out, columns=["n", "s", "toxic"])
+            if out:
+                yield pd.DataFrame(out, columns=["n", "s", "toxic"])
 
     seen = stored(train.mapInPandas(found, "n long, s array<double>, toxic int"), "segments")
     # Peaks over a threshold: clean segments of score u or more come K * exp(-lambda * u) to a token.
@@ -203,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, floor: float
     model.scale = (float(tail["k"] or 0) + 1) / (float(tail["n"] or 0) + 1) * math.exp(model.rate * u)
     base = F.log(F.lit(model.scale) * F.greatest("n", F.lit(1)))
     evidence = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.greatest(F.lit(0.0), F.lit(model.rate) * x - base))
-    bins = seen.groupBy(F.least(F.round(evidence * 4), F.lit(400.0)).alias("bin"), "toxic").count().collect()
+    bins = seen.groupBy(F.round(evidence * 4).alias("bin"), "toxic").count().collect()
     model.intercept, model.slope = _logistic([(r["bin"] / 4, r["toxic"], r["count"]) for r in bins])
     return model
 

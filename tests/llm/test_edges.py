@@ -5,12 +5,12 @@ import random
 import pytest
 
 import corpus_pipeline
-from orogen.llm import bpe, licenses, line_dedup, ngram_join, packing, pii, quality, token_files, topk, toxicity
+from orogen.llm import bpe, languages, licenses, line_dedup, ngram_join, packing, periodic, pii, quality, token_files, topk, toxicity
 from orogen.llm.common import stored
 from tests.llm.test_operators import prose
 
 #: Columns that the operators might use themselves.
-EXTRA = ["kept", "n_lines", "n_dropped", "_row", "_words", "_lines", "_kept", "_gone", "gone", "row", "r1", "r2", "words", "lines", "left", "slot", "chunk", "payload", "piece", "block", "score", "predicted", "mark", "held_out", "digest", "hashes", "node", "component_id", "n_shingles", "spans", "start", "part", "bucket", "label"]
+EXTRA = ["kept", "n_lines", "n_dropped", "_row", "_words", "_lines", "_kept", "_gone", "gone", "row", "r1", "r2", "words", "lines", "left", "slot", "chunk", "payload", "piece", "block", "score", "predicted", "mark", "held_out", "digest", "hashes", "node", "component_id", "n_shingles", "spans", "start", "part", "bucket", "label", "learned", "gram", "language", "n_runs", "period", "length"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 
@@ -32,17 +32,18 @@ def runs(labels):
     return {
         1: bpe.encode_decode, 2: lambda d: pii.find(d, pii.fit(d)), 4: packing.pack, 5: lambda d: toxicity.score(d, toxicity.fit(d, labels)),
         6: token_files.round_trip, 8: lambda d: quality.judge(d, labels), 9: line_dedup.dedup, 10: ngram_join.link,
+        11: lambda d: languages.identify(d, languages.fit(d)), 13: periodic.find,
     }
 
 
-@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 8, 9, 10])
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 8, 9, 10, 11, 13])
 def test_each_row_has_its_result_and_empty_tables_none(docs, runs, n):
     got = runs[n](docs)
     rows = got.where("piece = 0").collect() if n == 4 else got.collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
     by = {r["doc_id"]: r for r in rows}
     assert runs[n](docs.limit(0)).count() == 0
-    want = {1: ("n_tokens", 0), 2: ("spans", ""), 4: ("length", 1), 5: ("n_tokens", 0), 6: ("n_tokens", 1), 8: ("n_words", 0), 9: ("n_dropped", 0), 10: ("n_shingles", 0)}[n]
+    want = {1: ("n_tokens", 0), 2: ("spans", ""), 4: ("length", 1), 5: ("n_tokens", 0), 6: ("n_tokens", 1), 8: ("n_words", 0), 9: ("n_dropped", 0), 10: ("n_shingles", 0), 11: ("lang_pred", "und"), 13: ("n_runs", 0)}[n]
     assert by[50][want[0]] == by[51][want[0]] == want[1]
     if n == 5:
         assert by[50]["score"] == by[51]["score"]
