@@ -20,17 +20,18 @@ ORDER = {name: (k, dr, dc) for k, (name, dr, dc) in enumerate(NEIGHBOURS)}
 def receivers(cells: DataFrame, ny: int, nx: int, cell: float = 1.0) -> DataFrame:
     """cell (row * nx + col), down (the steepest lower neighbour, the first of equals in E..NE order, or null) and code (2^k, 0 for sinks).
 
-    Off the frame is a wall; a nodata neighbour draws the flow out of the raster, so the cell is a sink.
+    Off the frame is a wall. A nodata neighbour is deeper than any other: the first of them draws the flow out of the raster, so the
+    cell keeps the code of that way, but has no receiver.
     """
     s = stencil(cells, ny, nx).where("z is not null")
-    lost, options = F.lit(False), []
+    options = []
     for name, (k, dr, dc) in ORDER.items():
-        inside = (F.col("row") + dr).between(0, ny - 1) & (F.col("col") + dc).between(0, nx - 1)
-        lost = lost | (inside & F.col(name).isNull())
-        drop = (F.col("z") - F.col(name)) / (cell * (math.sqrt(2) if dr and dc else 1.0))
-        options.append(F.when(drop > 0, F.struct(drop.alias("drop"), F.lit(-k).alias("k"), ((F.col("row") + dr) * nx + F.col("col") + dc).cast("long").alias("down"))))
-    best = F.when(~lost, F.greatest(*options))
-    return s.select((F.col("row") * nx + F.col("col")).cast("long").alias("cell"), best.alias("b")).select("cell", "b.down", F.coalesce(F.expr("shiftleft(1, -b.k)"), F.lit(0)).alias("code"))
+        lost = (F.col("row") + dr).between(0, ny - 1) & (F.col("col") + dc).between(0, nx - 1) & F.col(name).isNull()
+        drop = F.when(lost, float("inf")).otherwise((F.col("z") - F.col(name)) / (cell * (math.sqrt(2) if dr and dc else 1.0)))
+        down = F.when(~lost, ((F.col("row") + dr) * nx + F.col("col") + dc).cast("long"))
+        options.append(F.when(drop > 0, F.struct(drop.alias("drop"), F.lit(-k).alias("k"), down.alias("down"))))
+    cell_no = (F.col("row") * nx + F.col("col")).cast("long").alias("cell")
+    return s.select(cell_no, F.greatest(*options).alias("b")).select("cell", "b.down", F.coalesce(F.expr("shiftleft(1, -b.k)"), F.lit(0)).alias("code"))
 
 
 def basins(flow: DataFrame) -> DataFrame:
@@ -229,27 +230,30 @@ def fill(cells: DataFrame, ny: int, nx: int, eps: float = 0.001, tile: int = 256
 
 
 def trace(flow: DataFrame, starts: DataFrame, stop: DataFrame | None = None, merge: bool = False) -> DataFrame:
-    """start, step and cell of the ways downhill from ``starts`` (cell), up to a cell of ``stop`` (cell) where they pass one.
+    """start, step and cell of the ways downhill from ``starts`` (cell), up to a cell of ``stop`` (cell) that they come to.
 
-    With ``merge`` a way ends on the first cell that a way from a lesser start has passed. Ways double their length each round:
-    a table of cells 2^k steps down continues all places known so far.
+    A start on such a cell goes on. With ``merge`` a way ends on the first cell after its start that a way from a lesser start has
+    passed. Ways double their length each round: a table of cells 2^k steps down continues all places known so far.
     """
-    down = flow.select("cell", "down")
+    down = flow.select("cell", "down").where("down is not null")
+    begun = starts.select(F.col("cell").alias("start")).distinct()
+    firsts = begun.join(down.withColumnRenamed("cell", "start"), "start").select("start", F.lit(1).cast("long").alias("step"), F.col("down").alias("cell"))
     if stop is not None:
         held = stop.select("cell", F.lit(True).alias("held")).distinct()
         down = down.join(held, "cell", "left").select("cell", F.when(F.col("held").isNull(), F.col("down")).alias("down"))
     far = checkpointed(down.where("down is not null"))
-    out = checkpointed(starts.select(F.col("cell").alias("start"), F.lit(0).cast("long").alias("step"), "cell").distinct())
+    out = checkpointed(firsts)
     reach = 1
     while not far.isEmpty():
         longer = out.join(far, "cell").select("start", (F.col("step") + reach).alias("step"), F.col("down").alias("cell"))
         out = checkpointed(out.union(longer))
         far = checkpointed(far.join(far.select(F.col("cell").alias("down"), F.col("down").alias("next")), "down").select("cell", F.col("next").alias("down")))
         reach *= 2
+    out = out.union(begun.select("start", F.lit(0).cast("long").alias("step"), F.col("start").alias("cell")))
     if merge:
         owner = out.groupBy("cell").agg(F.min("start").alias("owner"))
         known = out.join(owner, "cell")
-        first = known.where(F.col("owner") != F.col("start")).groupBy("start").agg(F.min("step").alias("last"))
+        first = known.where((F.col("owner") != F.col("start")) & (F.col("step") > 0)).groupBy("start").agg(F.min("step").alias("last"))
         out = known.join(first, "start", "left").where(F.col("last").isNull() | (F.col("step") <= F.col("last"))).select("start", "step", "cell")
     return out
 

@@ -98,21 +98,32 @@ def window_range(cells: DataFrame, radius: int) -> DataFrame:
     return part.select("row", "col", "z", F.max("h").over(along(along_col())).alias("high"), F.min("l").over(along(along_col())).alias("low"))
 
 
-def peaks(cells: DataFrame, radius: int, least_drop: float) -> DataFrame:
-    """Cells that no cell of their window exceeds and that rise ``least_drop`` above its lowest; of equal ones in reach the north-western stays.
+def peaks(cells: DataFrame, radius: int, least_drop: float, tile: int = 256, rounds: int = 10_000) -> DataFrame:
+    """Cells that no cell of their window exceeds and that rise ``least_drop`` above its lowest, none in reach of another.
 
-    Two candidates in one window are equal in height by definition. They meet in bins as wide as the radius, so a plateau is as many keys as it has bins.
+    Candidates in reach of one another are equally high. They are taken from north to south and west to east: one stays unless one
+    that stays is in its window, so a wide plateau keeps a peak for each window. Tiles decide all cells whose earlier
+    neighbours are decided, with a halo as wide as the window, until none is left; only plateaus across tiles take rounds.
     """
-    found = window_range(cells, radius).where((F.col("z") >= F.col("high")) & (F.col("z") - F.col("low") >= least_drop)).select("row", "col", "z", (F.col("z") - F.col("low")).alias("drop"))
-    side = max(radius, 1)
-    bin_of = lambda c, k=0: (F.floor(F.col(c) / side) + k)
-    a = found.select("*", bin_of("row").alias("br"), bin_of("col").alias("bc")).alias("a")
-    around = F.explode(F.array(*[F.struct(bin_of("row", i).alias("br"), bin_of("col", j).alias("bc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("k")
-    b = found.select("row", "col", "z", around).select("row", "col", "z", "k.*").alias("b")
-    before = (F.col("b.row") < F.col("a.row")) | ((F.col("b.row") == F.col("a.row")) & (F.col("b.col") < F.col("a.col")))
-    near = (F.abs(F.col("a.row") - F.col("b.row")) <= radius) & (F.abs(F.col("a.col") - F.col("b.col")) <= radius)
-    met = (F.col("a.z") == F.col("b.z")) & (F.col("a.br") == F.col("b.br")) & (F.col("a.bc") == F.col("b.bc"))
-    return a.join(b, met & near & before, "left_anti").drop("br", "bc")
+    drop = F.col("z") - F.col("low")
+    found = window_range(cells, radius).where((F.col("z") >= F.col("high")) & (drop >= least_drop)).select("row", "col", "z", drop.alias("drop"), F.lit(0).alias("stays"))
+
+    def decided(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["row", "col"])
+        r, c = frame["row"].to_numpy() - key[0] * tile + radius, frame["col"].to_numpy() - key[1] * tile + radius
+        state = np.full((tile + 2 * radius, tile + 2 * radius), -2)
+        state[r, c] = frame["stays"].to_numpy()  # 1 stays, -1 goes, 0 is open, -2 is no candidate
+        own = (r >= radius) & (r < tile + radius) & (c >= radius) & (c < tile + radius)
+        for i, j in zip(r[own & (state[r, c] == 0)].tolist(), c[own & (state[r, c] == 0)].tolist(), strict=True):
+            window = state[i - radius : i + radius + 1, j - radius : j + radius + 1]
+            if (window == 1).any():
+                state[i, j] = -1
+            elif not (window[:radius] == 0).any() and not (window[radius, :radius] == 0).any():
+                state[i, j] = 1
+        return frame.assign(stays=state[r, c].astype("int32"))[own][["row", "col", "z", "drop", "stays"]]
+
+    step = lambda t: tiles(t, tile, radius).groupBy("tr", "tc").applyInPandas(decided, found.schema)
+    return fixpoint(found, step, lambda t: t.where("stays = 0"), rounds).where("stays = 1").drop("stays")
 
 
 def extremes(cells: DataFrame, radius: int, least_drop: float) -> DataFrame:

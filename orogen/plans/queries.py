@@ -276,7 +276,9 @@ def profile_curvature(spark, sf_dir):
 def _peaks_sql(sign: str, kind: str) -> str:
     return f"""w{kind} AS (SELECT a.row, a.col, {sign}a.z AS z, max({sign}b.z) AS high, min({sign}b.z) AS low FROM cells a JOIN cells b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY ALL),
         p{kind} AS (SELECT * FROM w{kind} WHERE z >= high AND z - low >= 50),
-        {kind} AS (SELECT row, col, {sign}z AS z, z - low AS drop, '{kind}' AS kind FROM p{kind} a WHERE NOT EXISTS (SELECT 1 FROM p{kind} b WHERE b.z = a.z AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (b.row < a.row OR (b.row = a.row AND b.col < a.col))))"""
+        o{kind} AS (SELECT z, list({{'r': row, 'c': col, 'd': z - low}} ORDER BY row, col) AS l FROM p{kind} GROUP BY z),
+        {kind} AS (SELECT p.r AS row, p.c AS col, {sign}z AS z, p.d AS drop, '{kind}' AS kind FROM (SELECT z, unnest(list_reduce(l, lambda acc, x:
+            CASE WHEN len(list_filter(acc, lambda p: abs(p.r - x.r) <= 3 AND abs(p.c - x.c) <= 3)) > 0 THEN acc ELSE list_append(acc, x) END, l[1:1])) AS p FROM o{kind}))"""
 
 
 @query(with_("ras", "dim", "cells", _peaks_sql("", "peak"), _peaks_sql("-", "pit")) + "SELECT row, col, round(z, 6) + 0.0 AS z, round(drop, 6) + 0.0 AS drop, kind FROM (SELECT * FROM peak UNION ALL SELECT * FROM pit)")
@@ -352,10 +354,10 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query(_recursive(with_("ras", "dim", "cells", SMOOTH)) + "SELECT row, col, round(z + 3.7e-9, 8) + 0.0 AS z FROM t WHERE k = 50")
+@query(_recursive(with_("ras", "dim", "cells", SMOOTH)) + "SELECT row, col, round(z, 2) + 0.0 AS z FROM t WHERE k = 50")
 def clamped_smoothing(spark, sf_dir):
     # The shift keeps decimals off rounding midpoints, here and in the SQL.
-    return rnd(raster.smooth_clamped(*framed(spark, sf_dir), 16.0).withColumn("z", F.col("z") + 3.7e-9), 8, "z")
+    return rnd(raster.smooth_clamped(*framed(spark, sf_dir), 16.0), 2, "z")
 
 
 @query(with_("ras", "dim", "cells", OPEN, "m AS (SELECT v.level, (z >= level)::INT * 8 + (e >= level)::INT * 4 + (se >= level)::INT * 2 + (s >= level)::INT AS k FROM s, (SELECT unnest([100.0, 150.0, 200.0]::DOUBLE[]) AS level) v WHERE z IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL AND se IS NOT NULL)")
@@ -409,13 +411,13 @@ def _binomial_sql() -> str:
             parts.append(f"{name}{k} AS (SELECT m.row, m.col, (p.v + 2 * m.v + q.v) / 4 AS v, (p.w + 2 * m.w + q.w) / 4 AS w FROM {src} m CROSS JOIN dim JOIN {src} p ON p.{other} = m.{other} AND p.{axis} = (m.{axis} + 1) % {n} JOIN {src} q ON q.{other} = m.{other} AND q.{axis} = (m.{axis} - 1 + {n}) % {n})")
         parts.append(f"z{k} AS (SELECT row, col, CASE WHEN w > 1e-9 THEN v / w END AS z FROM b{k})")
         now = f"z{k}"
-    return with_("ras", "dim", "cells", *parts) + f"SELECT row, col, round(z + 3.7e-9, 8) + 0.0 AS z FROM {now}"
+    return with_("ras", "dim", "cells", *parts) + f"SELECT row, col, round(z, 3) + 0.0 AS z FROM {now}"
 
 
 @query(_binomial_sql())
 def binomial_smoothing(spark, sf_dir):
     # The shift keeps decimals off rounding midpoints, here and in the SQL.
-    return rnd(raster.binomial_smooth(framed(spark, sf_dir)[0]).withColumn("z", F.col("z") + 3.7e-9), 8, "z")
+    return rnd(raster.binomial_smooth(framed(spark, sf_dir)[0]), 3, "z")
 
 
 GAUSSIAN = """k AS (SELECT unnest(range(-3, 4)) AS d), kk AS (SELECT d, exp(-(d * d) / 2.0) / (SELECT sum(exp(-(d * d) / 2.0)) FROM k) AS k FROM k),
@@ -437,7 +439,8 @@ def flat_contours(spark, sf_dir):
 
 
 PATCH = """m AS (SELECT row, col, CAST(row * nx + col AS BIGINT) AS cell FROM cells, dim WHERE z > 300),
-    hop AS (SELECT cell, cell AS seen FROM m UNION SELECT h.cell, b.cell FROM hop h JOIN m a ON a.cell = h.seen JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1)"""
+    touch AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b FROM m a JOIN m b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1),
+    hop AS (SELECT a AS cell, b AS seen FROM touch UNION SELECT h.cell, t.b FROM hop h JOIN touch t ON t.a = h.seen)"""
 
 
 @query(_recursive(with_("ras", "dim", "cells", PATCH)) + "SELECT row, col, min(seen) AS patch FROM hop JOIN m ON m.cell = hop.cell GROUP BY row, col")
@@ -485,12 +488,13 @@ def spline_surface(spark, sf_dir):
 # ----- flow ---------------------------------------------------------------------------------
 
 
-D8 = """o AS (SELECT row * nx + col AS cell, u.k, (row + u.dr) * nx + col + u.dc AS down, (z - CASE u.k WHEN 0 THEN e WHEN 1 THEN se WHEN 2 THEN s WHEN 3 THEN sw WHEN 4 THEN w WHEN 5 THEN nw WHEN 6 THEN n ELSE ne END) / CASE WHEN u.k % 2 = 1 THEN sqrt(2.0) ELSE 1.0 END AS drop,
+D8 = """o0 AS (SELECT row * nx + col AS cell, u.k, (row + u.dr) * nx + col + u.dc AS down, (z - CASE u.k WHEN 0 THEN e WHEN 1 THEN se WHEN 2 THEN s WHEN 3 THEN sw WHEN 4 THEN w WHEN 5 THEN nw WHEN 6 THEN n ELSE ne END) / CASE WHEN u.k % 2 = 1 THEN sqrt(2.0) ELSE 1.0 END AS drop,
         CASE u.k WHEN 0 THEN e WHEN 1 THEN se WHEN 2 THEN s WHEN 3 THEN sw WHEN 4 THEN w WHEN 5 THEN nw WHEN 6 THEN n ELSE ne END IS NULL AND row + u.dr BETWEEN 0 AND ny - 1 AND col + u.dc BETWEEN 0 AND nx - 1 AS lost
         FROM s, (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) u(k, dr, dc) WHERE z IS NOT NULL),
-    best AS (SELECT cell, bool_or(lost) AS lost FROM o GROUP BY cell),
+    o AS (SELECT cell, k, CASE WHEN NOT lost THEN down END AS down, CASE WHEN lost THEN 'infinity'::DOUBLE ELSE drop END AS drop FROM o0),
+    best AS (SELECT DISTINCT cell FROM o),
     pick AS (SELECT cell, down, k FROM o WHERE drop > 0 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY drop DESC, k) = 1),
-    flow AS (SELECT CAST(best.cell AS BIGINT) AS cell, CASE WHEN NOT lost THEN CAST(pick.down AS BIGINT) END AS down, CASE WHEN NOT lost AND pick.k IS NOT NULL THEN CAST(1 << pick.k AS INT) ELSE 0 END AS code FROM best LEFT JOIN pick ON pick.cell = best.cell)"""
+    flow AS (SELECT CAST(best.cell AS BIGINT) AS cell, CAST(pick.down AS BIGINT) AS down, CASE WHEN pick.k IS NOT NULL THEN CAST(1 << pick.k AS INT) ELSE 0 END AS code FROM best LEFT JOIN pick ON pick.cell = best.cell)"""
 WAYS = "ways AS (SELECT cell AS src, cell AS here FROM flow UNION ALL SELECT w.src, f.down FROM ways w JOIN flow f ON f.cell = w.here WHERE f.down IS NOT NULL)"
 
 
@@ -530,13 +534,13 @@ def stream_orders(spark, sf_dir):
     return flow.strahler(down, flow.accumulation(down).where("acc >= 3"))
 
 
-@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND w.cell % 11 <> 0)")) + "SELECT start, step, cell FROM way")
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND (w.step = 0 OR w.cell % 11 <> 0))")) + "SELECT start, step, cell FROM way")
 def flow_lines(spark, sf_dir):
     down = flow.receivers(*framed(spark, sf_dir))
     return flow.trace(down, down.where("cell % 37 = 5").select("cell"), down.where("cell % 11 = 0").select("cell"))
 
 
-@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND w.cell % 11 <> 0)",
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND (w.step = 0 OR w.cell % 11 <> 0))",
        "zz AS (SELECT CAST(row * nx + col AS BIGINT) AS cell, row, col, z, ny, nx FROM cells, dim)", "st AS (SELECT start, step, zz.*, lag(row) OVER (PARTITION BY start ORDER BY step) AS r, lag(col) OVER (PARTITION BY start ORDER BY step) AS c FROM way JOIN zz ON zz.cell = way.cell)",
        "e AS (SELECT start, count(*) AS cells, coalesce(sum(sqrt(pow(row - r, 2) + pow(col - c, 2)) * 10), 0) AS length, min_by(z, step) - max_by(z, step) AS drop, max_by(st.cell, step) AS cell, max_by(row IN (0, ny - 1) OR col IN (0, nx - 1), step) AS edge FROM st GROUP BY start)"))
        + "SELECT start, cells, round(length, 6) AS length, round(drop, 6) + 0.0 AS drop, round(CASE WHEN length > 0 THEN drop / length ELSE 0 END, 6) + 0.0 AS slope, CASE WHEN e.cell % 11 = 0 THEN 'receiver' WHEN edge THEN 'edge' ELSE 'sink' END AS reason FROM e")
@@ -577,7 +581,7 @@ GAUGE = """acc AS (SELECT here AS cell, count(*) AS acc FROM ways GROUP BY here)
 
 
 @query(_recursive(with_("ras", "dim", "cells", OPEN, D8, WAYS, GAUGE))
-       + "SELECT b.seed, b.cells, round(area_km2, 8) AS area_km2, round(z_mean + 3.7e-8, 6) AS z_mean, round(z_min, 6) AS z_min, round(z_max, 6) AS z_max, round(z_gauge, 6) AS z_gauge, round(iso / 1000, 6) AS sp_iso_km, round(20.0 * iso / (2 * b.cells * 100.0) * 1000, 4) AS sp_slope_ppm, round(coalesce(net, 0), 6) AS net_km, round(length / 1000, 6) AS stream_km, round(fall, 6) AS stream_fall_m, round(fall / length * 1000, 4) AS stream_ppm FROM base b JOIN iso ON iso.seed = b.seed LEFT JOIN netl ON netl.seed = b.seed LEFT JOIN main ON main.seed = b.seed AND length > 0")
+       + "SELECT b.seed, b.cells, round(area_km2, 8) AS area_km2, round(z_mean, 2) AS z_mean, round(z_min, 6) AS z_min, round(z_max, 6) AS z_max, round(z_gauge, 6) AS z_gauge, round(iso / 1000, 6) AS sp_iso_km, round(20.0 * iso / (2 * b.cells * 100.0) * 1000, 4) AS sp_slope_ppm, round(coalesce(net, 0), 6) AS net_km, round(length / 1000, 6) AS stream_km, round(fall, 6) AS stream_fall_m, round(fall / length * 1000, 4) AS stream_ppm FROM base b JOIN iso ON iso.seed = b.seed LEFT JOIN netl ON netl.seed = b.seed LEFT JOIN main ON main.seed = b.seed AND length > 0")
 def gauge_reports(spark, sf_dir):
     cells, ny, nx = framed(spark, sf_dir)
     down = flow.receivers(cells, ny, nx)
@@ -585,8 +589,7 @@ def gauge_reports(spark, sf_dir):
     seeds = acc.where("acc >= 12").join(down.where("down is null"), "cell").select("cell")
     got = flow.gauge_report(cells, down, acc, seeds, ny, nx, 10.0, 20.0, 3)
     got = got.select("seed", "cells", "area_km2", "z_mean", "z_min", "z_max", "z_gauge", "sp_iso_km", "sp_slope_ppm", "net_km", "stream_km", "stream_fall_m", "stream_ppm")
-    got = got.withColumn("z_mean", F.col("z_mean") + 3.7e-8)  # off rounding midpoints
-    return rnd(rnd(rnd(got, 8, "area_km2"), 6, "z_mean", "z_min", "z_max", "z_gauge", "sp_iso_km", "net_km", "stream_km", "stream_fall_m"), 4, "sp_slope_ppm", "stream_ppm")
+    return rnd(rnd(rnd(rnd(got, 8, "area_km2"), 2, "z_mean"), 6, "z_min", "z_max", "z_gauge", "sp_iso_km", "net_km", "stream_km", "stream_fall_m"), 4, "sp_slope_ppm", "stream_ppm")
 
 
 # ----- boreholes ----------------------------------------------------------------------------
@@ -647,11 +650,11 @@ AXES = """sv AS (SELECT hole_id, round("to", 6) AS md, radians(CAST((hole_id * 3
     rn AS (SELECT hole_id, md, sum(h * (sin(i0) * sin(a0) + sin(i) * sin(a))) OVER w AS dx, sum(h * (sin(i0) * cos(a0) + sin(i) * cos(a))) OVER w AS dy, sum(-h * (cos(i0) + cos(i))) OVER w AS dz FROM hf WINDOW w AS (PARTITION BY hole_id ORDER BY md))"""
 
 
-@query(with_("hol", "ivs", AXES) + "SELECT rn.hole_id, md, round(x + dx, 5) + 0.0 AS x, round(y + dy, 5) + 0.0 AS y, round(z + dz + 3.7e-8, 6) + 0.0 AS z FROM rn JOIN hol ON hol.hole_id = rn.hole_id")
+@query(with_("hol", "ivs", AXES) + "SELECT rn.hole_id, md, round(x + dx, 5) + 0.0 AS x, round(y + dy, 5) + 0.0 AS y, round(z + dz, 5) + 0.0 AS z FROM rn JOIN hol ON hol.hole_id = rn.hole_id")
 def surveyed_axes(spark, sf_dir):
     s = intervals(spark, sf_dir).select("hole_id", F.col("to").alias("md"), F.pmod(F.col("hole_id") * 37, F.lit(360)).cast("double").alias("azi"), F.least(F.col("to") / 10, F.lit(45.0)).alias("inc"))
-    got = drill.axis(drill.collars(holes(spark, sf_dir), "seq"), s).withColumn("z", F.col("z") + 3.7e-8)
-    return rnd(rnd(got, 5, "x", "y"), 6, "z")
+    got = drill.axis(drill.collars(holes(spark, sf_dir), "seq"), s)
+    return rnd(got, 5, "x", "y", "z")
 
 
 # ----- sections and profiles ----------------------------------------------------------------
