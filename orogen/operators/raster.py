@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from orogen.functions.joins import near_join
-from orogen.functions.loops import checkpointed, fixpoint
+from orogen.functions.loops import checkpointed, fixpoint, least_reached
 from orogen.functions.ranks import quantiles
 
 #: Neighbours as (name, row step, column step), clockwise from east.
@@ -364,21 +364,40 @@ def dilated(mask: DataFrame, ny: int, nx: int, times: int = 1) -> DataFrame:
     return rows.select("row", F.explode("cols").alias("col")).distinct()
 
 
-def patches(mask: DataFrame, ny: int, nx: int) -> DataFrame:
-    """row, col and patch (its first cell in row order) of the parts of a mask (row, col) that hang together, diagonals too.
+def _labelled(inside: np.ndarray) -> np.ndarray:
+    """For each cell of a tile the number of the first cell, in row order, that hangs together with it; diagonals count."""
+    ny, nx = inside.shape
+    label = np.where(inside, np.arange(ny * nx).reshape(ny, nx), ny * nx)
+    while True:
+        wide = np.pad(label, 1, constant_values=ny * nx)
+        near = np.min([wide[1 + i : 1 + i + ny, 1 + j : 1 + j + nx] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
+        new = np.where(inside, near, ny * nx)
+        new = np.where(inside, np.append(new.ravel(), ny * nx)[new], ny * nx)
+        if (new == label).all():
+            return label
+        label = new
 
-    Each round every cell takes the least label around it, then that cell's own label, so labels travel further every round.
-    """
-    start = mask.select("row", "col").distinct().withColumn("cell", (F.col("row") * nx + F.col("col")).cast("long"))
-    around = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])).alias("p")
 
-    def step(t: DataFrame) -> DataFrame:
-        least = t.select(around, "patch").groupBy("p.row", "p.col").agg(F.min("patch").alias("near"))
-        far = t.select(F.col("cell").alias("near"), F.col("patch").alias("further"))
-        joined = t.select("row", "col", "cell", "patch").join(least, ["row", "col"]).join(far, "near")
-        return joined.select("row", "col", "cell", F.col("further").alias("patch"), (F.col("further") != F.col("patch")).alias("moved"))
+def patches(mask: DataFrame, ny: int, nx: int, tile: int = 256) -> DataFrame:
+    """row, col and patch (its first cell in row order) of the parts of a mask (row, col) that hang together, diagonals too.
 
-    return fixpoint(start.withColumn("patch", F.col("cell")).withColumn("moved", F.lit(True)), step, lambda t: t.where("moved"), 10_000).select("row", "col", "patch")
+    Tiles label their own cells; only cells on tiles' borders are joined with those beyond, and labels that meet there settle among themselves.
+    """
+    laid = mask.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+
+    def label(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        r, c = frame["row"].to_numpy() - key[0] * tile, frame["col"].to_numpy() - key[1] * tile
+        inside = np.zeros((tile, tile), bool)
+        inside[r, c] = True
+        first = _labelled(inside)[r, c]
+        return frame[["row", "col"]].assign(label=(first // tile + key[0] * tile).astype(np.int64) * nx + first % tile + key[1] * tile)
+
+    own = checkpointed(tiles(laid, tile, 0).groupBy("tr", "tc").applyInPandas(label, "row int, col int, label long"))
+    rim = own.where((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
+    around = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc])).alias("p")
+    met = rim.select(F.col("label").alias("a"), around).select("a", "p.row", "p.col").join(rim.withColumnRenamed("label", "b"), ["row", "col"]).where("a <> b").select("a", "b").distinct()
+    roots = least_reached(met)
+    return own.join(roots.select(F.col("node").alias("label"), "least"), "label", "left").select("row", "col", F.coalesce("least", "label").alias("patch"))
 
 
 def bridges_removed(cells: DataFrame, mask: DataFrame, ny: int, nx: int, stretch: float = 2.0, quantile: float = 25.0) -> DataFrame:
