@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 
 from orogen.functions.joins import near_join
 from orogen.functions.loops import checkpointed
+from orogen.functions.scalar import gaussian_floor
 from orogen.operators.raster import dense, tiles
 
+#: What a power structure's covariance is taken from.
+CEILING = 9999.0
+
 
 @dataclass(frozen=True)
 class Model:
-    """A nugget and one structure; ranges of exponential and gaussian structures aren't practical ranges."""
+    """A nugget and a structure, with ``nested`` ones beside it; ranges of exponential and gaussian structures aren't practical ranges.
+
+    ``power`` has an exponent for a range, held between 0.05 and 1.999, and is taken from ``CEILING``. Gaussian structures raise the nugget to a hundredth of their sills
+    at least, as systems are singular without. Nuggets of nested structures don't count.
+    """
 
     kind: str
     sill: float
@@ -26,25 +34,42 @@ class Model:
     nugget: float = 0.0
     azimuth: float = 0.0
     anisotropy: float = 1.0
+    nested: tuple[Model, ...] = ()
+
+    @property
+    def parts(self) -> tuple[Model, ...]:
+        return (self, *self.nested)
+
+    @property
+    def floor(self) -> float:
+        """The nugget that holds."""
+        return gaussian_floor(self.nugget, sum(p.sill for p in self.parts if p.kind == "gaussian"), "gaussian")
 
     @property
     def top(self) -> float:
-        return self.nugget + self.sill
+        return self.floor + sum(CEILING if p.kind == "power" else p.sill for p in self.parts)
 
-    def covariance(self, dx: np.ndarray, dy: np.ndarray, azimuth: np.ndarray | None = None) -> np.ndarray:
-        """Covariance of lags; ``azimuth`` (one for each first index) stands in for the model's own."""
+    def body(self, dx: np.ndarray, dy: np.ndarray, azimuth: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances, stretched by the structure's own axes, and its covariances."""
         if self.anisotropy == 1.0:
             h = np.sqrt(dx * dx + dy * dy)
         else:
             a = np.radians(90.0 - (self.azimuth if azimuth is None else azimuth.reshape(-1, *[1] * (dx.ndim - 1))))
             h = np.hypot(dx * np.cos(a) + dy * np.sin(a), (dy * np.cos(a) - dx * np.sin(a)) / self.anisotropy)
+        if self.kind == "power":
+            return h, CEILING - self.sill * h ** min(max(self.reach, 0.05), 1.999)
         r = h / self.reach
         if self.kind == "spherical":
             r = np.minimum(r, 1.0)  # where the body is 0
-            body = 1 + r * (0.5 * r * r - 1.5)
-        else:
-            body = {"exponential": lambda: np.exp(-r), "gaussian": lambda: np.exp(-r * r)}[self.kind]()
-        return np.where(h < 1e-10, self.top, self.sill * body)
+            return h, self.sill * (1 + r * (0.5 * r * r - 1.5))
+        return h, self.sill * {"exponential": lambda: np.exp(-r), "gaussian": lambda: np.exp(-r * r)}[self.kind]()
+
+    def covariance(self, dx: np.ndarray, dy: np.ndarray, azimuth: np.ndarray | None = None) -> np.ndarray:
+        """Covariance of lags; ``azimuth`` (one for each first index) stands in for the structures' own."""
+        h, total = self.body(dx, dy, azimuth)
+        for part in self.nested:
+            total = total + part.body(dx, dy, azimuth)[1]
+        return np.where(h < 1e-10, self.top, total)
 
 
 def blocked(pairs: DataFrame, faults: DataFrame, radius: float) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orogen.functions.scalar import number
+from orogen.operators.kriging import Model
 
 #: Column names under which a field may come, in lower case.
 SYNONYMS = {
@@ -207,3 +210,58 @@ def write_land_xml(triangles: DataFrame, path: str) -> None:
     text = text.union(faces.select("surface", line(3, F.col("triangle"), F.format_string("<F>%s</F>", "ids"))))
     out = text.select("surface", "l.*").repartition("surface").sortWithinPartitions("surface", "part", "at")
     out.select("surface", "value").write.mode("overwrite").partitionBy("surface").text(path)
+
+
+# ----- variogram tables ---------------------------------------------------------------------
+
+#: Names of variogram structures, in lower case.
+STRUCTURES = {
+    "spherical": ["сферическая", "spherical", "sph", "1"],
+    "exponential": ["экспоненциальная", "exponential", "exp", "2"],
+    "gaussian": ["гауссова", "gaussian", "gau", "3"],
+    "power": ["степенная", "power", "pow", "4"],
+}
+#: Words for yes in a table's flags.
+YES = ["1", "true", "да", "yes", "y", "истина", "t"]
+
+
+def variogram_structures(rows: DataFrame) -> DataFrame:
+    """seq, profile, struct, kind, sill, range, azimuth, anis, nugget, val_pct, val_cap and note of a table of variogram models.
+
+    Rows bring profile, struct, model, sill and range, any of azimuth, anis, nugget, val_pct and val_cap, and ``seq``, their place in the table; names of
+    columns go without case. A row without a profile, a known model, a sill of 0 or more, or a range above 0 has a null kind and says why in ``note``; so
+    has a second row of a structure. An anisotropy of 0 or less counts as 1. Of a profile's nuggets and filters the first row's hold; rows that differ say so.
+    """
+    have = {c.strip().lower(): c for c in rows.columns}
+    text = lambda c: F.trim(F.col(f"`{have[c]}`").cast("string")) if c in have else F.lit(None).cast("string")
+    code = F.lower(text("model"))
+    kind = F.coalesce(*[F.when(code.isin(names), k) for k, names in STRUCTURES.items()])
+    n = {c: number(text(c)) for c in ("struct", "sill", "range", "azimuth", "anis", "nugget", "val_pct")}
+    wrong = (
+        F.when(F.coalesce(text("profile"), F.lit("")) == "", "no profile").when(kind.isNull(), "unknown model")
+        .when(F.coalesce(n["sill"], F.lit(-1.0)) < 0, "sill isn't 0 or more").when(F.coalesce(n["range"], F.lit(0.0)) <= 0, "range isn't above 0")
+    )
+    struct = F.when(F.coalesce(n["struct"], F.lit(0.0)) == 0, 1.0).otherwise(n["struct"]).cast("int")
+    t = rows.select(
+        F.col(f"`{have['seq']}`").alias("seq"), text("profile").alias("profile"), struct.alias("struct"), kind.alias("kind"), n["sill"].alias("sill"), n["range"].alias("range"),
+        F.coalesce(n["azimuth"], F.lit(0.0)).alias("azimuth"), n["anis"].alias("given"), F.when(n["anis"] > 0, n["anis"]).otherwise(1.0).alias("anis"),
+        n["nugget"].alias("nugget"), n["val_pct"].alias("val_pct"), F.coalesce(F.lower(text("val_cap")).isin(YES), F.lit(False)).alias("val_cap"), wrong.alias("wrong"),
+    )
+    own = Window.partitionBy("profile", F.col("wrong").isNull()).orderBy("seq")
+    first = lambda c: F.first(c).over(own)
+    again = F.row_number().over(Window.partitionBy("profile", "struct", F.col("wrong").isNull()).orderBy("seq")) > 1
+    t = t.withColumn("again", again & F.col("wrong").isNull()).withColumns({f"{c}1": F.coalesce(first(c), F.lit(0.0)) for c in ("nugget", "val_pct")}).withColumn("val_cap1", first("val_cap"))
+    differs = lambda c: F.when((F.abs(F.col(c) - F.col(f"{c}1")) > 1e-9), f"{c} differs from the profile's first")
+    note = F.coalesce("wrong", F.when(F.col("again"), "structure stands twice"), differs("nugget"), differs("val_pct"), F.when(F.col("given") <= 0, "anisotropy taken as 1"))
+    good = F.col("wrong").isNull() & ~F.col("again")
+    keep = lambda c: F.when(good, F.col(c))
+    return t.select("seq", "profile", "struct", keep("kind").alias("kind"), "sill", "range", "azimuth", "anis", F.col("nugget1").alias("nugget"), F.col("val_pct1").alias("val_pct"), F.col("val_cap1").alias("val_cap"), note.alias("note"))
+
+
+def variogram_models(structures: DataFrame) -> dict[str, Model]:
+    """The models of ``variogram_structures`` by profile: the parameters of estimates, one small table."""
+    out: dict[str, Model] = {}
+    for r in structures.where("kind is not null").orderBy("profile", F.desc("struct"), F.desc("seq")).collect():
+        after = out.get(r["profile"])
+        out[r["profile"]] = Model(r["kind"], r["sill"], r["range"], r["nugget"], r["azimuth"], r["anis"], () if after is None else (replace(after, nested=()), *after.nested))
+    return out
