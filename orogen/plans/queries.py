@@ -467,15 +467,15 @@ def surface_shift(spark, sf_dir):
     return rnd(spark.createDataFrame([(found["c"],)], "shift double"), 6, "shift")
 
 
-@query(with_("ras", "rasf", "dim", "cells", "m AS (SELECT row, col FROM cells WHERE row BETWEEN 5 AND 12 AND col BETWEEN 6 AND 15)",
+@query(with_("ras", "rasf", "dim", "cells", "m AS (SELECT cells.row, cells.col FROM cells, dim WHERE row BETWEEN ny // 4 AND ny // 2 AND col BETWEEN nx // 5 AND nx // 2)",
              "far AS (SELECT c.row, c.col, min(sqrt(pow(c.row - m.row, 2) + pow(c.col - m.col, 2))) AS d FROM cells c JOIN m ON abs(c.row - m.row) <= 4 AND abs(c.col - m.col) <= 4 GROUP BY c.row, c.col HAVING min(pow(c.row - m.row, 2) + pow(c.col - m.col, 2)) <= 16)",
              "sh AS (SELECT quantile_cont(rasf.z - ras.z, 0.5) AS s FROM far JOIN ras ON ras.row = far.row AND ras.col = far.col JOIN rasf ON rasf.row = far.row AND rasf.col = far.col WHERE d > 0)",
              "bo AS (SELECT coalesce(rasf.row, ras.row) AS row, coalesce(rasf.col, ras.col) AS col, rasf.z AS a, ras.z + s AS b FROM rasf FULL JOIN ras ON ras.row = rasf.row AND ras.col = rasf.col CROSS JOIN sh)",
              "w AS (SELECT bo.*, least(coalesce(d, 4) / 4, 1.0) AS t FROM bo LEFT JOIN far ON far.row = bo.row AND far.col = bo.col)")
        + "SELECT row, col, round(coalesce((1 - t * t * (3 - 2 * t)) * a + t * t * (3 - 2 * t) * b, a, b), 6) + 0.0 AS z FROM w")
 def surface_graft(spark, sf_dir):
-    cells, _, _ = framed(spark, sf_dir)
-    mask = cells.where("row between 5 and 12 and col between 6 and 15").select("row", "col")
+    cells, ny, nx = framed(spark, sf_dir)
+    mask = cells.where(F.col("row").between(ny // 4, ny // 2) & F.col("col").between(nx // 5, nx // 2)).select("row", "col")
     return rnd(raster.grafted(ras(spark, sf_dir, "F"), ras(spark, sf_dir), mask, 4.0), 6, "z")
 
 
@@ -534,22 +534,22 @@ def stream_orders(spark, sf_dir):
     return flow.strahler(down, flow.accumulation(down).where("acc >= 3"))
 
 
-@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND (w.step = 0 OR w.cell % 11 <> 0))")) + "SELECT start, step, cell FROM way")
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND (w.step = 0 OR w.cell % 11 <> 0))")) + "SELECT start, step, cell FROM way")
 def flow_lines(spark, sf_dir):
     down = flow.receivers(*framed(spark, sf_dir))
-    return flow.trace(down, down.where("cell % 37 = 5").select("cell"), down.where("cell % 11 = 0").select("cell"))
+    return flow.trace(down, down.select("cell"), down.where("cell % 11 = 0").select("cell"))
 
 
-@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow WHERE cell % 37 = 5 UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND (w.step = 0 OR w.cell % 11 <> 0))",
+@query(_recursive(with_("ras", "dim", "cells", OPEN, D8, "way AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell FROM flow UNION ALL SELECT w.start, w.step + 1, f.down FROM way w JOIN flow f ON f.cell = w.cell WHERE f.down IS NOT NULL AND (w.step = 0 OR w.cell % 11 <> 0))",
        "zz AS (SELECT CAST(row * nx + col AS BIGINT) AS cell, row, col, z, ny, nx FROM cells, dim)", "st AS (SELECT start, step, zz.*, lag(row) OVER (PARTITION BY start ORDER BY step) AS r, lag(col) OVER (PARTITION BY start ORDER BY step) AS c FROM way JOIN zz ON zz.cell = way.cell)",
        "e AS (SELECT start, count(*) AS cells, coalesce(sum(sqrt(pow(row - r, 2) + pow(col - c, 2)) * 10), 0) AS length, min_by(z, step) - max_by(z, step) AS drop, max_by(st.cell, step) AS cell, max_by(row IN (0, ny - 1) OR col IN (0, nx - 1), step) AS edge FROM st GROUP BY start)"))
-       + "SELECT start, cells, round(length, 6) AS length, round(drop, 6) + 0.0 AS drop, round(CASE WHEN length > 0 THEN drop / length ELSE 0 END, 6) + 0.0 AS slope, CASE WHEN e.cell % 11 = 0 THEN 'receiver' WHEN edge THEN 'edge' ELSE 'sink' END AS reason FROM e")
+       + "SELECT start, cells, round(length, 6) AS length, round(drop, 6) + 0.0 AS drop, round(CASE WHEN length > 0 THEN drop / length ELSE 0 END, 10) + 0.0 AS slope, CASE WHEN e.cell % 11 = 0 THEN 'receiver' WHEN edge THEN 'edge' ELSE 'sink' END AS reason FROM e")
 def flow_line_metrics(spark, sf_dir):
     cells, ny, nx = framed(spark, sf_dir)
     down = flow.receivers(cells, ny, nx)
     stop = down.where("cell % 11 = 0").select("cell")
-    ways = flow.trace(down, down.where("cell % 37 = 5").select("cell"), stop)
-    return rnd(flow.trace_metrics(ways, cells, down, ny, nx, 10.0, stop), 6, "length", "drop", "slope")
+    ways = flow.trace(down, down.select("cell"), stop)
+    return rnd(rnd(flow.trace_metrics(ways, cells, down, ny, nx, 10.0, stop), 6, "length", "drop"), 10, "slope")
 
 
 @query()
@@ -558,12 +558,12 @@ def filled_surface(spark, sf_dir):
 
 
 @query(_recursive(with_("ras", "dim", "cells", OPEN, D8, WAYS, "acc AS (SELECT here AS cell, count(*) AS acc FROM ways GROUP BY here)",
-       "p AS (SELECT k AS id, CAST((k * 7) % ny AS INT) AS row, CAST((k * 13) % nx AS INT) AS col, nx FROM dim, range(0, 40) r(k))", "near AS (SELECT p.id, acc.cell, acc.acc FROM p JOIN acc ON abs(acc.cell // nx - p.row) <= 3 AND abs(acc.cell % nx - p.col) <= 3)"))
+       "p AS (SELECT k AS id, CAST((k * 7) % ny AS INT) AS row, CAST((k * 13) % nx AS INT) AS col, nx FROM dim, LATERAL (SELECT unnest(range(0, ny * nx // 20)) AS k) r)", "near AS (SELECT p.id, acc.cell, acc.acc FROM p JOIN acc ON abs(acc.cell // nx - p.row) <= 3 AND abs(acc.cell % nx - p.col) <= 3)"))
        + "SELECT CAST(id AS BIGINT) AS id, cell FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY acc DESC, cell) = 1")
 def gauge_snapping(spark, sf_dir):
     cells, ny, nx = framed(spark, sf_dir)
     down = flow.receivers(cells, ny, nx)
-    p = spark.range(40).select("id", (F.col("id") * 7 % ny).cast("int").alias("row"), (F.col("id") * 13 % nx).cast("int").alias("col"))
+    p = spark.range(ny * nx // 20).select("id", (F.col("id") * 7 % ny).cast("int").alias("row"), (F.col("id") * 13 % nx).cast("int").alias("col"))
     return flow.snap(p, flow.accumulation(down), ny, nx, 3)
 
 
@@ -810,12 +810,12 @@ def station_offsets(spark, sf_dir):
     return rnd(lines.station_offsets(p, line_vertices(spark, sf_dir)).select("id", "line", "offset"), 4, "offset")
 
 
-@query(with_("raw", SEGMENTS, "ask AS (SELECT id, CAST(zone AS INT) AS line, v * 1.0 AS sta, CAST(id % 7 - 3 AS DOUBLE) AS o FROM raw WHERE id % 5 = 0)",
+@query(with_("raw", SEGMENTS, "ask AS (SELECT id, CAST(zone AS INT) AS line, v * 1.0 AS sta, CAST(id % 7 - 3 AS DOUBLE) AS o FROM raw)",
              "e AS (SELECT *, d0 + length AS d1, max(d0 + length) OVER (PARTITION BY line) AS total, min(d0) OVER (PARTITION BY line) AS first FROM st WHERE length > 0)",
              "h AS (SELECT id, ask.line, seq, x0 + (sta - d0) * (x1 - x0) / length + (y1 - y0) / length * o AS x, y0 + (sta - d0) * (y1 - y0) / length - (x1 - x0) / length * o AS y FROM ask JOIN e ON e.line = ask.line WHERE sta BETWEEN d0 AND d1 OR (sta < first AND d0 = first) OR (sta > total AND d1 = total))")
        + "SELECT id, line, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM h QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY seq) = 1")
 def alignment_stations(spark, sf_dir):
-    ask = raw_points(spark, sf_dir).where("id % 5 = 0").select("id", F.col("zone").cast("int").alias("line"), (F.col("v") * 1.0).alias("sta"), (F.col("id") % 7 - 3).cast("double").alias("offset"))
+    ask = raw_points(spark, sf_dir).select("id", F.col("zone").cast("int").alias("line"), (F.col("v") * 1.0).alias("sta"), (F.col("id") % 7 - 3).cast("double").alias("offset"))
     return rnd(lines.at_stations(line_vertices(spark, sf_dir), ask), 4, "x", "y")
 
 
@@ -827,17 +827,17 @@ def line_crossings(spark, sf_dir):
     return lines.crossings(v.where("line < 1"), v.where("line = 1"), 64.0).groupBy("line", "other").agg(F.count("*").alias("n"))
 
 
-@query(with_("raw", SEGMENTS, "pt AS (SELECT id, y AS px, x AS py FROM raw WHERE id % 3 = 0)", "nd AS (SELECT id, st.line, sqrt(pow(px - x0 - t * (x1 - x0), 2) + pow(py - y0 - t * (y1 - y0), 2)) AS f FROM (SELECT *, CASE WHEN length > 0 THEN greatest(0.0, least(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / (length * length))) ELSE 0.0 END AS t FROM pt, st WHERE st.line < 3) st)")
+@query(with_("raw", SEGMENTS, "pt AS (SELECT id, y AS px, x AS py FROM raw)", "nd AS (SELECT id, st.line, sqrt(pow(px - x0 - t * (x1 - x0), 2) + pow(py - y0 - t * (y1 - y0), 2)) AS f FROM (SELECT *, CASE WHEN length > 0 THEN greatest(0.0, least(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / (length * length))) ELSE 0.0 END AS t FROM pt, st) st)")
        + "SELECT id, line, round(min(f), 4) + 0.0 AS \"offset\" FROM nd GROUP BY id, line HAVING min(f) <= 25")
 def points_near_lines(spark, sf_dir):
-    p = raw_points(spark, sf_dir).where("id % 3 = 0").select("id", F.col("y").alias("x"), F.col("x").alias("y"))
-    return rnd(lines.near_line(p, line_vertices(spark, sf_dir).where("line < 3"), 25.0).select("id", "line", "offset"), 4, "offset")
+    p = raw_points(spark, sf_dir).select("id", F.col("y").alias("x"), F.col("x").alias("y"))
+    return rnd(lines.near_line(p, line_vertices(spark, sf_dir), 25.0).select("id", "line", "offset"), 4, "offset")
 
 
-@query(with_("raw", "pts", "hol", "pl AS (SELECT hole_id, x, y FROM hol WHERE hole_id % 7 = 0)", "nd AS (SELECT id, hole_id, sqrt(pow(pl.x - pts.x, 2) + pow(pl.y - pts.y, 2)) AS h FROM pts LEFT JOIN pl ON abs(pl.x - pts.x) <= 80 AND abs(pl.y - pts.y) <= 80)")
+@query(with_("raw", "pts", "hol", "pl AS (SELECT hole_id, x, y FROM hol)", "nd AS (SELECT id, hole_id, sqrt(pow(pl.x - pts.x, 2) + pow(pl.y - pts.y, 2)) AS h FROM pts LEFT JOIN pl ON abs(pl.x - pts.x) <= 80 AND abs(pl.y - pts.y) <= 80)")
        + "SELECT id, CASE WHEN h <= 80 THEN hole_id END AS near FROM nd QUALIFY row_number() OVER (PARTITION BY id ORDER BY h, hole_id) = 1")
 def nearest_holes(spark, sf_dir):
-    places = holes(spark, sf_dir).where("hole_id % 7 = 0").select(F.col("hole_id").alias("id"), "x", "y", F.col("hole_id").alias("order"))
+    places = holes(spark, sf_dir).select(F.col("hole_id").alias("id"), "x", "y", F.col("hole_id").alias("order"))
     return lines.nearest_within(pts(spark, sf_dir), places, 80.0)
 
 
