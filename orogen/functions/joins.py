@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orogen.functions.loops import checkpointed
+
 
 def near_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """Pairs (columns ``l_*`` and ``r_*``, distance ``h``) at most ``radius`` apart in the plane.
@@ -33,8 +35,8 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
 def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Callable[..., pd.DataFrame], schema: str, block: int = 1500) -> DataFrame:
     """What ``kernel`` makes of all pairs of points at most about ``reach`` apart, each pair once, added up where the pairs arise.
 
-    Points fall into square blocks of some ``block`` points, a quarter of the reach wide at least; each two
-    blocks in reach of one another are a task's work, so pairs are never rows. ``kernel`` gets the columns of some
+    Points fall into square blocks of some ``block`` points, a quarter of the reach wide at least; blocks where points crowd are dealt into
+    parts. Each two blocks or parts in reach of one another are a task's work, so pairs are never rows. ``kernel`` gets the columns of some
     left points, those of some right ones, and a mask of the pairs that count, or None for all, a few million pairs at a time.
     """
     b = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
@@ -45,14 +47,29 @@ def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Cal
     k = math.ceil(reach / side)
     # Half of the offsets: the others are the same two blocks the other way round.
     offsets = [(i, j) for i in range(k + 1) for j in range(-k, k + 1) if i > 0 or j >= 0]
-    bx, by = F.floor((F.col("x") - b["x0"]) / side), F.floor((F.col("y") - b["y0"]) / side)
-    at = lambda sign: F.explode(F.array(*[F.struct((bx - sign * i).alias("bx"), (by - sign * j).alias("by"), F.lit(i).alias("ox"), F.lit(j).alias("oy")) for i, j in offsets if sign == 0 or (i, j) != (0, 0)]))
-    own = points.select(*columns, at(0).alias("k"), F.lit(0).alias("side"))
-    far = points.select(*columns, at(1).alias("k"), F.lit(1).alias("side"))
-    both = own.union(far).select("k.*", "side", *columns)
+    laid = points.select(*columns, F.floor((F.col("x") - b["x0"]) / side).alias("bx"), F.floor((F.col("y") - b["y0"]) / side).alias("by"))
+    # A block that holds far more points than others is dealt into parts, so that each two parts are a task's work.
+    crowded = laid.groupBy("bx", "by").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block)
+    crowded = crowded.select("bx", "by", F.ceil(F.col("n") / block).cast("int").alias("parts")).toDF("cx", "cy", "parts")
+    heavy = crowded.count() > 0
+    crowded = checkpointed(crowded) if heavy else crowded
+
+    def parts_of(t: DataFrame, x: Column, y: Column, name: str) -> DataFrame:
+        """``name``: the number of parts of a block."""
+        if not heavy:
+            return t.withColumn(name, F.lit(1))
+        return t.join(crowded.withColumnRenamed("parts", name), (x == F.col("cx")) & (y == F.col("cy")), "left").drop("cx", "cy").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    own = parts_of(laid, F.col("bx"), F.col("by"), "parts").withColumn("part", F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int")) if heavy else laid.withColumn("part", F.lit(0))
+    spread = lambda sign: own.select(*columns, "part", F.explode(F.array(*[F.struct((F.col("bx") - sign * i).alias("bx"), (F.col("by") - sign * j).alias("by"), F.lit(i).alias("ox"), F.lit(j).alias("oy")) for i, j in offsets])).alias("k")).select(*columns, "part", "k.*")
+    left = parts_of(spread(0), F.col("bx") + F.col("ox"), F.col("by") + F.col("oy"), "others").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(*columns, "bx", "by", "ox", "oy", F.col("part").alias("p"), F.col("other").alias("q"), F.lit(0).alias("side"))
+    right = parts_of(spread(1), F.col("bx"), F.col("by"), "others").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(*columns, "bx", "by", "ox", "oy", F.col("other").alias("p"), F.col("part").alias("q"), F.lit(1).alias("side"))
+    # Of a block with itself each two parts meet once, and a part with itself needs its points once.
+    same = (F.col("ox") == 0) & (F.col("oy") == 0)
+    both = left.where(~same | (F.col("p") <= F.col("q"))).union(right.where(~same | (F.col("p") < F.col("q"))))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        same = frame["ox"].iloc[0] == 0 and frame["oy"].iloc[0] == 0
+        same = frame["ox"].iloc[0] == 0 and frame["oy"].iloc[0] == 0 and frame["p"].iloc[0] == frame["q"].iloc[0]
         left = [frame.loc[frame["side"] == 0, c].to_numpy() for c in columns]
         right = left if same else [frame.loc[frame["side"] == 1, c].to_numpy() for c in columns]
         n, m, parts = len(left[0]), len(right[0]), []
@@ -65,7 +82,7 @@ def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Cal
         return pd.concat(parts)
 
     # Blocks are few bytes but much work, so their number decides the tasks, not their size.
-    keys = ["bx", "by", "ox", "oy"]
+    keys = ["bx", "by", "ox", "oy", "p", "q"]
     n = max(points.sparkSession.sparkContext.defaultParallelism, b["n"] * len(offsets) // (50 * block))
     return both.repartition(n, *keys).groupBy(*keys).applyInPandas(lambda f: run(f), schema)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogen.functions.joins import near_join
@@ -202,7 +202,7 @@ def _nearest(tx: np.ndarray, ty: np.ndarray, sample: dict[str, np.ndarray], radi
 def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, most: int = 24, least: int = 4, mean: float | None = None, block: float = 0.0, grid: int = 1, exclude: bool = False, faults: DataFrame | None = None, strength: float = 0.3, tile: int = 1000) -> DataFrame:
     """id, estimate, variance and n_near of targets (id, x, y); both null with fewer than ``least`` neighbours.
 
-    Targets fall into square tiles of some ``tile`` targets, as wide as the radius at least; samples go to every tile within
+    Targets fall into square tiles of some ``tile`` targets, as wide as the radius at least but where targets crowd; samples go to every tile within
     the radius, and so do fault segments, so a task finds the neighbours of its tile and solves their systems in batches; neighbours are never
     rows. They are those of ``neighbours``: the nearest, ties by x, y and v, seen past no fault. Samples may bring azimuths ``a`` of a
     local fabric: where those of a target's neighbours agree (axial mean of ``strength`` at least), the whole system takes the model turned to their mean.
@@ -249,9 +249,23 @@ def krige(targets: DataFrame, samples: DataFrame, model: Model, radius: float, m
                 estimate[part], variance[part] = solve(tx[part], ty[part], x, y, v, model, mean, block, grid, azimuth)
         return pd.DataFrame({"id": t["id"], "estimate": estimate, "variance": variance, "n_near": size})
 
+    # Where targets crowd, a tile is quartered until its parts hold some ``tile`` of them; samples go to the parts within the radius.
+    full = left.groupBy("tr", "tc").agg(F.count("*").alias("m")).where(F.col("m") > 2 * tile)
+    parts = checkpointed(full.select("tr", "tc", F.pow(F.lit(2), F.least(F.lit(10), F.ceil(F.log(4.0, F.col("m") / tile)))).cast("int").alias("parts")))
+    place = lambda c, t: F.floor((F.col(c) - F.col(t) * side) / (side / F.col("parts")))
+    left = left.join(parts, ["tr", "tc"], "left").select("id", "x", "y", "tr", "tc", *[F.when(F.col("parts").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(place(c, t), F.col("parts") - 1))).cast("int").alias(k) for c, t, k in (("y", "tr", "sr"), ("x", "tc", "sc"))])
+
+    def reached(c: str, t: str) -> Column:
+        at = lambda v: F.floor((v - F.col(t) * side) / (side / F.col("parts"))).cast("int")
+        low, high = F.least(F.col(c), F.coalesce(f"{c}1", c)) - radius, F.greatest(F.col(c), F.coalesce(f"{c}1", c)) + radius
+        first, last = F.greatest(F.lit(0), F.least(at(low), F.col("parts") - 1)), F.least(F.col("parts") - 1, F.greatest(at(high), F.lit(0)))
+        return F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, last))
+
+    right = right.join(parts, ["tr", "tc"], "left").withColumn("sr", F.explode(reached("y", "tr"))).withColumn("sc", F.explode(reached("x", "tc"))).drop("parts")
     # Tiles are few bytes but much work, so their number decides the tasks, not their size.
     n = max(-(-b["n"] // (50 * tile)), min(-(-b["n"] // tile), targets.sparkSession.sparkContext.defaultParallelism))
-    left, right = (side.repartition(n, "tr", "tc").groupBy("tr", "tc") for side in (left, right))
+    keys = ["tr", "tc", "sr", "sc"]
+    left, right = (part.repartition(n, *keys).groupBy(*keys) for part in (left, right))
     got = left.cogroup(right).applyInPandas(lambda t, known: run(t, known), schema)
     return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("estimate", "variance")})
 
