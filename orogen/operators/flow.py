@@ -34,20 +34,104 @@ def receivers(cells: DataFrame, ny: int, nx: int, cell: float = 1.0) -> DataFram
     return s.select(cell_no, F.greatest(*options).alias("b")).select("cell", "b.down", F.coalesce(F.expr("shiftleft(1, -b.k)"), F.lit(0)).alias("code"))
 
 
-def basins(flow: DataFrame) -> DataFrame:
-    """cell, outlet (where its water ends) and basin (outlets numbered by cell), by pointer jumping: a path of n cells takes log2(n) rounds."""
+def _local(down: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What drains through each cell of a tile, and the cell where its water leaves the tile or ends; ``down`` is a place in the tile, or -1."""
+    n = len(down)
+    total, last = weight.astype(np.int64), np.arange(n)
+    ptr = np.append(np.where(down < 0, n, down), n)
+    end = np.append(np.where(down < 0, last, down), n)
+    while (ptr[:n] < n).any():
+        moving = ptr[:n] < n
+        got = np.zeros(n, np.int64)
+        np.add.at(got, ptr[:n][moving], total[moving])
+        total = total + got
+        ptr = ptr[ptr]
+        end = end[end]
+    return total, end[:n]
+
+
+def _in_tiles(flow: DataFrame, nx: int, tile: int) -> DataFrame:
+    return flow.withColumn("tr", F.expr(f"cell div {nx} div {tile}")).withColumn("tc", F.expr(f"cell % {nx} div {tile}"))
+
+
+def _tiled(frame: pd.DataFrame, weight: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's frame by cell, whether each cell's receiver is outside, what drains through it and where its water ends in the tile."""
+    order = frame["cell"].to_numpy().argsort()
+    frame, weight = frame.iloc[order], weight[order]
+    cell, down = frame["cell"].to_numpy(), frame["down"].fillna(-1).to_numpy().astype(np.int64)
+    at = np.minimum(np.searchsorted(cell, down), len(cell) - 1)
+    inside = cell[at] == down
+    total, end = _local(np.where(inside, at, -1), weight)
+    return frame, (down >= 0) & ~inside, total, end
+
+
+def _exits(flow: DataFrame, nx: int, tile: int) -> DataFrame:
+    """The cells whose receiver lies in another tile: cell, down, acc (what drains through it inside its tile) and next (the exit, or the end, that its water comes to next)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, leaves, total, end = _tiled(frame, np.ones(len(frame), np.int64))
+        cell = frame["cell"].to_numpy()
+        r, c = cell // nx % tile, cell % nx % tile
+        rim = leaves | np.isin(r, (0, tile - 1)) | np.isin(c, (0, tile - 1))
+        return pd.DataFrame({"cell": cell, "down": frame["down"].to_numpy(), "acc": total, "end": cell[end], "leaves": leaves})[rim]
+
+    rim = checkpointed(_in_tiles(flow.select("cell", "down"), nx, tile).groupBy("tr", "tc").applyInPandas(run, "cell long, down long, acc long, end long, leaves boolean"))
+    entered = rim.select(F.col("cell").alias("down"), F.col("end").alias("next"))
+    return rim.where("leaves").join(entered, "down", "left").select("cell", "down", "acc", "next")
+
+
+def basins(flow: DataFrame, nx: int | None = None, tile: int = 256) -> DataFrame:
+    """cell, outlet (where its water ends) and basin (outlets numbered by cell), by pointer jumping: a path of n cells takes log2(n) rounds.
+
+    With ``nx``, the columns of the frame, tiles follow their own cells first, so rounds are over the cells where water passes from tile to tile.
+    """
+    if nx is not None:
+        crossing = checkpointed(_exits(flow, nx, tile))
+        still = crossing.select(F.col("next").alias("cell")).distinct().join(crossing.select("cell"), "cell", "left_anti")
+        ends = checkpointed(basins(crossing.select("cell", F.col("next").alias("down")).union(still.select("cell", F.lit(None).cast("long")))))
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame, _, _, end = _tiled(frame, np.ones(len(frame), np.int64))
+            cell = frame["cell"].to_numpy()
+            return pd.DataFrame({"cell": cell, "end": cell[end]})
+
+        local = _in_tiles(flow.select("cell", "down"), nx, tile).groupBy("tr", "tc").applyInPandas(run, "cell long, end long")
+        return local.join(ends.select(F.col("cell").alias("end"), "outlet"), "end", "left").select("cell", F.coalesce("outlet", "end").alias("outlet"))
     jump = lambda t: t.select("cell", "ptr").join(t.select(F.col("cell").alias("ptr"), F.col("ptr").alias("next")), "ptr").select("cell", F.col("next").alias("ptr"), (F.col("next") != F.col("ptr")).alias("moved"))
     ends = fixpoint(flow.select("cell", F.coalesce("down", "cell").alias("ptr")), jump, lambda t: t.where("moved"))
     return ends.select("cell", F.col("ptr").alias("outlet"))
 
 
-def accumulation(flow: DataFrame) -> DataFrame:
+def accumulation(flow: DataFrame, nx: int | None = None, tile: int = 256) -> DataFrame:
     """cell and acc, the cells that drain through it, itself included.
 
+    With ``nx``, the columns of the frame (receivers are neighbours then), tiles add up their own cells first; what passes from tile to tile is a small graph of
+    crossings, summed by pointer doubling; then tiles add up once more with what comes in: two shuffles of cells, and rounds over crossings only.
+    """
+    if nx is None:
+        return _doubled(flow.select("cell", F.col("down").alias("ptr"), F.lit(1).cast("long").alias("acc")))
+    crossing = checkpointed(_exits(flow, nx, tile))
+    # An exit's water comes to the next exit of the tile it enters; where it ends inside, the way is over.
+    inner = crossing.select(F.col("cell").alias("next"), F.lit(True).alias("goes_on"))
+    ways = crossing.join(inner, "next", "left").select("cell", F.when(F.col("goes_on"), F.col("next")).alias("ptr"), "acc")
+    passing = crossing.select("cell", F.col("down").alias("into")).join(_doubled(ways), "cell").groupBy(F.col("into").alias("cell")).agg(F.sum("acc").alias("inflow"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        weight = 1 + frame["inflow"].fillna(0).to_numpy().astype(np.int64)
+        frame, _, total, _ = _tiled(frame, weight)
+        return pd.DataFrame({"cell": frame["cell"].to_numpy(), "acc": total})
+
+    fed = flow.select("cell", "down").join(passing, "cell", "left")
+    return _in_tiles(fed, nx, tile).groupBy("tr", "tc").applyInPandas(run, "cell long, acc long")
+
+
+def _doubled(start: DataFrame) -> DataFrame:
+    """cell and acc of pointers (cell, ptr, acc), each cell with all that its pointers bring.
+
     Pointer doubling: after round k every cell has summed what drains to it over fewer than 2^k
     steps, and points 2^k steps down. Each round joins once and adds up by receiver.
     """
-    now = checkpointed(flow.select("cell", F.col("down").alias("ptr"), F.lit(1).cast("long").alias("acc")))
+    now = checkpointed(start)
     while not now.where("ptr is not null").isEmpty():
         sent = now.where("ptr is not null").groupBy(F.col("ptr").alias("cell")).agg(F.sum("acc").alias("got"))
         far = now.select(F.col("cell").alias("ptr"), F.col("ptr").alias("far"))

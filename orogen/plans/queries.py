@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orogen.functions import scalar
 from orogen.functions.joins import rounded
+from orogen.functions.loops import checkpointed
 from orogen.operators import density, drill, flow, fractal, kriging, lines, points, raster, section, splines, subsidence, variogram
 from orogen.plans.geometry import extent, holes, intervals, lattice, profiles, raw_points, side_of, table, with_
 from orogen.plans.geometry import points as pts
@@ -172,8 +173,8 @@ def kriging_blocks(spark, sf_dir):
 
 
 def fault_lines(spark, sf_dir):
-    """A fault for each nation: from the point of its number to the one seven numbers on."""
-    ends = pts(spark, sf_dir).where("id < 400 and id % 16 = 0").select((F.col("id") / 16).cast("int").alias("k"), "x", "y")
+    """A fault for each sixteenth point, to the one seven such points on."""
+    ends = pts(spark, sf_dir).where("id % 16 = 0").select((F.col("id") / 16).cast("int").alias("k"), "x", "y")
     other = ends.select((F.col("k") - 7).alias("k"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     return ends.join(other, "k").select(F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
 
@@ -208,7 +209,7 @@ def variogram_anisotropy(spark, sf_dir):
     return spark.createDataFrame([tuple(found.values())], "azimuth double, ratio double, major double, minor double, resolved boolean, capped boolean")
 
 
-VISIBLE = """ends AS (SELECT CAST(id / 16 AS INT) AS k, x, y FROM pts WHERE id < 400 AND id % 16 = 0),
+VISIBLE = """ends AS (SELECT CAST(id / 16 AS INT) AS k, x, y FROM pts WHERE id % 16 = 0),
     fault AS (SELECT a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM ends a JOIN ends b ON b.k - 7 = a.k),
     pair AS (SELECT a.id AS i, b.id AS j, a.x AS ax, a.y AS ay, b.x AS px, b.y AS py FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60
         WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60)"""
@@ -505,12 +506,14 @@ def d8_receivers(spark, sf_dir):
 
 @query(_recursive(with_("ras", "dim", "cells", OPEN, D8, WAYS)) + "SELECT here AS cell, count(*) AS acc FROM ways GROUP BY here")
 def flow_accumulation(spark, sf_dir):
-    return flow.accumulation(flow.receivers(*framed(spark, sf_dir)))
+    cells, ny, nx = framed(spark, sf_dir)
+    return flow.accumulation(checkpointed(flow.receivers(cells, ny, nx)), nx)
 
 
 @query(_recursive(with_("ras", "dim", "cells", OPEN, D8, WAYS)) + "SELECT src AS cell, here AS outlet FROM ways WHERE here IN (SELECT cell FROM flow WHERE down IS NULL)")
 def drainage_basins(spark, sf_dir):
-    return flow.basins(flow.receivers(*framed(spark, sf_dir)))
+    cells, ny, nx = framed(spark, sf_dir)
+    return flow.basins(checkpointed(flow.receivers(cells, ny, nx)), nx)
 
 
 NET = """acc AS (SELECT here AS cell, count(*) AS acc FROM ways GROUP BY here), net AS (SELECT flow.cell, flow.down, acc.acc FROM flow JOIN acc ON acc.cell = flow.cell WHERE acc.acc >= 3),
@@ -729,11 +732,14 @@ def _shape_sql(z: str) -> str:
     return f"((2 * {t} + 1) * (1 - {t}) * (1 - {t}) * {at(nodes, 1)} + {t} * (1 - {t}) * (1 - {t}) * 0.05 * {at(slopes, 1)} + {t} * {t} * (3 - 2 * {t}) * {at(nodes, 2)} + {t} * {t} * ({t} - 1) * 0.05 * {at(slopes, 2)})"
 
 
-@query("""WITH p AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, 300 / tan(radians(55.0)) AS a, 2 * 300 / tan(radians(55.0)) AS l FROM range(0, 40) x(r), range(0, 60) y(c)),
-        s AS (SELECT row, col, CAST(least(1.0, greatest(abs((row + 0.5) * 20 - 400) - greatest(0, 250 - a), 0) / l) AS DOUBLE) AS zy, CAST(least(1.0, greatest(abs((col + 0.5) * 20 - 600) - greatest(0, 400 - a), 0) / l) AS DOUBLE) AS zx FROM p) """
-       + f"SELECT row, col, round(1.5 * {_shape_sql('zy')} * {_shape_sql('zx')}, 8) + 0.0 AS z FROM s")
+@query(with_("ras", "dim", "cells", """p AS (SELECT cells.*, ny, nx, 300 / tan(radians(55.0)) AS a, 2 * 300 / tan(radians(55.0)) AS l FROM cells, dim),
+        s AS (SELECT row, col, z, CAST(least(1.0, greatest(abs((row + 0.5) * 20 - ny * 10) - greatest(0, ny * 4 - a), 0) / l) AS DOUBLE) AS zy, CAST(least(1.0, greatest(abs((col + 0.5) * 20 - nx * 10) - greatest(0, nx * 6 - a), 0) / l) AS DOUBLE) AS zx FROM p)""")
+       + f"SELECT row, col, round(z - 1.5 * {_shape_sql('zy')} * {_shape_sql('zx')}, 8) + 0.0 AS z FROM s")
 def subsidence_trough(spark, sf_dir):
-    return rnd(subsidence.trough(spark, 40, 60, 20.0, 300.0, 800.0, 500.0, 1.5), 8, "z")
+    """The raster after the subsidence over a working under its middle."""
+    cells, ny, nx = framed(spark, sf_dir)
+    sunk = subsidence.trough(spark, ny, nx, 20.0, 300.0, nx * 12.0, ny * 8.0, 1.5).withColumnRenamed("z", "s")
+    return rnd(cells.join(sunk, ["row", "col"]).select("row", "col", (F.col("z") - F.col("s")).alias("z")), 8, "z")
 
 
 @query()
