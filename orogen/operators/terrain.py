@@ -10,12 +10,13 @@ from orogen.operators.burning import along, outlined
 from orogen.operators.curvature import minimum_curvature, snapped
 
 
-def stream_beds(passed: DataFrame, ground: DataFrame, anchors: DataFrame, drop: float, rounds: int = 1000) -> DataFrame:
+def stream_beds(passed: DataFrame, ground: DataFrame, anchors: DataFrame, drop: float, rounds: int = 100) -> DataFrame:
     """line, k, row, col and bed of the cells (line, k, row, col) that streams pass, k growing downstream.
 
     A bed begins as the ground (row, col, z) and falls by ``drop`` a cell at least. Anchors (row, col, pin) on a stream are kept: below
     one the bed lies under it by the fall of the cells between, above one over it. Where two anchors rise downstream the upper one gives way. Streams that share a
-    cell have one bed there, the lowest; a stream below another's bed draws it down from there on, so it goes on until no bed changes.
+    cell have one bed there, the lowest; a stream below another's bed draws it down from there on, so it goes on until no bed changes, in as many rounds as
+    streams run into one another. Streams that run in a circle have no such beds: that raises.
     """
     w = Window.partitionBy("line").orderBy("k")
     down, up = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
@@ -33,7 +34,7 @@ def stream_beds(passed: DataFrame, ground: DataFrame, anchors: DataFrame, drop:
         now = checkpointed(drawn.select("line", "k", "row", "col", F.least("bed", "new").alias("bed"), (F.col("new") < F.col("bed") - 1e-9).alias("moved")))
         if now.where("moved").isEmpty():
             return now.drop("moved")
-    raise RuntimeError(f"stream beds did not settle in {rounds} rounds")
+    raise RuntimeError(f"stream beds did not settle in {rounds} rounds: do streams run in a circle?")
 
 
 def surface(

@@ -288,10 +288,10 @@ def terrain_peaks(spark, sf_dir):
 
 
 @query(with_("ras", "rasf", "d AS (SELECT rasf.z - ras.z AS d FROM ras FULL JOIN rasf ON ras.row = rasf.row AND ras.col = rasf.col)")
-       + "SELECT round(coalesce(sum(CASE WHEN -d > 5 THEN -d * 100 END), 0), 2) + 0.0 AS cut_volume, CAST(count(*) FILTER (WHERE -d > 5) * 100.0 AS DOUBLE) AS cut_area, round(max(CASE WHEN -d > 5 THEN -d END), 4) AS cut_max, round(avg(CASE WHEN -d > 5 THEN -d END), 4) AS cut_mean, round(coalesce(sum(CASE WHEN d > 5 THEN d * 100 END), 0), 2) + 0.0 AS fill_volume, CAST(count(*) FILTER (WHERE d > 5) * 100.0 AS DOUBLE) AS fill_area, round(max(CASE WHEN d > 5 THEN d END), 4) AS fill_max, round(avg(CASE WHEN d > 5 THEN d END), 4) AS fill_mean, CAST(count(*) FILTER (WHERE abs(d) <= 5) * 100.0 AS DOUBLE) AS flat_area, count(*) FILTER (WHERE d IS NULL) AS nodata FROM d")
+       + "SELECT round(coalesce(sum(CASE WHEN -d > 5 THEN -d * 100 END), 0), 1) + 0.0 AS cut_volume, CAST(count(*) FILTER (WHERE -d > 5) * 100.0 AS DOUBLE) AS cut_area, round(max(CASE WHEN -d > 5 THEN -d END), 4) AS cut_max, round(avg(CASE WHEN -d > 5 THEN -d END), 4) AS cut_mean, round(coalesce(sum(CASE WHEN d > 5 THEN d * 100 END), 0), 1) + 0.0 AS fill_volume, CAST(count(*) FILTER (WHERE d > 5) * 100.0 AS DOUBLE) AS fill_area, round(max(CASE WHEN d > 5 THEN d END), 4) AS fill_max, round(avg(CASE WHEN d > 5 THEN d END), 4) AS fill_mean, CAST(count(*) FILTER (WHERE abs(d) <= 5) * 100.0 AS DOUBLE) AS flat_area, count(*) FILTER (WHERE d IS NULL) AS nodata FROM d")
 def cut_fill_volumes(spark, sf_dir):
     got = raster.cut_fill(ras(spark, sf_dir), ras(spark, sf_dir, "F"), 10.0, 5.0)
-    return rnd(rnd(got, 2, "cut_volume", "fill_volume"), 4, "cut_max", "cut_mean", "fill_max", "fill_mean")
+    return rnd(rnd(got, 1, "cut_volume", "fill_volume"), 4, "cut_max", "cut_mean", "fill_max", "fill_mean")
 
 
 @query(with_("ras") + "SELECT row // 20 * 5 + col // 20 AS zone, count(*) AS n, round(sum(z), 3) + 0.0 AS total, round(avg(z), 10) + 0.0 AS mean, round(min(z), 7) + 0.0 AS least, round(max(z), 7) + 0.0 AS most FROM ras WHERE z IS NOT NULL AND row // 20 * 5 + col // 20 <> 0 GROUP BY 1")
