@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce as fold
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogen.functions.loops import checkpointed
 from orogen.functions.scalar import CURVATURE, TILT, manning, reduction
 
 
@@ -26,17 +30,68 @@ def stations(vertices: DataFrame, step: float) -> DataFrame:
     return s.select("line", "d", (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"))
 
 
+def nearest_segments(points: DataFrame, segs: DataFrame, told: Callable[[Column], Column]) -> DataFrame:
+    """id, line and ``b``, the least of what ``told`` makes of a point (id, line, px, py) and each segment of its line: a struct that begins with their distance.
+
+    Segments fall into the squares of a lattice that they pass, about eight of them each, and a point meets the segments of the nine squares around it.
+    What is found within a square's side is the nearest; other points go on with squares four times as large, until they cover everything.
+    A point without a place meets the first segment of its line.
+    """
+    segs = checkpointed(segs.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null"))
+    ends = F.struct("seq", "x0", "y0", "x1", "y1", "length", "d0")
+    sound = [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in ("px", "py")]
+    points = points.withColumn("sound", sound[0] & sound[1])
+    first = segs.groupBy("line").agg(F.min(ends).alias("g"))
+    parts = [points.where("not sound").join(first, "line").groupBy("id", "line").agg(F.min(told(F.col("g"))).alias("b"))]
+    left = checkpointed(points.where("sound").join(first.select("line"), "line", "left_semi").select("id", "line", "px", "py"))
+    way = F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))
+    box = lambda t, x, y: t.agg(*[f(F.col(c)).alias(f"{n}{k}") for k, cs in (("x", x), ("y", y)) for n, f in (("lo", F.min), ("hi", F.max)) for c in cs])
+    size = segs.agg(F.count("*").alias("n"), F.sum(way).alias("way")).first()
+    boxes = [box(left, ["px"], ["py"]).first(), box(segs, ["x0"], ["y0"]).first(), box(segs, ["x1"], ["y1"]).first()]
+    if not size["n"] or boxes[0]["lox"] is None:
+        return parts[0]
+    span = max(max(b[f"hi{k}"] for b in boxes) - min(b[f"lo{k}"] for b in boxes) for k in "xy")
+    side = max(size["way"] / (8 * size["n"]), span / 2**20) or 1.0
+    while True:
+        at = lambda c: F.floor(c / side)  # noqa: B023, E731
+        # Along x square by square, and in each from the lower to the upper of the heights at which the segment crosses it.
+        x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+        laid = segs.withColumn("sx", F.explode(F.sequence(at(F.least(x0, x1)), at(F.greatest(x0, x1)))))
+        height = lambda x: y0 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(x - x0, x1 - x0), F.lit(0.0)))) * (y1 - y0)  # noqa: B023, E731
+        a = F.when(x0 == x1, y0).otherwise(height(F.col("sx") * side))
+        b = F.when(x0 == x1, y1).otherwise(height((F.col("sx") + 1) * side))
+        slack = 1e-9 * (side + F.abs(a) + F.abs(b))
+        laid = laid.withColumn("sy", F.explode(F.sequence(at(F.least(a, b) - slack), at(F.greatest(a, b) + slack))))
+        squares = laid.groupBy("line", "sx", "sy").agg(F.collect_list(ends).alias("segs"))
+        around = F.explode(F.array(*[F.struct((at(F.col("px")) + i).alias("sx"), (at(F.col("py")) + j).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        met = left.withColumn("k", around).select("id", "line", "px", "py", "k.sx", "k.sy").join(squares, ["line", "sx", "sy"])
+        met = met.select("id", "line", F.array_min(F.transform("segs", told)).alias("b"))
+        got = checkpointed(met.groupBy("id", "line").agg(F.min("b").alias("b")))
+        if side >= span:
+            parts.append(got)
+            break
+        near = got.where(F.col("b").getField(got.schema["b"].dataType.names[0]) <= side * (1 - 1e-6))
+        parts.append(near)
+        seen = near.select(F.col("id").alias("_id"), F.col("line").alias("_line"))
+        left = checkpointed(left.join(seen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line")), "left_anti"))
+        if left.isEmpty():
+            break
+        side = min(4 * side, span)
+    return fold(DataFrame.union, parts)
+
+
 def project(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """id, line, d (way along), offset (distance) of each point (id, line, x, y) at its line's nearest place; the first of equals."""
-    s = segments(vertices)
-    p = points.select("id", "line", F.col("x").alias("px"), F.col("y").alias("py")).join(s, "line")
-    along = (F.col("px") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("py") - F.col("y0")) * (F.col("y1") - F.col("y0"))
-    t = F.when(F.col("length") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(along, F.col("length") ** 2)))).otherwise(0.0)
-    p = p.withColumn("t", t)
-    dx = F.col("px") - F.col("x0") - F.col("t") * (F.col("x1") - F.col("x0"))
-    dy = F.col("py") - F.col("y0") - F.col("t") * (F.col("y1") - F.col("y0"))
-    best = F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("offset"), "seq", (F.col("d0") + F.col("t") * F.col("length")).alias("d"))).alias("b")
-    return p.groupBy("id", "line").agg(best).select("id", "line", "b.d", "b.offset")
+
+    def told(g: Column) -> Column:
+        along = (F.col("px") - g["x0"]) * (g["x1"] - g["x0"]) + (F.col("py") - g["y0"]) * (g["y1"] - g["y0"])
+        t = F.when(g["length"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(along, g["length"] ** 2)))).otherwise(0.0)
+        dx = F.col("px") - g["x0"] - t * (g["x1"] - g["x0"])
+        dy = F.col("py") - g["y0"] - t * (g["y1"] - g["y0"])
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("offset"), g["seq"].alias("seq"), (g["d0"] + t * g["length"]).alias("d"))
+
+    p = points.select("id", "line", F.col("x").alias("px"), F.col("y").alias("py"))
+    return nearest_segments(p, segments(vertices), told).select("id", "line", "b.d", "b.offset")
 
 
 def wetted(profiles: DataFrame, levels: DataFrame) -> DataFrame:
