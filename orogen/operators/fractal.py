@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from orogen.operators.raster import along_col, along_row
 
 
-def box_counts(mask: DataFrame, ny: int, nx: int) -> DataFrame:
-    """size and boxes that hold a mask cell (row, col): sizes 2, 4 .. to an eighth of the shorter side, ragged edges left out, counts over 4."""
-    top = max(min(ny, nx) // 8, 2).bit_length() - 1
+def box_counts(mask: DataFrame, ny: int, nx: int, largest: int | None = None) -> DataFrame:
+    """size and boxes that hold a mask cell (row, col): sizes 2, 4 .. to an eighth of the shorter side, ragged edges left out, counts over 4.
+
+    ``largest`` bounds the sizes; None sets no bound.
+    """
+    top = max(min(ny, nx) // 8, 2)
+    top = min(top, largest or top).bit_length() - 1
     sizes = [2**k for k in range(1, top + 1) if 2**k <= min(ny, nx)] or [2]
     laid = mask.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
     whole = (F.col("row") < (F.lit(ny) - F.lit(ny) % F.col("size"))) & (F.col("col") < (F.lit(nx) - F.lit(nx) % F.col("size")))
