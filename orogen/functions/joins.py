@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from orogen.functions.loops import checkpointed
 
 
+#: Points of a small square of ``block_pairs``: arrays of its pairs stay in a core's cache.
+_SQUARE = 160
+
+
 def near_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """Pairs (columns ``l_*`` and ``r_*``, distance ``h``) at most ``radius`` apart in the plane.
 
@@ -32,18 +36,23 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     return near_join(points, points, radius).where("l_id < r_id")
 
 
-def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Callable[..., pd.DataFrame], schema: str, block: int = 1500) -> DataFrame:
+def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Callable[..., pd.DataFrame], schema: str, block: int | None = None, summed: Callable[[np.ndarray], pd.DataFrame] | None = None, round_reach: bool = True) -> DataFrame:
     """What ``kernel`` makes of all pairs of points at most about ``reach`` apart, each pair once, added up where the pairs arise.
 
-    Points fall into square blocks of some ``block`` points, a quarter of the reach wide at least; blocks where points crowd are dealt into
+    Points fall into square blocks of some ``block`` points, an eighth of the reach wide at least; blocks where points crowd are dealt into
     parts. Each two blocks or parts in reach of one another are a task's work, so pairs are never rows. ``kernel`` gets the columns of some
-    left points, those of some right ones, and a mask of the pairs that count, or None for all, a few million pairs at a time.
+    left points, those of some right ones, all near one another, and a mask of the pairs that count, or None for all: it is called for
+    small squares of both that may lie in reach, so it can tell from their bounds what all their pairs have in common. Every point is sent once for
+    each block in its reach, so blocks grow with the number of points, from 1,500 to 12,000. With ``summed`` the kernel returns arrays, and
+    ``summed`` makes a frame of their sum. Without
+    ``round_reach`` pairs count that are at most so far apart along each axis.
     """
     b = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if not b["n"]:
         return points.sparkSession.createDataFrame([], schema)
-    area = max(b["x1"] - b["x0"], reach / 4) * max(b["y1"] - b["y0"], reach / 4)
-    side = max(math.sqrt(area * block / b["n"]), reach / 4)
+    block = block or min(max(b["n"] // 64, 1500), 12_000)
+    area = max(b["x1"] - b["x0"], reach / 8) * max(b["y1"] - b["y0"], reach / 8)
+    side = max(math.sqrt(area * block / b["n"]), reach / 8)
     k = math.ceil(reach / side)
     # Half of the offsets: the others are the same two blocks the other way round.
     offsets = [(i, j) for i in range(k + 1) for j in range(-k, k + 1) if i > 0 or j >= 0]
@@ -68,18 +77,47 @@ def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Cal
     same = (F.col("ox") == 0) & (F.col("oy") == 0)
     both = left.where(~same | (F.col("p") <= F.col("q"))).union(right.where(~same | (F.col("p") < F.col("q"))))
 
+    place = [columns.index("x"), columns.index("y")]
+
+    def tiled(values: list[np.ndarray]) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        """Values in small squares of some ``_SQUARE`` points, with their bounds: x0, x1, y0, y1."""
+        x, y = values[place[0]].astype(float), values[place[1]].astype(float)
+        strips = max(1, round(math.sqrt(len(x) / _SQUARE)))
+        strip = np.empty(len(x), np.int64)
+        strip[np.argsort(x, kind="stable")] = np.arange(len(x)) * strips // len(x)
+        order = np.lexsort((y, strip))
+        out = []
+        for at in np.array_split(order, max(1, len(x) // _SQUARE)):
+            out.append(([v[at] for v in values], np.array([x[at].min(), x[at].max(), y[at].min(), y[at].max()])))
+        return out
+
+    def nothing(values: list[np.ndarray]) -> pd.DataFrame:
+        out = kernel([v[:0] for v in values], [v[:0] for v in values], None)
+        return summed(out) if summed else out
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         same = frame["ox"].iloc[0] == 0 and frame["oy"].iloc[0] == 0 and frame["p"].iloc[0] == frame["q"].iloc[0]
         left = [frame.loc[frame["side"] == 0, c].to_numpy() for c in columns]
         right = left if same else [frame.loc[frame["side"] == 1, c].to_numpy() for c in columns]
-        n, m, parts = len(left[0]), len(right[0]), []
-        if not n or not m:
-            return kernel([v[:0] for v in left], [v[:0] for v in left], None)
-        rows = max(1, 2_000_000 // m)
-        for i in range(0, n, rows):
-            mask = np.arange(i, min(n, i + rows))[:, None] < np.arange(m) if same else None
-            parts.append(kernel([v[i : i + rows] for v in left], right, mask))
-        return pd.concat(parts)
+        if not len(left[0]) or not len(right[0]):
+            return nothing(left)
+        lefts = tiled(left)
+        rights = lefts if same else tiled(right)
+        bounds, parts, total, far = np.array([r for _, r in rights]), [], None, reach * (1 + 1e-9)
+        for i, (mine, (x0, x1, y0, y1)) in enumerate(lefts):
+            gap_x, gap_y = (np.maximum(0.0, np.maximum(bounds[:, k] - high, low - bounds[:, k + 1])) for k, low, high in ((0, x0, x1), (2, y0, y1)))
+            for j in np.flatnonzero(gap_x * gap_x + gap_y * gap_y <= far * far if round_reach else np.maximum(gap_x, gap_y) <= far):
+                if same and j < i:
+                    continue
+                n = len(mine[0])
+                part = kernel(mine, rights[j][0], np.arange(n)[:, None] < np.arange(n) if same and j == i else None)
+                if summed:
+                    total = part if total is None else total + part
+                else:
+                    parts.append(part)
+        if not parts and total is None:
+            return nothing(left)
+        return summed(total) if summed else pd.concat(parts)
 
     # Blocks are few bytes but much work, so their number decides the tasks, not their size.
     keys = ["bx", "by", "ox", "oy", "p", "q"]

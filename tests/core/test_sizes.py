@@ -2,9 +2,11 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from orogen.operators import lines, section
+from orogen.functions.joins import block_pairs
+from orogen.operators import lines, section, variogram
 from orogen.plans.queries import ORACLES, QUERIES
 
 
@@ -57,3 +59,34 @@ def test_nearest_segments_meet_no_whole_line(spark):
         return F.struct(F.when(away > 1000, F.raise_error(F.lit("far")).cast("double")).otherwise(away).alias("away"), g["seq"].alias("seq"))
 
     assert section.nearest_segments(points, section.segments(vertices), told).where("b.away > 7").count() <= 1  # the last point
+
+
+def test_pairs_are_met_in_small_squares(spark):
+    """Kernels get points that lie near one another, whole blocks only if those are small; sums equal those over all pairs, weighted too."""
+    rng = np.random.default_rng(6)
+    n, reach = 3000, 400.0
+    x, y, v, w = rng.integers(0, 1000, n).astype(float), rng.integers(0, 1000, n).astype(float), rng.normal(0, 1, n), rng.uniform(0.5, 2, n)
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": x, "y": y, "v": v, "w": w}))
+
+    def size(left, right, mask):
+        return pd.DataFrame({"n": [max(len(left[0]), len(right[0]))]})
+
+    assert block_pairs(rows, reach, ["x", "y"], size, "n long").agg(F.max("n")).first()[0] <= 320
+    i, j = np.triu_indices(n, 1)
+    h, d = np.hypot(x[j] - x[i], y[j] - y[i]), v[j] - v[i]
+    for weighted in (False, True):
+        k = w[i] * w[j] if weighted else np.ones(len(i))
+        samples = rows if weighted else rows.drop("w")
+        got = {r["bin"]: r for r in variogram.experimental(samples, 8, reach).collect()}
+        keep = (h > 0) & (h <= reach)
+        at = np.minimum(np.floor(h / (reach / 8)), 7).astype(int)
+        for b in range(8):
+            m = keep & (at == b)
+            assert got[b]["npairs"] == m.sum() and np.isclose(got[b]["lag"], np.average(h[m], weights=k[m])) and np.isclose(got[b]["gamma"], 0.5 * np.average(d[m] ** 2, weights=k[m]))
+            mean = np.average(np.sqrt(np.abs(d[m])), weights=k[m])
+            assert np.isclose(got[b]["gamma_robust"], 0.5 * mean**4 / (0.457 + 0.494 / m.sum() + 0.045 / m.sum() ** 2))
+        ix, iy = (np.concatenate((np.rint(c / 80), -np.rint(c / 80))).astype(int) for c in (x[j] - x[i], y[j] - y[i]))
+        grid = {(r["ix"], r["iy"]): r for r in variogram.surface(samples, 5, reach).collect()}
+        for a, b in ((0, 1), (5, 5), (-3, 2), (-5, -1)):
+            m = (ix == a) & (iy == b)
+            assert grid[a, b]["npairs"] == m.sum() and np.isclose(grid[a, b]["gamma"], np.average(np.tile(0.5 * d * d, 2)[m], weights=np.tile(k, 2)[m]))
