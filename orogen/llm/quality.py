@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from orogen.llm.common import drawn, stored
+from orogen.llm.common import stored
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -86,11 +86,10 @@ class Hasher:
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 18, smooth: float = 1.0) -> np.ndarray:
     """Log of target to raw probability of every bucket.
 
-    The raw multinomial counts every document, the target those whose doc_id is in ``trusted``
-    (a bounded sample, broadcast). One pass adds up arrays of ``buckets`` counts in each task; Spark sums
+    The raw multinomial counts every document, the target those whose doc_id is in ``trusted``. One pass adds up arrays of ``buckets`` counts in each task; Spark sums
     them by bucket, so the driver gets as many rows as there are buckets at most, whatever the input.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(trusted.withColumn("mark", F.lit(True))), "doc_id", "left").select("text", F.col("mark").isNotNull().alias("mark"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(trusted.withColumn("mark", F.lit(True)), "doc_id", "left").select("text", F.col("mark").isNotNull().alias("mark"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, total = Hasher(buckets), np.zeros((2, buckets), np.int64)
@@ -113,14 +112,13 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 18, smooth:
     return np.log(share[1]) - np.log(share[0])
 
 
-def threshold(docs: DataFrame, trusted: DataFrame, table: np.ndarray, errors: float = 8.0) -> float:
+def threshold(scored: DataFrame, trusted: DataFrame, errors: float = 8.0) -> float:
     """``errors`` standard deviations under the mean ratio of the trusted documents with ten words or more.
 
     However the trusted ratios are spread, at most one in ``errors`` squared of them lies so far out (Chebyshev), so the
     default of 8 keeps all but 1.6 % of text like it at worst.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted), "doc_id", "left_semi")
-    r = _scored(slim, table).where("n_words >= 10").agg(F.count("*").alias("n"), F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("std")).first()
+    r = scored.join(trusted, "doc_id", "left_semi").where("n_words >= 10").agg(F.count("*").alias("n"), F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("std")).first()
     return r["mean"] - errors * max(r["std"], 1e-3) if r["n"] else -float("inf")
 
 
@@ -144,16 +142,16 @@ def _scored(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return slim.mapInPandas(run, "doc_id long, " + _COUNTS)
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, errors: float = 8.0, sample: int = 30_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, errors: float = 8.0) -> DataFrame:
     """doc_id, the base counts, ``base_failed``, ``ratio`` (log-likelihood ratio a gram) and ``kept`` of every document.
 
-    Trusted text is ``sample`` documents at most with ``quality`` 1 in ``labels``, drawn by a hash of
-    the doc_id. A null or empty text has no words and fails. Without trusted documents only the
+    Trusted text is every document with ``quality`` 1 in ``labels``; the model and the threshold count all of them. Documents are scored
+    once and their counts, without texts, are stored, so the threshold reads those. A null or empty text has no words and fails. Without trusted documents only the
     base rules decide. A ratio at the threshold is kept. Rows that repeat give repeated results and count as
     often; a null doc_id stays null. Texts of any length are counted whole. An empty table gives no rows; other columns are not read.
     """
-    trusted = stored(drawn(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), sample), "trusted")
-    table = ratios(docs, trusted, buckets)
-    least = threshold(docs, trusted, table, errors)
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    scored = stored(_scored(docs, ratios(docs, trusted, buckets)), "scored")
+    least = threshold(scored, trusted, errors)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return _scored(docs, table).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least))
