@@ -89,7 +89,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 18, smooth:
     The raw multinomial counts every document, the target those whose doc_id is in ``trusted``. One pass adds up arrays of ``buckets`` counts in each task; Spark sums
     them by bucket, so the driver gets as many rows as there are buckets at most, whatever the input.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(trusted.withColumn("mark", F.lit(True)), "doc_id", "left").select("text", F.col("mark").isNotNull().alias("mark"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(trusted.withColumn("mark", F.lit(True)).hint("merge"), "doc_id", "left").select("text", F.col("mark").isNotNull().alias("mark"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, total = Hasher(buckets), np.zeros((2, buckets), np.int64)
@@ -150,7 +150,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, errors: fl
     base rules decide. A ratio at the threshold is kept. Rows that repeat give repeated results and count as
     often; a null doc_id stays null. Texts of any length are counted whole. An empty table gives no rows; other columns are not read.
     """
-    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().hint("merge")  # both sides are dealt by doc_id at every size
     scored = stored(_scored(docs, ratios(docs, trusted, buckets)), "scored")
     least = threshold(scored, trusted, errors)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
