@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from orogen.functions.joins import block_pairs
-from orogen.operators import lines, section, variogram
+from orogen.operators import flow, lines, section, variogram
 from orogen.plans.queries import ORACLES, QUERIES
 
 
@@ -90,3 +90,23 @@ def test_pairs_are_met_in_small_squares(spark):
         for a, b in ((0, 1), (5, 5), (-3, 2), (-5, -1)):
             m = (ix == a) & (iy == b)
             assert grid[a, b]["npairs"] == m.sum() and np.isclose(grid[a, b]["gamma"], np.average(np.tile(0.5 * d * d, 2)[m], weights=np.tile(k, 2)[m]))
+
+
+def test_stations_meet_few_segments(spark):
+    """A station meets the segments around it, not all of its line: with 4,000 of both, some 12,000 pairs and no 16,000,000."""
+    n = 4000
+    vertices = spark.range(n).select(F.lit(0).alias("line"), F.col("id").alias("seq"), (F.col("id") * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    asked = spark.range(n).select("id", F.lit(0).alias("line"), (F.col("id") * 10.0 - 10).alias("sta"), F.lit(2.0).alias("offset"))
+    got = lines.at_stations(vertices, asked)
+    keys = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin" in keys and got.where("x = id * 10 - 10 and y = -2").count() == n
+
+
+def test_windows_around_points_are_not_broadcast(spark):
+    """A few points' windows are many rows, which estimates from the points don't tell."""
+    points = spark.range(50).select("id", F.col("id").cast("int").alias("row"), F.col("id").cast("int").alias("col"))
+    acc = spark.range(10_000).select(F.col("id").alias("cell"), (F.col("id") % 77).alias("acc"))
+    got = flow.snap(points, acc, 100, 100, 3)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    want = min((-(c % 77), c) for c in (r * 100 + k for r in range(7, 14) for k in range(7, 14)))[1]
+    assert got.where("id = 10").first()["cell"] == want and got.count() == 50
