@@ -186,15 +186,15 @@ class WordEncoder:
         return [out[k] for k in range(len(keys))]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker process's encoder, kept between tasks."""
-    if path not in _encoders:
+def encoder(path: str, limit: int = 1_390_000) -> WordEncoder:
+    """This worker process's encoder, kept between tasks; it holds ``limit`` words at most."""
+    if (path, limit) not in _encoders:
         _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        _encoders[path, limit] = WordEncoder(path, limit)
+    return _encoders[path, limit]
 
 
 # ----- the distinct-word table -------------------------------------------------------------

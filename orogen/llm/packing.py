@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +22,18 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, size: int
     path = path or default_tokenizer()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(path)
+        # Packing may be the last of many stages whose workers and heap are still there, so it holds few words and little text at a time.
+        pa.default_memory_pool().release_unused()
+        own = encoder(path, limit=300_000)
         for frame in frames:
             out = []
-            for i, ids in zip(frame["doc_id"], own.encode_many(frame["text"]), strict=True):
+            for i, ids in zip(frame["doc_id"], own.encode_many(frame["text"], chars=2_000_000), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 first = (len(ids) - 1) % size + 1
                 cuts = [0, *range(first, len(ids) + 1, size)]
                 out += [(i, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()
 
     return texts(docs).mapInPandas(run, PIECE)
 
