@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from orogen.functions.loops import checkpointed
 
 
+#: Rows of a task that sorts them several times over.
+_SHARE = 100_000
+
 #: Points of a small square of ``block_pairs``: arrays of its pairs stay in a core's cache.
 _SQUARE = 160
 
@@ -125,6 +128,11 @@ def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Cal
     return both.repartition(n, *keys).groupBy(*keys).applyInPandas(lambda f: run(f), schema)
 
 
+def dealt(rows: DataFrame) -> int:
+    """Into how many tasks to deal rows for steps that sort them several times over: partitions that are put together by their few bytes on the way are too many rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // _SHARE))
+
+
 def rounded(c: Column, digits: int) -> Column:
     """Rounded, without a negative zero."""
     return F.round(c, digits) + F.lit(0.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogen.functions.joins import dealt
+
 
 def collars(rows: DataFrame, order: str) -> DataFrame:
     """Rows with an id and a place; the first by ``order`` of each id. A depth that isn't positive is null."""
@@ -40,13 +42,14 @@ def composite(samples: DataFrame, targets: DataFrame, values: list[str]) -> Data
     only touch don't overlap. Targets without samples stay, with cover 0.
 
     Targets are dealt by hole once, and samples unless they are already; the overlap join, the running end of the samples above, the sums and
-    the targets' other columns, which travel along, all keep to that.
+    the targets' other columns, which travel along, all keep to that. One task sorts for each of them, so tasks grow in number with the samples, not in size.
     """
+    n = dealt(samples)
     keys = ["hole_id", "t_frm", "t_to"]
     others = [c for c in targets.columns if c not in keys]
     rest = F.collect_list(F.struct(*others) if others else F.lit(1)).alias("rest")
-    wanted = targets.repartition("hole_id").groupBy(*keys).agg(rest).alias("t")
-    s = samples.select(F.col("hole_id").alias("s_hole"), "frm", "to", *values).alias("s")
+    wanted = targets.repartition(n, "hole_id").groupBy(*keys).agg(rest).alias("t")
+    s = samples.repartition(n, "hole_id").select(F.col("hole_id").alias("s_hole"), "frm", "to", *values).alias("s")
     met = wanted.join(s, (F.col("t.hole_id") == F.col("s.s_hole")) & (F.col("s.frm") < F.col("t.t_to")) & (F.col("s.to") > F.col("t.t_frm")), "left").drop("s_hole")
     met = met.withColumn("a", F.when(F.col("frm").isNotNull(), F.greatest("frm", "t_frm"))).withColumn("b", F.when(F.col("frm").isNotNull(), F.least("to", "t_to"))).withColumn("len", F.col("b") - F.col("a"))
     reach = F.max("b").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orogen.functions.joins import dealt
+
 #: Metres a point has to itself along each axis; points cover a square whose side grows with their number.
 SPACING = 32
 
@@ -73,7 +75,8 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
     q = F.col("l_quantity").cast("double")
     end = F.sum(q).over(order)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hole_id"), (end - q).alias("frm"), end.alias("to"), F.col("l_returnflag").alias("code"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_discount").cast("double")).alias("grade"))
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.repartition(dealt(rows), "l_orderkey").select(F.col("l_orderkey").alias("hole_id"), (end - q).alias("frm"), end.alias("to"), F.col("l_returnflag").alias("code"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_discount").cast("double")).alias("grade"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
