@@ -16,3 +16,13 @@ def test_composites_are_dealt_by_rows(spark, monkeypatch):
     want = {(0.0, 0.5), (20.0, 2.5)}
     assert got.count() == 10_000 and {(r["t_frm"], r["v"]) for r in got.select("t_frm", "v").distinct().collect()} == want
     assert got.where("cover <> 1 or overlap or v_cover <> 1").isEmpty()
+
+
+def test_bed_grades_keep_the_deal(spark, monkeypatch):
+    """Grades of beds are summed where the composites were made, in as many tasks."""
+    monkeypatch.setattr(joins, "_SHARE", 1000, raising=False)
+    samples = spark.range(20_000).select(F.floor(F.col("id") / 4).alias("hole_id"), (F.col("id") % 4 * 10.0).alias("frm"), (F.col("id") % 4 * 10.0 + 10).alias("to"), (F.col("id") % 4).cast("double").alias("v"))
+    targets = samples.select("hole_id", F.col("frm").alias("t_frm"), F.col("to").alias("t_to"), F.when(F.col("frm") < 20, "a").otherwise("b").alias("code"))
+    got = drill.bed_grades(drill.composite(samples, targets, ["v"]), ["v"])
+    assert got.rdd.getNumPartitions() == 20
+    assert {tuple(r) for r in got.drop("hole_id").distinct().collect()} == {("a", 20.0, 0.5), ("b", 20.0, 2.5)} and got.count() == 10_000
