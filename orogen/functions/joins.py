@@ -20,18 +20,27 @@ _SHARE = 100_000
 _SQUARE = 160
 
 
-def near_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+def near_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: str = "y", keep: bool = False) -> DataFrame:
     """Pairs (columns ``l_*`` and ``r_*``, distance ``h``) at most ``radius`` apart in the plane.
 
     Both sides fall into square bins of side ``radius``; the right side is repeated in its bin and the
-    eight around it, so the join is an equi-join on bins and Spark splits those that are large.
+    eight around it, so the join is an equi-join on bins, and never a broadcast, whose size estimates don't tell the repeats. Tasks grow in number with
+    the points; only where a bin is crowded it is left to Spark, which splits what is large. With ``keep`` the left side's bins (``_bx``, ``_by``) stay,
+    so what is joined by them next needs no shuffle of the pairs.
     """
     bin_of = lambda c: F.floor(F.col(c) / radius)
     a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], bin_of(x).alias("_bx"), bin_of(y).alias("_by"))
     around = F.explode(F.array(*[F.struct((bin_of(x) + i).alias("_bx"), (bin_of(y) + j).alias("_by")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], around.alias("_b")).select("*", "_b._bx", "_b._by").drop("_b")
+    bins = ["_bx", "_by"]
+    most = lambda t: t.groupBy(*bins).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    own = most(a.select(*bins))
+    other = own if left is right else most(right.select(bin_of(x).alias("_bx"), bin_of(y).alias("_by")))
+    if max(own["most"], other["most"]) <= _SHARE // 100:
+        n = max(left.sparkSession.sparkContext.defaultParallelism, -(-(own["n"] + 9 * other["n"]) // _SHARE))
+        a, b = a.repartition(n, *bins), b.repartition(n, *bins)
     dx, dy = F.col(f"r_{x}") - F.col(f"l_{x}"), F.col(f"r_{y}") - F.col(f"l_{y}")
-    return a.join(b, ["_bx", "_by"]).withColumn("h", F.sqrt(dx * dx + dy * dy)).where(F.col("h") <= radius).drop("_bx", "_by")
+    return a.join(b.hint("merge"), bins).withColumn("h", F.sqrt(dx * dx + dy * dy)).where(F.col("h") <= radius).drop(*([] if keep else bins))
 
 
 def pairs_within(points: DataFrame, radius: float) -> DataFrame:
@@ -128,9 +137,9 @@ def block_pairs(points: DataFrame, reach: float, columns: list[str], kernel: Cal
     return both.repartition(n, *keys).groupBy(*keys).applyInPandas(lambda f: run(f), schema)
 
 
-def dealt(rows: DataFrame) -> int:
-    """Into how many tasks to deal rows for steps that sort them several times over: partitions that are put together by their few bytes on the way are too many rows."""
-    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // _SHARE))
+def dealt(rows: DataFrame, copies: int = 1) -> int:
+    """Into how many tasks to deal rows, each ``copies`` times, for steps that sort them several times over: partitions that are put together by their few bytes on the way are too many rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * copies // _SHARE))
 
 
 def rounded(c: Column, digits: int) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orogen.functions import joins
-from orogen.operators import drill
+from orogen.operators import drill, kriging, points, variogram
 
 
 def test_composites_are_dealt_by_rows(spark, monkeypatch):
@@ -26,3 +26,18 @@ def test_bed_grades_keep_the_deal(spark, monkeypatch):
     got = drill.bed_grades(drill.composite(samples, targets, ["v"]), ["v"])
     assert got.rdd.getNumPartitions() == 20
     assert {tuple(r) for r in got.drop("hole_id").distinct().collect()} == {("a", 20.0, 0.5), ("b", 20.0, 2.5)} and got.count() == 10_000
+
+
+def placed(spark, n=4000):
+    return spark.range(n).select("id", (F.col("id") % 64 * 32.0).alias("x"), (F.floor(F.col("id") / 64) * 32.0).alias("y"), (F.col("id") % 7).cast("double").alias("v"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_estimates_meet_samples_without_broadcast(spark):
+    p = placed(spark)
+    got = kriging.inverse_distance(p, p, 40.0, exclude=True)
+    assert "BroadcastHashJoin" not in plan(got)
+    assert points.validation(got.join(p, "id"), "v", "estimate").first()["n"] == 4000
