@@ -76,18 +76,19 @@ def blocked(pairs: DataFrame, faults: DataFrame, radius: float) -> DataFrame:
     """``pairs`` (of ``near_join``) whose straight way no fault segment (x0, y0, x1, y1) crosses.
 
     A crossing is strict: a way that only touches a segment, or runs along it, is free. Segments fall into
-    the bins of the targets from which a way of ``radius`` can reach them, so the anti join is an equi-join on bins.
+    the bins of the targets from which a way of ``radius`` can reach them, so the anti join is an equi-join on bins, and never a broadcast. Pairs that
+    bring their bins (``keep`` of ``near_join`` with the same radius) aren't shuffled again.
     """
     bins = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / radius), F.floor((F.greatest(a, b) + radius) / radius))
     near = faults.select("x0", "y0", "x1", "y1", F.explode(bins("x0", "x1")).alias("_bx"), bins("y0", "y1").alias("_by")).withColumn("_by", F.explode("_by"))
-    laid = pairs.withColumn("_bx", F.floor(F.col("l_x") / radius)).withColumn("_by", F.floor(F.col("l_y") / radius))
+    laid = pairs if "_bx" in pairs.columns else pairs.withColumn("_bx", F.floor(F.col("l_x") / radius)).withColumn("_by", F.floor(F.col("l_y") / radius))
     p, f = laid.alias("p"), near.alias("f")
     side = lambda ax, ay, bx, by, cx, cy: (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))
     ray, wall = ("p.l_x", "p.l_y", "p.r_x", "p.r_y"), ("f.x0", "f.y0", "f.x1", "f.y1")
     ends = side(*ray, "f.x0", "f.y0") * side(*ray, "f.x1", "f.y1")
     places = side(*wall, "p.l_x", "p.l_y") * side(*wall, "p.r_x", "p.r_y")
     same = (F.col("p._bx") == F.col("f._bx")) & (F.col("p._by") == F.col("f._by"))
-    return p.join(f, same & (ends < 0) & (places < 0), "left_anti").drop("_bx", "_by")
+    return p.join(f.hint("merge"), same & (ends < 0) & (places < 0), "left_anti").drop("_bx", "_by")
 
 
 def neighbours(targets: DataFrame, samples: DataFrame, radius: float, most: int, exclude: bool = False, faults: DataFrame | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def neighbours(targets: DataFrame, samples: DataFrame, radius: float, most: int,
     sample with the target's id. Samples behind a fault (``blocked``) aren't seen.
     """
     extra = [c for c in ("a",) if c in samples.columns]
-    found = near_join(targets.select("id", "x", "y"), samples.select("id", "x", "y", "v", *extra), radius)
+    found = near_join(targets.select("id", "x", "y"), samples.select("id", "x", "y", "v", *extra), radius, keep=faults is not None)
     if exclude:
         found = found.where("l_id <> r_id")
     if faults is not None:

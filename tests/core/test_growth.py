@@ -41,3 +41,14 @@ def test_estimates_meet_samples_without_broadcast(spark):
     got = kriging.inverse_distance(p, p, 40.0, exclude=True)
     assert "BroadcastHashJoin" not in plan(got)
     assert points.validation(got.join(p, "id"), "v", "estimate").first()["n"] == 4000
+
+
+def test_near_pairs_past_faults_stay_in_their_bins(spark):
+    """Neither pairs nor faults are broadcast, and pairs that bring their bins are not shuffled for the faults."""
+    p = placed(spark).select("id", "x", "y")
+    faults = spark.createDataFrame([(16.0, -50.0, 16.0, 5000.0)], "x0 double, y0 double, x1 double, y1 double")
+    pairs = kriging.near_join(p, p, 40.0, keep=True).where("l_id <> r_id")
+    got = kriging.blocked(pairs, faults, 40.0)
+    assert "BroadcastHashJoin" not in plan(got) and plan(got).count("Exchange hashpartitioning(_bx") == 3
+    want = pairs.where("(l_x < 16) = (r_x < 16)").count()
+    assert got.count() == want == kriging.blocked(pairs.drop("_bx", "_by"), faults, 40.0).count()
