@@ -52,3 +52,14 @@ def test_near_pairs_past_faults_stay_in_their_bins(spark):
     assert "BroadcastHashJoin" not in plan(got) and plan(got).count("Exchange hashpartitioning(_bx") == 3
     want = pairs.where("(l_x < 16) = (r_x < 16)").count()
     assert got.count() == want == kriging.blocked(pairs.drop("_bx", "_by"), faults, 40.0).count()
+
+
+def test_near_pairs_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks of a distance join grow in number with the points; a crowded bin is left to Spark."""
+    monkeypatch.setattr(joins, "_SHARE", 1000, raising=False)
+    p = placed(spark)
+    got = variogram.pairs_within(p, 40.0)
+    assert got.rdd.getNumPartitions() == 40 and got.count() == 4000 - 63 + 4000 - 64
+    crowd = joins.near_join(p.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0)).limit(50), p.limit(50), 40.0)
+    assert "REPARTITION" not in plan(crowd) and crowd.count() == 100
+    assert [r["gamma"] for r in variogram.nugget_pairs(p, 40.0).collect()] == [18.0] * 5
