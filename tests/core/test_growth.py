@@ -36,6 +36,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_detrended_neighbours_are_not_broadcast(spark):
+    """Repeats of points in the bins around them aren't sent to the driver."""
+    assert "BroadcastHashJoin [_bx" not in plan(kriging.neighbours(placed(spark), placed(spark), 60.0, 12, exclude=True))
+
+
 def test_estimates_meet_samples_without_broadcast(spark):
     p = placed(spark)
     got = kriging.inverse_distance(p, p, 40.0, exclude=True)
