@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogen.functions.joins import dealt
 from orogen.operators.raster import along_col, along_row
 
 
@@ -28,10 +29,15 @@ def box_dimension(counts: DataFrame) -> DataFrame:
 
 
 def minkowski_counts(samples: DataFrame, sizes: list[float], shifts: list[tuple[float, float]]) -> DataFrame:
-    """size and the fewest cells that hold a sample (x, y) over the given shifts of the grid (shares of a cell)."""
-    laid = samples.withColumn("size", F.explode(F.array(*[F.lit(float(s)) for s in sizes]))).withColumn("k", F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(shifts)])))
+    """size and the fewest cells that hold a sample (x, y) over the given shifts of the grid (shares of a cell).
+
+    Places and the cells they lie in are dealt by their number, as a task holds its distinct cells in memory.
+    """
+    n = dealt(samples, len(sizes) * len(shifts))
+    places = samples.select("x", "y").repartition(n, "x", "y").distinct()
+    laid = places.withColumn("size", F.explode(F.array(*[F.lit(float(s)) for s in sizes]))).withColumn("k", F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(shifts)])))
     cell = lambda c, s: F.floor(F.col(c) / F.col("size") + F.col(s)).alias(c)
-    counts = laid.select("size", "k.i", cell("x", "k.a"), cell("y", "k.b")).distinct().groupBy("size", "i").agg(F.count("*").alias("n"))
+    counts = laid.select("size", "k.i", cell("x", "k.a"), cell("y", "k.b")).repartition(n, "size", "i", "x", "y").distinct().groupBy("size", "i").agg(F.count("*").alias("n"))
     return counts.groupBy("size").agg(F.min("n").alias("n"))
 
 

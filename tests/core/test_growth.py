@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orogen.functions import joins
-from orogen.operators import drill, kriging, points, variogram
+from orogen.operators import drill, fractal, kriging, points, variogram
 
 
 def test_composites_are_dealt_by_rows(spark, monkeypatch):
@@ -68,3 +68,12 @@ def test_near_pairs_are_dealt_by_rows(spark, monkeypatch):
     crowd = joins.near_join(p.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0)).limit(50), p.limit(50), 40.0)
     assert "REPARTITION" not in plan(crowd) and crowd.count() == 100
     assert [r["gamma"] for r in variogram.nugget_pairs(p, 40.0).collect()] == [18.0] * 5
+
+
+def test_cells_of_samples_are_dealt(spark, monkeypatch):
+    """Distinct cells are held by tasks that grow in number with the samples; places that repeat and empty ones count as before."""
+    monkeypatch.setattr(joins, "_SHARE", 1000, raising=False)
+    p = placed(spark).select("x", "y")
+    got = fractal.minkowski_counts(p.union(p).union(spark.createDataFrame([(None, None)], p.schema)), [32.0, 64.0], [(0.0, 0.0), (0.5, 0.5)])
+    assert plan(got).count("REPARTITION_BY_NUM") == 2
+    assert {r["size"]: r["n"] for r in got.collect()} == {32.0: 4001, 64.0: 31 * 32 + 16 + 1}
