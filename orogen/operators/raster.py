@@ -32,9 +32,9 @@ def frame(cells: DataFrame) -> tuple[int, int]:
 
 
 def dense(cells: DataFrame, ny: int, nx: int) -> DataFrame:
-    """All cells of the frame; those without a row get a null z."""
+    """All cells of the frame; those without a row get a null z. The frame is never broadcast, as estimates don't tell its size."""
     every = cells.sparkSession.range(ny).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("col"))
-    return every.join(cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "z"), ["row", "col"], "left")
+    return every.hint("merge").join(cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "z"), ["row", "col"], "left")
 
 
 def stencil(cells: DataFrame, ny: int, nx: int, replicate: bool = False) -> DataFrame:
@@ -392,7 +392,8 @@ def patches(mask: DataFrame, ny: int, nx: int, tile: int = 256) -> DataFrame:
         first = _labelled(inside)[r, c]
         return frame[["row", "col"]].assign(label=(first // tile + key[0] * tile).astype(np.int64) * nx + first % tile + key[1] * tile)
 
-    own = checkpointed(tiles(laid, tile, 0).groupBy("tr", "tc").applyInPandas(label, "row int, col int, label long"))
+    n = max(mask.sparkSession.sparkContext.defaultParallelism, -(-ny * nx // tile**2))  # cells take few bytes but much memory to sort
+    own = checkpointed(tiles(laid, tile, 0).repartition(n, "tr", "tc").groupBy("tr", "tc").applyInPandas(label, "row int, col int, label long"))
     rim = own.where((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
     around = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc])).alias("p")
     met = rim.select(F.col("label").alias("a"), around).select("a", "p.row", "p.col").join(rim.withColumnRenamed("label", "b"), ["row", "col"]).where("a <> b").select("a", "b").distinct()

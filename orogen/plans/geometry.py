@@ -61,7 +61,8 @@ def raster(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataF
     nx = side_of(o, "o_orderkey", 1 / 1.5)
     o = o.where(F.col("o_orderstatus") == status) if status else o
     flat = F.col("o_orderkey") % (nx * nx)
-    return o.groupBy(F.floor(flat / nx).cast("int").alias("row"), (flat % nx).cast("int").alias("col")).agg((F.avg("o_totalprice") / 1000).alias("z"))
+    placed = o.select(F.floor(flat / nx).cast("int").alias("row"), (flat % nx).cast("int").alias("col"), "o_totalprice")
+    return placed.repartition(dealt(o), "row", "col").groupBy("row", "col").agg((F.avg("o_totalprice") / 1000).alias("z"))
 
 
 def holes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from orogen.functions import joins
-from orogen.operators import drill, fractal, kriging, points, variogram
+from orogen.operators import drill, fractal, kriging, points, raster, variogram
+from orogen.plans import geometry
 
 
 def test_composites_are_dealt_by_rows(spark, monkeypatch):
@@ -77,3 +78,14 @@ def test_cells_of_samples_are_dealt(spark, monkeypatch):
     got = fractal.minkowski_counts(p.union(p).union(spark.createDataFrame([(None, None)], p.schema)), [32.0, 64.0], [(0.0, 0.0), (0.5, 0.5)])
     assert plan(got).count("REPARTITION_BY_NUM") == 2
     assert {r["size"]: r["n"] for r in got.collect()} == {32.0: 4001, 64.0: 31 * 32 + 16 + 1}
+
+
+def test_frames_and_rasters_are_dealt(spark, monkeypatch, tmp_path):
+    """A raster's cells are averaged by tasks that grow in number with the orders, and a filtered frame isn't broadcast."""
+    monkeypatch.setattr(joins, "_SHARE", 1000, raising=False)
+    spark.range(6000).select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.col("id").cast("double").alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    cells = geometry.raster(spark, str(tmp_path))
+    assert cells.rdd.getNumPartitions() == 6
+    ny, nx = raster.frame(cells)
+    high = raster.dense(cells, ny, nx).where("z > 2")
+    assert "BroadcastHashJoin" not in plan(high) and high.count() == cells.where("z > 2").count() > 0
