@@ -16,6 +16,9 @@ from orogen.functions.ranks import quantiles
 #: Neighbours as (name, row step, column step), clockwise from east.
 NEIGHBOURS = [("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1)]
 
+#: Masked cells whose patches are a group together.
+_LOT = 20_000
+
 
 def along_row() -> WindowSpec:
     return Window.partitionBy("row").orderBy("col")
@@ -402,50 +405,76 @@ def patches(mask: DataFrame, ny: int, nx: int, tile: int = 256) -> DataFrame:
 
 
 def bridges_removed(cells: DataFrame, mask: DataFrame, ny: int, nx: int, stretch: float = 2.0, quantile: float = 25.0) -> DataFrame:
-    """Heights with the cells of a mask (row, col) lowered to what lies around them; each patch of the mask is a task with the ring of cells about it.
+    """Heights with the cells of a mask (row, col) lowered to what lies around them; each patch of the mask, with the ring of cells about it, is settled in one task, some ``_LOT`` masked cells in each.
 
     From a masked cell the nearest known cells are looked up both ways along the row, the column and both diagonals; a
     pair gives the height between them by distance. The lowest of the shortest spans counts, and of those up to ``stretch``
     times as long whose two ends lie in the lower ``quantile`` percent of the ring. No cell is raised; a cell without a span stays.
     """
-    found = patches(mask.join(cells.where("z is not null").select("row", "col"), ["row", "col"], "left_semi"), ny, nx)
+    known = cells.where("z is not null").select("row", "col", "z")
+    found = checkpointed(patches(mask.join(known.select("row", "col"), ["row", "col"], "left_semi"), ny, nx))
     span = lambda c: F.sequence(F.col(c) - 1, F.col(c) + 1)
     ring = found.select("patch", F.explode(span("row")).alias("row"), span("col").alias("cols")).select("patch", "row", F.explode("cols").alias("col")).distinct()
     own = found.select("patch", "row", "col", F.lit(True).alias("own"))
-    laid = ring.join(own, ["patch", "row", "col"], "left").join(cells.where("z is not null").select("row", "col", "z"), ["row", "col"])
-
-    def lowered(frame: pd.DataFrame) -> pd.DataFrame:
-        unknown = frame["own"].notna().to_numpy()
-        r, c, z = (frame[k].to_numpy() for k in ("row", "col", "z"))
-        top, left = r.min() - 1, c.min() - 1
-        grid = np.full((r.max() - top + 2, c.max() - left + 2), np.nan)
-        hidden = np.zeros(grid.shape, bool)
-        grid[r - top, c - left] = z
-        hidden[r[unknown] - top, c[unknown] - left] = True
-        low = np.percentile(z[~unknown], quantile) if (~unknown).any() else -np.inf
+    laid = ring.join(own, ["patch", "row", "col"], "left").join(known, ["row", "col"])
+
+    def lowered(frame: pd.DataFrame) -> list[tuple]:
+        unknown = frame["own"]
+        r, c, z = (frame[k] for k in ("row", "col", "z"))
+        low = _percentile(np.sort(z[~unknown]), quantile) if not unknown.all() else -math.inf
+        height = dict(zip(zip(r.tolist(), c.tolist(), strict=True), z.tolist(), strict=True))
+        hidden = set(zip(r[unknown].tolist(), c[unknown].tolist(), strict=True))
         out = []
-        for i, j in zip(r[unknown] - top, c[unknown] - left, strict=True):
+        for i, j in hidden:
             spans = []
             for di, dj in ((0, 1), (1, 0), (1, 1), (1, -1)):
-                ends = []
-                for sign in (1, -1):
-                    k = 1
-                    while hidden[i + sign * k * di, j + sign * k * dj]:
-                        k += 1
-                    ends.append((grid[i + sign * k * di, j + sign * k * dj], k))
-                (a, m), (b, n) = ends
-                if np.isfinite(a) and np.isfinite(b):
-                    spans.append(((m + n) * math.hypot(di, dj), a + (b - a) * m / (m + n), a <= low and b <= low))
+                a, m = i + di, 1
+                b = j + dj
+                while (a, b) in hidden:
+                    a, b, m = a + di, b + dj, m + 1
+                u = height.get((a, b))
+                if u is None:
+                    continue
+                a, n = i - di, 1
+                b = j - dj
+                while (a, b) in hidden:
+                    a, b, n = a - di, b - dj, n + 1
+                v = height.get((a, b))
+                if v is not None and math.isfinite(u) and math.isfinite(v):
+                    spans.append(((m + n) * math.hypot(di, dj), u + (v - u) * m / (m + n), u <= low and v <= low))
             if spans:
                 short = min(s for s, _, _ in spans)
                 best = min(v for s, v, deep in spans if s <= short * (1 + 1e-9) or (deep and s <= short * stretch + 1e-9))
-                out.append((i + top, j + left, min(best, grid[i, j])))
+                out.append((i, j, min(best, height[i, j])))
+        return out
+
+    def batch(frame: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(frame["patch"].to_numpy(), kind="stable")
+        columns = {"row": frame["row"].to_numpy()[order], "col": frame["col"].to_numpy()[order], "z": frame["z"].to_numpy(float)[order], "own": frame["own"].notna().to_numpy()[order]}
+        patch = frame["patch"].to_numpy()[order]
+        starts = np.flatnonzero(np.r_[True, patch[1:] != patch[:-1]])
+        out = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(patch)], strict=True):
+            out += lowered({k: v[start:end] for k, v in columns.items()})
         return pd.DataFrame(out, columns=["row", "col", "new"])
 
-    new = laid.groupBy("patch").applyInPandas(lambda f: lowered(f), "row int, col int, new double")
+    # Patches are many and mostly small: some of them are a group together, as a group of its own for each costs more than its work.
+    lots = max(mask.sparkSession.sparkContext.defaultParallelism, -(-found.count() // _LOT))
+    lot = F.pmod(F.xxhash64("patch"), F.lit(lots)).alias("lot")
+    new = laid.select("*", lot).repartition(lots, "lot").groupBy("lot").applyInPandas(lambda f: batch(f), "row int, col int, new double")
     return cells.join(new, ["row", "col"], "left").select("row", "col", F.coalesce("new", "z").alias("z"))
 
 
+def _percentile(ordered: np.ndarray, q: float) -> float:
+    """Of sorted values, linear between ranks, as NumPy has it but without its cost for a few values."""
+    at = (len(ordered) - 1) * (q / 100)
+    k = min(math.floor(at), len(ordered) - 1)
+    a, b, share = float(ordered[k]), float(ordered[min(k + 1, len(ordered) - 1)]), at - k
+    if math.isnan(ordered[-1]):
+        return math.nan
+    return a + (b - a) * share if share < 0.5 else b - (b - a) * (1 - share)
+
+
 def height_shift(fine: DataFrame, coarse: DataFrame, plane: bool = False) -> dict[str, float]:
     """What to add to a coarse surface to meet a fine one: the median difference, or a plane (per column, per row, constant) fitted to the middle nine tenths of them."""
     d = fine.select("row", "col", F.col("z").alias("a")).join(coarse.select("row", "col", F.col("z").alias("b")), ["row", "col"]).select("row", "col", (F.col("a") - F.col("b")).alias("d")).where("d is not null")

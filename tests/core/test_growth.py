@@ -1,9 +1,10 @@
 """Figures of one task and of the driver that must not grow with the tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from orogen.functions import joins
-from orogen.operators import drill, fractal, kriging, points, raster, variogram
+from orogen.functions import joins, loops
+from orogen.operators import drill, flow, fractal, kriging, lines, points, raster, variogram
 from orogen.plans import geometry
 
 
@@ -89,3 +90,30 @@ def test_frames_and_rasters_are_dealt(spark, monkeypatch, tmp_path):
     ny, nx = raster.frame(cells)
     high = raster.dense(cells, ny, nx).where("z > 2")
     assert "BroadcastHashJoin" not in plan(high) and high.count() == cells.where("z > 2").count() > 0
+
+
+def waves(spark, ny=24, nx=40):
+    """A dense raster whose heights rise and fall over many tiles of a few cells."""
+    r, c = F.col("id") / nx, F.col("id") % nx
+    return spark.range(ny * nx).select(F.floor(r).cast("int").alias("row"), c.cast("int").alias("col"), (F.sin(F.floor(r) / 3.0) * 20 + F.cos(c / 5.0) * 20 + F.col("id") * 7919 % 13).alias("z")), ny, nx
+
+
+def test_bridges_share_tasks(spark, monkeypatch):
+    """Patches of a mask are worked on in lots, not each in a group of its own; lots don't show."""
+    cells, ny, nx = waves(spark)
+    mask = cells.where("z > 18").select("row", "col")
+    got = []
+    for lot in (10, 100_000):
+        monkeypatch.setattr(raster, "_LOT", lot, raising=False)
+        new = raster.bridges_removed(cells, mask, ny, nx)
+        assert "FlatMapGroupsInPandas [lot" in plan(new)
+        got.append({tuple(r) for r in new.collect()})
+    assert got[0] == got[1] and len(got[0]) == ny * nx and got[0] != {tuple(r) for r in cells.collect()}
+
+
+def test_quartiles_of_rings_are_numpys():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 7, 10, 33):
+        v = np.sort(rng.normal(size=n))
+        assert all(raster._percentile(v, q) == np.percentile(v, q) for q in (0.0, 25.0, 60.0, 100.0))
+    assert np.isnan(raster._percentile(np.array([1.0, np.nan]), 25.0))
