@@ -276,41 +276,50 @@ def gauge_report(cells: DataFrame, flow: DataFrame, acc: DataFrame, seeds: DataF
 def fill(cells: DataFrame, ny: int, nx: int, eps: float = 0.001, tile: int = 256, rounds: int = 10_000) -> DataFrame:
     """Heights raised so that every cell drains (Planchon and Darboux): the least surface at or above z that falls by ``eps`` a step to an outlet.
 
-    The frame's edge and cells next to nodata are outlets. Each round settles every tile from its own outlets and the
-    cells around it, lowest first; it ends when no tile has lowered a cell, after as many rounds as the longest way out crosses tiles.
+    The frame's edge and cells next to nodata are outlets. The first round settles every tile from its own outlets, lowest first; each later one only goes on from
+    those cells around a tile that have been lowered since. It ends when no tile has lowered a cell on its rim, after as many rounds as the longest way out crosses tiles.
     """
     s = stencil(cells, ny, nx)
-    gone = F.lit(False)
+    gone, ways = F.lit(False), [(dr, dc) for _, dr, dc in ORDER.values()]
     for n in ORDER:
         gone = gone | F.col(n).isNull()
     start = F.when(gone, F.col("z")).otherwise(F.lit(float("inf")))
-    now = s.where("z is not null").select("row", "col", F.col("z").cast("double").alias("z"), start.cast("double").alias("w"), F.lit(True).alias("moved"))
+    now = s.where("z is not null").select("row", "col", F.col("z").cast("double").alias("z"), start.cast("double").alias("w"), F.lit(2).cast("byte").alias("moved"))
 
     def settled(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        # 2: an outlet that has not been gone on from; 1: lowered in the round before, which its own tile knows; 0: as before.
+        own = ((frame["row"] // tile == key[0]) & (frame["col"] // tile == key[1])).to_numpy()
+        fresh = np.where(own, frame["moved"] == 2, frame["moved"] > 0) & np.isfinite(frame["w"].to_numpy())
+        if not fresh.any():
+            return frame[own].assign(moved=np.int8(0))
         top, left = key[0] * tile - 1, key[1] * tile - 1
         z, w = np.full((tile + 2, tile + 2), np.nan), np.full((tile + 2, tile + 2), np.inf)
         at = (frame["row"].to_numpy() - top, frame["col"].to_numpy() - left)
         z[at], w[at] = frame["z"].to_numpy(), frame["w"].to_numpy()
         before, inner = w.copy(), np.isfinite(z)
         inner[[0, -1]] = inner[:, [0, -1]] = False
-        heap = [(w[i, j], i, j) for i, j in zip(*np.nonzero(np.isfinite(w)), strict=True)]
+        first = (at[0][fresh], at[1][fresh])
+        z, inner, w = z.tolist(), inner.tolist(), w.tolist()
+        heap = [(w[i][j], i, j) for i, j in zip(first[0].tolist(), first[1].tolist(), strict=True)]
         heapq.heapify(heap)
         while heap:
             low, i, j = heapq.heappop(heap)
-            if low > w[i, j]:
+            if low > w[i][j]:
                 continue
-            for _, dr, dc in ORDER.values():
+            for dr, dc in ways:
                 a, b = i + dr, j + dc
-                if 0 <= a <= tile + 1 and 0 <= b <= tile + 1 and inner[a, b]:
-                    new = max(z[a, b], low + eps)
-                    if new < w[a, b]:
-                        w[a, b] = new
+                if 0 <= a <= tile + 1 and 0 <= b <= tile + 1 and inner[a][b]:
+                    new = max(z[a][b], low + eps)
+                    if new < w[a][b]:
+                        w[a][b] = new
                         heapq.heappush(heap, (new, a, b))
-        own = inner[at]
-        return frame[own].assign(w=w[at][own], moved=(w != before)[at][own])
+        w = np.array(w)
+        rim = np.isin(at[0], (1, tile)) | np.isin(at[1], (1, tile))
+        # Outlets on the rim are news to the tiles around too, but those have had them as outlets in this same round.
+        return frame[own].assign(w=w[at][own], moved=((w != before)[at] & rim)[own].astype(np.int8))
 
     step = lambda t: tiles(t, tile, 1).groupBy("tr", "tc").applyInPandas(lambda key, f: settled(key, f)[["row", "col", "z", "w", "moved"]], now.schema)
-    return fixpoint(now, step, lambda t: t.where("moved"), rounds).select("row", "col", F.col("w").alias("z"))
+    return fixpoint(now, step, lambda t: t.where("moved > 0"), rounds).select("row", "col", F.col("w").alias("z"))
 
 
 def trace(flow: DataFrame, starts: DataFrame, stop: DataFrame | None = None, merge: bool = False) -> DataFrame:

@@ -117,3 +117,17 @@ def test_quartiles_of_rings_are_numpys():
         v = np.sort(rng.normal(size=n))
         assert all(raster._percentile(v, q) == np.percentile(v, q) for q in (0.0, 25.0, 60.0, 100.0))
     assert np.isnan(raster._percentile(np.array([1.0, np.nan]), 25.0))
+
+
+def test_filling_ends_when_no_rim_was_lowered(spark, monkeypatch):
+    """Cells lowered inside a tile are no news to others: one tile is settled in one round, and tiles of any size give the same surface."""
+    cells, ny, nx = waves(spark)
+    steps = []
+
+    def counted(df, step, changed, rounds=64):
+        return loops.fixpoint(df, lambda t: steps.append(1) or step(t), changed, rounds)
+
+    monkeypatch.setattr(flow, "fixpoint", counted)
+    whole = {tuple(r) for r in flow.fill(cells, ny, nx).collect()}
+    assert len(steps) == 1 and len(whole) == ny * nx
+    assert {tuple(r) for r in flow.fill(cells, ny, nx, tile=7).collect()} == whole
