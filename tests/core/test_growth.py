@@ -131,3 +131,13 @@ def test_filling_ends_when_no_rim_was_lowered(spark, monkeypatch):
     whole = {tuple(r) for r in flow.fill(cells, ny, nx).collect()}
     assert len(steps) == 1 and len(whole) == ny * nx
     assert {tuple(r) for r in flow.fill(cells, ny, nx, tile=7).collect()} == whole
+
+
+def test_contours_are_followed_by_tiles(spark, monkeypatch):
+    """Rounds are over stretches between tiles, not over all pieces; tiles don't show."""
+    cells, ny, nx = waves(spark)
+    pieces = raster.contour_segments(cells, ny, nx, [0.0, 12.0])
+    seen = []
+    monkeypatch.setattr(lines, "climb", lambda t: seen.append(t.count()) or flow.climb(t))
+    got = [{tuple(r) for r in lines.contour_polylines(pieces, **tile).select("level", "line", "seq", "x", "y", "closed").collect()} for tile in ({}, {"tile": 6})]
+    assert got[0] == got[1] and max(seen) < pieces.count() / 2
