@@ -150,13 +150,27 @@ def climb(pointers: DataFrame) -> DataFrame:
     return fixpoint(start, jump, lambda t: t.where("moved")).select("cell", F.col("ptr").alias("root"), "dist")
 
 
-def stream_cells(flow: DataFrame, acc: DataFrame, threshold: float) -> DataFrame:
+def _chains(follow: DataFrame, nx: int, tile: int) -> DataFrame:
+    """cell, root (the first cell of its chain) and dist (steps from it) of cells (cell, next) that follow one another, one another at most: inside tiles first, then from tile to tile."""
+    from orogen.operators.lines import chained  # which builds on this module
+
+    place = F.expr(f"(cell div {nx} div {tile}) * {1 << 24} + cell % {nx} div {tile}").alias("tile")
+    return chained(follow.select(F.col("cell").alias("id"), "next", place)).select(F.col("id").alias("cell"), F.col("line").alias("root"), F.col("seq").alias("dist"))
+
+
+def stream_cells(flow: DataFrame, acc: DataFrame, threshold: float, nx: int | None = None, tile: int = 256) -> DataFrame:
     """cell, down, acc, link and dist of the cells through which at least ``threshold`` cells drain.
 
     A link begins at a head or where streams meet, and is named by that cell; ``dist`` counts the steps from it. Links come
-    from pointers to the one cell upstream, so long streams take as many rounds as the logarithm of their length.
+    from pointers to the one cell upstream, so long streams take as many rounds as the logarithm of their length. With ``nx``, the columns of
+    the frame, tiles follow their own streams first, so rounds are over the stretches between tiles.
     """
     net = flow.join(acc.where(F.col("acc") >= threshold), "cell").select("cell", "down", "acc")
+    if nx is not None:
+        net = checkpointed(net)
+        single = net.where("down is not null").groupBy(F.col("down").alias("next")).agg(F.count("*").alias("n")).where("n = 1").join(net.select(F.col("cell").alias("next")), "next", "left_semi")
+        follow = net.select("cell", F.col("down").alias("next")).join(single, "next", "left").select("cell", F.when(F.col("n").isNotNull(), F.col("next")).alias("next"))
+        return net.join(_chains(follow, nx, tile), "cell").select("cell", "down", "acc", F.col("root").alias("link"), "dist")
     up = net.select(F.col("down").alias("cell"), F.col("cell").alias("up")).where("cell is not null").join(net.select("cell"), "cell", "left_semi")
     inflow = up.groupBy("cell").agg(F.count("*").alias("inflows"), F.min("up").alias("up"))
     pointer = F.when(F.col("inflows") == 1, F.col("up")).otherwise(F.col("cell"))
@@ -187,15 +201,15 @@ def stream_links(cells: DataFrame) -> DataFrame:
         done = checkpointed(done.union(ready))
 
 
-def strahler(flow: DataFrame, streams: DataFrame) -> DataFrame:
-    """cell and order of stream cells (cell): those of their links, so that rounds follow links and not cells."""
-    cells = checkpointed(stream_cells(flow, streams.select("cell", F.lit(1).alias("acc")), 1))
+def strahler(flow: DataFrame, streams: DataFrame, nx: int | None = None) -> DataFrame:
+    """cell and order of stream cells (cell): those of their links, so that rounds follow links and not cells; with ``nx``, the columns of the frame, links are followed by tiles."""
+    cells = checkpointed(stream_cells(flow, streams.select("cell", F.lit(1).alias("acc")), 1, nx))
     return cells.join(stream_links(cells).select("link", "order"), "link").select("cell", "order")
 
 
-def river_network(flow: DataFrame, acc: DataFrame, threshold: float) -> DataFrame:
-    """link, end, n_cells, acc_out and order of the links of two cells or more of a river network."""
-    return stream_links(checkpointed(stream_cells(flow, acc, threshold))).where("n_cells >= 2")
+def river_network(flow: DataFrame, acc: DataFrame, threshold: float, nx: int | None = None) -> DataFrame:
+    """link, end, n_cells, acc_out and order of the links of two cells or more of a river network; with ``nx``, the columns of the frame, links are followed by tiles."""
+    return stream_links(checkpointed(stream_cells(flow, acc, threshold, nx))).where("n_cells >= 2")
 
 
 def snap(points: DataFrame, acc: DataFrame, ny: int, nx: int, radius: int) -> DataFrame:
@@ -208,24 +222,30 @@ def snap(points: DataFrame, acc: DataFrame, ny: int, nx: int, radius: int) -> Da
     return near.groupBy("id").agg(F.min(F.struct(-F.col("acc"), "cell"))["cell"].alias("cell"))
 
 
-def catchments(flow: DataFrame, seeds: DataFrame) -> DataFrame:
-    """cell and seed: the first seed (cell) on each cell's way down, for cells that pass one."""
+def catchments(flow: DataFrame, seeds: DataFrame, nx: int | None = None) -> DataFrame:
+    """cell and seed: the first seed (cell) on each cell's way down, for cells that pass one. With ``nx``, the columns of the frame, tiles follow their own cells first, as ``basins`` does."""
     marked = flow.select("cell", "down").join(seeds.select("cell", F.lit(True).alias("seed")).distinct(), "cell", "left")
+    if nx is not None:
+        ends = basins(checkpointed(marked.select("cell", F.when(F.col("seed").isNull(), F.col("down")).alias("down"))), nx)
+        return ends.join(seeds.select(F.col("cell").alias("outlet")).distinct(), "outlet", "left_semi").select("cell", F.col("outlet").alias("seed"))
     own = F.when(F.col("seed"), F.col("cell")).otherwise(F.coalesce("down", "cell"))
     ends = climb(marked.select("cell", own.alias("ptr")))
     return ends.join(seeds.select(F.col("cell").alias("root")).distinct(), "root", "left_semi").select("cell", F.col("root").alias("seed"))
 
 
-def main_streams(flow: DataFrame, acc: DataFrame, seeds: DataFrame, nx: int) -> DataFrame:
-    """seed, cell and step: the way up from each seed, always to the neighbour through which most drains, the first in E..NE order of equals."""
+def main_streams(flow: DataFrame, acc: DataFrame, seeds: DataFrame, nx: int, tile: int = 256) -> DataFrame:
+    """seed, cell and step: the way up from each seed, always to the neighbour through which most drains, the first in E..NE order of equals.
+
+    Tiles follow their own ways first, so rounds are over the stretches between tiles.
+    """
     dr, dc = F.expr(f"(cell div {nx}) - (down div {nx})"), F.expr(f"(cell % {nx}) - (down % {nx})")
     turn = F.coalesce(*[F.when((dr == r) & (dc == c), k) for k, r, c in ORDER.values()])
     feeds = flow.where("down is not null").join(acc, "cell").select("cell", "down", "acc", turn.alias("k"))
     best = feeds.groupBy("down").agg(F.min(F.struct(-F.col("acc"), "k", "cell"))["cell"].alias("cell"))
     seed = seeds.select("cell").distinct()
-    pointers = best.join(seed, "cell", "left_anti").select("cell", F.col("down").alias("ptr"))
-    every = flow.select("cell").join(pointers, "cell", "left").select("cell", F.coalesce("ptr", "cell").alias("ptr"))
-    return climb(every).join(seed.select(F.col("cell").alias("root")), "root", "left_semi").select(F.col("root").alias("seed"), "cell", F.col("dist").alias("step"))
+    ahead = best.join(seed, "cell", "left_anti").select(F.col("cell").alias("next"), F.col("down").alias("cell"))
+    every = checkpointed(flow.select("cell").join(ahead, "cell", "left").select("cell", "next"))
+    return _chains(every, nx, tile).join(seed.select(F.col("cell").alias("root")), "root", "left_semi").select(F.col("root").alias("seed"), "cell", F.col("dist").alias("step"))
 
 
 def gauge_report(cells: DataFrame, flow: DataFrame, acc: DataFrame, seeds: DataFrame, ny: int, nx: int, cell: float, interval: float = 0.0, threshold: float = 0.0) -> DataFrame:
@@ -238,7 +258,7 @@ def gauge_report(cells: DataFrame, flow: DataFrame, acc: DataFrame, seeds: DataF
     What isn't known is null. Seeds of nested catchments part the cells between them.
     """
     z = cells.select((F.col("row") * nx + F.col("col")).cast("long").alias("cell"), "row", "col", "z")
-    area = checkpointed(catchments(flow, seeds).join(z, "cell").join(acc, "cell").join(flow.select("cell", "down"), "cell"))
+    area = checkpointed(catchments(flow, seeds, nx).join(z, "cell").join(acc, "cell").join(flow.select("cell", "down"), "cell"))
     base = area.groupBy("seed").agg(
         F.count("*").alias("cells"), (F.count("*") * cell * cell / 1e6).alias("area_km2"), F.avg("z").alias("z_mean"), F.min("z").alias("z_min"),
         F.max("z").alias("z_max"), F.max(F.when(F.col("cell") == F.col("seed"), F.col("z"))).alias("z_gauge"),

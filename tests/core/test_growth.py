@@ -141,3 +141,18 @@ def test_contours_are_followed_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(lines, "climb", lambda t: seen.append(t.count()) or flow.climb(t))
     got = [{tuple(r) for r in lines.contour_polylines(pieces, **tile).select("level", "line", "seq", "x", "y", "closed").collect()} for tile in ({}, {"tile": 6})]
     assert got[0] == got[1] and max(seen) < pieces.count() / 2
+
+
+def test_streams_are_followed_by_tiles(spark, monkeypatch):
+    """Links, catchments and main streams don't jump over all cells in rounds; what tiles find is what pointers find."""
+    cells, ny, nx = waves(spark)
+    down = loops.checkpointed(flow.receivers(cells, ny, nx))
+    acc = loops.checkpointed(flow.accumulation(down, nx))
+    seeds = acc.where("acc >= 12").join(down.where("down is null"), "cell").select("cell")
+    rows = lambda t: {tuple(r) for r in t.collect()}
+    streams = acc.where("acc >= 3")
+    want = rows(flow.strahler(down, streams)), rows(flow.catchments(down, seeds)), rows(flow.stream_cells(down, acc, 3))
+    monkeypatch.setattr(flow, "climb", None)
+    assert (rows(flow.strahler(down, streams, nx)), rows(flow.catchments(down, seeds, nx)), rows(flow.stream_cells(down, acc, 3, nx, tile=5))) == want
+    ways = rows(flow.main_streams(down, acc, seeds, nx, tile=5))
+    assert ways == rows(flow.main_streams(down, acc, seeds, nx)) and len({r[0] for r in ways}) == seeds.count()
