@@ -178,16 +178,53 @@ def stream_cells(flow: DataFrame, acc: DataFrame, threshold: float, nx: int | No
     return net.join(roots, "cell").select("cell", "down", "acc", F.col("root").alias("link"), "dist")
 
 
-def stream_links(cells: DataFrame) -> DataFrame:
+def _orders(links: DataFrame, nx: int, tile: int = 256) -> DataFrame:
+    """link and order of links (link, next, which it runs into, or null): tiles settle their own links, as far as orders have come in, so rounds follow links from tile to tile."""
+    fed = links.where("next is not null").select(F.col("next").alias("link")).distinct().withColumn("fed", F.lit(True))
+    now = links.join(fed, "link", "left").select("link", "next", F.when(F.col("fed").isNull(), F.lit(1)).alias("order"))
+
+    def settled(frame: pd.DataFrame) -> pd.DataFrame:
+        known, above = {}, {}
+        for link, up, order in zip(frame["link"].tolist(), frame["up"].tolist(), frame["order"].fillna(0).astype(int).tolist(), strict=True):
+            above.setdefault(link, []).append(up)
+            if order:
+                known[up] = order
+        into = {up: link for link, ups in above.items() for up in ups}
+        out, ready = {}, list(above)
+        while ready:
+            link = ready.pop()
+            orders = [known.get(up, 0) for up in above[link]]
+            if link in out or 0 in orders:
+                continue
+            top = max(orders)
+            out[link] = known[link] = top + (orders.count(top) > 1)
+            if into.get(link) in above:
+                ready.append(into[link])
+        return pd.DataFrame({"link": list(out), "found": list(out.values())}).astype({"link": "int64", "found": "int32"})
+
+    place = [F.expr(f"link div {nx} div {tile}").alias("tr"), F.expr(f"link % {nx} div {tile}").alias("tc")]
+
+    def step(t: DataFrame) -> DataFrame:
+        edges = t.where("next is not null").select(F.col("next").alias("link"), F.col("link").alias("up"), "order")
+        got = edges.select("link", "up", "order", *place).groupBy("tr", "tc").applyInPandas(settled, "link long, found int")
+        return t.join(got, "link", "left").select("link", "next", F.coalesce("order", "found").alias("order"))
+
+    return fixpoint(now, step, lambda t: t.where("order is null"), 10_000).select("link", "order")
+
+
+def stream_links(cells: DataFrame, nx: int | None = None) -> DataFrame:
     """link, end, n_cells, acc_out and order of the links of ``stream_cells``.
 
     A link ends on the cell where it meets others, or where it leaves the network. Heads have order 1; where two inflows or
-    more share the highest order, the next link has one more. Orders settle link by link, in as many rounds as links follow one another.
+    more share the highest order, the next link has one more. Orders settle link by link, in as many rounds as links follow one another; with ``nx``, the columns of
+    the frame, tiles settle their own links first.
     """
     inside = cells.select(F.col("cell").alias("down"), F.col("acc").alias("acc_down"))
     last = cells.groupBy("link").agg(F.max_by(F.struct("cell", "down", "acc"), "dist").alias("l"), F.count("*").alias("n")).select("link", "l.*", "n").join(inside, "down", "left")
     met = F.col("acc_down").isNotNull()
     links = checkpointed(last.select("link", F.when(met, F.col("down")).otherwise(F.col("cell")).alias("end"), met.alias("met"), (F.col("n") + met.cast("int")).alias("n_cells"), F.coalesce("acc_down", "acc").alias("acc_out")))
+    if nx is not None:
+        return links.join(_orders(links.select("link", F.when(F.col("met"), F.col("end")).alias("next")), nx), "link").drop("met")
     above = checkpointed(links.where("met").select(F.col("end").alias("link"), F.col("link").alias("up")))
     need = above.groupBy("link").agg(F.count("*").alias("need"))
     done = checkpointed(links.join(need, "link", "left_anti").select("link", F.lit(1).alias("order")))
@@ -204,12 +241,12 @@ def stream_links(cells: DataFrame) -> DataFrame:
 def strahler(flow: DataFrame, streams: DataFrame, nx: int | None = None) -> DataFrame:
     """cell and order of stream cells (cell): those of their links, so that rounds follow links and not cells; with ``nx``, the columns of the frame, links are followed by tiles."""
     cells = checkpointed(stream_cells(flow, streams.select("cell", F.lit(1).alias("acc")), 1, nx))
-    return cells.join(stream_links(cells).select("link", "order"), "link").select("cell", "order")
+    return cells.join(stream_links(cells, nx).select("link", "order"), "link").select("cell", "order")
 
 
 def river_network(flow: DataFrame, acc: DataFrame, threshold: float, nx: int | None = None) -> DataFrame:
     """link, end, n_cells, acc_out and order of the links of two cells or more of a river network; with ``nx``, the columns of the frame, links are followed by tiles."""
-    return stream_links(checkpointed(stream_cells(flow, acc, threshold, nx))).where("n_cells >= 2")
+    return stream_links(checkpointed(stream_cells(flow, acc, threshold, nx)), nx).where("n_cells >= 2")
 
 
 def snap(points: DataFrame, acc: DataFrame, ny: int, nx: int, radius: int) -> DataFrame:
