@@ -138,11 +138,12 @@ def _partners() -> list[tuple[int, int, int]]:
     return out
 
 
-def traced(skeleton: DataFrame, nx: int) -> DataFrame:
+def traced(skeleton: DataFrame, nx: int, tile: int = 256) -> DataFrame:
     """line, seq, row, col and closed of the lines along a one-cell skeleton (row, col).
 
     At each cell ways in and out are paired by the least turn, under a right angle; what isn't paired ends there. Every step between two neighbours
-    lies on one line. Lines are chains of directed steps; of a line's two directions the one of the lesser name stays.
+    lies on one line. Lines are chains of directed steps; of a line's two directions the one of the lesser name stays. Tiles follow
+    their own steps first, so rounds are over the stretches between tiles.
     """
     spark = skeleton.sparkSession
     at = skeleton.select("row", "col").distinct().withColumn("cell", (F.col("row").cast("long") * nx + F.col("col")))
@@ -151,7 +152,8 @@ def traced(skeleton: DataFrame, nx: int) -> DataFrame:
     masks = steps.groupBy("cell").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("bits"))
     partner = F.broadcast(spark.createDataFrame(_partners(), "bits int, back int, go int"))  # fixed, some 1,500 rows
     into = steps.select((F.col("cell") * 8 + F.col("k")).alias("id"), F.col("to").alias("cell"), ((F.col("k") + 4) % 8).alias("back")).join(masks, "cell")
-    follow = into.join(partner, ["bits", "back"], "left").select("id", (F.col("cell") * 8 + F.col("go")).alias("next"))
+    place = F.expr(f"(id div 8 div {nx} div {tile}) * {1 << 24} + id div 8 % {nx} div {tile}").alias("tile")
+    follow = into.join(partner, ["bits", "back"], "left").select("id", (F.col("cell") * 8 + F.col("go")).alias("next"), place)
     lines = checkpointed(chained(follow).join(steps.select((F.col("cell") * 8 + F.col("k")).alias("id"), "cell", "to", (F.col("to") * 8 + (F.col("k") + 4) % 8).alias("reverse")), "id"))
     other = lines.where("seq = 0").select("line", F.col("reverse").alias("id")).join(lines.select("id", F.col("line").alias("mirror")), "id")
     kept = lines.join(other.where("line < mirror").select("line"), "line")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from orogen.functions import joins, loops
-from orogen.operators import drill, flow, fractal, kriging, lines, points, raster, variogram
+from orogen.operators import breaks, drill, flow, fractal, kriging, lines, points, raster, variogram
 from orogen.plans import geometry
 
 
@@ -156,3 +156,12 @@ def test_streams_are_followed_by_tiles(spark, monkeypatch):
     assert (rows(flow.strahler(down, streams, nx)), rows(flow.catchments(down, seeds, nx)), rows(flow.stream_cells(down, acc, 3, nx, tile=5))) == want
     ways = rows(flow.main_streams(down, acc, seeds, nx, tile=5))
     assert ways == rows(flow.main_streams(down, acc, seeds, nx)) and len({r[0] for r in ways}) == seeds.count()
+
+
+def test_break_lines_are_traced_by_tiles(spark, monkeypatch):
+    """Rounds are over stretches of a skeleton between tiles, not over all its steps; tiles don't show."""
+    skeleton = spark.range(200).select(F.floor(10 + 8 * F.sin(F.col("id") / 20.0)).cast("int").alias("row"), F.col("id").cast("int").alias("col"))
+    seen = []
+    monkeypatch.setattr(lines, "climb", lambda t: seen.append(t.count()) or flow.climb(t))
+    got = [sorted(tuple(r) for r in breaks.traced(skeleton, 200, **tile).collect()) for tile in ({}, {"tile": 16})]
+    assert got[0] == got[1] and len(got[0]) == 200 and max(seen) < 100
