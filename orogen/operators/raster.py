@@ -412,11 +412,12 @@ def bridges_removed(cells: DataFrame, mask: DataFrame, ny: int, nx: int, stretch
     times as long whose two ends lie in the lower ``quantile`` percent of the ring. No cell is raised; a cell without a span stays.
     """
     known = cells.where("z is not null").select("row", "col", "z")
-    found = checkpointed(patches(mask.join(known.select("row", "col"), ["row", "col"], "left_semi"), ny, nx))
+    # Never a broadcast: rows of few compressed bytes are more than a driver holds.
+    found = checkpointed(patches(mask.join(known.select("row", "col").hint("merge"), ["row", "col"], "left_semi"), ny, nx))
     span = lambda c: F.sequence(F.col(c) - 1, F.col(c) + 1)
     ring = found.select("patch", F.explode(span("row")).alias("row"), span("col").alias("cols")).select("patch", "row", F.explode("cols").alias("col")).distinct()
     own = found.select("patch", "row", "col", F.lit(True).alias("own"))
-    laid = ring.join(own, ["patch", "row", "col"], "left").join(known, ["row", "col"])
+    laid = ring.join(own.hint("merge"), ["patch", "row", "col"], "left").join(known.hint("merge"), ["row", "col"])
 
     def lowered(frame: pd.DataFrame) -> list[tuple]:
         unknown = frame["own"]
@@ -462,7 +463,7 @@ def bridges_removed(cells: DataFrame, mask: DataFrame, ny: int, nx: int, stretch
     lots = max(mask.sparkSession.sparkContext.defaultParallelism, -(-found.count() // _LOT))
     lot = F.pmod(F.xxhash64("patch"), F.lit(lots)).alias("lot")
     new = laid.select("*", lot).repartition(lots, "lot").groupBy("lot").applyInPandas(lambda f: batch(f), "row int, col int, new double")
-    return cells.join(new, ["row", "col"], "left").select("row", "col", F.coalesce("new", "z").alias("z"))
+    return cells.join(new.hint("merge"), ["row", "col"], "left").select("row", "col", F.coalesce("new", "z").alias("z"))
 
 
 def _percentile(ordered: np.ndarray, q: float) -> float:

@@ -1,6 +1,7 @@
 """Figures of one task and of the driver that must not grow with the tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orogen.functions import joins, loops
@@ -165,3 +166,14 @@ def test_break_lines_are_traced_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(lines, "climb", lambda t: seen.append(t.count()) or flow.climb(t))
     got = [sorted(tuple(r) for r in breaks.traced(skeleton, 200, **tile).collect()) for tile in ({}, {"tile": 16})]
     assert got[0] == got[1] and len(got[0]) == 200 and max(seen) < 100
+
+
+def test_bridges_are_not_broadcast(spark):
+    """Neither a mask's patches nor the ground or the lowered heights go through the driver."""
+    cells = spark.range(400).select((F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), F.when(F.col("id") % 20 == 9, 5.0).otherwise(1.0).alias("z"))
+    held, plain = [], raster.checkpointed
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(raster, "checkpointed", lambda t: held.append(plan(t)) or plain(t))
+        got = raster.bridges_removed(cells, cells.where("z > 2").select("row", "col"), 20, 20)
+    assert "BroadcastHashJoin" not in held[-1].replace("BroadcastHashJoin [label", "") and "BroadcastHashJoin" not in plan(got)
+    assert got.where("z = 1").count() == 400
