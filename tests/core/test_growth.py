@@ -177,3 +177,12 @@ def test_bridges_are_not_broadcast(spark):
         got = raster.bridges_removed(cells, cells.where("z > 2").select("row", "col"), 20, 20)
     assert "BroadcastHashJoin" not in held[-1].replace("BroadcastHashJoin [label", "") and "BroadcastHashJoin" not in plan(got)
     assert got.where("z = 1").count() == 400
+
+
+def test_lags_of_very_many_pairs(spark):
+    """The square of a lag's pairs is more than a long holds from 3 billion pairs on."""
+    n = 10_000_000_000
+    sums = spark.createDataFrame([(0, n, 1.0 * n, 30.0 * n, 8.0 * n, 2.0 * n), (1, 4, 4.0, 20.0, 16.0, 4.0)], "bin int, npairs long, w double, h double, d2 double, root double")
+    far, near = variogram.lag_means(sums).orderBy("bin").collect()
+    assert (far["npairs"], far["lag"], far["gamma"]) == (n, 30.0, 4.0) and abs(far["gamma_robust"] - 8 / 0.457) < 1e-8
+    assert near["gamma_robust"] == 0.5 / (0.457 + 0.494 / 4 + 0.045 / 16)
