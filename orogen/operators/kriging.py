@@ -425,36 +425,74 @@ def simulate(samples: DataFrame, model: Model, x0: float, y0: float, cell: float
     now = checkpointed(now.withColumn("realisation", F.col("realisation").cast("long")))
     turn = lambda r, c: (F.pmod(r, F.lit(2)) * 2 + F.pmod(c, F.lit(2)))
 
+    reach = np.arange(-window, window + 1)
+    di, dj = (d.ravel() for d in np.meshgrid(reach, reach, indexing="ij"))
+    near = np.lexsort((dj, di, di * di + dj * dj))[1:]  # around a node, nearest first
+    di, dj = di[near], dj[near]
+    lag = np.arange(-2 * window, 2 * window + 1) * cell
+    table = model.covariance(lag[None, :] + 0.0 * lag[:, None], lag[:, None] + 0.0 * lag[None, :])
+
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """Which nodes are known to a node, and so its weights, follows from the path alone: they are found and solved for many nodes at once, and only values are drawn one by one."""
         run, tr, tc = (int(k) for k in key)
         r0, c0 = max(0, tr * tile - window), max(0, tc * tile - window)
-        z = np.full((min(ny, (tr + 1) * tile + window) - r0, min(nx, (tc + 1) * tile + window) - c0), np.nan)
+        height, width = min(ny, (tr + 1) * tile + window) - r0, min(nx, (tc + 1) * tile + window) - c0
+        wide = width + 2 * window  # a rim of unknown nodes, so that no window leaves the array
+        z = np.full((height + 2 * window) * wide, np.nan)
         rows, cols = frame["row"].to_numpy() - r0, frame["col"].to_numpy() - c0
-        z[rows, cols] = frame["score"].to_numpy(float)
+        place = (rows + window) * wide + cols + window
+        z[place] = frame["score"].to_numpy(float)
         own = np.flatnonzero(((frame["row"] // tile == tr) & (frame["col"] // tile == tc)).to_numpy())
         rng = np.random.default_rng((seed, run, tr, tc))
         own = own[np.lexsort((cols[own], rows[own]))]
-        for k in rng.permutation(own).tolist():
-            i, j = rows[k], cols[k]
-            if not np.isnan(z[i, j]):
-                continue
-            a, b = max(0, i - window), max(0, j - window)
-            ii, jj = np.nonzero(~np.isnan(z[a : i + window + 1, b : j + window + 1]))
-            if not len(ii):
-                z[i, j] = rng.normal() * np.sqrt(model.top)
+        path = place[rng.permutation(own)]
+        path = path[np.isnan(z[path])]
+        when = np.where(np.isnan(z), len(path), -1)
+        when[path] = np.arange(len(path))
+        noise, steps = rng.normal(size=len(path)), di * wide + dj
+        size, picks = np.zeros(len(path), int), np.zeros((len(path), most), int)
+        todo = np.arange(len(path))
+        for ahead in (8 * most, len(steps)):  # mostly the first steps do
+            later = []
+            for part in np.array_split(todo, max(1, len(todo) * min(ahead, len(steps)) // 1_000_000)):
+                known = when[path[part, None] + steps[:ahead]] < part[:, None]
+                count = known.cumsum(1)
+                size[part] = np.minimum(count[:, -1], most) if len(steps) else 0
+                at, step = np.nonzero(known & (count <= most))
+                picks[part[at], count[at, step] - 1] = step
+                later.append(part[size[part] < most])
+            todo = np.concatenate(later)
+        weights, deviation = np.zeros((len(path), most)), np.full(len(path), np.sqrt(model.top))
+        for part in _batches(size, 1):
+            i, j = di[picks[part, : size[part[0]]]], dj[picks[part, : size[part[0]]]]
+            a = table[i[:, :, None] - i[:, None, :] + 2 * window, j[:, :, None] - j[:, None, :] + 2 * window] + 1e-9 * model.top * np.eye(i.shape[1])
+            right = table[i + 2 * window, j + 2 * window]
+            try:
+                k = np.linalg.solve(a, right[:, :, None])[:, :, 0]
+            except np.linalg.LinAlgError:
+                k = np.stack([np.linalg.lstsq(f, r, rcond=None)[0] for f, r in zip(a, right, strict=True)])
+            weights[part, : i.shape[1]], deviation[part] = k, np.sqrt(np.maximum(model.top - (k * right).sum(1), 0.0))
+        around = path[:, None] + steps[picks] if len(steps) else path[:, None]
+        for k, (node, n) in enumerate(zip(path.tolist(), size.tolist(), strict=True)):
+            if not n:
+                z[node] = noise[k] * deviation[k]
                 continue
-            ii, jj = ii + a, jj + b
-            near = np.lexsort((jj, ii, (ii - i) ** 2 + (jj - j) ** 2))[:most]
-            ii, jj = ii[near], jj[near]
-            place = np.array([j * cell], float), np.array([i * cell], float)
-            e, s = solve(*place, (jj * cell)[None].astype(float), (ii * cell)[None].astype(float), z[ii, jj][None], model, 0.0)
-            z[i, j] = e[0] + rng.normal() * np.sqrt(s[0])
-        return frame.iloc[own][["realisation", "row", "col"]].assign(score=z[rows[own], cols[own]])
+            v = z[around[k, :n]]
+            e, low, high = float(weights[k, :n] @ v), float(v.min()), float(v.max())
+            s, span = deviation[k], 3 * (high - low) + 1e-9
+            if not low - span <= e <= high + span:  # as ``solve`` has it
+                w = 1 / ((di[picks[k, :n]] ** 2 + dj[picks[k, :n]] ** 2) * float(cell) ** 2)
+                e, s = float((w * v).sum() / w.sum()), np.sqrt(model.top)
+            z[node] = e + noise[k] * s
+        return frame.iloc[own][["realisation", "row", "col"]].assign(score=z[place[own]])
 
+    # Tiles are few bytes but much work, so their number decides the tasks, not their size.
+    keys = ["realisation", "tr", "tc"]
+    n = max(samples.sparkSession.sparkContext.defaultParallelism, realisations * ny * nx // (16 * tile * tile))
     for k in range(4):
         mine = turn(F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)) == k
         laid = tiles(now, tile, window).where(turn(F.col("tr"), F.col("tc")) == k).where((F.col("tr") >= 0) & (F.col("tc") >= 0))
         laid = laid.where((F.floor(F.col("row") / tile) == F.col("tr")) & (F.floor(F.col("col") / tile) == F.col("tc")) | F.col("score").isNotNull())
-        done = laid.groupBy("realisation", "tr", "tc").applyInPandas(one, "realisation long, row int, col int, score double")
+        done = laid.repartition(n, *keys).groupBy(*keys).applyInPandas(one, "realisation long, row int, col int, score double")
         now = checkpointed(now.where(~mine).unionByName(done))
     return now

@@ -52,7 +52,7 @@ def decluster_sweep(samples: DataFrame, sizes: list[float], offsets: int = 4, as
     at = lambda c, low, k: F.floor((F.col(c) - (low - k * F.col("size") * (F.col("shift") + 0.5) / offsets)) / (k * F.col("size")))
     laid = laid.select("id", "size", "shift", at("x", b["x"], 1.0).alias("ix"), at("y", b["y"], aspect).alias("iy"))
     cells = ["size", "shift", "ix", "iy"]
-    raw = laid.join(laid.groupBy(cells).agg(F.count("*").alias("k")), cells).groupBy("size", "id").agg((F.sum(1 / F.col("k")) / offsets).alias("raw"))
+    raw = laid.join(laid.groupBy(cells).agg(F.count("*").alias("k")).hint("merge"), cells).groupBy("size", "id").agg((F.sum(1 / F.col("k")) / offsets).alias("raw"))
     total = raw.groupBy("size").agg(F.sum("raw").alias("total"))
     return raw.join(total, "size").select("size", "id", (F.col("raw") * b["n"] / F.col("total")).alias("weight"))
 
@@ -98,7 +98,7 @@ def back_transform(table: DataFrame, score: str, scores: DataFrame) -> DataFrame
     """
     known = scores.select("v", F.col("score").alias("s"))
     b = known.agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n")).first()
-    fine = float(min(10_000, max(100, b["n"] // 100)))
+    fine = float(min(100_000, max(100, b["n"] // 100)))
     bin_of = lambda c: F.floor(c * fine)
     placed = known.withColumn("bin", bin_of(F.col("s")))
     firsts = placed.groupBy("bin").agg(F.min(F.struct("s", "v")).alias("first")).withColumn("next", F.lead("first").over(Window.orderBy("bin"))).select("bin", "next")
@@ -107,7 +107,7 @@ def back_transform(table: DataFrame, score: str, scores: DataFrame) -> DataFrame
     steps = steps.select("s", "v", F.col("to.s").alias("s2"), F.col("to.v").alias("v2")).where("s2 is null or s < s2")
     steps = steps.withColumn("bin", F.explode(F.sequence(bin_of(F.col("s")), bin_of(F.coalesce("s2", "s")))))
     held = table.withColumn("y", F.least(F.greatest(F.col(score), F.lit(b["low"])), F.lit(b["high"]))).withColumn("bin", bin_of(F.col("y")))
-    found = held.join(steps, (held["bin"] == steps["bin"]) & (F.col("y") >= F.col("s")) & (F.col("s2").isNull() | (F.col("y") < F.col("s2"))), "left")
+    found = held.join(steps.hint("merge"), (held["bin"] == steps["bin"]) & (F.col("y") >= F.col("s")) & (F.col("s2").isNull() | (F.col("y") < F.col("s2"))), "left")
     value = F.coalesce(F.col("v") + (F.col("y") - F.col("s")) / (F.col("s2") - F.col("s")) * (F.col("v2") - F.col("v")), F.col("v"))
     return found.select(*[F.col(c) for c in table.columns], value.alias("value"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orogen.functions import joins, loops
 from orogen.operators import breaks, drill, flow, fractal, kriging, lines, points, raster, variogram
-from orogen.plans import geometry
+from orogen.plans import geometry, queries
 
 
 def test_composites_are_dealt_by_rows(spark, monkeypatch):
@@ -186,3 +186,33 @@ def test_lags_of_very_many_pairs(spark):
     far, near = variogram.lag_means(sums).orderBy("bin").collect()
     assert (far["npairs"], far["lag"], far["gamma"]) == (n, 30.0, 4.0) and abs(far["gamma_robust"] - 8 / 0.457) < 1e-8
     assert near["gamma_robust"] == 0.5 / (0.457 + 0.494 / 4 + 0.045 / 16)
+
+
+def test_most_nodes_of_the_simulation_are_drawn(spark, monkeypatch):
+    """Samples fix a fifth of the nodes; the others differ between realisations."""
+    held, plain = [], kriging.simulate
+    monkeypatch.setattr(kriging, "simulate", lambda *a, **b: held.append(plain(*a, **b)) or held[0])
+    rows = queries.gaussian_simulation(spark, "/root/testdata/sf0.001").collect()
+    nodes = held[0].groupBy("row", "col").agg(F.count("*").alias("n"), F.count_distinct("score").alias("drawn")).collect()
+    assert all(r["n"] == 4 for r in nodes) and len(nodes) == 16 * len(rows)
+    assert 0.7 < sum(r["drawn"] == 4 for r in nodes) / len(nodes) < 0.9
+
+
+def test_paths_are_drawn_one_by_one(spark):
+    """Nodes solved many at a time have the scores of nodes solved one after the other, with few samples and with many."""
+    model, ny, nx = kriging.Model("spherical", 1.0, 4.0), 9, 11
+    for fixed in ({(2, 3): 1.5}, {(i, j): float((i * 7 + j * 3) % 5) - 2 for i in range(ny) for j in range(nx) if (i + 2 * j) % 4 == 0}):
+        known = spark.createDataFrame([(float(j), float(i), v) for (i, j), v in fixed.items()], "x double, y double, v double")
+        got = {(r["row"], r["col"]): r["score"] for r in kriging.simulate(known, model, 0.0, 0.0, 1.0, ny, nx, 1, most=5, window=3).collect()}
+        rng, z = np.random.default_rng((1, 0, 0, 0)), dict(fixed)
+        for k in rng.permutation(np.arange(ny * nx)).tolist():
+            i, j = divmod(k, nx)
+            if (i, j) in z:
+                continue
+            near = sorted(((a - i) ** 2 + (b - j) ** 2, a, b) for a, b in z if abs(a - i) <= 3 and abs(b - j) <= 3)[:5]
+            e, s = 0.0, model.top
+            if near:
+                _, a, b = np.array(near, float).T
+                (e,), (s,) = kriging.solve(np.array([float(j)]), np.array([float(i)]), b[None], a[None], np.array([[z[p[1:]] for p in near]]), model, 0.0)
+            z[i, j] = e + rng.normal() * np.sqrt(s)
+        assert got.keys() == z.keys() and max(abs(got[p] - z[p]) for p in z) < 1e-9
